@@ -1,0 +1,5 @@
+"""No streaming operators: the scope of this library is batch only.
+
+Idempotent resume and incremental fill are batch operators, see
+``zonomy.sources.cache`` and ``zonomy.operators.reports.incremental_fill``.
+"""
