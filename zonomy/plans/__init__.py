@@ -1,6 +1,6 @@
 """All registered queries; importing the package fills the registry."""
 
 from zonomy.plans.base import QUERIES, Tables
-from zonomy.plans import metrics  # noqa: F401
+from zonomy.plans import consensus, metrics  # noqa: F401
 
 __all__ = ["QUERIES", "Tables"]
