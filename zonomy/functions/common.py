@@ -35,7 +35,8 @@ def known(c: Column | str) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
+    """Bounded value; null stays null (``greatest`` and ``least`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high))))
 
 
 def all_of(flags: Iterable[Column]) -> Column:

@@ -70,7 +70,8 @@ def _needed(text: str, out: list[str]) -> list[str]:
 def oracle(text: str) -> str:
     """Expand ``{view}`` slots of a SQL text into a WITH chain that DuckDB runs on its own."""
     names = _needed(text, [])
-    plain = lambda s: _SLOT.sub(r"\1", s)
+    known = lambda n: n in VIEWS or n in BASE_TABLES
+    plain = lambda s: _SLOT.sub(lambda m: m[1] if known(m[1]) else m[0], s)
     body = plain(text).strip()
     chain = [f"{n} AS ({plain(VIEWS[n])})" for n in names]
     if body.upper().startswith("WITH "):
