@@ -74,6 +74,8 @@ def oracle(text: str) -> str:
     plain = lambda s: _SLOT.sub(lambda m: m[1] if known(m[1]) else m[0], s)
     body = plain(text).strip()
     chain = [f"{n} AS ({plain(VIEWS[n])})" for n in names]
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(chain + [body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join(chain + [body[5:]]) if chain else body
     return ("WITH " + ", ".join(chain) + " " if chain else "") + body

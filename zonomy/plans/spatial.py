@@ -38,7 +38,7 @@ SELECT p_partkey AS shape_id, 1 + p_partkey * 7 % 5 AS class, p_retailprice / 10
   1 - p_size / 100.0 AS weight, 'city' || CAST(p_partkey % 8 AS STRING) AS city FROM {part}
 """)
 view("points", """
-SELECT c_custkey AS point_id, CAST(c_custkey * 37 % 5000 AS DOUBLE) + 0.5 AS x, CAST(floor(c_acctbal % 4000) AS DOUBLE) + 0.25 AS y,
+SELECT c_custkey AS point_id, CAST(c_custkey * 37 % 5000 AS DOUBLE) + 0.5 AS x, CAST(floor((c_acctbal + 10000) % 4000) AS DOUBLE) + 0.25 AS y,
   CAST(1 + c_custkey % 6 AS INT) AS label FROM {customer}
 """)
 view("aoi_boxes", """
@@ -227,10 +227,10 @@ def shape_verdicts(t):
 
 
 view("sites", """
-SELECT s_suppkey AS site_id, CAST(s_suppkey * 37 % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST(s_acctbal % 160 AS DOUBLE) - 80 AS lat FROM {supplier}
+SELECT s_suppkey AS site_id, CAST(s_suppkey * 37 % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST((s_acctbal + 10000) % 160 AS DOUBLE) - 80 AS lat FROM {supplier}
 """)
 view("places", """
-SELECT c_custkey AS place_id, CAST(c_custkey * 17 % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST(c_acctbal % 170 AS DOUBLE) - 85 AS lat, c_nationkey AS nation FROM {customer}
+SELECT c_custkey AS place_id, CAST(c_custkey * 17 % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST((c_acctbal + 10000) % 170 AS DOUBLE) - 85 AS lat, c_nationkey AS nation FROM {customer}
 """)
 
 
@@ -363,3 +363,152 @@ def zonal_pixel_stats(t):
 @query("point_pixel_samples", "C27 B14", """SELECT point_id, value FROM {points} LEFT JOIN {value_pixels} ON col = floor(x / 10) AND row = floor(y / 10)""")
 def point_pixel_samples(t):
     return Z.sample_points(t["points"], t["value_pixels"], 10.0).select("point_id", "value")
+
+
+# ── lattices, placement, descriptors ─────────────────────────────────────────
+
+
+@query("patch_lattice", "G1", """SELECT aoi, lpad(CAST(j * nx + i AS VARCHAR), 7, '0') AS patch_id, minx + i * 320 AS x0, miny + j * 320 AS y0 FROM (
+ SELECT aoi, minx, miny, greatest(ceil((maxx - minx) / 320), 1)::BIGINT AS nx, greatest(ceil((maxy - miny) / 320), 1)::BIGINT AS ny FROM {aoi_boxes}) a,
+ LATERAL (SELECT unnest(range(nx)) AS i), LATERAL (SELECT unnest(range(ny)) AS j)""")
+def patch_lattice(t):
+    d = P.lattice(t["aoi_boxes"].select("aoi", G.box("minx", "miny", "maxx", "maxy").alias("box")), 320.0)
+    return d.select("aoi", "patch_id", F.col("patch.minx").alias("x0"), F.col("patch.miny").alias("y0"))
+
+
+@query("snapped_cells", "G2", """SELECT shape_id, count(*) AS n_pieces, sum((least(x1, (i + 1) * 100) - greatest(x0, i * 100)) * (least(y1, (j + 1) * 100) - greatest(y0, j * 100))) AS area FROM (
+ SELECT *, unnest(range(floor(x0 / 100)::BIGINT, ceil(x1 / 100)::BIGINT)) AS i FROM {shapes} WHERE (x1 - x0) * (y1 - y0) > 40000) a,
+ LATERAL (SELECT unnest(range(floor(y0 / 100)::BIGINT, ceil(y1 / 100)::BIGINT)) AS j) GROUP BY shape_id""")
+def snapped_cells(t):
+    d = P.snapped_cells(shapes(t), 100.0, 40000.0)
+    return d.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(G.area(F.col("piece"))).alias("area"))
+
+
+@query("snapped_grids", "G3", """WITH b AS (SELECT city, min(x0) - 100 AS x0, min(y0) - 100 AS y0, max(x1) + 100 AS x1, max(y1) + 100 AS y1 FROM {shapes} GROUP BY city),
+ r AS (SELECT *, 10 * greatest(ceil(sqrt((ceil(x1 / 10) - floor(x0 / 10)) * (ceil(y1 / 10) - floor(y0 / 10)) / 100000.0::DOUBLE)), 1) AS res FROM b)
+SELECT city, res, floor(x0 / res) * res AS minx, ceil(y1 / res) * res AS maxy, (ceil(x1 / res) - floor(x0 / res))::BIGINT AS width, (ceil(y1 / res) - floor(y0 / res))::BIGINT AS height FROM r""")
+def snapped_grids(t):
+    return P.snapped_grid(shapes(t), ["city"], 10.0, 100.0, 100000.0)
+
+
+@query("macro_split", "G4 C32", """SELECT point_id, floor(x / 250)::BIGINT AS ix, floor(y / 250)::BIGINT AS iy,
+ CASE WHEN floor(x / 250)::BIGINT % 3 = 1 AND floor(y / 250)::BIGINT % 3 = 2 THEN 'test' WHEN floor(x / 250)::BIGINT % 3 = 1 AND floor(y / 250)::BIGINT % 3 = 0 THEN 'val' ELSE 'train' END AS split FROM {points}""")
+def macro_split(t):
+    return P.split_cells(t["points"], (F.lit(0.0), F.lit(0.0)), 250.0).select("point_id", "ix", "iy", "split")
+
+
+@query("strict_squares", "G6 E5", """WITH c AS (SELECT shape_id, x0, y0, x1, y1, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, i * 100.0::DOUBLE + 50 AS mx, j * 100.0::DOUBLE + 50 AS my
+  FROM (SELECT *, unnest(range(ceil(x0 / 100)::BIGINT, floor(x1 / 100)::BIGINT)) AS i FROM {shapes}) a, LATERAL (SELECT unnest(range(ceil(y0 / 100)::BIGINT, floor(y1 / 100)::BIGINT)) AS j)),
+ r AS (SELECT shape_id, mx, my, row_number() OVER (PARTITION BY shape_id ORDER BY (mx - cx) ** 2 + (my - cy) ** 2, mx, my) AS r FROM c)
+SELECT shape_id, mx AS x, my AS y FROM r WHERE r <= 3
+UNION ALL SELECT shape_id, (x0 + x1) / 2, (y0 + y1) / 2 FROM {shapes} WHERE least(x1 - x0, y1 - y0) > 100 AND shape_id NOT IN (SELECT shape_id FROM c)""")
+def strict_squares(t):
+    d = P.place_squares(shapes(t), 100.0, cap=3)
+    cx, cy = G.centre(F.col("square"))
+    return d.select("shape_id", cx.alias("x"), cy.alias("y"))
+
+
+@query("relaxed_squares", "G7 F5", """WITH sm AS (SELECT * FROM {shapes} WHERE p_size % 5 > 0 AND least(x1 - x0, y1 - y0) <= 150),
+ cd AS (SELECT shape_id, class, weight, x0, y0, x1, y1, i, j FROM (SELECT *, unnest(range(floor(x0 / 150)::BIGINT, floor(x1 / 150)::BIGINT + 1)) AS i FROM sm) a, LATERAL (SELECT unnest(range(floor(y0 / 150)::BIGINT, floor(y1 / 150)::BIGINT + 1)) AS j)),
+ sq AS (SELECT DISTINCT i, j FROM cd),
+ hit AS (SELECT sq.i, sq.j, s.class, s.p_size % 5 > 0 AS ok, greatest(s.x0, sq.i * 150) AS ax, least(s.x1, sq.i * 150 + 150) AS bx, greatest(s.y0, sq.j * 150) AS ay, least(s.y1, sq.j * 150 + 150) AS cy
+   FROM sq JOIN {shapes} s ON s.x0 < sq.i * 150 + 150 AND s.x1 > sq.i * 150 AND s.y0 < sq.j * 150 + 150 AND s.y1 > sq.j * 150),
+ px AS (SELECT i, j, class, bool_or(ok) AS ok FROM (SELECT i, j, class, ok, x, unnest(range(ay::BIGINT, cy::BIGINT)) AS y FROM (SELECT *, unnest(range(ax::BIGINT, bx::BIGINT)) AS x FROM hit)) GROUP BY i, j, class, x, y),
+ ar AS (SELECT i, j, class, count(*) AS al, count(*) FILTER (ok) AS own FROM px GROUP BY ALL), tt AS (SELECT i, j, sum(al) AS tot FROM ar GROUP BY ALL),
+ k AS (SELECT cd.*, own / 22500 AS dom, (tot - al) / 22500 AS oth, (least(x1, cd.i * 150 + 150) - greatest(x0, cd.i * 150)) * (least(y1, cd.j * 150 + 150) - greatest(y0, cd.j * 150)) AS mine
+   FROM cd JOIN ar ON ar.i = cd.i AND ar.j = cd.j AND ar.class = cd.class JOIN tt ON tt.i = cd.i AND tt.j = cd.j WHERE own / 22500 >= 0.4::DOUBLE AND (tot - al) / 22500 <= 0.3::DOUBLE),
+ cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shape_id ORDER BY mine DESC, i, j) AS r FROM k) WHERE r <= 2)
+SELECT i AS ix, j AS iy, shape_id, class, round(weight * dom, 6) AS weight, round(dom, 6) AS dominant_frac, round(oth, 6) AS other_frac FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY shape_id) AS q FROM cp) WHERE q = 1""")
+def relaxed_squares(t):
+    s = shapes(t).withColumn("qc_pass", F.col("p_size") % 5 > 0).withColumn("weight", F.col("weight").cast("double"))
+    return rounded(P.relaxed_squares(s, 150.0, 256.0, min_own=0.4, max_other=0.3, cap=2))
+
+
+@query("relaxed_off_strict", "G7 F4", """SELECT shape_id FROM {shapes} a WHERE NOT EXISTS (SELECT 1 FROM {zone_boxes} z WHERE z.p_size % 6 = 0 AND z.minx < a.x1 AND z.maxx > a.x0 AND z.miny < a.y1 AND z.maxy > a.y0)""")
+def relaxed_off_strict(t):
+    z = t["zone_boxes"].where(F.col("p_size") % 6 == 0).select(G.box("minx", "miny", "maxx", "maxy").alias("rbox"))
+    return P.without_shared_ground(shapes(t, "lbox"), z, 256.0, "shape_id").select("shape_id")
+
+
+@query("shape_descriptors", "G9 G10 G11 B12", """WITH g AS (SELECT shape_id, x1 - x0 AS w, y1 - y0 AS h FROM {shapes})
+SELECT shape_id, w * h AS area_m2, 2 * (w + h) AS perimeter_m, round(4 * (w + h) ** 2 / (4 * pi() * w * h), 6) AS shape_index, round(4 * pi() * w * h / (4 * (w + h) ** 2), 6) AS compactness,
+ round(1 - least(w, h) / greatest(w, h), 6) AS elongation, w * h < 12000 OR least(w, h) <= 90 AS small_or_thin,
+ CASE WHEN w * h > 60000 THEN least(w, 160) * least(h, 160) ELSE w * h END AS core_area FROM g""")
+def shape_descriptors(t):
+    b = F.col("box")
+    d = shapes(t).withColumns(Z.geometric_descriptors(b)).withColumns({
+        "small_or_thin": G.small_or_thin(b, 12000.0, 90.0), "core_area": G.area(G.oversize_core(b, 60000.0, 80.0))})
+    return rounded(d.select("shape_id", "area_m2", "perimeter_m", "shape_index", "compactness", "elongation", "small_or_thin", "core_area"))
+
+
+@query("shape_ids", "G12 E3", """WITH i AS (SELECT city, shape_id, substr(sha256(city || '|' || printf('%.3f,%.3f,%.3f,%.3f', x0, y0, x1, y1)), 1, 16) AS block_id FROM {shapes})
+SELECT shape_id, block_id, row_number() OVER (PARTITION BY city ORDER BY block_id) AS block_idx FROM i""")
+def shape_ids(t):
+    from zonomy.operators.ordered import with_rank
+    d = shapes(t).select("city", "shape_id", G.shape_id("city", F.col("box")).alias("block_id"))
+    head = F.conv(F.substring("block_id", 1, 13), 16, 10).cast("double")
+    return with_rank(d, ["city"], head, [F.col("block_id")], name="block_idx").select("shape_id", "block_id", "block_idx")
+
+
+@query("window_starts", "G14", """SELECT aoi, unnest(list_sort(list_distinct(list_append(range(0, greatest((maxx - minx)::BIGINT - 320, 0) + 1, 200), greatest((maxx - minx)::BIGINT - 320, 0))))) AS start FROM {aoi_boxes}""")
+def window_starts(t):
+    w = (F.col("maxx") - F.col("minx")).cast("long")
+    return t["aoi_boxes"].select("aoi", F.explode(P.window_starts(w, 320, 200)).alias("start"))
+
+
+@query("stride_points", "G13", """WITH b AS (SELECT site_id, lon, lat, 0.2::DOUBLE AS s, 4000 / 111320.0::DOUBLE AS dl FROM {sites}), c AS (SELECT *, dl / cos(radians((lat + (lat + s)) / 2)) AS dx FROM b)
+SELECT site_id, (greatest(floor((lon + s - lon) / dx), 0)::BIGINT + 1) * (greatest(floor((lat + s - lat) / dl), 0)::BIGINT + 1) AS n_points FROM c""")
+def stride_points(t):
+    tiles = t["sites"].select("site_id", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), (F.col("lon") + 0.2).alias("lon1"), (F.col("lat") + 0.2).alias("lat1"))
+    return P.stride_points(tiles, 4000.0).groupBy("site_id").agg(F.count(F.lit(1)).alias("n_points"))
+
+
+@query("touched_tiles", "D44", """SELECT DISTINCT i * 7.5 AS lon, j * 7.5 AS lat FROM (SELECT unnest(range(floor((lon - 3) / 7.5)::BIGINT, floor((lon + 3) / 7.5)::BIGINT + 1)) AS i, lat FROM {places}) a,
+ LATERAL (SELECT unnest(range(floor((lat - 1) / 7.5)::BIGINT, floor((lat + 1) / 7.5)::BIGINT + 1)) AS j)""".replace("i * 7.5 AS lon, j * 7.5 AS lat", "(i * 7.5)::DOUBLE AS lon, (j * 7.5)::DOUBLE AS lat"))
+def touched_tiles(t):
+    b = G.box(F.col("lon") - 3, F.col("lat") - 1, F.col("lon") + 3, F.col("lat") + 1)
+    return t["places"].select(F.inline(P.touched_tiles(b, 7.5))).distinct()
+
+
+@query("equal_area_km2", "B8", """WITH k AS (SELECT 6378137.0::DOUBLE AS a, 1 / 298.257223563::DOUBLE AS f), e AS (SELECT a, f * (2 - f) AS e2 FROM k),
+ c AS (SELECT a, e2, sqrt(e2) AS e, cos(radians(30)) / sqrt(1 - e2 * sin(radians(30)) ** 2) AS k0 FROM e),
+ q AS (SELECT place_id, a, k0, (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) ** 2) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) AS q0,
+   (1 - e2) * (sin(radians(lat + 0.3)) / (1 - e2 * sin(radians(lat + 0.3)) ** 2) - ln((1 - e * sin(radians(lat + 0.3))) / (1 + e * sin(radians(lat + 0.3)))) / (2 * e)) AS q1 FROM {places}, c)
+SELECT place_id, round(radians(0.4) * a * k0 * a * (q1 - q0) / (2 * k0) / 1e6, 3) AS area_km2 FROM q""")
+def equal_area_km2(t):
+    p = t["places"]
+    x0, y0 = G.equal_area_xy(F.col("lon"), F.col("lat"))
+    x1, y1 = G.equal_area_xy(F.col("lon") + 0.4, F.col("lat") + 0.3)
+    ring = G.ring_of(G.box(x0, y0, x1, y1))
+    return p.select("place_id", F.round(G.ring_area(ring) / 1e6, 3).alias("area_km2"))
+
+
+@query("utm_zones", "B9 B10", """SELECT place_id, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lon + 180) / 6) + 1)::INT AS epsg, ((floor((lon + 180) / 6) + 1) * 6 - 183)::INT AS meridian,
+ round(10 / 111320.0::DOUBLE / cos(radians(lat)), 9) AS factor FROM {places}""")
+def utm_zones(t):
+    z = G.utm_zone("lon")
+    return t["places"].select("place_id", G.utm_epsg("lon", "lat").alias("epsg"), G.utm_meridian(z).alias("meridian"),
+                              F.round(G.local_factor(10.0, F.col("lat")), 9).alias("factor"))
+
+
+@query("utm_round_trip", "B9 G15", """SELECT place_id, round(lon, 6) AS lon, round(lat, 6) AS lat, true AS east_in_zone FROM {places}""")
+def utm_round_trip(t):
+    p = t["places"].withColumn("m", G.utm_meridian(G.utm_zone("lon")).cast("double"))
+    x, y = G.utm_xy(F.col("lon"), F.col("lat"), F.col("m"))
+    p = p.withColumns({"e": x, "n": y})
+    lon, lat = G.utm_lonlat(F.col("e"), F.col("n"), F.col("m"), F.col("lat") < 0)
+    return p.select("place_id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), F.col("e").between(100000, 900000).alias("east_in_zone"))
+
+
+@query("ring_measures", "B7 B8 B12 C23", """WITH r AS (SELECT shape_id, x0, y0, (x1 - x0) / (CASE WHEN p_size % 9 = 0 THEN 0 ELSE 1 END) AS w0, x1 - x0 AS w, y1 - y0 AS h, p_size FROM {shapes})
+SELECT shape_id, w * h / 2 AS area, round(w + h + sqrt(w * w + h * h), 6) AS perimeter, round(x0 + w / 3, 6) AS cx, round(y0 + h / 3, 6) AS cy, true AS holds_quarter, false AS holds_corner FROM r WHERE p_size % 9 > 0""")
+def ring_measures(t):
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    bad = F.when(F.col("p_size") % 9 == 0, F.lit(float("nan"))).otherwise(x1)
+    d = t["shapes"].select("shape_id", x0, y0, x1, y1, F.array(pt(x0, y0), pt(bad, y0), pt(x0, y1)).alias("ring"))
+    d = d.where(G.finite_ring(F.col("ring")))
+    r = F.col("ring")
+    cx, cy = G.ring_centroid(r)
+    return rounded(d.select("shape_id", G.ring_area(r).alias("area"), G.ring_perimeter(r).alias("perimeter"), cx.alias("cx"), cy.alias("cy"),
+                            G.in_ring(r, x0 + (x1 - x0) / 4, y0 + (y1 - y0) / 4).alias("holds_quarter"), G.in_ring(r, x1 - 1, y1 - 1).alias("holds_corner")))
