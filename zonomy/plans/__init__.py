@@ -1,6 +1,6 @@
 """All registered queries; importing the package fills the registry."""
 
 from zonomy.plans.base import QUERIES, Tables
-from zonomy.plans import cleaning, consensus, metrics, rasters, spatial  # noqa: F401
+from zonomy.plans import cleaning, consensus, inventory, metrics, rasters, spatial  # noqa: F401
 
 __all__ = ["QUERIES", "Tables"]
