@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RANGES = 32
-_KEY = "_all"
+_KEY = "__o_all"
 
 
 def _group_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -23,24 +23,24 @@ def _group_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str
 def with_ranges(df: DataFrame, keys: Sequence[str], value: Column, ranges: int = RANGES) -> DataFrame:
     """Add ``_r``: index of the value range of each row inside its group (equal values share a range)."""
     cuts = [i / ranges for i in range(1, ranges)]
-    d = df.withColumn("_v", value.cast("double"))
-    sketch = d.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*map(F.lit, cuts)), F.lit(1000)).alias("_cuts"))
+    d = df.withColumn("__o_v", value.cast("double"))
+    sketch = d.groupBy(*keys).agg(F.percentile_approx("__o_v", F.array(*map(F.lit, cuts)), F.lit(1000)).alias("__o_cuts"))
     j = d.join(F.broadcast(sketch) if list(keys) == [_KEY] else sketch, list(keys))
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    return j.withColumn("_r", F.when(F.col("_v").isNull(), F.lit(ranges)).otherwise(below)).drop("_cuts")
+    below = F.size(F.filter("__o_cuts", lambda c: c < F.col("__o_v")))
+    return j.withColumn("__o_r", F.when(F.col("__o_v").isNull(), F.lit(ranges)).otherwise(below)).drop("__o_cuts")
 
 
 def with_offsets(df: DataFrame, keys: Sequence[str], weight: Column | None = None) -> DataFrame:
     """Add ``_before``: rows (or weight) in the earlier ranges of the group, and ``_total``."""
     w = weight if weight is not None else F.lit(1).cast("long")
-    per = df.groupBy(*keys, "_r").agg(F.sum(w).alias("_n"))
-    order = Window.partitionBy(*keys).orderBy("_r")
+    per = df.groupBy(*keys, "__o_r").agg(F.sum(w).alias("__o_n"))
+    order = Window.partitionBy(*keys).orderBy("__o_r")
     per = per.select(
-        *keys, "_r",
-        (F.sum("_n").over(order) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+        *keys, "__o_r",
+        (F.sum("__o_n").over(order) - F.col("__o_n")).alias("__o_before"),
+        F.sum("__o_n").over(Window.partitionBy(*keys)).alias("__o_total"),
     )
-    return df.join(F.broadcast(per) if list(keys) == [_KEY] else per, [*keys, "_r"])
+    return df.join(F.broadcast(per) if list(keys) == [_KEY] else per, [*keys, "__o_r"])
 
 
 def with_rank(
@@ -50,11 +50,11 @@ def with_rank(
     """Exact ``row_number`` (1-based) of each row in its group, ascending by ``first`` then ``then``."""
     d, ks = _group_keys(df, keys)
     d = with_offsets(with_ranges(d, ks, first, ranges), ks)
-    w = Window.partitionBy(*ks, "_r").orderBy(F.col("_v").asc_nulls_last(), *then)
-    d = d.withColumn(name, F.col("_before") + F.row_number().over(w))
+    w = Window.partitionBy(*ks, "__o_r").orderBy(F.col("__o_v").asc_nulls_last(), *then)
+    d = d.withColumn(name, F.col("__o_before") + F.row_number().over(w))
     if total:
-        d = d.withColumn(total, F.col("_total"))
-    return d.drop("_r", "_v", "_before", "_total", _KEY)
+        d = d.withColumn(total, F.col("__o_total"))
+    return d.drop("__o_r", "__o_v", "__o_before", "__o_total", _KEY)
 
 
 def with_running_sum(
@@ -62,21 +62,21 @@ def with_running_sum(
     name: str = "running", total: str = "total",
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` in group order, and the group total."""
-    d, ks = _group_keys(df.withColumn("_w", weight), keys)
-    d = with_offsets(with_ranges(d, ks, first), ks, F.col("_w"))
-    w = Window.partitionBy(*ks, "_r").orderBy(F.col("_v").asc_nulls_last(), *then)
+    d, ks = _group_keys(df.withColumn("__o_w", weight), keys)
+    d = with_offsets(with_ranges(d, ks, first), ks, F.col("__o_w"))
+    w = Window.partitionBy(*ks, "__o_r").orderBy(F.col("__o_v").asc_nulls_last(), *then)
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn(name, F.col("_before") + F.sum("_w").over(frame)).withColumn(total, F.col("_total"))
-    return d.drop("_r", "_v", "_w", "_before", "_total", _KEY)
+    d = d.withColumn(name, F.col("__o_before") + F.sum("__o_w").over(frame)).withColumn(total, F.col("__o_total"))
+    return d.drop("__o_r", "__o_v", "__o_w", "__o_before", "__o_total", _KEY)
 
 
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: Column, name: str = "avg_rank") -> DataFrame:
-    """Rank with ties averaged, as used by rank correlation."""
-    d, ks = _group_keys(df.withColumn("_x", value.cast("double")), keys)
-    counts = d.where(F.col("_x").isNotNull()).groupBy(*ks, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    run = with_running_sum(counts, ks, F.col("_x"), F.col("_c"), name="_run", total="_t")
-    ranks = run.select(*ks, "_x", (F.col("_run") - (F.col("_c") - 1) / 2).alias(name))
-    return d.join(ranks, [*ks, "_x"], "left").drop("_x", _KEY)
+    """Rank with ties averaged, as used by rank correlation; null values get no rank."""
+    d = df.withColumn("__o_x", value.cast("double"))
+    counts = d.where(F.col("__o_x").isNotNull()).groupBy(*keys, "__o_x").agg(F.count(F.lit(1)).alias("__o_c"))
+    run = with_running_sum(counts, keys, F.col("__o_x"), F.col("__o_c"), name="__o_run", total="__o_t")
+    ranks = run.select(*keys, "__o_x", (F.col("__o_run") - (F.col("__o_c") - 1) / 2).alias(name))
+    return d.join(ranks, [*keys, "__o_x"], "left").drop("__o_x")
 
 
 def first_n(
@@ -84,7 +84,7 @@ def first_n(
 ) -> DataFrame:
     """Rows with the n smallest ``order`` values per group; ``n`` may be a column of the row."""
     limit = F.lit(n) if isinstance(n, int) else n
-    return with_rank(df, keys, order, then, name="_rank").where(F.col("_rank") <= limit).drop("_rank")
+    return with_rank(df, keys, order, then, name="__o_rank").where(F.col("__o_rank") <= limit).drop("__o_rank")
 
 
 def exact_quantiles(
@@ -95,20 +95,20 @@ def exact_quantiles(
     Values are counted first, so repeated values never travel; only ranges that hold a
     wanted rank are ordered.
     """
-    d, ks = _group_keys(df.withColumn("_x", value.cast("double")), keys)
-    d = d.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    counts = d.groupBy(*ks, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    parts = with_offsets(with_ranges(counts, ks, F.col("_x"), ranges), ks, F.col("_c"))
-    w = Window.partitionBy(*ks, "_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hi = F.col("_before") + F.sum("_c").over(w)
-    ranked = parts.withColumn("_hi", hi).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    d, ks = _group_keys(df.withColumn("__o_x", value.cast("double")), keys)
+    d = d.where(F.col("__o_x").isNotNull() & ~F.isnan("__o_x"))
+    counts = d.groupBy(*ks, "__o_x").agg(F.count(F.lit(1)).alias("__o_c"))
+    parts = with_offsets(with_ranges(counts, ks, F.col("__o_x"), ranges), ks, F.col("__o_c"))
+    w = Window.partitionBy(*ks, "__o_r").orderBy("__o_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hi = F.col("__o_before") + F.sum("__o_c").over(w)
+    ranked = parts.withColumn("__o_hi", hi).withColumn("__o_lo", F.col("__o_hi") - F.col("__o_c"))
     aggs = []
     for name, p in probs.items():
-        at = (F.col("_total") - 1) * F.lit(float(p))
+        at = (F.col("__o_total") - 1) * F.lit(float(p))
         low, high = F.floor(at), F.ceil(at)
-        holds = lambda r: (F.col("_lo") <= r) & (r < F.col("_hi"))
-        a = F.max(F.when(holds(low), F.col("_x")))
-        b = F.max(F.when(holds(high), F.col("_x")))
+        holds = lambda r: (F.col("__o_lo") <= r) & (r < F.col("__o_hi"))
+        a = F.max(F.when(holds(low), F.col("__o_x")))
+        b = F.max(F.when(holds(high), F.col("__o_x")))
         frac = F.max(at - low)
         aggs.append((a + (b - a) * frac).alias(name))
     return ranked.groupBy(*ks).agg(*aggs).drop(_KEY)
