@@ -28,7 +28,8 @@ def _gather(long: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Data
     """Channel rows back to arrays; a group has one row per channel."""
     packed = F.array_sort(F.collect_list(F.struct("ch", *values)))
     d = long.groupBy(*keys).agg(packed.alias("_p"))
-    return d.select(*keys, *[F.transform("_p", lambda p, v=v: p[v]).alias(v) for v in values])
+    field = lambda name: lambda p: p[name]  # noqa: E731  (a default argument would be read as the array index)
+    return d.select(*keys, *[F.transform("_p", field(v)).alias(v) for v in values])
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str = "v", skip_zero: bool = True) -> DataFrame:

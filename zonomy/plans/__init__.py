@@ -1,6 +1,8 @@
 """All registered queries; importing the package fills the registry."""
 
 from zonomy.plans.base import QUERIES, Tables
-from zonomy.plans import cleaning, consensus, embeddings, inventory, metrics, rasters, spatial  # noqa: F401
+from zonomy.plans import (  # noqa: F401
+    cleaning, consensus, embeddings, inventory, metrics, rasters, reports, sources, spatial,
+)
 
 __all__ = ["QUERIES", "Tables"]

@@ -170,10 +170,10 @@ def _knn_sql(q: str, r: str, k: int) -> str:
  nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, ref) AS nn FROM d) WHERE nn <= {k})"""
 
 
-@query("knn_pairs", "J1", f"""WITH {_knn_sql("a.split = 'test'", "b.split = 'train'", 20)} SELECT id, ref, round(dist, 7) AS dist, nn::INT AS nn FROM nn""", headline=True)
+@query("knn_pairs", "J1", f"""WITH {_knn_sql("a.split = 'test'", "b.split = 'train'", 20)} SELECT id, ref, dist, nn::INT AS nn FROM nn""", headline=True)
 def knn_pairs(t):
     e = emb(t)
-    return K.knn(e.where("split = 'test'"), e.where("split = 'train'"), 20).withColumn("dist", F.round("dist", 7))
+    return K.knn(e.where("split = 'test'"), e.where("split = 'train'"), 20)
 
 
 @query("knn_vote", "J1", f"""WITH {_knn_sql("a.split = 'test'", "b.split = 'train'", 20)}, c AS (SELECT nn.id, b.label, count(*) AS n FROM nn JOIN embeddings b ON b.vec_id = nn.ref WHERE b.label > 0 GROUP BY ALL)
@@ -286,7 +286,7 @@ def probs(t):
     e = emb(t)
     out = None
     for k, m in enumerate(MODELS):
-        p = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i, k=k: F.exp(8 * F.element_at("v", (i + 5 * k + 1).cast("int"))))
+        p = F.transform(F.slice("v", 5 * k + 1, 17), lambda x: F.exp(8 * x))
         s = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
         d = e.select(F.lit(m).alias("model"), "id", (F.col("label") + 1).alias("label"), F.concat(F.lit("c"), F.col("city").cast("string")).alias("city"),
                      F.when(F.col("id") % 2 == 0, "val").otherwise("test").alias("split"), F.transform(p, lambda x: x / s).alias("probs"))
@@ -306,7 +306,7 @@ def wide(t):
 
 
 @query("subset_ensembles", "L1 F6", f"""WITH {PROBS}, sb(s, size, m) AS (VALUES ('m0', 1, 0), ('m1', 1, 1), ('m2', 1, 2), ('m0+m1', 2, 0), ('m0+m1', 2, 1), ('m0+m2', 2, 0), ('m0+m2', 2, 2), ('m1+m2', 2, 1), ('m1+m2', 2, 2), ('m0+m1+m2', 3, 0), ('m0+m1+m2', 3, 1), ('m0+m1+m2', 3, 2)),
- b AS (SELECT s, size, id, label, k, sum(p) / size AS p FROM pb JOIN sb USING (m) GROUP BY ALL), a AS (SELECT s, size, label, k AS pred, row_number() OVER (PARTITION BY s, id ORDER BY round(p, 12) DESC, k) AS r FROM b), cf AS (SELECT s, size, label, pred, count(*) AS n FROM a WHERE r = 1 GROUP BY ALL), {KAPPA.format(k='s, size')}
+ b AS (SELECT s, size, id, label, k, avg(p) AS p FROM pb JOIN sb USING (m) GROUP BY s, size, id, label, k), a AS (SELECT s, size, label, k AS pred, row_number() OVER (PARTITION BY s, id ORDER BY round(p, 12) DESC, k) AS r FROM b), cf AS (SELECT s, size, label, pred, count(*) AS n FROM a WHERE r = 1 GROUP BY ALL), {KAPPA.format(k='s, size')}
 SELECT s AS subset, size, n, round(oa, 6) AS oa, round(kappa, 6) AS kappa FROM kp""")
 def subset_ensembles(t):
     return rounded(E.subset_scores(wide(t), MODELS).select("subset", "size", "n", "oa", "kappa"))
