@@ -24,9 +24,16 @@ def col(c: Column | str) -> Column:
 
 
 def number_or(c: Column | str, default: float | None = 0.0) -> Column:
-    """Value as double where null, NaN and unparsable text all become ``default``."""
+    """Value as double where null, NaN and unparsable text all become ``default``.
+
+    With a number as default the result is non-nullable for Spark, which keeps the code
+    generated downstream free of null checks.
+    """
     x = col(c).try_cast("double")
-    return F.when(x.isNull() | F.isnan(x), F.lit(default).cast("double")).otherwise(x)
+    if default is None:
+        return F.when(~F.isnan(x), x)
+    d = F.lit(float(default))
+    return F.nanvl(F.coalesce(x, d), d)
 
 
 def known(c: Column | str) -> Column:
@@ -67,3 +74,13 @@ def stable_fraction(key: Column | str, salt: str = "") -> Column:
 def crc_keep(key: Column | str, per_mille: int) -> Column:
     """Joinable subsample: keep a row when crc32 of its key modulo 1000 is below ``per_mille``."""
     return F.crc32(col(key).cast("string")) % 1000 < per_mille
+
+
+def packed_mode(cls: Column | str, n: Column | str) -> Column:
+    """Aggregate: the class with the largest count, lowest class on ties.
+
+    Count and class share one long, so the aggregate keeps a primitive buffer and stays a hash
+    aggregate; classes must lie in 0..255.
+    """
+    top = F.max(col(n).cast("long") * 256 + (255 - col(cls).cast("long")))
+    return (255 - F.pmod(top, F.lit(256))).cast("int")

@@ -71,7 +71,7 @@ NULL_DEFAULT = ("h_mean", "mn_informal_frac", "ghs_built_s")
 
 
 def _x(name: str) -> Column:
-    return F.col(f"_x.{name}")
+    return F.col(f"_x_{name}")
 
 
 def natural_rules(t: Thresholds) -> list[tuple[int, Column, Column]]:
@@ -119,7 +119,8 @@ def classify(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     each generated method stays small: clean inputs, flags, the name of the rule that fires,
     and the label that the rule stands for.
     """
-    clean = F.struct(*[number_or(c).alias(c) for c in ZERO_DEFAULT], *[number_or(c, None).alias(c) for c in NULL_DEFAULT])
+    # plain columns, not one struct: fields of a struct are inlined wherever they are used
+    clean = {f"_x_{c}": number_or(c) for c in ZERO_DEFAULT} | {f"_x_{c}": number_or(c, None) for c in NULL_DEFAULT}
     bsf, built, h = _x("bsf"), _x("ghs_built_s"), _x("h_mean")
     near = F.lit(False)
     for cut in (t.compact_min, t.open_min, t.sparse_min):
@@ -127,7 +128,7 @@ def classify(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     no = lambda c: F.coalesce(c, F.lit(False))
     fp, count = _x("median_footprint_area"), _x("building_count_density")
     natural = natural_rules(t)
-    d = df.withColumn("_x", clean).withColumns({
+    d = df.withColumns(clean).withColumns({
         "_hc": height_class(t),
         "_dc": density_class(t),
         "_near": near,

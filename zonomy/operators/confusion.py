@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from zonomy.functions.common import BUILT, N_CLASSES
+from zonomy.functions.common import BUILT, N_CLASSES, packed_mode
 
 EPS = 1e-12
 
@@ -270,7 +270,7 @@ def majority_vote(df: DataFrame, block: str = "block_id", pred: str = "pred") ->
         .groupBy(block, pred)
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy(block)
-        .agg(F.max_by(pred, F.struct("n", -F.col(pred))).alias(pred), F.sum("n").alias("votes"))
+        .agg(packed_mode(pred, "n").alias(pred), F.sum("n").alias("votes"))
     )
 
 

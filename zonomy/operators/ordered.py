@@ -82,23 +82,32 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: Column, name: s
 def first_n(
     df: DataFrame, keys: Sequence[str], order: Column, n: Column | int, then: Sequence[Column] = ()
 ) -> DataFrame:
-    """Rows with the n smallest ``order`` values per group; ``n`` may be a column of the row."""
-    limit = F.lit(n) if isinstance(n, int) else n
-    return with_rank(df, keys, order, then, name="__o_rank").where(F.col("__o_rank") <= limit).drop("__o_rank")
+    """Rows with the n smallest ``order`` values per group; ``n`` may be a column of the row.
+
+    For a constant n Spark cuts every task's part of a group to n rows before the shuffle, so
+    a plain window is safe for groups of any size.
+    """
+    if isinstance(n, int):
+        w = Window.partitionBy(*keys).orderBy(order.asc_nulls_last(), *then)
+        return df.withColumn("__o_rank", F.row_number().over(w)).where(F.col("__o_rank") <= n).drop("__o_rank")
+    return with_rank(df, keys, order, then, name="__o_rank").where(F.col("__o_rank") <= n).drop("__o_rank")
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], ranges: int = RANGES
+    df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], ranges: int = RANGES,
+    count: Column | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per entry of ``probs``; nulls and NaN ignored.
 
-    Values are counted first, so repeated values never travel; only ranges that hold a
-    wanted rank are ordered.
+    Values are counted first, so repeated values never travel; ``count`` says how often a row
+    counts when the input is already counted. All three uses of the counted table keep the same
+    columns, so Spark reuses one shuffle for them.
     """
     d, ks = _group_keys(df.withColumn("__o_x", value.cast("double")), keys)
     d = d.where(F.col("__o_x").isNotNull() & ~F.isnan("__o_x"))
-    counts = d.groupBy(*ks, "__o_x").agg(F.count(F.lit(1)).alias("__o_c"))
-    parts = with_offsets(with_ranges(counts, ks, F.col("__o_x"), ranges), ks, F.col("__o_c"))
+    n = F.count(F.lit(1)) if count is None else F.sum(count)
+    counts = d.groupBy(*ks, "__o_x").agg(n.cast("long").alias("__o_c"))
+    parts = with_offsets(with_ranges(counts, ks, F.when(F.col("__o_c") > 0, F.col("__o_x")), ranges), ks, F.col("__o_c"))
     w = Window.partitionBy(*ks, "__o_r").orderBy("__o_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hi = F.col("__o_before") + F.sum("__o_c").over(w)
     ranked = parts.withColumn("__o_hi", hi).withColumn("__o_lo", F.col("__o_hi") - F.col("__o_c"))

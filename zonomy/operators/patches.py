@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from zonomy.functions import geometry as G
-from zonomy.functions.common import stable_fraction
+from zonomy.functions.common import packed_mode, stable_fraction
 from zonomy.operators.spatial import box_join
 
 
@@ -181,7 +181,7 @@ def region_patches(pixels: DataFrame, side_px: int, min_dominant: float = 0.75,
     win = pixels.where(F.col("class") > 0).groupBy("aoi", gy, gx, "class").agg(
         F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("c"))
     stats = win.groupBy("aoi", "gy", "gx").agg(
-        F.sum("n").alias("labelled"), F.max("n").alias("top"), F.max_by("class", F.struct("n", -F.col("class"))).alias("class"),
+        F.sum("n").alias("labelled"), F.max("n").alias("top"), packed_mode("class", "n").alias("class"),
         (F.sum("c") / F.sum("n")).alias("weight"))
     d = stats.join(picked, ["aoi", "gy", "gx"], "left_semi")
     d = d.withColumns({"labelled_frac": F.col("labelled") / float(side_px**2), "dominant_frac": F.col("top") / F.col("labelled")})

@@ -15,14 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from zonomy.functions import geometry as G
-from zonomy.functions.common import N_CLASSES
+from zonomy.functions.common import N_CLASSES, packed_mode
 from zonomy.operators.graph import pixel_regions
 
 Grid = Sequence[str]
 
 
-def _tie_low(value: str, n: str = "n") -> Column:
-    return F.max_by(value, F.struct(n, -F.col(value)))
 
 
 # ── burning shapes ───────────────────────────────────────────────────────────
@@ -163,7 +161,7 @@ def majority_pool(pixels: DataFrame, grid: Grid, factor: int, value: str = "clas
                   width: int | None = None) -> DataFrame:
     """Most frequent value per block, lowest on ties; ragged edge blocks are dropped when the size is known."""
     c = pixels.where(_inside(factor, height, width)).groupBy(*grid, *block_key(factor), value).agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy(*grid, "brow", "bcol").agg(_tie_low(value).alias(value), F.sum("n").alias("n_valid"))
+    return c.groupBy(*grid, "brow", "bcol").agg(packed_mode(value, "n").alias(value), F.sum("n").alias("n_valid"))
 
 
 def mean_pool(pixels: DataFrame, grid: Grid, factor: int, value: str = "value", height: int | None = None,
@@ -316,7 +314,7 @@ def seam_fill(pixels: DataFrame, grid: Grid, height: int, width: int, value: str
     """Absent pixels with enough of their eight neighbours present take the most frequent of them (lowest on ties)."""
     d = _gap_candidates(pixels, pixels, grid, 1, height, width, [value], eight=True)
     c = d.groupBy(*grid, "row", "col", value).agg(F.count(F.lit(1)).alias("n"))
-    f = c.groupBy(*grid, "row", "col").agg(F.sum("n").alias("_t"), _tie_low(value).alias(value)).where(F.col("_t") >= min_neighbours)
+    f = c.groupBy(*grid, "row", "col").agg(F.sum("n").alias("_t"), packed_mode(value, "n").alias(value)).where(F.col("_t") >= min_neighbours)
     return pixels.select(*grid, "row", "col", value).unionByName(f.drop("_t"))
 
 
@@ -475,7 +473,7 @@ def window_stats(pixels: DataFrame, candidates: DataFrame, grid: Grid, key: str,
     m = times("row", "_row", height) * times("col", "_col", width)
     per = c.withColumn("_m", m).groupBy(key, value).agg(F.sum("_m").alias("n"), F.sum(F.col(prob) * F.col("_m")).alias("_p"))
     return per.groupBy(key).agg(
-        F.sum("n").alias("n_valid"), _tie_low(value).alias(value), (F.max("n") / F.sum("n")).alias("purity"),
+        F.sum("n").alias("n_valid"), packed_mode(value, "n").alias(value), (F.max("n") / F.sum("n")).alias("purity"),
         (F.sum("_p") / F.sum("n")).alias("mean_prob"))
 
 

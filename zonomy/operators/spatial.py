@@ -18,6 +18,7 @@ from zonomy.functions import geometry as G
 HOT_CELLS = 10_000  # at most this many cells are cut finer, so the list can be broadcast
 HOT_ROWS = 50_000
 MAX_CUT = 64
+MAX_SALTS = 32
 
 
 def _span(low: Column, high: Column, cell: float) -> Column:
@@ -30,20 +31,29 @@ def with_cells(df: DataFrame, b: Column, cell: float) -> DataFrame:
         "_cy", F.explode(_span(b["miny"], b["maxy"], cell)))
 
 
-def hot_cells(cells: DataFrame, limit: int = HOT_ROWS, top: int = HOT_CELLS) -> DataFrame:
-    """The densest cells and how many parts per side to cut them into (a power of two)."""
-    cut = F.least(F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(F.col("_n") / limit)) + 0.5)), F.lit(float(MAX_CUT)))
-    return (
+def hot_cells(cells: DataFrame, limit: int = HOT_ROWS, top: int = HOT_CELLS) -> DataFrame | None:
+    """The densest cells, how many parts per side to cut them into (a power of two), and over how
+    many salts to spread what lies on one spot. None when no cell is dense, so that the usual
+    join pays only for the count."""
+    over = F.col("_n") / limit
+    cut = F.least(F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(over)) + 0.5)), F.lit(float(MAX_CUT)))
+    found = (
         cells.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > limit)
         .orderBy(F.desc("_n"))
         .limit(top)
-        .select("_cx", "_cy", cut.cast("long").alias("_cut"))
+        .select("_cx", "_cy", cut.cast("long").alias("_cut"), F.least(F.ceil(over), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
+        .collect()  # at most ``top`` rows
     )
+    if not found:
+        return None
+    return cells.sparkSession.createDataFrame(found, "_cx long, _cy long, _cut long, _salts int")
 
 
-def _cut_cells(df: DataFrame, b: Column, cell: float, hot: DataFrame) -> DataFrame:
-    d = df.join(F.broadcast(hot), ["_cx", "_cy"], "left").withColumn("_cut", F.coalesce("_cut", F.lit(1).cast("long")))
+def _cut_cells(df: DataFrame, b: Column, cell: float, hot: DataFrame, copies: bool) -> DataFrame:
+    """Replace hot cells by finer ones. The left side is copied to every salt, the right side takes one."""
+    d = df.join(F.broadcast(hot), ["_cx", "_cy"], "left").withColumns({
+        "_cut": F.coalesce("_cut", F.lit(1).cast("long")), "_salts": F.coalesce("_salts", F.lit(1))})
     fine = F.lit(float(cell)) / F.col("_cut")
 
     def part(low: Column, high: Column, c: Column) -> Column:
@@ -51,19 +61,23 @@ def _cut_cells(df: DataFrame, b: Column, cell: float, hot: DataFrame) -> DataFra
         last = F.least(F.floor(high / fine), (c + 1) * F.col("_cut") - 1)
         return F.when(F.col("_cut") > 1, F.sequence(first, last)).otherwise(F.array(c))
 
-    return d.withColumn("_fx", F.explode(part(b["minx"], b["maxx"], F.col("_cx")))).withColumn(
+    d = d.withColumn("_fx", F.explode(part(b["minx"], b["maxx"], F.col("_cx")))).withColumn(
         "_fy", F.explode(part(b["miny"], b["maxy"], F.col("_cy"))))
+    every = F.sequence(F.lit(0), F.col("_salts") - 1)
+    own = F.array(F.pmod(F.xxhash64(*df.columns), F.col("_salts")).cast("int"))
+    return d.withColumn("_salt", F.explode(every if copies else own)).drop("_salts")
 
 
 def box_join(
     left: DataFrame, right: DataFrame, cell: float, lbox: str = "lbox", rbox: str = "rbox",
-    touching: bool = False, condition: Column | None = None, split_hot: bool = False, hot_rows: int = HOT_ROWS,
+    touching: bool = False, condition: Column | None = None, split_hot: bool = True, hot_rows: int = HOT_ROWS,
     margin: float = 0.0,
 ) -> DataFrame:
     """Pairs of boxes with positive shared area (or sharing at least a point when ``touching``).
 
     ``margin`` grows the left boxes, for distance joins; the columns of both sides must
-    have distinct names.
+    have distinct names. With ``split_hot`` the cells of the right side are counted first, and
+    those with more than ``hot_rows`` rows are cut finer and salted.
     """
     grown = G.expand(F.col(lbox), margin) if margin else F.col(lbox)
     a = with_cells(left.withColumn("_ga", grown), F.col("_ga"), cell)
@@ -71,11 +85,11 @@ def box_join(
     keys = ["_cx", "_cy"]
     x, y = F.greatest(F.col("_ga.minx"), F.col(f"{rbox}.minx")), F.greatest(F.col("_ga.miny"), F.col(f"{rbox}.miny"))
     home = (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy"))
-    if split_hot:
-        hot = hot_cells(b, hot_rows)
-        a = _cut_cells(a, F.col("_ga"), cell, hot)
-        b = _cut_cells(b, F.col(rbox), cell, hot).drop("_cut")
-        keys = ["_cx", "_cy", "_fx", "_fy"]
+    hot = hot_cells(with_cells(right.select(rbox), F.col(rbox), cell), hot_rows) if split_hot else None
+    if hot is not None:
+        a = _cut_cells(a, F.col("_ga"), cell, hot, copies=True)
+        b = _cut_cells(b, F.col(rbox), cell, hot, copies=False).drop("_cut")
+        keys = ["_cx", "_cy", "_fx", "_fy", "_salt"]
         fine = F.lit(float(cell)) / F.col("_cut")
         home = home & (
             (F.col("_cut") == 1) | ((F.floor(x / fine) == F.col("_fx")) & (F.floor(y / fine) == F.col("_fy"))))
@@ -84,7 +98,7 @@ def box_join(
     j = j.where(test(F.col("_ga"), F.col(rbox)))
     if condition is not None:
         j = j.where(condition)
-    return j.drop("_cx", "_cy", "_fx", "_fy", "_cut", "_ga")
+    return j.drop("_cx", "_cy", "_fx", "_fy", "_salt", "_cut", "_ga")
 
 
 def point_join(
@@ -117,21 +131,19 @@ def pick_container(
 
 def covered_area(
     zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, strip: float = 1.0, zbox: str = "lbox",
-    sbox: str = "rbox", keys: tuple[str, ...] = (), split_hot: bool = False,
+    sbox: str = "rbox", keys: tuple[str, ...] = (), split_hot: bool = True,
 ) -> DataFrame:
     """Area of each zone under the union of the shapes, by horizontal strips.
 
-    Exact when y coordinates are multiples of ``strip``. Overlaps inside a strip are merged
-    by running maxima over its intervals; equal left ends collapse first, so a strip holds at
-    most one interval per distinct left end.
+    Exact when y coordinates are multiples of ``strip``. Equal clipped shapes collapse before
+    they are cut; overlaps inside a strip are merged by running maxima over its intervals.
     """
     pairs = box_join(zones.select(zone_id, zbox), shapes, cell, zbox, sbox, split_hot=split_hot)
     part = G.intersection(F.col(zbox), F.col(sbox))
     s = pairs.select(zone_id, *keys, part.alias("_p")).select(
         zone_id, *keys, F.col("_p.minx").alias("_x0"), F.col("_p.maxx").alias("_x1"),
-        F.explode(F.sequence(F.floor(F.col("_p.miny") / strip), F.ceil(F.col("_p.maxy") / strip) - 1)).alias("_s"),
-    )
-    s = s.groupBy(zone_id, *keys, "_s", "_x0").agg(F.max("_x1").alias("_x1"))
+        F.floor(F.col("_p.miny") / strip).alias("_s0"), (F.ceil(F.col("_p.maxy") / strip) - 1).alias("_s1")).distinct()
+    s = s.withColumn("_s", F.explode(F.sequence("_s0", "_s1")))
     w = Window.partitionBy(zone_id, *keys, "_s").orderBy("_x0").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max("_x1").over(w), F.col("_x0"))
     fresh = F.greatest(F.col("_x1") - F.greatest(F.col("_x0"), seen), F.lit(0.0))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from zonomy.functions import geometry as G
 from zonomy.operators.ordered import exact_quantiles
-from zonomy.operators.spatial import box_join, covered_area, hit_counts
+from zonomy.operators.spatial import box_join, covered_area
+from zonomy.session import cut_lineage
 
 # Cover classes of each fraction.
 COVER_GROUPS = {
@@ -33,31 +34,33 @@ def building_stats(zones: DataFrame, buildings: DataFrame, cell: float, zone_id:
     is_trusted, is_google. The median footprint is taken over the dominant open source when
     it holds at least half of the buildings.
     """
-    # one clip of every building against every zone it overlaps
-    a = F.col("_a")
+    # One clip of every building against every zone it overlaps, summed by (zone, footprint,
+    # source). All figures, the median included, come from this table, which is written once.
+    a, fp = F.col("_a"), F.col("footprint_area_m2")
     pairs = box_join(zones.select(zone_id, "lbox"), buildings, cell).withColumn(
         "_a", G.shared_area(F.col("lbox"), F.col("rbox"))).withColumn("_za", G.area(F.col("lbox")))
     has_h = F.col("height_m").isNotNull() & ~F.isnan("height_m")
-    share = lambda flag: F.sum(F.when(flag, a).otherwise(0.0)) / F.sum(a)
-    fp = F.col("footprint_area_m2")
-    stats = pairs.groupBy(zone_id).agg(
-        (F.sum(a) / F.first("_za")).alias("bsf"),
-        F.count(F.lit(1)).alias("n_buildings"),
-        F.avg(F.col("is_google").cast("double")).alias("f_google_source"),
-        F.avg(fp).alias("mean_footprint_area"),
-        F.when(F.avg(fp) > 0, F.stddev_pop(fp) / F.avg(fp)).otherwise(0.0).alias("footprint_area_cv"),
-        (F.count(F.lit(1)) / (F.first("_za") / 1e6)).alias("building_count_density"),
-        (F.sum(F.when(has_h, a * F.col("height_m"))) / F.sum(F.when(has_h, a))).alias("h_mean"),
-        F.max(F.when(has_h, F.col("height_m"))).alias("h_max"),
-        share(F.col("height_tier").isin("explicit", "levels")).alias("height_evidence_frac"),
-        share(F.col("height_tier") == "none").alias("height_none_frac"),
-        share(F.col("is_large")).alias("large_lowrise_frac"),
-        F.count_if("is_tower").alias("n_tower"),
-        share(~F.col("is_trusted")).alias("built_area_ml_frac"),
-    )
+    part = lambda flag: F.sum(F.when(flag, a).otherwise(0.0))
+    base = cut_lineage(pairs.groupBy(zone_id, fp.alias("_fp"), "is_google").agg(
+        F.first("_za").alias("_za"), F.count(F.lit(1)).alias("_n"), F.sum(a).alias("_a"),
+        F.sum(F.when(has_h, a * F.col("height_m"))).alias("_ah"), F.sum(F.when(has_h, a)).alias("_aw"),
+        F.max(F.when(has_h, F.col("height_m"))).alias("_hx"), part(F.col("height_tier").isin("explicit", "levels")).alias("_ev"),
+        part(F.col("height_tier") == "none").alias("_no"), part(F.col("is_large")).alias("_la"),
+        F.count_if("is_tower").alias("_tw"), part(~F.col("is_trusted")).alias("_ml")))
+    n, area = F.sum("_n"), F.sum("_a")
+    mean = F.sum(F.col("_fp") * F.col("_n")) / n
+    spread = F.sqrt(F.greatest(F.sum(F.col("_fp") * F.col("_fp") * F.col("_n")) / n - mean * mean, F.lit(0.0)))
+    stats = base.groupBy(zone_id).agg(
+        (area / F.first("_za")).alias("bsf"), n.alias("n_buildings"),
+        (F.sum(F.when(F.col("is_google"), F.col("_n")).otherwise(0)) / n).alias("f_google_source"),
+        mean.alias("mean_footprint_area"), F.when(mean > 0, spread / mean).otherwise(0.0).alias("footprint_area_cv"),
+        (n / (F.first("_za") / 1e6)).alias("building_count_density"), (F.sum("_ah") / F.sum("_aw")).alias("h_mean"),
+        F.max("_hx").alias("h_max"), (F.sum("_ev") / area).alias("height_evidence_frac"),
+        (F.sum("_no") / area).alias("height_none_frac"), (F.sum("_la") / area).alias("large_lowrise_frac"),
+        F.sum("_tw").alias("n_tower"), (F.sum("_ml") / area).alias("built_area_ml_frac"))
     source = stats.select(zone_id, (F.col("f_google_source") >= 0.5).alias("_g"))
-    used = pairs.select(zone_id, fp.alias("_fp"), "is_google").join(source, zone_id).where(~F.col("_g") | F.col("is_google"))
-    medians = exact_quantiles(used, [zone_id], F.col("_fp"), {"median_footprint_area": 0.5})
+    used = base.select(zone_id, "_fp", "is_google", "_n").join(source, zone_id).where(~F.col("_g") | F.col("is_google"))
+    medians = exact_quantiles(used, [zone_id], F.col("_fp"), {"median_footprint_area": 0.5}, count=F.col("_n"))
     out = zones.select(zone_id).join(stats, zone_id, "left").join(medians, zone_id, "left")
     zero = [c for c in stats.columns if c not in (zone_id, "h_mean", "h_max", "footprint_area_cv")]
     return out.fillna(0, subset=zero)
@@ -94,8 +97,15 @@ def cover_fractions(
     strip: float = 1.0,
 ) -> DataFrame:
     """One union-area share per cover group, from a single join: the group is part of the key."""
-    tags = F.filter(F.array(*[F.when(F.col("class").isin(*v), F.lit(g)) for g, v in groups.items()]), lambda g: g.isNotNull())
-    tagged = cover.select("rbox", F.explode(tags).alias("_g"))
+    all_classes = [c for v in groups.values() for c in v]
+    if len(all_classes) == len(set(all_classes)):
+        tag = F.lit(None)
+        for g, v in groups.items():
+            tag = F.when(F.col("class").isin(*v), F.lit(g)).otherwise(tag)
+        tagged = cover.select("rbox", tag.alias("_g")).where(F.col("_g").isNotNull())
+    else:  # a class in several groups: one row per group
+        tags = F.array(*[F.when(F.col("class").isin(*v), F.lit(g)) for g, v in groups.items()])
+        tagged = cover.select("rbox", F.explode(tags).alias("_g")).where(F.col("_g").isNotNull())
     c = covered_area(zones, tagged, cell, zone_id, strip, keys=("_g",))
     wide = c.groupBy(zone_id).agg(*[F.max(F.when(F.col("_g") == g, F.col("covered"))).alias(g) for g in groups])
     d = zones.join(wide, zone_id, "left")
@@ -159,12 +169,16 @@ def zonal_stats(
 ) -> DataFrame:
     """Mean, deviation, exact p90, maximum and share above a threshold of the pixels per zone; null without pixels."""
     hit = zonal_pixels(zones, pixels.where(~F.isnan(F.col(value).cast("double"))), res, zone_id)
-    aggs = [F.count(F.lit(1)).alias("n_pixels"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-            F.max(value).alias("max")]
+    # counted values serve the moments and the quantile alike
+    base = hit.groupBy(zone_id, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    v, n = F.col("_v"), F.col("_n")
+    mean = F.sum(v * n) / F.sum(n)
+    aggs = [F.sum(n).alias("n_pixels"), mean.alias("mean"), F.max(v).alias("max"),
+            F.sqrt(F.greatest(F.sum(v * v * n) / F.sum(n) - mean * mean, F.lit(0.0))).alias("std")]
     if threshold is not None:
-        aggs.append(F.avg((F.col(value) > threshold).cast("double")).alias("share_above"))
-    s = hit.groupBy(zone_id).agg(*aggs)
-    q = exact_quantiles(hit, [zone_id], F.col(value), {"p90": 0.9})
+        aggs.append((F.sum(F.when(v > threshold, n).otherwise(0)) / F.sum(n)).alias("share_above"))
+    s = base.groupBy(zone_id).agg(*aggs)
+    q = exact_quantiles(base, [zone_id], v, {"p90": 0.9}, count=n)
     return zones.select(zone_id).join(s, zone_id, "left").join(q, zone_id, "left")
 
 

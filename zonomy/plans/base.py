@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonomy.session import prepare
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -40,6 +42,9 @@ class Tables:
     folder: str
     _seen: dict[str, DataFrame] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        prepare(self.spark)
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._seen:
             if name in VIEWS:

@@ -191,22 +191,22 @@ def building_height_tiers(t):
 # zonal parameter rows: shares on a 1/20 lattice so that every threshold side is visited
 view("zonal_rows", """
 SELECT l_orderkey AS orderkey, l_linenumber AS linenumber, l_partkey AS partkey, l_suppkey AS suppkey,
-  CASE WHEN l_orderkey % 3 = 0 THEN (l_partkey % 5) / 100.0 ELSE (l_partkey % 97) / 100.0 END AS bsf,
-  CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE (l_orderkey % 37) * 1.0 END AS h_mean,
-  (l_orderkey % 41) * 1.5 AS h_max, l_linenumber % 5 AS n_tower,
-  CASE WHEN l_suppkey % 2 = 0 THEN 1.0 ELSE (l_orderkey % 11) / 10.0 END AS height_evidence_frac,
-  CASE WHEN l_suppkey % 5 = 0 THEN (l_orderkey % 13) / 12.0 ELSE 0.0 END AS height_none_frac,
-  (l_partkey % 23) * 60.0 AS mean_footprint_area, CASE WHEN l_partkey % 9 > 0 THEN (l_partkey % 31) * 8.0 END AS median_footprint_area,
-  (l_orderkey % 17) / 10.0 AS footprint_area_cv, (l_orderkey % 19) * 600.0 AS building_count_density, (l_partkey % 7) / 6.0 AS f_google_source,
-  (l_suppkey % 9) / 8.0 AS large_lowrise_frac, CASE WHEN l_partkey % 6 = 0 THEN 1.0 ELSE 0.5 END AS built_area_ml_frac,
-  CASE WHEN l_orderkey % 10 = 0 THEN 0.8 ELSE 0.0 END AS f_water, CASE WHEN l_orderkey % 10 IN (1, 2) THEN (l_suppkey % 11) / 10.0 ELSE 0.1 END AS f_trees,
-  CASE WHEN l_orderkey % 10 IN (2, 3, 4) THEN (l_partkey % 11) / 10.0 ELSE 0.3 END AS f_lowplants,
+  CASE WHEN l_orderkey % 3 = 0 THEN (l_partkey % 5) / 100 ELSE (l_partkey % 97) / 100 END AS bsf,
+  CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE CAST(l_orderkey % 37 AS DOUBLE) END AS h_mean,
+  CAST((l_orderkey % 41) * 3 AS DOUBLE) / 2 AS h_max, l_linenumber % 5 AS n_tower,
+  CASE WHEN l_suppkey % 2 = 0 THEN 1.0 ELSE (l_orderkey % 11) / 10 END AS height_evidence_frac,
+  CASE WHEN l_suppkey % 5 = 0 THEN (l_orderkey % 13) / 12 ELSE 0.0 END AS height_none_frac,
+  CAST((l_partkey % 23) * 60 AS DOUBLE) AS mean_footprint_area, CASE WHEN l_partkey % 9 > 0 THEN CAST((l_partkey % 31) * 8 AS DOUBLE) END AS median_footprint_area,
+  (l_orderkey % 17) / 10 AS footprint_area_cv, CAST((l_orderkey % 19) * 600 AS DOUBLE) AS building_count_density, (l_partkey % 7) / 6 AS f_google_source,
+  (l_suppkey % 9) / 8 AS large_lowrise_frac, CASE WHEN l_partkey % 6 = 0 THEN 1.0 ELSE 0.5 END AS built_area_ml_frac,
+  CASE WHEN l_orderkey % 10 = 0 THEN 0.8 ELSE 0.0 END AS f_water, CASE WHEN l_orderkey % 10 IN (1, 2) THEN (l_suppkey % 11) / 10 ELSE 0.1 END AS f_trees,
+  CASE WHEN l_orderkey % 10 IN (2, 3, 4) THEN (l_partkey % 11) / 10 ELSE 0.3 END AS f_lowplants,
   CASE WHEN l_orderkey % 10 = 5 THEN 0.65 ELSE 0.0 END AS f_shrub, CASE WHEN l_orderkey % 10 = 6 THEN 0.6 ELSE 0.0 END AS f_sand,
   CASE WHEN l_orderkey % 10 = 7 THEN 0.7 ELSE 0.0 END AS f_bare_rock, CASE WHEN l_orderkey % 10 = 8 THEN 0.66 END AS f_paved_infra,
   CASE WHEN l_suppkey % 6 = 1 THEN 0.6 ELSE 0.1 END AS f_industrial_lu, l_linenumber % 2 AS n_heavy_industry_poi,
-  (l_orderkey % 12) * 1.0 AS road_length_density, (l_orderkey % 29) * 12.0 AS buildings_per_road_km,
-  CASE WHEN l_suppkey % 7 = 0 THEN (l_orderkey % 3) / 2.0 END AS mn_informal_frac,
-  CASE WHEN l_suppkey % 10 = 0 THEN NULL ELSE (l_linenumber - 1) * 0.03 END AS ghs_built_s
+  CAST((l_orderkey % 12) * 1 AS DOUBLE) AS road_length_density, CAST((l_orderkey % 29) * 12 AS DOUBLE) AS buildings_per_road_km,
+  CASE WHEN l_suppkey % 7 = 0 THEN (l_orderkey % 3) / 2 END AS mn_informal_frac,
+  CASE WHEN l_suppkey % 10 = 0 THEN NULL ELSE (l_linenumber - 1) * 3 / 100 END AS ghs_built_s
 FROM {lineitem}
 """)
 

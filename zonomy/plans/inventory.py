@@ -21,10 +21,8 @@ SELECT family, dataset, patch_id, h, w, n_invalid, h * w AS n_pixels, n_invalid
     CASE l_returnflag WHEN 'A' THEN 'training' WHEN 'N' THEN 'validation' ELSE 'testing' END AS dataset,
     l_partkey AS patch_id, max(l_quantity) AS mq, count(*) AS n FROM {lineitem} GROUP BY 1, 2, 3) x) y
 """)
-view("reference_patches", """
-SELECT dataset, p_partkey AS patch_id, 'city' || CAST(p_partkey % 20 AS STRING) AS city, CAST(1 + p_partkey % 17 AS INT) AS lcz, p_size, p_retailprice
-FROM {part} CROSS JOIN (SELECT 'training' AS dataset UNION ALL SELECT 'validation' UNION ALL SELECT 'testing' UNION ALL SELECT 'unlabeled') d
-""")
+_REF = "SELECT '{d}' AS dataset, p_partkey AS patch_id, 'city' || CAST(p_partkey % 20 AS STRING) AS city, CAST(1 + p_partkey % 17 AS INT) AS lcz, p_size, p_retailprice FROM {{part}}"
+view("reference_patches", " UNION ALL ".join(_REF.format(d=d) for d in ("training", "validation", "testing", "unlabeled")))
 
 NATIVE = """md AS (SELECT family, median((h * w)::DOUBLE) AS ea FROM scan WHERE dataset = 'training' GROUP BY family),
  nt AS (SELECT scan.*, h * w / ea AS nf, coalesce(invalid_frac <= 0.25::DOUBLE AND h * w / ea >= 0.5::DOUBLE, false) AS ok FROM scan LEFT JOIN md USING (family))"""

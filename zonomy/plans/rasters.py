@@ -290,9 +290,9 @@ SELECT p_partkey AS block_id, CASE WHEN p_size % 9 = 0 THEN NULL ELSE 'h' || CAS
   CAST(20000 + p_size * 1000 AS DOUBLE) AS area_m2, CAST(p_size % 17 AS DOUBLE) AS thin_m, CAST(CASE WHEN p_size % 9 = 0 THEN 0 ELSE 1 + floor(p_partkey / 5) % 4 END AS INT) AS pred FROM {part}
 """)
 view("block_graph_edges", """
-SELECT a.p_partkey AS block_a, b.p_partkey AS block_b, CAST(10 + (a.p_partkey * 7 + b.p_partkey * 3) % 50 AS DOUBLE) AS shared_len_m
-FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1 OR b.p_partkey = a.p_partkey + 20
-WHERE (b.p_partkey = a.p_partkey + 1 AND a.p_partkey % 20 < 19) OR b.p_partkey = a.p_partkey + 20
+SELECT block_a, block_b, CAST(10 + (block_a * 7 + block_b * 3) % 50 AS DOUBLE) AS shared_len_m FROM (
+  SELECT a.p_partkey AS block_a, b.p_partkey AS block_b FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 20 < 19
+  UNION ALL SELECT a.p_partkey, b.p_partkey FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 20) e
 """)
 
 

@@ -75,7 +75,7 @@ def tile_footprints(t):
 
 @query("local_tiles", "A10 F4", """SELECT c_custkey AS k, 'tiles/t' || c_custkey || '.tif' AS local, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS present FROM customer WHERE 2015 + c_nationkey % 4 = 2017""")
 def local_tiles(t):
-    idx = t["customer"].select(F.col("c_custkey").alias("k"), F.concat(F.lit("s3://bucket/a/t"), F.col("c_custkey").cast("string"), F.lit(".tif")).alias("url"), (2015 + F.col("c_nationkey") % 4).alias("year"))
+    idx = t["customer"].select(F.col("c_custkey").alias("k"), F.concat(F.lit("remote/a/t"), F.col("c_custkey").cast("string"), F.lit(".tif")).alias("url"), (2015 + F.col("c_nationkey") % 4).alias("year"))
     files = t["orders"].where("o_orderstatus = 'F'").select(F.concat(F.lit("tiles/t"), F.col("o_custkey").cast("string"), F.lit(".tif")).alias("path")).distinct()
     return S.local_tiles(idx, files, 2017, "tiles/").select("k", "local", "present")
 

@@ -23,7 +23,24 @@ def build_session(master: str | None = None, app: str = "zonomy", **conf: str) -
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
+
+
+# Settings that the plans gain from and that a session may leave open. Methods above 8000 bytes of
+# code are not compiled by the JVM, so a larger fused stage is better split; skewed joins are
+# worth an extra shuffle.
+PREFERRED = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the preferred settings that the session has not set itself."""
+    for key, value in PREFERRED.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

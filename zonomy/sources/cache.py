@@ -68,7 +68,7 @@ def write_manifest(df: DataFrame, path: str) -> dict:
 
 def pack(df: DataFrame, path: str, partition: str, rows_per_file: int) -> None:
     """Few files of bounded size per partition value; a large partition is spread over many tasks."""
-    share = F.floor(F.rand(7) * 8)
+    share = F.pmod(F.xxhash64(*df.columns), F.lit(8))
     df.repartition(partition, share).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(partition).parquet(path)
 
 
