@@ -139,7 +139,7 @@ def recovery_counts(t):
 
 
 @query("truncation_by_zones", "D39 C26", """WITH p AS (SELECT patch_id, count(DISTINCT dataset) AS nz, bool_or(h < 30 OR w < 30) AS tr FROM {scan} WHERE family = 'fa' GROUP BY patch_id), a AS (SELECT count(*) FILTER (nz > 1) AS n_multi, count(*) FILTER (nz <= 1) AS n_single, avg(tr::INT) FILTER (nz > 1) AS rm, avg(tr::INT) FILTER (nz <= 1) AS rs FROM p)
-SELECT n_multi, n_single, round(rm, 6) AS rate_multi, round(rs, 6) AS rate_single, round(rm / rs, 6) AS ratio FROM a""")
+SELECT n_multi, n_single, round(rm, 6) AS rate_multi, round(rs, 6) AS rate_single, round(rm / nullif(rs, 0), 6) AS ratio FROM a""")
 def truncation_by_zones(t):
     p = t["scan"].where("family = 'fa'").groupBy("patch_id").agg(
         F.countDistinct("dataset").alias("n_zones"), F.max((F.col("h") < 30) | (F.col("w") < 30)).alias("truncated"))
