@@ -322,3 +322,28 @@ def tag_rules(rows: Sequence[tuple[str, str, int, float | None]], order: Sequenc
     hit = F.try_element_at(table, F.concat(F.col("key"), F.lit("="), F.col("value")))
     rank = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i))])
     return hit["c"], hit["b"], F.try_element_at(rank, hit["c"])
+
+
+def ladder(scores: DataFrame, order: str, metrics: Sequence[str]) -> DataFrame:
+    """One row per rung in order: its figures and their change against the rung before."""
+    w = Window.orderBy(order)  # one row per rung
+    return scores.select(order, *metrics, *[(F.col(m) - F.lag(m).over(w)).alias(f"d_{m}") for m in metrics])
+
+
+def markdown(df: DataFrame, max_rows: int = 200) -> str:
+    """A small report table as text."""
+    rows = df.limit(max_rows).collect()
+    show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    lines = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in rows]]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
+def union_checked(parts: dict[str, DataFrame], key: str, tag: str = "part") -> DataFrame:
+    """Frames of several areas or arms as one table; a key that occurs twice is an error."""
+    from zonomy.operators.splits import require_unique
+
+    out = None
+    for name, d in parts.items():
+        one = d.withColumn(tag, F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return require_unique(out, [key])

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from zonomy.functions.common import N_CLASSES, clip, stable_fraction
 from zonomy.operators.ordered import exact_quantiles
+from zonomy.session import broadcast_if_small, cut_lineage
+
+MAX_AREAS = 100_000
 
 
 @dataclass(frozen=True)
@@ -69,7 +72,9 @@ def decide(acc: DataFrame, aoi: Sequence[str] = ("aoi",), rules: ConsensusRules
     The ranking is over 17 numbers that already sit in one row, so it is an array
     expression and needs no window.
     """
-    return _decide(acc.join(class_prior(acc, aoi), list(aoi)), rules, keep_rejected)
+    acc = cut_lineage(acc)  # read twice: for the area priors and for the pixels
+    prior = broadcast_if_small(class_prior(acc, aoi), MAX_AREAS)
+    return _decide(acc.join(prior, list(aoi)), rules, keep_rejected)
 
 
 _WORK = ("w1", "w2", "s", "prior", "mean_w")

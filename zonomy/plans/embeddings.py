@@ -10,6 +10,7 @@ from zonomy.operators import models as ML
 from zonomy.operators import neighbours as K
 from zonomy.operators import vectors as X
 from zonomy.operators.confusion import confusion_counts, summary_scores
+from zonomy.operators.pixels import mosaic_vectors
 from zonomy.plans.base import query
 from zonomy.plans.metrics import rounded
 
@@ -400,3 +401,12 @@ SELECT id FROM a, q WHERE split = 'test' AND pw >= c AND (id % 4 <> 1 OR top = l
 def teacher_veto(t):
     p = probs(t).where("model = 'm1'").withColumn("relaxed", F.col("id") % 4 == 1)
     return E.teacher_veto(p.where("split = 'test'"), p.where("split = 'val'"), 0.4, "relaxed").select("id")
+
+
+@query("vector_mosaic", "H24 A11", f"""WITH {LONG}, p AS (SELECT id, id % 30 AS row, (id // 7) % 10 AS col, label AS rank, CASE WHEN id % 6 = 0 THEN 0 ELSE x END AS x FROM l), z AS (SELECT id, row, col, rank, sum(x * x) AS q, sum(x) AS s FROM p GROUP BY ALL)
+SELECT row, col, rank, round(s, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY rank DESC, id DESC) AS r FROM z WHERE q > 0) WHERE r = 1""")
+def vector_mosaic(t):
+    v = F.when(F.col("id") % 6 == 0, F.array_repeat(F.lit(0.0), 64)).otherwise(F.col("v"))
+    e = emb(t).select((F.col("id") % 30).alias("row"), (F.floor(F.col("id") / 7) % 10).alias("col"), F.struct("label", "id").alias("rank"), v.alias("v"))
+    m = mosaic_vectors(e, [], "rank")
+    return rounded(m.select("row", "col", F.col("rank.label").alias("rank"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total")))

@@ -300,3 +300,17 @@ def patch_metadata(t):
     j = r.join(t["scan"].select("dataset", "patch_id", "family", "invalid_frac"), ["dataset", "patch_id"], "left")
     return rounded(j.groupBy(F.concat_ws("/", "dataset", "patch_id").alias("uid"), "city", "lcz").agg(
         F.avg("invalid_frac").alias("mean_invalid"), F.count("family").alias("n_families")))
+
+
+@query("score_ladder", "A28 D49", """WITH s AS (SELECT region, count(*) AS n, avg((truth = pred)::INT) AS oa FROM {predictions} GROUP BY region)
+SELECT region, round(oa, 6) AS oa, round(oa - lag(oa) OVER (ORDER BY region), 6) AS d_oa FROM s""")
+def score_ladder(t):
+    s = summary_scores(confusion_counts(t["predictions"], keys=["region"]), ["region"])
+    return rounded(R.ladder(s, "region", ["oa"]))
+
+
+@query("strict_relaxed_union", "F1 F2 A21", """SELECT 's' || p_partkey AS pid, 'strict' AS part, p_size FROM part WHERE p_size > 20 UNION ALL SELECT 'r' || p_partkey, 'relaxed', p_size FROM part WHERE p_size <= 30""")
+def strict_relaxed_union(t):
+    p = t["part"]
+    pid = lambda c: F.concat(F.lit(c), F.col("p_partkey").cast("string")).alias("pid")
+    return R.union_checked({"strict": p.where("p_size > 20").select(pid("s"), "p_size"), "relaxed": p.where("p_size <= 30").select(pid("r"), "p_size")}, "pid").select("pid", "part", "p_size")

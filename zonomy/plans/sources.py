@@ -155,3 +155,13 @@ def faceted_points(t):
     if S.layout_methods(e.columns) != ["pca"]:
         raise ValueError("layout columns are missing")
     return S.read_facets(e, "pca", {"event_type": ["click", "view"]}).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("city_bounds", "A7", """SELECT 'N' || n_nationkey AS key, n_name AS name, (n_nationkey * 2 + 3.5)::DOUBLE AS width FROM nation""")
+def city_bounds(t):
+    path = C.shared_folder(t.spark, "bounds")
+    n = F.col("n_nationkey").cast("double")
+    t["nation"].select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("SMOD_ID"), F.col("n_name").alias("JRC_NAME_MAIN"), (-n).alias("minx"), F.lit(0.0).alias("miny"),
+                       (n + 3.5).alias("maxx"), F.lit(1.0).alias("maxy")).write.option("header", True).csv(path)
+    b = S.read_bounds(t.spark, path)
+    return b.select(F.col("SMOD_ID").alias("key"), F.col("JRC_NAME_MAIN").alias("name"), (F.col("rbox.maxx") - F.col("rbox.minx")).alias("width"))

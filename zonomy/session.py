@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(master: str | None = None, app: str = "zonomy", **conf: str) -> SparkSession:
@@ -61,3 +61,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so later failures do not replay its plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Materialise a table that should be small and mark it for broadcast when its row count is
+    within ``max_rows``; a larger one is returned for an ordinary join."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
