@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from zonomy.operators.ordered import exact_quantiles
+from zonomy.operators.ordered import exact_quantiles, quantiles_of
 
 KEY = ("dataset", "patch_id")
 # Membership thresholds, truncation ratio and the histogram edges.
@@ -114,11 +114,16 @@ def in_every_source(inventory: DataFrame, sources: Sequence[str], keys: Sequence
 # ── audits ───────────────────────────────────────────────────────────────────
 
 
+def median_shape(scan: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exact median height and width per group, in one pass."""
+    q = quantiles_of(scan, keys, {"h": F.col("h"), "w": F.col("w")}, {"med": 0.5})
+    return q.withColumnsRenamed({"h_med": "med_h", "w_med": "med_w"})
+
+
 def coverage_summary(scan: DataFrame, reference: DataFrame) -> DataFrame:
     """Per family and split: missing keys, invalid share, exact quantiles, counts above thresholds, truncation."""
     keys = ["family", "dataset"]
-    shape = exact_quantiles(scan, keys, F.col("h"), {"med_h": 0.5}).join(
-        exact_quantiles(scan, keys, F.col("w"), {"med_w": 0.5}), keys)
+    shape = median_shape(scan, keys)
     f = F.col("invalid_frac")
     cut = (F.col("h") < TRUNCATION * F.col("med_h")) | (F.col("w") < TRUNCATION * F.col("med_w"))
     head = scan.join(shape, keys).groupBy(*keys).agg(
@@ -148,8 +153,7 @@ def native_area_report(scan: DataFrame, min_native: float = MIN_NATIVE) -> DataF
     """Per family: area quantiles and the area rule beside the per-side truncation rule."""
     d = with_native(scan)
     train = scan.where(F.col("dataset") == "training")
-    med = exact_quantiles(train, ["family"], F.col("h"), {"med_h": 0.5}).join(
-        exact_quantiles(train, ["family"], F.col("w"), {"med_w": 0.5}), "family")
+    med = median_shape(train, ["family"])
     area = (F.col("h") * F.col("w")).cast("double")
     side = (F.col("h") < TRUNCATION * F.col("med_h")) | (F.col("w") < TRUNCATION * F.col("med_w"))
     nf = F.col("native_frac")
@@ -221,8 +225,7 @@ def family_loss(scan: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def city_coverage(scan: DataFrame, reference: DataFrame, families: Sequence[str], held_out: Sequence[str] = ()) -> DataFrame:
     """One row per reference city: per family invalid share, missing and truncated counts, zero-filled."""
-    med = exact_quantiles(scan, ["family"], F.col("h"), {"med_h": 0.5}).join(
-        exact_quantiles(scan, ["family"], F.col("w"), {"med_w": 0.5}), "family")
+    med = median_shape(scan, ["family"])
     cut = (F.col("h") < TRUNCATION * F.col("med_h")) | (F.col("w") < TRUNCATION * F.col("med_w"))
     d = scan.join(med, "family").withColumn("_cut", cut)
     cols = []

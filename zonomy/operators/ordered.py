@@ -121,3 +121,12 @@ def exact_quantiles(
         frac = F.max(at - low)
         aggs.append((a + (b - a) * frac).alias(name))
     return ranked.groupBy(*ks).agg(*aggs).drop(_KEY)
+
+
+def quantiles_of(df: DataFrame, keys: Sequence[str], values: dict[str, Column], probs: dict[str, float]) -> DataFrame:
+    """Quantiles of several columns in one pass: one row per group, columns named value_prob."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("__o_name"), c.cast("double").alias("__o_val")) for n, c in values.items()]))
+    d = df.select(*keys, each.alias("__o_e")).select(*keys, "__o_e.*")
+    q = exact_quantiles(d, [*keys, "__o_name"], F.col("__o_val"), probs)
+    cells = [F.max(F.when(F.col("__o_name") == n, F.col(p))).alias(f"{n}_{p}") for n in values for p in probs]
+    return q.groupBy(*keys).agg(*cells)

@@ -245,8 +245,8 @@ def survival_share(pixels: DataFrame, grid: Grid, value: str, height: int, width
 
 def densify(pixels: DataFrame, grids: DataFrame, grid: Grid, value: str, height: int, width: int) -> DataFrame:
     """Every pixel of each grid, with 0 where the table has none."""
-    full = grids.select(*grid).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(
-        "col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    line = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    full = grids.select(*grid).withColumn("row", line(height)).withColumn("col", line(width))
     j = full.join(pixels.select(*grid, "row", "col", value), [*grid, "row", "col"], "left")
     return j.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
 

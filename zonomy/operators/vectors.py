@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from zonomy.functions import vectors as V
 from zonomy.functions.common import stable_fraction
-from zonomy.operators.ordered import exact_quantiles, with_rank
+from zonomy.operators.ordered import exact_quantiles, quantiles_of, with_rank
 
 # Pooling recipes and their block order.
 RECIPES = {
@@ -260,17 +260,13 @@ def colour_table(df: DataFrame, key: str, vec: str = "v", low: float = 0.02, hig
     mean, comp, _ = principal_axes(df, vec)
     z = V.project(V.doubles(vec), comp.tolist(), mean.tolist())
     d = df.select(key, *[c.alias(f"z{i}") for i, c in enumerate(z)])
-    one = F.lit(1)
-    cuts = None
-    for i in range(3):
-        q = exact_quantiles(d, [], F.col(f"z{i}"), {f"lo{i}": low, f"md{i}": 0.5, f"hi{i}": high}).withColumn("_k", one)
-        cuts = q if cuts is None else cuts.join(q, "_k")
-    d = d.withColumn("_k", one).join(F.broadcast(cuts), "_k")  # one row
-    half = F.greatest(F.col("hi0") - F.col("lo0"), F.lit(1e-12)) / 2
+    cuts = quantiles_of(d, [], {f"z{i}": F.col(f"z{i}") for i in range(3)}, {"lo": low, "md": 0.5, "hi": high})
+    d = d.withColumn("_k", F.lit(1)).join(F.broadcast(cuts.withColumn("_k", F.lit(1))), "_k")  # one row
+    half = F.greatest(F.col("z0_hi") - F.col("z0_lo"), F.lit(1e-12)) / 2
     out = []
     for i in range(3):
-        lo = F.col(f"lo{i}") if local else F.col(f"md{i}") - half
-        hi = F.col(f"hi{i}") if local else F.col(f"md{i}") + half
+        lo = F.col(f"z{i}_lo") if local else F.col(f"z{i}_md") - half
+        hi = F.col(f"z{i}_hi") if local else F.col(f"z{i}_md") + half
         share = (F.col(f"z{i}") - lo) / F.greatest(hi - lo, F.lit(1e-12))
         out.append(F.rint(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 255).cast("int").alias("rgb"[i]))
     return d.select(key, *out)
@@ -279,12 +275,13 @@ def colour_table(df: DataFrame, key: str, vec: str = "v", low: float = 0.02, hig
 def raw_colour(df: DataFrame, key: str, bands: Sequence[int], vec: str = "v", low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Three raw channels stretched between two exact quantiles of the table."""
     d = df.select(key, *[F.get(V.doubles(vec), F.lit(b)).alias(f"z{i}") for i, b in enumerate(bands)])
-    one, cuts = F.lit(1), None
-    for i in range(len(bands)):
-        q = exact_quantiles(d, [], F.col(f"z{i}"), {f"lo{i}": low, f"hi{i}": high}).withColumn("_k", one)
-        cuts = q if cuts is None else cuts.join(q, "_k")
-    d = d.withColumn("_k", one).join(F.broadcast(cuts), "_k")
-    part = lambda i: F.least(F.greatest((F.col(f"z{i}") - F.col(f"lo{i}")) / F.greatest(F.col(f"hi{i}") - F.col(f"lo{i}"), F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))
+    cuts = quantiles_of(d, [], {f"z{i}": F.col(f"z{i}") for i in range(len(bands))}, {"lo": low, "hi": high})
+    d = d.withColumn("_k", F.lit(1)).join(F.broadcast(cuts.withColumn("_k", F.lit(1))), "_k")  # one row
+
+    def part(i: int) -> Column:
+        z, lo, hi = (F.col(c) for c in (f"z{i}", f"z{i}_lo", f"z{i}_hi"))
+        return F.least(F.greatest((z - lo) / F.greatest(hi - lo, F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))
+
     return d.select(key, *[F.rint(part(i) * 255).cast("int").alias("rgb"[i]) for i in range(len(bands))])
 
 
@@ -335,13 +332,10 @@ def impute_standardise(df: DataFrame, columns: Sequence[str], fit: Column) -> Da
     one = F.lit(1)
     d = df.withColumn("_fit", fit).withColumn("_k", one)
     val = lambda c: F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double"))
-    med = None
-    for c in columns:
-        q = exact_quantiles(d.where("_fit"), [], val(c), {f"_m_{c}": 0.5}).withColumn("_k", one)
-        med = q if med is None else med.join(q, "_k", "full")
+    med = quantiles_of(d.where("_fit"), [], {f"_m_{c}": val(c) for c in columns}, {"q": 0.5}).withColumn("_k", one)
     d = d.join(F.broadcast(med), "_k", "left")  # one row of medians
     d = d.select(*[x for x in d.columns if x not in columns and not x.startswith("_m_")],
-                 *[F.coalesce(val(c), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) for c in columns])
+                 *[F.coalesce(val(c), F.col(f"_m_{c}_q"), F.lit(0.0)).alias(c) for c in columns])
     stats = d.where("_fit").groupBy("_k").agg(*[F.avg(c).alias(f"_a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     d = d.join(F.broadcast(stats), "_k", "left")
     return d.select(*[x for x in df.columns if x not in columns],

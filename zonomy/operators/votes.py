@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from zonomy.functions.common import N_CLASSES, clip, stable_fraction
-from zonomy.operators.ordered import exact_quantiles
+from zonomy.operators.ordered import quantiles_of
 from zonomy.session import broadcast_if_small, cut_lineage
 
 MAX_AREAS = 100_000
@@ -132,8 +132,8 @@ def leave_one_out(
     sums of everyone are built once and the held annotator's own vote is taken off, so no
     vote is copied once per fold.
     """
-    v = newest_votes(votes)
-    acc = accumulate(v)
+    v = cut_lineage(newest_votes(votes))  # read for the sums, the held-out votes and the peers
+    acc = cut_lineage(accumulate(v))
     own = v.select("aoi", "pixel", F.col("annotator").alias("held"), F.col("class").alias("truth"),
                    F.col("weight").alias("_hw")).join(authors.select("aoi", "held"), ["aoi", "held"], "left_semi")
     seen = acc.join(own, ["aoi", "pixel"])
@@ -202,18 +202,12 @@ def polygon_signal(df: DataFrame, signals: Sequence[str], ok: str = "n_ok", n: s
 
     Tercile borders are exact quantiles of the signal over the scored shapes.
     """
-    out = None
-    for name in signals:
-        cut = exact_quantiles(df, [], F.col(name), {"_a": 1 / 3, "_b": 2 / 3})
-        tier = F.when(F.col(name) <= F.col("_a"), 0).when(F.col(name) <= F.col("_b"), 1).otherwise(2)
-        one = df.where(F.col(name).isNotNull()).withColumn("_k", F.lit(0))
-        part = (
-            one.join(F.broadcast(cut.withColumn("_k", F.lit(0))), "_k")
-            .groupBy(F.lit(name).alias("signal"), tier.alias("tier"))
-            .agg(F.count(F.lit(1)).alias("shapes"), (F.sum(ok) / F.sum(n)).alias("share_ok"))
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    cut = quantiles_of(df, [], {c: F.col(c) for c in signals}, {"a": 1 / 3, "b": 2 / 3}).withColumn("_k", F.lit(1))
+    d = df.withColumn("_k", F.lit(1)).join(F.broadcast(cut), "_k")  # one row
+    tier = lambda c: F.when(F.col(c) <= F.col(f"{c}_a"), 0).when(F.col(c) <= F.col(f"{c}_b"), 1).otherwise(2)
+    each = F.array(*[F.struct(F.lit(c).alias("signal"), F.when(F.col(c).isNotNull(), tier(c)).alias("tier")) for c in signals])
+    d = d.select(F.col(ok).alias("_ok"), F.col(n).alias("_n"), F.inline(each)).where(F.col("tier").isNotNull())
+    return d.groupBy("signal", "tier").agg(F.count(F.lit(1)).alias("shapes"), (F.sum("_ok") / F.sum("_n")).alias("share_ok"))
 
 
 def area_audit(votes: DataFrame, truth: DataFrame, rules: ConsensusRules = ConsensusRules()) -> DataFrame:

@@ -221,7 +221,7 @@ def many_to_one_rows(t):
 
 @query("incremental_fill", "C24 F4", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'cached' ELSE 'fresh' END AS origin, length(html) AS size FROM pages""")
 def incremental_fill(t):
-    p = t["pages"].select("page_id", F.length("html").alias("size"))
+    p = t["pages"].select("page_id", F.length("html").cast("long").alias("size"))
     cache = p.where(F.col("page_id") % 3 == 0).withColumn("origin", F.lit("cached"))
     return R.incremental_fill(p, cache, "page_id", lambda d: d.withColumn("origin", F.lit("fresh"))).select("page_id", "origin", "size")
 
