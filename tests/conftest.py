@@ -12,7 +12,7 @@ from zonomy.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     logging.getLogger("py4j").setLevel(logging.ERROR)
-    s = build_session("local[8]", "tests", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="6g")
+    s = build_session("local[8]", "tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="6g")
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()

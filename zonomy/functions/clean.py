@@ -52,7 +52,7 @@ def slug(text: Column | str, compatible: bool = False) -> Column:
     s = F.regexp_replace(s, r"[\s\p{Z}/\\]+", "_")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}_.-]", "")
     s = F.regexp_replace(s, r"^[_.]+|[_.]+$", "")
-    return F.when(s == "", F.lit("unnamed")).otherwise(s)
+    return F.regexp_replace(s, "^$", "unnamed")  # a pattern, so that the chain is evaluated once
 
 
 def aoi_key(name: Column | str, code: Column | str, compatible: bool = False) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from zonomy.functions import geometry as G
 from zonomy.functions.common import N_CLASSES
 from zonomy.operators.confusion import entropy_bits
-from zonomy.operators.ordered import first_n
 from zonomy.operators.spatial import box_join, nearest, point_join
 
 
@@ -152,5 +151,3 @@ def tile_multiplicity(shapes: DataFrame, tiles: DataFrame, cell: float, key: str
         F.countDistinct(F.when(real, F.col(zone))).alias("n_zones"))
     return shapes.select(key).join(m, key, "left").fillna(0)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

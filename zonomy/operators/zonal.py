@@ -100,14 +100,14 @@ def cover_fractions(
     all_classes = [c for v in groups.values() for c in v]
     if len(all_classes) == len(set(all_classes)):
         tag = F.lit(None)
-        for g, v in groups.items():
-            tag = F.when(F.col("class").isin(*v), F.lit(g)).otherwise(tag)
+        for i, v in enumerate(groups.values()):
+            tag = F.when(F.col("class").isin(*v), F.lit(i)).otherwise(tag)
         tagged = cover.select("rbox", tag.alias("_g")).where(F.col("_g").isNotNull())
     else:  # a class in several groups: one row per group
-        tags = F.array(*[F.when(F.col("class").isin(*v), F.lit(g)) for g, v in groups.items()])
+        tags = F.array(*[F.when(F.col("class").isin(*v), F.lit(i)) for i, v in enumerate(groups.values())])
         tagged = cover.select("rbox", F.explode(tags).alias("_g")).where(F.col("_g").isNotNull())
     c = covered_area(zones, tagged, cell, zone_id, strip, keys=("_g",))
-    wide = c.groupBy(zone_id).agg(*[F.max(F.when(F.col("_g") == g, F.col("covered"))).alias(g) for g in groups])
+    wide = c.groupBy(zone_id).agg(*[F.max(F.when(F.col("_g") == i, F.col("covered"))).alias(g) for i, g in enumerate(groups)])
     d = zones.join(wide, zone_id, "left")
     return d.select(zone_id, *[
         F.least(F.coalesce(F.col(g) / G.area(F.col("lbox")), F.lit(0.0)), F.lit(1.0)).alias(g) for g in groups])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonomy.operators import votes as V
-from zonomy.operators import confusion as C
 from zonomy.plans.base import query, view
 from zonomy.plans.metrics import rounded
 

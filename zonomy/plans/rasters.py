@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zonomy.functions import geometry as G
 from zonomy.operators import graph as N
 from zonomy.operators import patches as P
 from zonomy.operators import pixels as X

@@ -64,7 +64,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Materialise a table that should be small and mark it for broadcast when its row count is
-    within ``max_rows``; a larger one is returned for an ordinary join."""
-    df = cut_lineage(df)
+    """Mark a table for broadcast when its row count, which is taken first, is within ``max_rows``;
+    a larger one is returned for an ordinary join. The count reads only the grouping keys, so
+    ``df`` should come from a materialised table."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
