@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from zonomy.functions.clean import class_accuracy
-from zonomy.functions.common import clip, col
+from zonomy.functions.common import N_CLASSES, clip, col
 from zonomy.operators.ordered import exact_quantiles
 
 
@@ -28,7 +28,8 @@ def vote_weights(df: DataFrame, target_year: int | None = None) -> DataFrame:
     soft = ~F.coalesce(F.col("qc_step2"), F.lit(True)) | ~F.coalesce(F.col("qc_step3"), F.lit(True))
     w_qc = F.when(step1, 1.0).otherwise(0.0) * F.when(soft, 0.6).otherwise(1.0)
     med = exact_quantiles(df, ["class"], F.col("class_f1"), {"_med": 0.5})
-    d = df.join(F.broadcast(med), "class", "left")  # one row per class: at most 17
+    med = med.where(F.col("class").between(1, N_CLASSES))  # at most 17 rows, so it may be broadcast
+    d = df.join(F.broadcast(med), "class", "left")
     acc = F.coalesce(class_accuracy("class", "oa", "oau"), F.lit(0.0))
     ratio = F.when(F.col("class_f1").isNotNull() & (F.col("_med") > 0), F.col("class_f1") / F.col("_med")).otherwise(1.0)
     w_acc = clip((acc - 0.40) / 0.50, 0.05, 1.0) * clip(ratio, 0.25, 2.0)

@@ -47,7 +47,10 @@ def with_rank(
     df: DataFrame, keys: Sequence[str], first: Column, then: Sequence[Column] = (), name: str = "rank",
     total: str | None = None, ranges: int = RANGES,
 ) -> DataFrame:
-    """Exact ``row_number`` (1-based) of each row in its group, ascending by ``first`` then ``then``."""
+    """Exact ``row_number`` (1-based) of each row in its group, ascending by ``first`` then ``then``.
+
+    Rows of one ``first`` value share a range, so ``first`` should vary; draws use a hash of the key.
+    """
     d, ks = _group_keys(df, keys)
     d = with_offsets(with_ranges(d, ks, first, ranges), ks)
     w = Window.partitionBy(*ks, "__o_r").orderBy(F.col("__o_v").asc_nulls_last(), *then)

@@ -208,7 +208,7 @@ def class_draw_weights(df: DataFrame, cls: str = "class", scheme: str = "inverse
     """Row weight 1/count or 1/sqrt(count) of its class."""
     n = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
     w = 1 / F.col("_n") if scheme == "inverse" else 1 / F.sqrt(F.col("_n"))
-    return df.join(F.broadcast(n), cls).withColumn("draw_weight", w).drop("_n")  # one row per class
+    return df.join(n, cls).withColumn("draw_weight", w).drop("_n")
 
 
 def members_per_block(df: DataFrame, block: str, k: int, key: str, salt: str = "s") -> DataFrame:
