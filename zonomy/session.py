@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -35,8 +40,28 @@ PREFERRED = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(sc: SparkContext) -> None:
+    """Give the executors this package, once per application, so that Python functions of a plan
+    can be loaded wherever the driver was started."""
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="spark-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the preferred settings that the session has not set itself."""
+    """Ship the package and apply the preferred settings that the session has not set itself."""
+    ship_package(spark.sparkContext)
     for key, value in PREFERRED.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
