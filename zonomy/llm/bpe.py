@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from zonomy.llm import text as tx
 
 #: Parts kept in the memo of a worker, which starts anew beyond them, and characters that are encoded at once.
-MEMO_PARTS, BLOCK_CHARS = 400_000, 1 << 20
+MEMO_PARTS, BLOCK_CHARS = 700_000, 1 << 20
 NO_MERGE = np.int64(2**31)
 #: Unicode's white space, as the tokenizers' patterns take it.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -183,15 +183,15 @@ class Encoder:
         held = 0
 
         def flush() -> None:
-            own = set().union(*(parts for _, parts in wait))
-            missing = own - self.memo.keys()
-            if len(self.memo) + len(missing) > MEMO_PARTS:  # what is in use stays for another generation
-                self.memo = {p: self.memo[p] for p in own - missing}
+            found = [list(map(self.memo.get, parts)) for _, parts in wait]
+            missing = {p for (_, parts), ids in zip(wait, found) if None in ids for p, i in zip(parts, ids) if i is None}
             if missing:
+                if len(self.memo) + len(missing) > MEMO_PARTS:  # what is in use stays for another generation
+                    self.memo = {p: i for (_, parts), ids in zip(wait, found) for p, i in zip(parts, ids) if i is not None}
                 self._learn(missing)
-            ids = self.memo.__getitem__
-            for row, parts in wait:
-                out[row].append(b"".join(map(ids, parts)))
+                found = [list(map(self.memo.__getitem__, parts)) if None in ids else ids for (_, parts), ids in zip(wait, found)]
+            for (row, _), ids in zip(wait, found):
+                out[row].append(b"".join(ids))
             wait.clear()
 
         for row, text in enumerate(texts):
