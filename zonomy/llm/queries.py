@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zonomy.llm import bpe, chat_format, line_dedup, quality_rules, url_filters
-from zonomy.llm.tables import table
+from zonomy.llm import (
+    bpe, chat_format, decontaminate, jaccard_join, line_dedup, oracles, pitman_yor, quality_gbt, quality_rules, toxicity, url_filters,
+)
+from zonomy.llm.tables import crc_remainder, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The rules of the url query: host, path, action.
@@ -44,6 +46,18 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_quality_gbt(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents").select("doc_id", "text"), crc_remainder("doc_id", 4) == 2
+    forest = quality_gbt.fit_quality(docs, table(spark, folder, "labels"), ~held_out)
+    scored = quality_gbt.quality_score(docs, forest)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pitman_yor.score_texts(docs, crc_remainder("doc_id", 7) != 2)
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer_path()
     encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path)
@@ -51,12 +65,34 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents").select("doc_id", "text"), crc_remainder("doc_id", 5) == 0
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"), ~held_out)
+    scored = toxicity.toxicity_score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_chat_format, op6_bpe, op10_quality_rules)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_url_filters, op2_line_dedup, op3_chat_format, op4_quality_gbt, op5_pitman_yor,
+    op6_bpe, op7_toxicity, op8_decontamination, op9_jaccard_join, op10_quality_rules,
+)}
+SQL: dict[str, str] = {
+    "op1_url_filters": oracles.URL_FILTERS, "op2_line_dedup": oracles.LINE_DEDUP, "op3_chat_format": oracles.CHAT_FORMAT,
+    "op8_decontamination": oracles.DECONTAMINATION, "op9_jaccard_join": oracles.JACCARD_JOIN, "op10_quality_rules": oracles.QUALITY_RULES,
 }
-SQL: dict[str, str] = {}
