@@ -147,6 +147,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         found[shared.value["block"].holds(a, b)] = 2
         return pa.ListArray.from_arrays(bounds, pa.array(found, pa.int8()))
 
+    probe = probe.asNondeterministic()  # so no later filter is moved below it
     pages = pages.withColumn("_hit", probe(F.transform("_keys.key", lambda k: key_hashes(k)[0]), F.transform("_keys.key", lambda k: key_hashes(k)[1])))
     hits = F.filter(F.zip_with("_keys", "_hit", lambda k, h: F.struct(k["long"], k["host_long"], h.alias("hit"), k["key"])), lambda x: x["hit"] > 0)
     return _judged(pages.withColumn("_best", F.array_max(hits)), default)
