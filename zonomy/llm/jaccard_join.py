@@ -18,8 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from zonomy.llm import text as tx
+from zonomy.llm.components import components
 from zonomy.llm.twice import again_filter, log_bits_for, suspects
-from zonomy.operators.graph import connected_components
 from zonomy.session import cut_lineage
 
 #: Counters of the frequency sketch (16 MB); it orders elements, so its size changes speed alone.
@@ -113,11 +113,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             yield pa.record_batch([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], names=schema.names)
 
     rows = cut_lineage(slim.mapInArrow(describe, schema))
+    sketch.unpersist()
     classes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("first").alias("first"))
     classes = cut_lineage(classes.where("node is not null"))
-    regions = cut_lineage(_regions(classes, id_type))
-    links = _links(regions, slim, width, percent)
-    label = connected_components(links, "a", "b")
+    regions = _regions(classes, id_type)
+    label = _labels(regions, slim, width, percent)
     member = rows.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", F.col("node").alias("_node")), ["f1", "f2"], "left")
     member = member.join(label.withColumnRenamed("node", "_label"), F.col("_node") == F.col("_label"), "left")
     return member.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_node", "id").alias("component_id"))
@@ -143,35 +143,50 @@ def _regions(classes: DataFrame, id_type: T.DataType) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("first").offsets.to_numpy()))[hit]
             yield pa.record_batch([tx.to_long(lo[hit]), batch.column("node").take(pa.array(row)), batch.column("n").take(pa.array(row))], names=schema.names)
 
-    return classes.select("first", "node", "n").mapInArrow(deal, schema)
+    regions = cut_lineage(classes.select("first", "node", "n").mapInArrow(deal, schema))
+    bits.unpersist()
+    return regions
 
 
-def _links(regions: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the classes as all links would."""
+def _labels(regions: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of every class that has a link."""
     size = regions.count()
     pivots = regions.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1")
     met = regions.join(pivots, "h").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     # a pair that meets its pivot in few regions is left to the later comparison, which is exact
     likely = met.where(F.col("shared") * 1000 >= F.col("n") * (100 - percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    links = cut_lineage(_verified(cut_lineage(likely), slim, width, percent))
+    label = components(_verified(cut_lineage(likely), slim, width, percent))
     while True:
-        label = connected_components(links, "a", "b").withColumnRenamed("node", "_node")
-        known = regions.join(label, F.col("node") == F.col("_node"), "left").select("h", "node", "n", F.coalesce("component", "node").alias("c"))
+        named = label.withColumnRenamed("node", "_node")
+        known = regions.join(named, F.col("node") == F.col("_node"), "left").select("h", "node", "n", F.coalesce("component", "node").alias("c"))
         mixed = known.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("node").alias("pivot")).where("c0 <> c1")
         open_ = cut_lineage(known.join(mixed.select("h", "m", "pivot"), "h"))
         if (open_.agg(F.sum(F.col("m") - 1)).head()[0] or 0) <= 2 * OPEN_PAIRS * size:
             break
         own = open_.where("node = pivot").select("h", F.col("c").alias("cp"))
         pairs = open_.where("node <> pivot").join(own, "h").where("c <> cp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        links = cut_lineage(links.unionByName(_verified(cut_lineage(pairs), slim, width, percent)).distinct())
+        label = _joined(label, _verified(cut_lineage(pairs), slim, width, percent))
         regions = cut_lineage(open_.where("node <> pivot").select("h", "node", "n"))
     other = open_.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     pairs = open_.join(other, "h").where("node < b and c <> cb and 100 * least(n, nb) >= {0} * greatest(n, nb)".format(percent))
     pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("nb").alias("nb"))
     need = F.ceil(percent * (F.col("n") + F.col("nb")) / (100 + percent))
     rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1  # noqa: E731  elements behind the first ones
-    possible = pairs.where(F.col("shared") >= need - F.greatest(rest("n"), rest("nb"))).select("a", "b")
-    return cut_lineage(links.unionByName(_verified(cut_lineage(possible), slim, width, percent)).distinct())
+    possible = cut_lineage(pairs.where(F.col("shared") >= need - F.greatest(rest("n"), rest("nb"))).select("a", "b"))
+    return label if possible.isEmpty() else _joined(label, _verified(possible, slim, width, percent))
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links: components are linked among themselves, then every node renamed."""
+    links = cut_lineage(links)
+    if links.isEmpty():
+        return label
+    name = lambda c: label.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"c{c}"))
+    over = links.join(name("a"), F.col("a") == F.col("_a"), "left").join(name("b"), F.col("b") == F.col("_b"), "left")
+    over = cut_lineage(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    nodes = label.union(over.select("a", F.col("a")).union(over.select("b", F.col("b")))).groupBy("node").agg(F.min("component").alias("component"))
+    new = components(over.where("a <> b")).select(F.col("node").alias("_old"), F.col("component").alias("new"))
+    return cut_lineage(nodes.join(new, F.col("component") == F.col("_old"), "left").select("node", F.coalesce("new", "component").alias("component")))
 
 
 def _verified(pairs: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:

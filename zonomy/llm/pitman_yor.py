@@ -235,15 +235,27 @@ def predictive(blocks: DataFrame, customers: np.ndarray, samples: list[np.ndarra
 class Head:
     """Scores of the most frequent words: log10 by word and context, and counts."""
 
-    def __init__(self, rows: list, left: np.ndarray) -> None:
-        rows = sorted(rows, key=lambda r: np.uint64(np.int64(r["w"]).view(np.uint64)))
-        self.w = np.array([r["w"] for r in rows], np.int64).view(np.uint64)
-        self.c = np.array([r["c"] for r in rows], np.int64)
-        roots = np.array([r["roots"] for r in rows], np.float32).reshape(-1, left.shape[0])
-        p = roots @ left.astype(np.float32) / left.shape[0]
-        for k, r in enumerate(rows):
-            p[k, np.array(r["us"], np.int64)] = r["ps"]
-        self.log = np.log10(p)
+    def __init__(self, rows: pa.Table, left: np.ndarray) -> None:
+        rows = rows.combine_chunks()
+        flat = lambda name: rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        w = rows["w"].to_numpy().view(np.uint64)
+        order = np.argsort(w)
+        self.w, self.c = w[order], rows["c"].to_numpy()[order]
+        p = flat("roots").reshape(len(w), left.shape[0]) @ left.astype(np.float32) / np.float32(left.shape[0])
+        size = np.diff(rows["us"].combine_chunks().offsets.to_numpy()) if len(w) else np.empty(0, np.int64)
+        p[np.repeat(np.arange(len(w)), size), flat("us")] = flat("ps")
+        self.log = np.log10(p[order])
+
+
+def least_count(model: DataFrame, head_words: int) -> int:
+    """The smallest count from which on there are at most ``head_words`` words. Of any corpus of N tokens there are at
+    most sqrt(2 N) different counts, which are gone through from the largest."""
+    left, least = head_words, None
+    for r in model.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        if r["n"] > left:
+            break
+        left, least = left - r["n"], r["c"]
+    return least if least is not None else 2**62
 
 
 def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
@@ -269,9 +281,8 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
         samples = [np.zeros(CONTEXTS + 1)] * SAMPLES
     model, left, unknown = predictive(blocks, customers, samples, words)
     model = cut_lineage(model)
-    top = model.orderBy(F.desc("c"), "w").limit(head_words).collect()
-    least = (top[-1]["c"], top[-1]["w"]) if top else (0, 0)
-    head = spark.sparkContext.broadcast(Head(top, left))
+    least = least_count(model, head_words)
+    head = spark.sparkContext.broadcast(Head(model.where(F.col("c") >= least).toArrow(), left))
     norm = float(np.log10(n_train + words + 1))
     schema = T.StructType([slim.schema["id"], T.StructField("h", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
@@ -295,7 +306,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
 
     rows = slim.withColumn("h", F.xxhash64("text")).select("id", "h", "trains", "text").mapInArrow(run, schema)
     rest = rows.select("id", "h", "held_out", F.explode(F.arrays_zip("w", "u")).alias("t")).select("id", "h", "held_out", "t.w", "t.u")
-    tail = model.where((F.col("c") < least[0]) | (F.col("c") == least[0]) & (F.col("w") > least[1]))
+    tail = model.where(F.col("c") < least)
     joined = rest.join(tail, "w", "left")
     weights = F.array(*[F.array(*[F.lit(float(x)) for x in left[:, k]]) for k in range(CONTEXTS)])
     shares = F.get(weights, F.col("u").cast("int"))

@@ -55,14 +55,14 @@ def suspects(bits: np.ndarray, log_bits: int, lo: np.ndarray, hi: np.ndarray) ->
     return _has(bits, lo & mask) & _has(bits, hi & mask)
 
 
-def log_bits_for(keys: float, lowest: int = 20, highest: int = 29) -> int:
-    """Sixteen bits a key as a power of two; at ``highest`` the filter takes 64 MB and lets more
+def log_bits_for(keys: float, lowest: int = 20, highest: int = 28) -> int:
+    """Sixteen bits a key as a power of two; at ``highest`` the filter takes 32 MB and lets more
     single keys through, which costs shuffle but no rows."""
     return int(min(highest, max(lowest, np.ceil(np.log2(16 * max(keys, 1))))))
 
 
 def again_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], log_bits: int) -> np.ndarray:
-    """The second filter over the whole of ``df`` (at most 64 MB, see ``log_bits_for``);
+    """The second filter over the whole of ``df`` (at most 32 MB, see ``log_bits_for``);
     ``hashes`` gives the 128-bit hashes of a batch as two halves."""
     names = pa.schema([("seg", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
 
