@@ -1,5 +1,9 @@
 """File payloads, caches and scans."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +82,14 @@ def test_append_migrates_columns(spark, tmp_path):
     C.append_rows(spark.createDataFrame([(1,)], "a int"), p)
     d = C.append_rows(spark.createDataFrame([(2, "x")], "a int, b string"), p)
     assert sorted(map(tuple, d.select("a", "b").collect())) == [(1, None), (2, "x")]
+
+
+def test_functions_reach_the_executors_from_any_folder(tmp_path):
+    """Arrow functions of the package run when the driver was started elsewhere."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; from zonomy.session import build_session; "
+            "s = build_session('local[2]', spark__ui__enabled='false'); "
+            "print([e.queries()[q](s, '/root/testdata/sf0.001').count() for q in ('density_classes', 'gaussian_coarsen')])")
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

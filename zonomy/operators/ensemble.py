@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from zonomy.functions import vectors as V
 from zonomy.functions.common import N_CLASSES
 from zonomy.operators.confusion import EPS, confusion_counts, summary_scores
+from zonomy.operators.ordered import name_rank
 
 META = ("id", "label", "city", "split")
 
@@ -185,8 +186,10 @@ def stacked(wide: DataFrame, strengths: Sequence[float] = (0.1, 1.0, 10.0), fit:
     x = array_to_vector(F.flatten("p"))
     d = wide.withColumn("_x", x).withColumn("_y", F.col("label").cast("double")).persist()
     v = d.where(F.col("split") == fit)
-    cities = sorted(r[0] for r in v.select("city").distinct().limit(10_000).collect())
-    half = F.col("city").isin(*cities[: len(cities) // 2])
+    ranked = name_rank(v, "city", "_rank")
+    n_cities = ranked.count()
+    v = v.join(ranked.select("city", (F.col("_rank") <= n_cities // 2).alias("_half")), "city")
+    half = F.col("_half")
     best, best_k = strengths[0], -2.0
 
     def model(rows: DataFrame, c: float):

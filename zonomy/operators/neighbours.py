@@ -16,7 +16,7 @@ from zonomy.operators.ordered import exact_quantiles
 from zonomy.operators.vectors import mean_vectors
 
 BLOCK = 8192
-MAX_GROUPS = 2000
+GROUPS = 2000
 
 
 def _blocks(n: int, block: int) -> int:
@@ -106,21 +106,19 @@ def silhouette(df: DataFrame, key: str, facet: str, vec: str = "v") -> DataFrame
     """Mean cosine silhouette of a facet, exact and linear in the rows.
 
     With unit vectors the mean distance to a group is one minus a product with its vector
-    sum, so only one sum per group is needed. The number of groups is checked before the
-    sums are sent to every task.
+    sum, so only one sum per group is needed. Every row meets the groups in blocks of about
+    ``GROUPS``, whatever their number.
     """
     u = df.select(key, F.col(facet).alias("g"), V.unit(V.doubles(vec)).alias("u"))
     sums = mean_vectors(u, ["g"], "u", skip_zero=False).select("g", "n", F.transform("mean", lambda m: m * F.col("n")).alias("s"))
-    sums = sums.limit(MAX_GROUPS + 1)
-    if sums.count() > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {facet}")
-    packed = sums.groupBy().agg(F.collect_list(F.struct("g", "n", "s")).alias("groups")).withColumn("_k", F.lit(1))
-    d = u.withColumn("_k", F.lit(1)).join(F.broadcast(packed), "_k")
-    own = F.filter("groups", lambda x: x["g"] == F.col("g"))[0]
-    others = F.filter("groups", lambda x: x["g"] != F.col("g"))
+    blocks = _blocks(sums.count(), GROUPS)
+    packed = sums.groupBy(F.pmod(F.xxhash64("g"), F.lit(blocks)).alias("_k")).agg(F.collect_list(F.struct("g", "n", "s")).alias("groups"))
+    d = u.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "_k")
+    own = F.get(F.filter("groups", lambda x: x["g"].eqNullSafe(F.col("g"))), 0)
+    others = F.filter("groups", lambda x: ~x["g"].eqNullSafe(F.col("g")))
     b = F.array_min(F.transform(others, lambda x: 1 - V.dot(F.col("u"), x["s"]) / x["n"]))
     a = (own["n"] - V.dot(F.col("u"), own["s"])) / (own["n"] - 1)
-    d = d.select(a.alias("a"), b.alias("b"), own["n"].alias("n"))
+    d = d.select(key, a.alias("a"), b.alias("b"), own["n"].alias("n")).groupBy(key).agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("n").alias("n"))
     s = F.when(F.col("n") < 2, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return d.groupBy().agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n")).select(F.lit(facet).alias("facet"), "silhouette", "n")
 

@@ -12,7 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 32
+from zonomy.session import cut_lineage
+
+RANGES = 256
+GROUP_LIMIT = 1000  # Spark's own bound for limiting groups before a shuffle
 _KEY = "__o_all"
 
 
@@ -73,6 +76,15 @@ def with_running_sum(
     return d.drop("__o_r", "__o_v", "__o_w", "__o_before", "__o_total", _KEY)
 
 
+def name_rank(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
+    """Exact 1-based rank of each distinct ``key`` in its own order, whatever its type, by range partitions."""
+    parts = cut_lineage(df.select(key).distinct().repartitionByRange(key).withColumn("__o_p", F.spark_partition_id()))
+    per = parts.groupBy("__o_p").agg(F.count(F.lit(1)).alias("__o_n"))  # one row per partition
+    before = F.sum("__o_n").over(Window.orderBy("__o_p")) - F.col("__o_n")
+    own = F.row_number().over(Window.partitionBy("__o_p").orderBy(key))
+    return parts.join(F.broadcast(per.select("__o_p", before.alias("__o_b"))), "__o_p").select(key, (F.col("__o_b") + own).alias(name))
+
+
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: Column, name: str = "avg_rank") -> DataFrame:
     """Rank with ties averaged, as used by rank correlation; null values get no rank."""
     d = df.withColumn("__o_x", value.cast("double"))
@@ -87,10 +99,10 @@ def first_n(
 ) -> DataFrame:
     """Rows with the n smallest ``order`` values per group; ``n`` may be a column of the row.
 
-    For a constant n Spark cuts every task's part of a group to n rows before the shuffle, so
-    a plain window is safe for groups of any size.
+    For a constant n up to ``GROUP_LIMIT`` Spark cuts every task's part of a group to n rows before the
+    shuffle, so a plain window is safe for groups of any size; a larger n goes through exact ranks.
     """
-    if isinstance(n, int):
+    if isinstance(n, int) and n <= GROUP_LIMIT:
         w = Window.partitionBy(*keys).orderBy(order.asc_nulls_last(), *then)
         return df.withColumn("__o_rank", F.row_number().over(w)).where(F.col("__o_rank") <= n).drop("__o_rank")
     return with_rank(df, keys, order, then, name="__o_rank").where(F.col("__o_rank") <= n).drop("__o_rank")

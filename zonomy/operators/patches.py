@@ -18,7 +18,7 @@ def lattice(boxes: DataFrame, side: float, b: str = "box") -> DataFrame:
     d = boxes.withColumn("_nx", nx).withColumn("_iy", F.explode(F.sequence(F.lit(0).cast("long"), ny - 1)))
     d = d.withColumn("_ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nx") - 1)))
     x, y = F.col(f"{b}.minx") + F.col("_ix") * side, F.col(f"{b}.miny") + F.col("_iy") * side
-    pid = F.lpad((F.col("_iy") * F.col("_nx") + F.col("_ix")).cast("string"), 7, "0")
+    pid = F.format_string("%07d", F.col("_iy") * F.col("_nx") + F.col("_ix"))
     return d.withColumn("patch_id", pid).withColumn("patch", G.box(x, y, x + side, y + side)).drop("_nx", "_ix", "_iy")
 
 
@@ -33,27 +33,16 @@ def snapped_cells(shapes: DataFrame, side: float, min_area: float = 0.0, b: str
     return d.withColumn("piece", piece).where(G.area(F.col("piece")) > 0)
 
 
-def snapped_grid(boxes: DataFrame, keys: Sequence[str], res: float, halo: float = 0.0, max_pixels: float | None = None,
-                 b: str = "box") -> DataFrame:
-    """One grid per group: bounds with a halo snapped outward to the resolution, rows and columns;
-    the resolution is coarsened by a whole factor when the grid would exceed ``max_pixels``."""
+def snapped_grid(boxes: DataFrame, keys: Sequence[str], res: float, halo: float = 0.0, b: str = "box") -> DataFrame:
+    """One grid per group: bounds with a halo snapped outward to the resolution, rows and columns."""
     box_ = F.col(b)
     g = boxes.groupBy(*keys).agg(
         (F.min(box_["minx"]) - halo).alias("_x0"), (F.min(box_["miny"]) - halo).alias("_y0"),
         (F.max(box_["maxx"]) + halo).alias("_x1"), (F.max(box_["maxy"]) + halo).alias("_y1"))
-
-    def size(r: Column) -> tuple[Column, Column]:
-        return (
-            (F.ceil(F.col("_x1") / r) - F.floor(F.col("_x0") / r)), (F.ceil(F.col("_y1") / r) - F.floor(F.col("_y0") / r)))
-
-    r0 = F.lit(float(res))
-    w, h = size(r0)
-    factor = F.lit(1.0) if max_pixels is None else F.greatest(F.ceil(F.sqrt(w * h / F.lit(float(max_pixels)))), F.lit(1)).cast("double")
-    g = g.withColumn("res", r0 * factor)
-    w, h = size(F.col("res"))
-    return g.select(*keys, "res", (F.floor(F.col("_x0") / F.col("res")) * F.col("res")).alias("minx"),
-                    (F.ceil(F.col("_y1") / F.col("res")) * F.col("res")).alias("maxy"),
-                    w.cast("long").alias("width"), h.cast("long").alias("height"))
+    r = F.lit(float(res))
+    low, high = (lambda c: F.floor(F.col(c) / r)), (lambda c: F.ceil(F.col(c) / r))
+    return g.select(*keys, r.alias("res"), (low("_x0") * r).alias("minx"), (high("_y1") * r).alias("maxy"),
+                    (high("_x1") - low("_x0")).cast("long").alias("width"), (high("_y1") - low("_y0")).cast("long").alias("height"))
 
 
 # Split of a cell by its place in the 3 x 3 macro block, top row first.
@@ -117,7 +106,7 @@ def place_squares(shapes: DataFrame, side: float, key: str = "shape_id", cap: in
 
 
 def relaxed_squares(shapes: DataFrame, side: float, cell: float, key: str = "shape_id", min_own: float = 0.6,
-                    max_other: float = 0.1, cap: int = 4, strip: float = 1.0) -> DataFrame:
+                    max_other: float = 0.1, cap: int = 4, strip: float = 64.0) -> DataFrame:
     """Lattice squares mostly covered by one class, for shapes that hold no whole square.
 
     ``shapes`` needs key, class, weight, qc_pass and box. Own cover counts passing shapes of

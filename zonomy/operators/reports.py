@@ -275,13 +275,17 @@ def column_blocks(runs: dict[str, DataFrame], key: str, shared: Sequence[str] =
 
 
 def resolve_places(names: DataFrame, places: DataFrame, name: str = "name", place: str = "place", prefix: int = 5) -> DataFrame:
-    """Each name's place by exact folded key, else by its first letters; ambiguous matches take the first in order."""
+    """Each name's place by exact folded key, else by its first ``prefix`` letters or all of a shorter key;
+    ambiguous matches take the first in order. Places are summed up per key and per head before they are
+    joined, so a name meets one row of each."""
     fold = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), "_", " ")))
-    p = places.select(place, fold(place).alias("_k")).withColumn("_p", F.substring("_k", 1, prefix))
-    n = names.select(name, fold(name).alias("_k")).withColumn("_p", F.substring("_k", 1, prefix))
-    exact = n.join(p.select(place, "_k"), "_k").groupBy(name).agg(F.min(place).alias("_e"), F.count(F.lit(1)).alias("_ne"))
-    near = n.join(p.select(place, "_p"), "_p").groupBy(name).agg(F.min(place).alias("_f"), F.count(F.lit(1)).alias("_nf"))
-    d = names.join(exact, name, "left").join(near, name, "left")
+    p = places.select(place, fold(place).alias("_k"))
+    n = names.select(name, fold(name).alias("_k")).distinct().withColumn("_p", F.substring("_k", 1, prefix))
+    whole = p.groupBy("_k").agg(F.min(place).alias("_e"), F.count(F.lit(1)).alias("_ne"))
+    lengths = F.sequence(F.lit(1), F.least(F.length("_k"), F.lit(prefix)))
+    heads = p.where(F.length("_k") > 0).select(place, F.explode(F.transform(lengths, lambda i: F.substring("_k", F.lit(1), i))).alias("_p"))
+    heads = heads.groupBy("_p").agg(F.min(place).alias("_f"), F.count(F.lit(1)).alias("_nf"))
+    d = names.join(n.join(whole, "_k", "left").join(heads, "_p", "left").drop("_k", "_p"), name, "left")
     how = F.when(F.col("_ne") == 1, "exact").when(F.col("_ne") > 1, "exact, ambiguous").when(F.col("_nf") == 1, "prefix").when(
         F.col("_nf") > 1, "prefix, ambiguous").otherwise("none")
     return d.select(*names.columns, F.coalesce("_e", "_f").alias(place), how.alias("how"))
@@ -330,14 +334,6 @@ def ladder(scores: DataFrame, order: str, metrics: Sequence[str]) -> DataFrame:
     return scores.select(order, *metrics, *[(F.col(m) - F.lag(m).over(w)).alias(f"d_{m}") for m in metrics])
 
 
-def markdown(df: DataFrame, max_rows: int = 200) -> str:
-    """A small report table as text."""
-    rows = df.limit(max_rows).collect()
-    show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    lines = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in rows]]
-    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
-
-
 def union_checked(parts: dict[str, DataFrame], key: str, tag: str = "part") -> DataFrame:
     """Frames of several areas or arms as one table; a key that occurs twice is an error."""
     from zonomy.operators.splits import require_unique

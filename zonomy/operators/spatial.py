@@ -14,11 +14,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from zonomy.functions import geometry as G
+from zonomy.session import broadcast_if_small, cut_lineage
 
-HOT_CELLS = 10_000  # at most this many cells are cut finer, so the list can be broadcast
+HOT_CELLS = 10_000  # dense cells up to which their list is broadcast; a longer one is joined
 HOT_ROWS = 50_000
-MAX_CUT = 64
-MAX_SALTS = 32
 
 
 def _span(low: Column, high: Column, cell: float) -> Column:
@@ -31,28 +30,22 @@ def with_cells(df: DataFrame, b: Column, cell: float) -> DataFrame:
         "_cy", F.explode(_span(b["miny"], b["maxy"], cell)))
 
 
-def hot_cells(cells: DataFrame, limit: int = HOT_ROWS, top: int = HOT_CELLS) -> DataFrame | None:
+def hot_cells(cells: DataFrame, limit: int = HOT_ROWS) -> DataFrame | None:
     """The densest cells, how many parts per side to cut them into (a power of two), and over how
-    many salts to spread what lies on one spot. None when no cell is dense, so that the usual
-    join pays only for the count."""
+    many salts to spread what lies on one spot, both as the count asks. None when no cell is dense, so that
+    the usual join pays only for the count."""
     over = F.col("_n") / limit
-    cut = F.least(F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(over)) + 0.5)), F.lit(float(MAX_CUT)))
-    found = (
+    cut = F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(over)) + 0.5))
+    found = cut_lineage(
         cells.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > limit)
-        .orderBy(F.desc("_n"))
-        .limit(top)
-        .select("_cx", "_cy", cut.cast("long").alias("_cut"), F.least(F.ceil(over), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
-        .collect()  # at most ``top`` rows
-    )
-    if not found:
-        return None
-    return cells.sparkSession.createDataFrame(found, "_cx long, _cy long, _cut long, _salts int")
+        .select("_cx", "_cy", cut.cast("long").alias("_cut"), F.ceil(over).cast("int").alias("_salts")))
+    return None if found.isEmpty() else broadcast_if_small(found, HOT_CELLS)
 
 
 def _cut_cells(df: DataFrame, b: Column, cell: float, hot: DataFrame, copies: bool) -> DataFrame:
     """Replace hot cells by finer ones. The left side is copied to every salt, the right side takes one."""
-    d = df.join(F.broadcast(hot), ["_cx", "_cy"], "left").withColumns({
+    d = df.join(hot, ["_cx", "_cy"], "left").withColumns({
         "_cut": F.coalesce("_cut", F.lit(1).cast("long")), "_salts": F.coalesce("_salts", F.lit(1))})
     fine = F.lit(float(cell)) / F.col("_cut")
 
@@ -130,27 +123,34 @@ def pick_container(
 
 
 def covered_area(
-    zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, strip: float = 1.0, zbox: str = "lbox",
+    zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, strip: float = 64.0, zbox: str = "lbox",
     sbox: str = "rbox", keys: tuple[str, ...] = (), split_hot: bool = True,
 ) -> DataFrame:
-    """Area of each zone under the union of the shapes, by horizontal strips.
+    """Area of each zone under the union of the shapes, exact for any coordinates.
 
-    Exact when y coordinates are multiples of ``strip``. Equal clipped shapes collapse before
-    they are cut; overlaps inside a strip are merged by running maxima over its intervals.
+    Clipped shapes are cut at multiples of ``strip``, so no zone is held in one piece, and inside a
+    strip at every lower or upper edge that occurs there. Between two edges the shapes are
+    intervals, which running maxima merge. Equal clipped shapes collapse before they are cut; ``strip`` moves
+    no result.
     """
     pairs = box_join(zones.select(zone_id, zbox), shapes, cell, zbox, sbox, split_hot=split_hot)
     part = G.intersection(F.col(zbox), F.col(sbox))
     s = pairs.select(zone_id, *keys, part.alias("_p")).select(
-        zone_id, *keys, F.col("_p.minx").alias("_x0"), F.col("_p.maxx").alias("_x1"),
-        F.floor(F.col("_p.miny") / strip).alias("_s0"), (F.ceil(F.col("_p.maxy") / strip) - 1).alias("_s1")).distinct()
-    s = s.withColumn("_s", F.explode(F.sequence("_s0", "_s1")))
-    w = Window.partitionBy(zone_id, *keys, "_s").orderBy("_x0").rowsBetween(Window.unboundedPreceding, -1)
+        zone_id, *keys, F.col("_p.minx").alias("_x0"), F.col("_p.maxx").alias("_x1"), F.col("_p.miny").alias("_y0"), F.col("_p.maxy").alias("_y1")).distinct()
+    s = s.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_y0") / strip), F.ceil(F.col("_y1") / strip) - 1)))
+    s = s.withColumns({"_y0": F.greatest(F.col("_y0"), F.col("_s") * strip), "_y1": F.least(F.col("_y1"), (F.col("_s") + 1) * strip)})
+    group = [zone_id, *keys, "_s"]
+    edges = s.select(*group, F.explode(F.array("_y0", "_y1")).alias("_y")).distinct()
+    height = F.lead("_y").over(Window.partitionBy(*group).orderBy("_y")) - F.col("_y")
+    slabs = edges.withColumn("_h", height).where(F.col("_h") > 0)
+    cut = s.join(slabs, group).where((F.col("_y0") <= F.col("_y")) & (F.col("_y") < F.col("_y1")))
+    w = Window.partitionBy(*group, "_y").orderBy("_x0").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max("_x1").over(w), F.col("_x0"))
     fresh = F.greatest(F.col("_x1") - F.greatest(F.col("_x0"), seen), F.lit(0.0))
-    return s.withColumn("_f", fresh).groupBy(zone_id, *keys).agg((F.sum("_f") * strip).alias("covered"))
+    return cut.withColumn("_f", fresh * F.col("_h")).groupBy(zone_id, *keys).agg(F.sum("_f").alias("covered"))
 
 
-def coverage_fraction(zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, strip: float = 1.0) -> DataFrame:
+def coverage_fraction(zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, strip: float = 64.0) -> DataFrame:
     """Share of every zone under the union of the shapes, 0 where nothing reaches it."""
     c = covered_area(zones, shapes, cell, zone_id, strip)
     share = F.least(F.coalesce(F.col("covered") / G.area(F.col("lbox")), F.lit(0.0)), F.lit(1.0))

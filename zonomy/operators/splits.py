@@ -121,8 +121,8 @@ def split_violations(rows: DataFrame, key: str, split: str = "split", held_out:
 
 def assert_splits(rows: DataFrame, key: str, needed: Sequence[str], split: str = "split", held_out: DataFrame | None = None) -> None:
     require_empty(split_violations(rows, key, split, held_out), "split leakage")
-    have = {r[0] for r in rows.select(split).distinct().limit(100).collect()}
-    missing = [s for s in needed if s not in have]
+    have = rows.agg(*[F.count_if(F.col(split) == s).alias(f"n{k}") for k, s in enumerate(needed)]).head() if needed else ()
+    missing = [s for s, n in zip(needed, have) if not n]
     if missing:
         raise ValueError(f"empty splits: {missing}")
 
@@ -193,7 +193,10 @@ def draw_weighted(df: DataFrame, n: int, weight: Column, key: str, salt: str = "
     """
     spark = df.sparkSession
     pos = df.withColumn("_wt", weight.cast("double")).where(F.col("_wt") > 0)
+    whole = pos.agg(F.sum("_wt")).head()[0] or 1.0
+    pos = pos.withColumn("_wt", F.greatest(F.round(F.col("_wt") / whole * 2.0**52), F.lit(1.0)).cast("long"))
     run = with_running_sum(pos, [], stable_fraction(key, salt), F.col("_wt"), [F.col(key)], name="_hi", total="_t")
+    # weights are whole shares of 2^52, so an upper border is the next row's lower one
     run = run.withColumns({"_b": F.col("_hi") / F.col("_t"), "_a": (F.col("_hi") - F.col("_wt")) / F.col("_t")})
     slots = max(1, min(n, 1 << 20))
     run = run.withColumn("_slot", F.explode(F.sequence(

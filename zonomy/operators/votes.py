@@ -175,8 +175,8 @@ def leave_one_out(
     )
 
 
-def pick_authors(votes: DataFrame, min_shapes: int = 5, max_authors: int = 8, min_authors: int = 3) -> DataFrame:
-    """Annotators to hold out per area, in hash order, each with one other annotator as peer.
+def pick_authors(votes: DataFrame, min_shapes: int = 5, min_authors: int = 3) -> DataFrame:
+    """All annotators to hold out per area, each with the next one in hash order as peer.
 
     Works on the annotator table (one row per area and annotator), never on votes.
     """
@@ -188,13 +188,7 @@ def pick_authors(votes: DataFrame, min_shapes: int = 5, max_authors: int = 8, mi
     a = a.withColumn("peer", F.coalesce(F.lead("annotator").over(ring), F.first("annotator").over(everyone)))
     fit = a.where(F.col("shapes") >= min_shapes)
     n = fit.groupBy("aoi").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_authors)
-    order = Window.partitionBy("aoi").orderBy("_h", "annotator")
-    return (
-        fit.join(n, "aoi", "left_semi")
-        .withColumn("_k", F.row_number().over(order))
-        .where(F.col("_k") <= max_authors)
-        .select("aoi", F.col("annotator").alias("held"), "peer")
-    )
+    return fit.join(n, "aoi", "left_semi").select("aoi", F.col("annotator").alias("held"), "peer")
 
 
 def polygon_signal(df: DataFrame, signals: Sequence[str], ok: str = "n_ok", n: str = "n_px") -> DataFrame:

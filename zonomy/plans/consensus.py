@@ -72,7 +72,7 @@ AUTH = """ah AS (SELECT aoi, annotator, count(DISTINCT submission) AS shapes,
    first_value(annotator) OVER (PARTITION BY aoi ORDER BY h, annotator)) AS peer FROM ah),
  fit AS (SELECT *, count(*) OVER (PARTITION BY aoi) AS na, row_number() OVER (PARTITION BY aoi ORDER BY h, annotator) AS k
    FROM ring WHERE shapes >= 5),
- au AS (SELECT aoi, annotator AS held, peer FROM fit WHERE na >= 3 AND k <= 8)"""
+ au AS (SELECT aoi, annotator AS held, peer FROM fit WHERE na >= 3)"""
 
 
 @query("leave_one_author_out", "D7", f"""WITH {NEW}, {AUTH},

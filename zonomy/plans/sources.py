@@ -144,7 +144,7 @@ def manifest_fingerprint(t):
 def appended_summary(t):
     path = C.shared_folder(t.spark, "summary")
     e = t["events"]
-    C.append_rows(e.where(~(F.col("value") > 50)).select("event_type"), path)
+    C.append_rows(e.where(~F.coalesce(F.col("value") > 50, F.lit(False))).select("event_type"), path)
     d = C.append_rows(e.where(F.col("value") > 50).select("event_type", "value"), path)
     return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_value"))
 

@@ -385,10 +385,10 @@ def snapped_cells(t):
 
 
 @query("snapped_grids", "G3", """WITH b AS (SELECT city, min(x0) - 100 AS x0, min(y0) - 100 AS y0, max(x1) + 100 AS x1, max(y1) + 100 AS y1 FROM {shapes} GROUP BY city),
- r AS (SELECT *, 10 * greatest(ceil(sqrt((ceil(x1 / 10) - floor(x0 / 10)) * (ceil(y1 / 10) - floor(y0 / 10)) / 100000.0::DOUBLE)), 1) AS res FROM b)
+ r AS (SELECT *, 10.0::DOUBLE AS res FROM b)
 SELECT city, res, floor(x0 / res) * res AS minx, ceil(y1 / res) * res AS maxy, (ceil(x1 / res) - floor(x0 / res))::BIGINT AS width, (ceil(y1 / res) - floor(y0 / res))::BIGINT AS height FROM r""")
 def snapped_grids(t):
-    return P.snapped_grid(shapes(t), ["city"], 10.0, 100.0, 100000.0)
+    return P.snapped_grid(shapes(t), ["city"], 10.0, 100.0)
 
 
 @query("macro_split", "G4 C32", """SELECT point_id, floor(x / 250)::BIGINT AS ix, floor(y / 250)::BIGINT AS iy,
