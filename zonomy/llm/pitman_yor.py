@@ -296,12 +296,12 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
             at = np.minimum(np.searchsorted(known.w, w), max(0, len(known.w) - 1))
             hit = known.w[at] == w if len(known.w) else np.zeros(len(w), bool)
             at, own = at[hit], row[hit]
-            base = np.bincount(own, np.log10(known.c[at] + 1.0) - norm, batch.num_rows)
-            score = np.bincount(own, known.log[at, u[hit]], batch.num_rows)
+            base = np.bincount(own, np.log10(known.c[at] + 1.0) - norm, batch.num_rows).astype(float)
+            score = np.bincount(own, known.log[at, u[hit]], batch.num_rows).astype(float)
             ends = pa.array(np.append(0, np.cumsum(np.bincount(row[~hit], minlength=batch.num_rows))), pa.int32())
             yield pa.record_batch([
                 batch.column("id"), batch.column("h"), pa.array(~batch.column("trains").to_numpy(zero_copy_only=False)), pa.array(size),
-                pa.array(np.bincount(own, minlength=batch.num_rows)), pa.array(base), pa.array(score),
+                pa.array(np.bincount(own, minlength=batch.num_rows), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
                 pa.ListArray.from_arrays(ends, tx.to_long(w[~hit])), pa.ListArray.from_arrays(ends, pa.array(u[~hit].astype(np.int8)))], names=schema.names)
 
     rows = slim.withColumn("h", F.xxhash64("text")).select("id", "h", "trains", "text").mapInArrow(run, schema)
