@@ -368,7 +368,7 @@ def test_principal_axes_and_map(cloud):
 def test_mixture_separates_classes(cloud):
     x, label, df = cloud
     for k in (1, 3):
-        p = ML.predict_mixtures(df, ML.fit_mixtures(df, "label", components=k, max_rounds=8), "id", 4).join(df.select("id", "label"), "id")
+        p = ML.predict_mixtures(df, ML.fit_mixtures(df, "label", components=k), "id", 4).join(df.select("id", "label"), "id")
         assert p.where("pred = label").count() / 300 > 0.9
 
 

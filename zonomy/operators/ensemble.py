@@ -180,7 +180,7 @@ def calibrate(probs: DataFrame, temps: dict[str, float]) -> DataFrame:
 # ── stacking ─────────────────────────────────────────────────────────────────
 
 
-def stacked(wide: DataFrame, strengths: Sequence[float] = (0.1, 1.0, 10.0), fit: str = "val", max_iter: int = 50) -> DataFrame:
+def stacked(wide: DataFrame, strengths: Sequence[float] = (0.1, 1.0, 10.0), fit: str = "val", max_iter: int = 2000) -> DataFrame:
     """Logistic regression over the models' probabilities; its strength is chosen by fitting on
     half of the fit cities (name order) and scoring kappa on the other half. Adds ``pred``."""
     x = array_to_vector(F.flatten("p"))

@@ -53,7 +53,7 @@ def _log_sum(a: np.ndarray) -> np.ndarray:
 
 
 def _em_sums(df: DataFrame, model: Mixture, cls: str) -> pd.DataFrame:
-    """Sufficient sums per component, added up in Spark: weight, first and second moments, log likelihood."""
+    """Sufficient sums per component, added up in Spark: weight, moments about the component's mean, log likelihood."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k, d = model.mean.shape
@@ -69,8 +69,10 @@ def _em_sums(df: DataFrame, model: Mixture, cls: str) -> pd.DataFrame:
             total = _log_sum(lc)
             r = np.exp(lc - total[:, None])
             s0 += r.sum(axis=0)
-            s1 += r.T @ x
-            s2 += r.T @ (x * x)
+            for j in range(k):  # about the present mean, so that large values do not cancel
+                c = x - model.mean[j]
+                s1[j] += r[:, j] @ c
+                s2[j] += r[:, j] @ (c * c)
             ll, n = ll + total.sum(), n + len(x)
         yield pd.DataFrame({
             "comp": np.repeat(np.arange(k), d), "ch": np.tile(np.arange(d), k), "s0": np.repeat(s0, d),
@@ -82,7 +84,7 @@ def _em_sums(df: DataFrame, model: Mixture, cls: str) -> pd.DataFrame:
 
 
 def fit_mixtures(df: DataFrame, cls: str, components: int = 1, reg: float = 1e-4, prior: str = "uniform",
-                 pca_dim: int = 0, max_rounds: int = 50, tol: float = 1e-3) -> Mixture:
+                 pca_dim: int = 0, max_rounds: int = 500, tol: float = 1e-3) -> Mixture:
     """One diagonal Gaussian mixture per class with at least two rows.
 
     A class gets min(components, max(1, n // 10)) components. With one component the fit is a
@@ -102,11 +104,10 @@ def fit_mixtures(df: DataFrame, cls: str, components: int = 1, reg: float = 1e-4
     dim = pca_dim or len(d.select("v").first()["v"])
     one = Mixture(np.array(classes), np.ones(len(classes)), np.zeros((len(classes), dim)), np.ones((len(classes), dim)),
                   np.zeros(len(classes)), whiten)
-    s = _em_sums(d, one, "y")
-    shape = (len(classes), dim)
-    n0 = s["s0"].to_numpy().reshape(shape)
-    mean = s["s1"].to_numpy().reshape(shape) / n0
-    var = np.maximum(s["s2"].to_numpy().reshape(shape) / n0 - mean**2, 0.0)
+    mean, var = np.zeros((len(classes), dim)), None
+    for _ in range(2):  # means first, then variances about them
+        one.mean = mean
+        mean, var, _ = _moved(_em_sums(d, one, "y"), one)
     prior_of = {c: (np.log(counts[c] / total) if prior == "empirical" else 0.0) for c in classes}
     cls_, w_, m_, v_ = [], [], [], []
     for i, c in enumerate(classes):
@@ -122,18 +123,26 @@ def fit_mixtures(df: DataFrame, cls: str, components: int = 1, reg: float = 1e-4
     last = -np.inf
     for _ in range(max_rounds):
         s = _em_sums(d, model, "y")
-        shape = model.mean.shape
-        n0 = np.maximum(s["s0"].to_numpy().reshape(shape), 1e-10)
-        model.mean = s["s1"].to_numpy().reshape(shape) / n0
-        model.var = np.maximum(s["s2"].to_numpy().reshape(shape) / n0 - model.mean**2, 0.0) + reg
+        model.mean, var, n0 = _moved(s, model)
+        model.var = var + reg
         model.weight = n0[:, 0] / np.array([n0[model.cls == c, 0].sum() for c in model.cls])
         ll = s["ll"].iloc[0] / s["n"].iloc[0]
         if abs(ll - last) < tol:
             break
         last = ll
+    else:
+        raise RuntimeError(f"the mixtures did not settle in {max_rounds} rounds")
     return model
 
 
+def _moved(s: pd.DataFrame, model: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """New means, variances and weights from the sums about the old means."""
+    n0, s1, s2 = (s[c].to_numpy().reshape(model.mean.shape) for c in ("s0", "s1", "s2"))
+    n0 = np.maximum(n0, 1e-10)
+    shift = s1 / n0
+    return model.mean + shift, np.maximum(s2 / n0 - shift**2, 0.0), n0
+
+
 def predict_mixtures(df: DataFrame, model: Mixture, key: str, n_classes: int) -> DataFrame:
     """(key, pred, log_joint): the class of highest log density plus log prior, -1 without any fitted class."""
     key_type = dict(df.dtypes)[key]
@@ -154,7 +163,7 @@ def predict_mixtures(df: DataFrame, model: Mixture, key: str, n_classes: int) ->
 # ── logistic models ──────────────────────────────────────────────────────────
 
 
-def linear_probe(df: DataFrame, fit: Column, label: str = "label", vec: str = "v", max_iter: int = 100, reg: float = 0.0) -> DataFrame:
+def linear_probe(df: DataFrame, fit: Column, label: str = "label", vec: str = "v", max_iter: int = 1000, reg: float = 0.0) -> DataFrame:
     """Multinomial regression on standardised vectors fitted on the fit rows; adds ``pred``."""
     d = df.withColumn("_x", array_to_vector(V.doubles(vec))).withColumn("_y", F.col(label).cast("double")).withColumn("_fit", fit)
     scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(d.where("_fit"))
@@ -171,7 +180,7 @@ def domain_auc(df: DataFrame, key: str, is_test: Column, vec: str = "v", folds:
     ev = BinaryClassificationEvaluator(labelCol="_y", rawPredictionCol="rawPrediction")
     rows = []
     for f in range(folds):
-        model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=100).fit(d.where(F.col("_f") != f))
+        model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=1000).fit(d.where(F.col("_f") != f))
         rows.append((f, float(ev.evaluate(model.transform(d.where(F.col("_f") == f))))))
     d.unpersist()
     auc = float(np.mean([a for _, a in rows]))

@@ -243,7 +243,7 @@ def density_classes(t):
 @query("mixture_classes", "J7", None)
 def mixture_classes(t):
     e = emb(t)
-    m = ML.fit_mixtures(e.where("split = 'train'"), "label", components=3, pca_dim=16, max_rounds=15)
+    m = ML.fit_mixtures(e.where("split = 'train'"), "label", components=3, pca_dim=16)
     p = ML.predict_mixtures(e.where("split = 'test'"), m, "id", 10).join(e.select("id", "label"), "id")
     c = confusion_counts(p.select((F.col("label") + 1).alias("truth"), (F.col("pred") + 1).alias("pred")))
     return rounded(summary_scores(c))
@@ -251,7 +251,7 @@ def mixture_classes(t):
 
 @query("linear_probe", "J8", None)
 def linear_probe(t):
-    p = ML.linear_probe(emb(t), F.col("split") == "train", max_iter=30)
+    p = ML.linear_probe(emb(t), F.col("split") == "train")
     d = p.select("split", (F.col("label") + 1).alias("truth"), (F.col("pred") + 1).alias("pred"))
     return rounded(summary_scores(confusion_counts(d, keys=["split"]), ["split"]))
 
@@ -362,7 +362,7 @@ def calibrated_losses(t):
 
 @query("stacked_scores", "L4", None)
 def stacked_scores(t):
-    return rounded(summary_scores(confusion_counts(E.stacked(wide(t), max_iter=20), "label", "pred", ["split"]), ["split"]))
+    return rounded(summary_scores(confusion_counts(E.stacked(wide(t)), "label", "pred", ["split"]), ["split"]))
 
 
 @query("offset_scores", "L5", None)
