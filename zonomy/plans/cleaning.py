@@ -252,18 +252,18 @@ def zonal_classes(t):
         "reject_reason", F.round("confidence", 6).alias("confidence"))
 
 
-@query("label_set_masks", "B26 B46", """WITH s AS (SELECT partkey, list_distinct(list(1 + orderkey % 17)) AS cs FROM {zonal_rows} WHERE suppkey % 3 = 0 GROUP BY partkey)
+@query("label_set_masks", "B26 B46", """WITH s AS (SELECT partkey, list_distinct(list(1 + orderkey % 17)) AS cs FROM {zonal_rows} GROUP BY partkey)
 SELECT partkey, list_aggregate(list_transform(cs, lambda c: (1::BIGINT << (c - 1)::INT)), 'sum')::BIGINT AS mask, len(cs)::INT AS n_classes,
   array_to_string(list_sort(cs), ',') AS members, CASE WHEN len(cs) = 1 THEN cs[1]::INT ELSE 0 END AS hard FROM s""")
 def label_set_masks(t):
-    d = t["zonal_rows"].where(F.col("suppkey") % 3 == 0).groupBy("partkey").agg(
+    d = t["zonal_rows"].groupBy("partkey").agg(
         F.collect_set((1 + F.col("orderkey") % 17).cast("int")).alias("cs"))
     d = d.withColumn("mask", L.encode("cs"))
     return d.select("partkey", "mask", L.size("mask").alias("n_classes"),
                     F.array_join(L.decode("mask").cast("array<string>"), ",").alias("members"), L.hard_class("mask").alias("hard"))
 
 
-@query("change_stability", "B21 B20 B28", """WITH z AS (SELECT *, (orderkey % 23) / 100.0::DOUBLE AS b1, ((orderkey + suppkey) % 29) / 100.0::DOUBLE AS b0, (orderkey % 31)::DOUBLE AS h1 FROM {zonal_rows}),
+@query("change_stability", "B21 B28", """WITH z AS (SELECT *, (orderkey % 23) / 100.0::DOUBLE AS b1, ((orderkey + suppkey) % 29) / 100.0::DOUBLE AS b0, (orderkey % 31)::DOUBLE AS h1 FROM {zonal_rows}),
  s AS (SELECT *, coalesce(CASE WHEN ghs_built_s IS NULL THEN NULL ELSE abs(b1 - b0) < 0.1::DOUBLE END, false) AND
    (CASE WHEN h_mean IS NULL THEN 'none' WHEN h_mean >= 25 THEN 'high' WHEN h_mean >= 10 THEN 'mid' WHEN h_mean > 0 THEN 'low' ELSE 'nb' END) =
    (CASE WHEN h1 >= 25 THEN 'high' WHEN h1 >= 10 THEN 'mid' WHEN h1 > 0 THEN 'low' ELSE 'nb' END) AS stable FROM z),
@@ -277,3 +277,13 @@ def change_stability(t):
     z = z.withColumn("label_year", (2018 + F.col("linenumber") % 4).cast("int"))
     pairs = R.training_years(z, (2017, 2018, 2019, 2020, 2021))
     return pairs.groupBy("partkey", "year").agg(F.count(F.lit(1)).alias("n"), F.count_if("stable").alias("n_stable"))
+
+
+@query("zone_grade_penalty", "B20", """SELECT l.l_orderkey, l.l_linenumber, round(CASE WHEN l_returnflag <> 'N' AND NOT coalesce(o_totalprice >= 150000, false)
+  THEN 10 * l_discount * 0.7::DOUBLE ELSE 10 * l_discount END, 6) AS confidence
+FROM lineitem l LEFT JOIN orders o ON l_orderkey = o_orderkey AND o_orderpriority <> '5-LOW'""")
+def zone_grade_penalty(t):
+    zones = t["orders"].where(F.col("o_orderpriority") != "5-LOW").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice") >= 150000).alias("grade"))
+    d = t["lineitem"].join(zones, "l_orderkey", "left")
+    c = R.zone_penalty(10 * F.col("l_discount"), F.col("l_returnflag") != "N", F.col("grade"))
+    return d.select("l_orderkey", "l_linenumber", F.round(c, 6).alias("confidence"))

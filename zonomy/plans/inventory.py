@@ -61,7 +61,7 @@ def ids_in_every_family(t):
     return M.in_every_source(t["scan"], FAM)
 
 
-@query("coverage_summary", "D32 D31", """WITH m AS (SELECT family, dataset, median(h) AS mh, median(w) AS mw FROM {scan} GROUP BY ALL), r AS (SELECT dataset, count(DISTINCT patch_id) AS n FROM {reference_patches} GROUP BY dataset)
+@query("coverage_summary", "D32", """WITH m AS (SELECT family, dataset, median(h) AS mh, median(w) AS mw FROM {scan} GROUP BY ALL), r AS (SELECT dataset, count(DISTINCT patch_id) AS n FROM {reference_patches} GROUP BY dataset)
 SELECT family, dataset, mh AS med_h, count(*) AS n_on_disk, round(sum(n_invalid) / sum(n_pixels), 6) AS total_invalid_px_frac, round(avg((invalid_frac > 0)::INT), 6) AS frac_any_invalid,
  count(*) FILTER (invalid_frac > 0.01::DOUBLE) AS n_above_1, count(*) FILTER (h < 0.85::DOUBLE * mh OR w < 0.85::DOUBLE * mw) AS n_truncated, round(max(invalid_frac), 6) AS max,
  round(quantile_cont(invalid_frac, 0.5), 6) AS p50, round(quantile_cont(invalid_frac, 0.9), 6) AS p90, round(quantile_cont(invalid_frac, 0.99), 6) AS p99, any_value(n) AS n_reference, any_value(n) - count(*) AS n_missing
@@ -271,3 +271,11 @@ SELECT draw, pk AS p_partkey FROM d JOIN r ON u * t < hi AND u * t >= hi - w""")
 def weighted_draws(t):
     d = S.class_draw_weights(t["part"].select("p_partkey", "p_brand"), "p_brand")
     return S.draw_weighted(d, 1000, F.col("draw_weight"), "p_partkey").select("draw", "p_partkey")
+
+
+@query("patch_scans", "D31", """SELECT l_returnflag AS family, l_linestatus AS dataset, l_suppkey AS patch_id, max(l_linenumber) + 1 AS h, max(l_partkey % 48) + 1 AS w,
+  count(*) FILTER (l_tax < 0.02) AS n_invalid, count(*) AS n_pixels, count(*) FILTER (l_tax < 0.02) / count(*)::DOUBLE AS invalid_frac FROM lineitem GROUP BY ALL""")
+def patch_scans(t):
+    px = t["lineitem"].select(F.col("l_returnflag").alias("family"), F.col("l_linestatus").alias("dataset"), F.col("l_suppkey").alias("patch_id"),
+                              F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 48).alias("col"), "l_tax")
+    return M.scan_patches(px, F.col("l_tax") < 0.02)

@@ -237,7 +237,7 @@ def candidate_windows(t):
     return rounded(X.window_stats(p, cand, GR, "cand", 3, H, W))
 
 
-@query("patch_crops", "H26 A12 A13", """WITH s AS (SELECT p_partkey AS pid, p_partkey % 2 AS g, p_partkey % 90 AS r0, p_size % 90 AS c0, 8 AS h, 8 AS w FROM {part}),
+@query("patch_crops", "H26", """WITH s AS (SELECT p_partkey AS pid, p_partkey % 2 AS g, p_partkey % 90 AS r0, p_size % 90 AS c0, 8 AS h, 8 AS w FROM {part}),
  j AS (SELECT pid, count(*) AS n, max(p.row) - min(p.row) + 1 AS gh, max(p.col) - min(p.col) + 1 AS gw FROM s JOIN {class_pixels} p ON p.g = s.g AND p.row BETWEEN r0 AND r0 + 7 AND p.col BETWEEN c0 AND c0 + 7 GROUP BY pid)
 SELECT s.pid, coalesce(n, 0) AS n, coalesce(gh, 0) AS got_h, coalesce(gw, 0) AS got_w, coalesce(gh < 8 OR gw < 8, true) AS truncated FROM s LEFT JOIN j USING (pid)""")
 def patch_crops(t):

@@ -302,7 +302,7 @@ def patch_metadata(t):
         F.avg("invalid_frac").alias("mean_invalid"), F.count("family").alias("n_families")))
 
 
-@query("score_ladder", "A28 D49", """WITH s AS (SELECT region, count(*) AS n, avg((truth = pred)::INT) AS oa FROM {predictions} GROUP BY region)
+@query("score_ladder", "D49 A28", """WITH s AS (SELECT region, count(*) AS n, avg((truth = pred)::INT) AS oa FROM {predictions} GROUP BY region)
 SELECT region, round(oa, 6) AS oa, round(oa - lag(oa) OVER (ORDER BY region), 6) AS d_oa FROM s""")
 def score_ladder(t):
     s = summary_scores(confusion_counts(t["predictions"], keys=["region"]), ["region"])

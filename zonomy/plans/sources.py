@@ -86,7 +86,7 @@ def task_plan(t):
     return S.missing_tasks(t["reference_patches"], done, ["dataset", "patch_id"], F.col("p_size") % 3 > 0, F.col("p_retailprice") < 980).select("dataset", "patch_id")
 
 
-@query("packed_shards", "A14 A8 H25", """SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, true AS bounded FROM documents GROUP BY lang""")
+@query("packed_shards", "A14 H25", """SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, true AS bounded FROM documents GROUP BY lang""")
 def packed_shards(t):
     path = C.shared_folder(t.spark, "shards")
     C.pack(t["documents"].select("doc_id", "lang", "text", "n_chars"), path, "lang", 100)
