@@ -29,6 +29,8 @@ BROADCAST_ROWS = 300_000
 #: Pairs left open by the pivots, per row of the regions, up to which they are listed; beyond it
 #: further pivots are taken first.
 OPEN_PAIRS = 8
+#: Further pivots that a region takes at a time.
+PIVOTS = 16
 _SEGMENT = 1 << 16
 
 
@@ -159,14 +161,17 @@ def _labels(regions: DataFrame, slim: DataFrame, width: int, percent: int) -> Da
     while True:
         named = label.withColumnRenamed("node", "_node")
         known = regions.join(named, F.col("node") == F.col("_node"), "left").select("h", "node", "n", F.coalesce("component", "node").alias("c"))
-        mixed = known.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("node").alias("pivot")).where("c0 <> c1")
-        open_ = cut_lineage(known.join(mixed.select("h", "m", "pivot"), "h"))
+        mixed = known.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        open_ = cut_lineage(known.join(mixed.select("h", "m"), "h"))
         if (open_.agg(F.sum(F.col("m") - 1)).head()[0] or 0) <= 2 * OPEN_PAIRS * size:
             break
-        own = open_.where("node = pivot").select("h", F.col("c").alias("cp"))
-        pairs = open_.where("node <> pivot").join(own, "h").where("c <> cp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        # further pivots, the smallest of each of PIVOTS parts of a region; what they have met they leave settled
+        part = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+        chosen = open_.groupBy("h", part.alias("part")).agg(F.min("node").alias("node")).select("h", "node")
+        chosen = cut_lineage(chosen.join(open_, ["h", "node"]).select("h", F.col("node").alias("pivot"), F.col("c").alias("cp")))
+        pairs = open_.join(chosen, "h").where("c <> cp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         label = _joined(label, _verified(cut_lineage(pairs), slim, width, percent))
-        regions = cut_lineage(open_.where("node <> pivot").select("h", "node", "n"))
+        regions = cut_lineage(open_.join(chosen.select("h", F.col("pivot").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n"))
     other = open_.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     pairs = open_.join(other, "h").where("node < b and c <> cb and 100 * least(n, nb) >= {0} * greatest(n, nb)".format(percent))
     pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("nb").alias("nb"))
