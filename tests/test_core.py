@@ -116,6 +116,15 @@ def test_union_area_of_any_coordinates(spark):
         assert got.get(k, 0.0) == pytest.approx(area, rel=1e-9, abs=1e-9)
 
 
+def test_nearest_reaches_points_far_outside(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9e5, -4e5)], "p int, x double, y double")
+    sites = spark.createDataFrame([("a", 3.0, 4.0), ("b", 5e4, 0.0)], "s string, sx double, sy double")
+    got = {q["p"]: (q["s"], round(q["dist"])) for q in S.nearest(points, sites, "p", "s", 10.0, 100.0).collect()}
+    assert got == {1: ("a", 5), 2: ("b", round(math.hypot(8.5e5, 4e5)))}
+    with pytest.raises(ValueError):
+        S.nearest(points, sites.where("false"), "p", "s", 10.0, 100.0)
+
+
 def test_ranks_of_names(spark):
     names = [f"city {k * 7919 % 20_011}" for k in range(20_000)] + ["city 1"] * 5
     got = {q["c"]: q["rank"] for q in O.name_rank(spark.createDataFrame([(n,) for n in names], "c string"), "c").collect()}

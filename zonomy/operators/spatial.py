@@ -209,11 +209,18 @@ def nearest(
     """Exact k nearest sites of every point, without comparing every pair.
 
     ``points`` has (key, x, y), ``sites`` (site_key, sx, sy). Sites are indexed at cell sizes
-    base, 2 base, 4 base, ... up to ``extent`` (the width of the whole scene). For each
+    base, 2 base, 4 base, ... up to the width of the whole scene, which is taken from the data (``extent`` is
+    its least value). For each
     occupied point cell the smallest size whose 3 x 3 block holds k sites bounds the k-th
     distance; the block two sizes up contains that disc, so it holds the answer.
-    Ties break on the site key.
+    Ties break on the site key. Every point keeps its rows wherever it lies; an empty site table is an error.
     """
+    ends = lambda d, x, y: d.agg(F.min(x), F.max(x), F.min(y), F.max(y)).head()
+    of_sites, of_points = ends(sites, "sx", "sy"), ends(points, "x", "y")
+    if of_sites[0] is None:
+        raise ValueError("no sites")
+    spans = [max(a, b) - min(c, d) for a, b, c, d in ((of_sites[i + 1], of_points[i + 1], of_sites[i], of_points[i]) for i in (0, 2)) if b is not None]
+    extent = max([extent, *spans])
     top = max(3, math.ceil(math.log2(max(extent / base, 1.0))) + 3)
     size = lambda lv: F.lit(float(base)) * F.pow(F.lit(2.0), lv)
     lv = F.col("_lv")
@@ -246,7 +253,7 @@ def nearest(
     if isinstance(k, int) and k == 1:
         best = hits.groupBy(key).agg(
             F.min_by(F.struct(site_key, "dist", *site_cols), F.struct("dist", site_key)).alias("_b"))
-        return points.join(best, key).select(*points.columns, "_b.*")
+        return points.join(best, key, "left").select(*points.columns, "_b.*")
     w = Window.partitionBy(key).orderBy("dist", site_key)
     return hits.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= F.col("_k")).drop("_k")
 

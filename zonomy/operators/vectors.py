@@ -219,7 +219,7 @@ def linear_map_r2(pairs: DataFrame, group: str, key: str, a: str = "a", b: str =
     the rest, beside the same figure when rows are paired half the table apart."""
     d = pairs.select(key, group, V.doubles(a).alias("a"), V.doubles(b).alias("b"))
     d = d.withColumn("_test", (stable_fraction(group, salt) >= 0.5).cast("int"))
-    ranked = with_rank(d, [], F.col(key).cast("double"), [F.col(group).cast("string")], name="_p", total="_n")
+    ranked = with_rank(d, [], stable_fraction(key, salt + "-order"), [F.col(key), F.col(group).cast("string")], name="_p", total="_n")
     shifted = ranked.select(((F.col("_p") - 1 + F.floor(F.col("_n") / 2)) % F.col("_n") + 1).alias("_p"), F.col("b").alias("_b2"))
     out = []
     for name, table, other in (("paired", d, "b"), ("shuffled", ranked.join(shifted, "_p"), "_b2")):

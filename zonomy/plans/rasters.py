@@ -320,9 +320,9 @@ def dissolve_small_zones(t):
 @query("directed_edges", "K5", """WITH p AS (SELECT block_id, row_number() OVER (ORDER BY block_id) - 1 AS pos FROM {block_graph_nodes} WHERE label_key IS NOT NULL), e AS (SELECT a.pos AS src, b.pos AS dst, shared_len_m FROM {block_graph_edges} x JOIN p a ON a.block_id = x.block_a JOIN p b ON b.block_id = x.block_b)
 SELECT src, dst, shared_len_m FROM e UNION ALL SELECT dst, src, shared_len_m FROM e""")
 def directed_edges(t):
-    from zonomy.operators.ordered import with_rank
+    from zonomy.operators.ordered import name_rank
     n = t["block_graph_nodes"].where("label_key is not null")
-    pos = with_rank(n.select("block_id"), [], F.col("block_id"), name="pos").withColumn("pos", F.col("pos") - 1)
+    pos = name_rank(n, "block_id", "pos").withColumn("pos", F.col("pos") - 1)
     return N.both_directions(t["block_graph_edges"], pos)
 
 
