@@ -48,17 +48,18 @@ def kept_elements(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(texts: list[bytes], memo: tx.WordHashes, width: int) -> list[np.ndarray]:
-    return [shingle_set(memo.of(tx.words(t)), width) for t in texts]
+def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    hashes, size = tx.word_hashes(texts)
+    return [shingle_set(own, width) for own in np.split(hashes, np.cumsum(size)[:-1])] if texts else []
 
 
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """Occurrences of shingles over all texts, in ``2^SKETCH_BITS`` shared counters."""
 
     def count(batches):
-        memo, counters = tx.WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        counters = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in tx.slices(batches):
-            for s in _sets(tx.raw(batch.column(0)), memo, width):
+            for s in _sets(tx.raw(batch.column(0)), width):
                 np.add.at(counters, s & np.uint64(len(counters) - 1), 1)
         pack = zstandard.ZstdCompressor(level=1).compress
         for k in range(0, len(counters), _SEGMENT):
@@ -105,9 +106,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
                            T.StructField("f2", T.LongType()), T.StructField("first", T.ArrayType(T.LongType()))])
 
     def describe(batches):
-        memo = tx.WordHashes()
         for batch in tx.slices(batches):
-            sets = _sets(tx.raw(batch.column("text")), memo, width)
+            sets = _sets(tx.raw(batch.column("text")), width)
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             first = [first_elements(s, sketch.value, percent) if len(s) else s for s in sets]
             ends = np.cumsum([0] + [len(x) for x in first], dtype=np.int32)
@@ -205,9 +205,8 @@ def _verified(pairs: DataFrame, slim: DataFrame, width: int, percent: int) -> Da
     schema = T.StructType([slim.schema["id"], T.StructField("to", tagged.schema["to"].dataType), T.StructField("own", T.BooleanType()), T.StructField("s", T.BinaryType())])
 
     def hashed(batches):
-        memo = tx.WordHashes()
         for batch in tx.slices(batches):
-            sets = _sets(tx.raw(batch.column("text")), memo, width)
+            sets = _sets(tx.raw(batch.column("text")), width)
             yield pa.record_batch([batch.column(c) for c in ("id", "to", "own")] + [pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names)
 
     sets = tagged.select("id", "text", "to", "own").mapInArrow(hashed, schema)

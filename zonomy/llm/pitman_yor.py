@@ -14,7 +14,6 @@ with the corpus and are joined by shuffles; only the most frequent words, a fixe
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,8 @@ HEAD_WORDS, BLOCK_WORDS = 131_072, 50_000
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 20.0, 0.6, 200.0
 #: Sweeps before the first sample, samples, and customers reseated per cell and sweep.
 BURN_IN, SAMPLES, STEPS = 2, 3, 12
-#: Tokens that a task counts before it passes the counts on, and frequent words that it proposes as contexts.
-COUNT_TOKENS, PROPOSED, COUNTED_WORDS = 3_000_000, 1_000, 1_000_000
+#: Tokens that a task counts before it passes the counts on, and frequent words that it then proposes as contexts.
+COUNT_TOKENS, PROPOSED = 3_000_000, 1_000
 _SPREAD = tx.mix(np.arange(1, CONTEXTS + 1, dtype=np.uint64))
 
 
@@ -52,15 +51,21 @@ def context_words(texts: DataFrame) -> list[int]:
     """Hashes of the most frequent words of all texts, from each task's list of its most frequent ones."""
 
     def propose(batches):
-        count: Counter[bytes] = Counter()
+        held, n = [], 0
+
+        def top():
+            w, c = np.unique(np.concatenate(held), return_counts=True)
+            best = np.lexsort((w, -c))[:PROPOSED]
+            return pa.record_batch([tx.to_long(w[best]), pa.array(c[best], pa.int64())], names=["w", "c"])
+
         for batch in tx.slices(batches):
-            for t in tx.raw(batch.column(0)):
-                count.update(tx.words(t))
-            if len(count) > COUNTED_WORDS:
-                count = Counter(dict(count.most_common(COUNTED_WORDS // 4)))
-        top = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:PROPOSED]
-        memo = tx.WordHashes()
-        yield pa.record_batch([tx.to_long(memo.of([w for w, _ in top])), pa.array([c for _, c in top], pa.int64())], names=["w", "c"])
+            held.append(tx.word_hashes(tx.raw(batch.column(0)))[0])
+            n += len(held[-1])
+            if n >= COUNT_TOKENS:
+                yield top()
+                held, n = [], 0
+        if held:
+            yield top()
 
     rows = texts.mapInArrow(propose, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(CONTEXTS - 2).collect()
     return [r["w"] for r in rows]
@@ -70,19 +75,17 @@ class Tokens:
     """Token hashes and contexts of texts."""
 
     def __init__(self, contexts: list[int]) -> None:
-        self.memo = tx.WordHashes()
         known = np.array(contexts, np.int64).view(np.uint64)
         order = np.argsort(known)
         self.known, self.code = known[order], (order + 1).astype(np.uint8)
-        self.end = self.memo[END]
+        self.end = tx.word_hash(END)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, contexts, tokens of each text), every text with its end."""
-        found = [tx.words(t) for t in texts]
-        size = np.array([len(f) + 1 for f in found], np.int64)
-        for f in found:
-            f.append(END)
-        w = self.memo.of([x for f in found for x in f])
+        found, size = tx.word_hashes(texts)
+        w = np.full(len(found) + len(texts), self.end, np.uint64)
+        w[np.arange(len(found)) + np.repeat(np.arange(len(texts)), size)] = found
+        size = size + 1
         code = np.zeros(len(w), np.uint8)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, w), len(self.known) - 1)
@@ -305,6 +308,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
                 pa.ListArray.from_arrays(ends, tx.to_long(w[~hit])), pa.ListArray.from_arrays(ends, pa.array(u[~hit].astype(np.int8)))], names=schema.names)
 
     rows = slim.withColumn("h", F.xxhash64("text")).select("id", "h", "trains", "text").mapInArrow(run, schema)
+    rows = cut_lineage(rows)  # read twice: by text, and by the words to be joined
     rest = rows.select("id", "h", "held_out", F.explode(F.arrays_zip("w", "u")).alias("t")).select("id", "h", "held_out", "t.w", "t.u")
     tail = model.where(F.col("c") < least)
     joined = rest.join(tail, "w", "left")

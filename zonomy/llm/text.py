@@ -10,12 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 SPACE = b" \t\n\v\f\r"
-#: Memoised words per task; the memo starts anew beyond it, so its memory is bounded.
+#: Words that a memo of a task holds; it starts anew beyond it.
 MEMO_WORDS = 400_000
+#: Bytes that are hashed at once, unless a single word is longer.
+BLOCK_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_IS_SPACE = np.isin(np.arange(256), list(SPACE))
+_powers: list[np.ndarray] = []
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -35,19 +39,6 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, memoised."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     h = h.astype(np.uint64, copy=True)
@@ -59,6 +50,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, at least ``n`` of them."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, BLOCK_BYTES + 1)
+        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64) for base in (_ODD, _INVERSE)]
+    return _powers
+
+
+def _block_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of lower-case bytes: a polynomial of the word's bytes, from prefix sums."""
+    space = np.concatenate([[True], _IS_SPACE[data], [True]])
+    start, stop = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
+    power, inverse = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=total[1:])
+    return mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64) * _INVERSE), start
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, words of each text); words as in ``words``."""
+    joined = b" ".join(texts).lower()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    hashes, starts, at = [], [], 0
+    while at < len(joined):
+        to = at + BLOCK_BYTES
+        if to < len(joined):  # on to the end of the word
+            rest = joined[to:to + 4096].split(None, 1) if joined[to] not in SPACE else None
+            if rest is not None:
+                to = to + len(rest[0]) if len(rest[0]) < 4096 else next((k for k in range(to, len(joined)) if joined[k] in SPACE), len(joined))
+        h, s = _block_hashes(np.frombuffer(joined[at:to], np.uint8))
+        hashes.append(h)
+        starts.append(s + at)
+        at = to
+    h, s = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((hashes, np.uint64), (starts, np.int64)))
+    return h, np.bincount(np.searchsorted(ends, s, side="right"), minlength=len(texts)).astype(np.int64)
+
+
+def word_hash(word: bytes) -> np.uint64:
+    """The hash that a word, or any other mark without white space at its ends, has."""
+    data = np.frombuffer(word, np.uint8)
+    power, _ = _power_tables(len(data) + 1)
+    return mix(((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)]).sum(keepdims=True) + np.array([len(data)], np.uint64) * _INVERSE)[0]
+
+
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` word hashes, in order."""
     n = len(h) - width + 1
