@@ -35,7 +35,7 @@ DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 20.0, 0.6, 200.0
 #: Sweeps before the first sample, samples, and customers reseated per cell and sweep.
 BURN_IN, SAMPLES, STEPS = 2, 3, 12
 #: Tokens that a task counts before it passes the counts on, and frequent words that it then proposes as contexts.
-COUNT_TOKENS, PROPOSED = 3_000_000, 1_000
+COUNT_TOKENS, PROPOSED = 2_000_000, 1_000
 _SPREAD = tx.mix(np.arange(1, CONTEXTS + 1, dtype=np.uint64))
 
 
