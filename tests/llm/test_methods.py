@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from zonomy.llm import bpe, decontaminate, jaccard_join, pitman_yor, quality_gbt, toxicity, url_filters
+from zonomy.llm import bpe, decontaminate, jaccard_join, pitman_yor, quality_gbt, seating, toxicity, url_filters
 from zonomy.llm.fm_index import FMIndex
 from zonomy.llm.queries import tokenizer_path
 from zonomy.llm.seating import Seating
@@ -175,6 +175,46 @@ def test_seating_has_the_right_law():
     assert np.abs(np.bincount(tables, minlength=n + 1) / 40_000 - law).max() < 0.01
 
 
+def test_table_counts_have_the_right_law():
+    """One step gives the law of the seating at once, and cells of any size take as many tables as it asks for."""
+    rng = np.random.default_rng(7)
+    for discount, fresh in ((0.75, 2.0), (0.6, 30.0)):
+        sizes, tables = np.full(1500, 10), np.ones(1500, np.int64)
+        for _ in range(12):
+            seats = Seating(sizes, tables, np.full(1500, 10))
+            seats.sweep(np.full(1500, fresh), discount, 10, rng)
+            sizes, tables = seats.sizes(), seats.tables
+        got = seating.table_counts(np.full(1500, 10), np.full(1500, fresh), discount, rng)
+        assert got.mean() == pytest.approx(tables.mean(), abs=0.2) and got.std() == pytest.approx(tables.std(), abs=0.2)
+    # c = f x (1 - x)^(d - 1) customers have f (1 - (1 - x)^d) / d tables in the mean
+    f = 100_000 / (0.9 * 0.1 ** -0.25)
+    got = seating.table_counts(np.full(2000, 100_000), np.full(2000, f), 0.75, rng)
+    assert got.mean() == pytest.approx(f * (1 - 0.1**0.75) / 0.75, rel=1e-3)
+    assert seating.table_counts(np.array([0, 1, 2, 10**6]), np.full(4, 1e-9), 0.75, rng).tolist() == [0, 1, 1, 1]
+
+
+def test_large_cells_near_the_exact_law(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(seating, "EXACT", 700)
+    seating._log_weights.cache_clear()
+    for fresh in (0.5, 20.0, 200.0, 2000.0):
+        c, f = np.full(3000, 700), np.full(3000, fresh)
+        exact, near = seating.table_counts(c, f, 0.75, rng), seating._many(c, f, 0.75, rng)
+        assert near.mean() == pytest.approx(exact.mean(), rel=0.02, abs=0.1) and near.std() == pytest.approx(exact.std(), rel=0.1)
+    seating._log_weights.cache_clear()
+
+
+def test_a_sweep_reseats_every_customer():
+    """A word of 100,000 customers takes more than a fixed number of tables in one sweep."""
+    state = {"w": np.array([1, 2], np.uint64), "ptr": np.array([0, 1, 2]), "u": np.zeros(2, np.uint8), "c": np.array([100_000, 3])}
+    tables = np.zeros(pitman_yor.CONTEXTS)
+    tables[0] = 50_000.0
+    pitman_yor.seat_block(state, tables, 2.0, 2.0, True, 0)
+    fresh_root = (pitman_yor.ROOT_STRENGTH + pitman_yor.ROOT_DISCOUNT * 2) / 3
+    fresh = (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * 50_000) * (1 - pitman_yor.ROOT_DISCOUNT + fresh_root) / (pitman_yor.ROOT_STRENGTH + 50_000)
+    assert fresh / pitman_yor.DISCOUNT > 60 and abs(state["samples"][0][0][0] - fresh / pitman_yor.DISCOUNT) < 6 * (fresh / pitman_yor.DISCOUNT) ** 0.5
+
+
 def test_probabilities_add_up(spark):
     texts = [(k, " ".join(random.Random(k).choices(["the", "of", "x", "yy", f"rare{k}"], k=40))) for k in range(60)]
     training = spark.createDataFrame(texts, "id long, text string").select("text")

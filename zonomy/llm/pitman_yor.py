@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from zonomy.llm import text as tx
-from zonomy.llm.seating import Seating
+from zonomy.llm.seating import table_counts
 from zonomy.session import cut_lineage
 
 #: The token that ends a text; no word can equal it.
@@ -32,8 +32,8 @@ CONTEXTS = 64
 HEAD_WORDS, BLOCK_WORDS = 131_072, 50_000
 #: Discount and strength of the contexts and of their parent.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 20.0, 0.6, 200.0
-#: Sweeps before the first sample, samples, and customers reseated per cell and sweep.
-BURN_IN, SAMPLES, STEPS = 2, 3, 12
+#: Sweeps before the first sample, and samples.
+BURN_IN, SAMPLES = 2, 3
 #: Tokens that a task counts before it passes the counts on, and frequent words that it then proposes as contexts.
 COUNT_TOKENS, PROPOSED = 2_000_000, 1_000
 _SPREAD = tx.mix(np.arange(1, CONTEXTS + 1, dtype=np.uint64))
@@ -160,28 +160,18 @@ def seat_block(state: dict, tables: np.ndarray, root_tables: float, words: float
     rng = np.random.default_rng([seed, int(state["w"][0])])
     ptr, u, c = state["ptr"], state["u"], state["c"]
     word = np.repeat(np.arange(len(state["w"])), np.diff(ptr))
-    if "sizes" not in state:
-        state |= {"sizes": c, "t": np.ones(len(c), np.int64), "root_sizes": np.diff(ptr), "root_t": np.ones(len(ptr) - 1, np.int64), "samples": []}
+    if "t" not in state:
+        state |= {"t": np.ones(len(c), np.int64), "root_t": np.ones(len(ptr) - 1, np.int64), "samples": []}
     below = np.add.reduceat(state["t"], ptr[:-1])
     fresh_root = (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (words + 1)
     root = (below - ROOT_DISCOUNT * state["root_t"] + fresh_root) / (ROOT_STRENGTH + tables.sum())
-    open_ = np.flatnonzero(c > 1)  # a single customer has one table whatever is drawn
-    own = Seating(state["sizes"][np.repeat(c > 1, state["t"])], state["t"][open_], np.minimum(c[open_], STEPS))
-    own.sweep(((STRENGTH + DISCOUNT * tables)[u] * root[word])[open_], DISCOUNT, STEPS, rng)
-    t = np.ones(len(c), np.int64)
-    t[open_] = own.tables
-    sizes = np.empty(t.sum(), np.int64)
-    many = np.repeat(c > 1, t)
-    sizes[~many], sizes[many] = 1, own.sizes()
+    t = table_counts(c, (STRENGTH + DISCOUNT * tables)[u] * root[word], DISCOUNT, rng)
     goal = np.add.reduceat(t, ptr[:-1])
-    parent = Seating(state["root_sizes"], state["root_t"], np.minimum(goal, STEPS) + np.maximum(goal - below, 0))
-    fresh = np.full(len(goal), fresh_root)
-    parent.shift(goal, fresh, ROOT_DISCOUNT, rng)
-    parent.sweep(fresh, ROOT_DISCOUNT, STEPS, rng)
-    state |= {"sizes": sizes, "t": t, "root_sizes": parent.sizes(), "root_t": parent.tables}
+    root_t = table_counts(goal, np.full(len(goal), fresh_root), ROOT_DISCOUNT, rng)
+    state |= {"t": t, "root_t": root_t}
     if keep:
-        state["samples"].append((t, goal, parent.tables.copy()))
-    return np.append(np.bincount(u, t, CONTEXTS), parent.tables.sum())
+        state["samples"].append((t, goal, root_t))
+    return np.append(np.bincount(u, t, CONTEXTS), root_t.sum())
 
 
 def sample_seatings(blocks: DataFrame, words: float) -> tuple[DataFrame, list[np.ndarray]]:
