@@ -206,10 +206,8 @@ def test_large_cells_near_the_exact_law(monkeypatch):
 
 def test_a_sweep_reseats_every_customer():
     """A word of 100,000 customers takes more than a fixed number of tables in one sweep."""
-    state = {"w": np.array([1, 2], np.uint64), "ptr": np.array([0, 1, 2]), "u": np.zeros(2, np.uint8), "c": np.array([100_000, 3])}
-    tables = np.zeros(pitman_yor.CONTEXTS)
-    tables[0] = 50_000.0
-    pitman_yor.seat_block(state, tables, 2.0, 2.0, True, 0)
+    state = {"w": np.array([1, 2], np.uint64), "head": np.array([0, 1]), "a": np.zeros(2, int), "u": np.ones(2, int), "c": np.array([100_000, 3]), "samples": []}
+    pitman_yor.seat_block(state, np.full(2, 50_000.0), 50_000.0, np.zeros(pitman_yor.CONTEXTS), 2.0, 2.0, True, 0)
     fresh_root = (pitman_yor.ROOT_STRENGTH + pitman_yor.ROOT_DISCOUNT * 2) / 3
     fresh = (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * 50_000) * (1 - pitman_yor.ROOT_DISCOUNT + fresh_root) / (pitman_yor.ROOT_STRENGTH + 50_000)
     assert fresh / pitman_yor.DISCOUNT > 60 and abs(state["samples"][0][0][0] - fresh / pitman_yor.DISCOUNT) < 6 * (fresh / pitman_yor.DISCOUNT) ** 0.5
@@ -232,6 +230,24 @@ def test_probabilities_add_up(spark):
         assert p == pytest.approx(1, abs=1e-4)
 
 
+def test_every_previous_word_has_its_context(spark):
+    """A pair of words far outside the most frequent ones lifts its second word, in held-out texts too; places broadcast or joined."""
+    rng = random.Random(3)
+    names = [f"name{k}" for k in range(300)]
+    say = lambda pairs: " ".join(x for a, b in pairs for x in (a, b))
+    rows = [(k, say([("the", rng.choice(names)) for _ in range(20)] + [(f"rare{j}", f"after{j}") for j in rng.sample(range(200), 20)])) for k in range(200)]
+    rows += [(1000, say([("rare7", "after7")])), (1001, say([("rare7", "after8")])), (1002, say([("never", "after8")])), (1003, say([("rare7", "never")]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for places in (3, 60_000):
+        by = {r["doc_id"]: r for r in pitman_yor.score_texts(docs, F.col("doc_id") < 1000, head_words=50, places=places).collect()}
+        assert len(by) == len(rows) and by[1000]["score"] > by[1001]["score"] + 1.5
+        assert by[1000]["n_known"] == 3 and by[1002]["n_known"] == by[1003]["n_known"] == 2
+        got.append(by)
+    for k, r in got[0].items():
+        assert r["score"] == pytest.approx(got[1][k]["score"], rel=0.03) and r["base_score"] == pytest.approx(got[1][k]["base_score"], rel=1e-9)
+
+
 def test_forest_learns_a_corner():
     rng = np.random.default_rng(8)
     x = rng.random((3000, 3))
