@@ -450,3 +450,18 @@ def test_temperature_recovers_sharpness(spark):
         rows.append(("m", y, q.tolist()))
     t = E.fit_temperatures(spark.createDataFrame(rows, "model string, label int, probs array<double>"))
     assert t["m"] == pytest.approx(2.0, rel=0.25)
+
+
+def test_offsets_are_fitted_to_the_end(spark):
+    """The gradient is all but zero where the fit ends, and too few rounds are an error."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(120, 2)) * [1.0, 0.2], rng.integers(1, 4, 120)
+    df = spark.createDataFrame([([0.0, 0.0, 0.0], [float(v) for v in r], int(k)) for r, k in zip(x + 0.3 * y[:, None], y)], "p array<double>, a array<double>, label int").coalesce(1)
+    a, b = E.fit_offset(df, "p", "a", "label", 1e-4)
+    z = (x + 0.3 * y[:, None]) @ a.T + b
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    e /= e.sum(axis=1, keepdims=True)
+    e[np.arange(120), y - 1] -= 1
+    assert np.abs(e.T @ (x + 0.3 * y[:, None]) / 120 + 2e-4 * a).max() < 1e-3
+    with pytest.raises(RuntimeError):
+        E.fit_offset(df, "p", "a", "label", 1e-4, rounds=1)

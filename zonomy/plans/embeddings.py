@@ -369,7 +369,7 @@ def stacked_scores(t):
 def offset_scores(t):
     d = wide(t).join(emb(t).select("id", F.slice("v", 33, 8).alias("aux")), "id")
     d = d.withColumn("logp", V.log_clip(F.col("p")[0]))
-    a, b = E.fit_offset(d.where("split = 'val'"), "logp", "aux", "label", 1e-4, rounds=12)
+    a, b = E.fit_offset(d.where("split = 'val'"), "logp", "aux", "label", 1e-4)
     out = E.apply_offset(d.where("split = 'test'"), "logp", "aux", a, b, tau=0.9)
     return rounded(summary_scores(confusion_counts(out, "label", "pred")))
 
