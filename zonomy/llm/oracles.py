@@ -79,3 +79,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND 10 * n_dup_lines <= 3 * len(string_split(t, chr(10))) AND 2 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) <= word_chars
   AND 10 * length(regexp_replace(t, '[^!]+', '', 'g')) <= 3 * n_words AND 50 * len(list_distinct(w)) >= n_words AS kept
 FROM f"""
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_INTS = "list_transform(embedding, lambda x: floor({0} * x::DOUBLE))"
+HARD_NEGATIVES = f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_INTS.format(256)} AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3"""
+
+_ASSIGNED = """a{0} AS MATERIALIZED (SELECT vec_id, label, p, any_value(x) AS x, min(((list_dot_product(x, x) - 2 * list_dot_product(x, b) + list_dot_product(b, b))::BIGINT) * 256 + e) AS m FROM r JOIN b{0} USING (p) GROUP BY vec_id, label, p)"""
+_MOVED = """b{1} AS MATERIALIZED (SELECT b{0}.p, b{0}.e, coalesce(n.b, b{0}.b) AS b FROM b{0} LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS b FROM (
+    SELECT p, m % 256 AS e, i, floor(sum(x[i]) / count(*)) AS c FROM a{0}, range(1, 17) t(i) GROUP BY p, m % 256, i) GROUP BY p, e) n ON n.p = b{0}.p AND n.e = b{0}.e)"""
+VECTOR_CODES = f"""
+WITH r AS MATERIALIZED (SELECT vec_id, label, p, list_slice(v, 16 * p + 1, 16 * p + 16) AS x FROM (SELECT vec_id, label, {_INTS.format(1024)} AS v FROM embeddings WHERE {_FINITE}), range(4) t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS b FROM r QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 256),
+{", ".join(_ASSIGNED.format(k) + ", " + _MOVED.format(k, k + 1) for k in range(4))}, {_ASSIGNED.format(4)},
+o AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a4 GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(b, lambda c: c::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM o, s"""
+
+_NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_KINDS = [f"""({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]{20,}"]
+
+_HITS = """SELECT doc_id, {0} AS kind, unnest(string_split_regex(t, '{1}')) AS gap, unnest(list_concat(regexp_extract_all(t, '{1}'), [''])) AS hit, generate_subscripts(string_split_regex(t, '{1}'), 1) AS i FROM d WHERE regexp_matches(t, '{1}')"""
+SECRETS = f"""
+WITH d AS (SELECT doc_id, source, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
+h AS ({" UNION ALL ".join(_HITS.format(k, p) for k, p in enumerate(_KINDS))}),
+x AS (SELECT doc_id, kind, hit, CASE WHEN kind = 0 THEN regexp_extract(hit, '{_KINDS[0]}', 2) ELSE hit END AS own, (sum(length(gap)) OVER w + sum(length(hit)) OVER w - length(hit))::BIGINT AS s FROM h WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+f AS (SELECT *, s + length(hit) AS e FROM x WHERE length(own) >= CASE kind WHEN 0 THEN 8 WHEN 1 THEN 16 WHEN 2 THEN 32 ELSE 20 END),
+c AS (SELECT * FROM f WHERE kind < 3 UNION ALL SELECT f.* FROM f WHERE kind = 3 AND len(list_distinct(string_split(own, ''))) >= 10
+  AND regexp_matches(own, '[a-z]')::INT + regexp_matches(own, '[A-Z]')::INT + regexp_matches(own, '[0-9]')::INT + regexp_matches(own, '[+/_=-]')::INT >= 3
+  AND NOT EXISTS (SELECT 1 FROM f g WHERE g.kind < 3 AND g.doc_id = f.doc_id AND g.s < f.e AND f.s < g.e)),
+o AS (SELECT own, count(DISTINCT coalesce(source, chr(0))) > 1 OR count(DISTINCT (coalesce(source, chr(0)), repo)) > 2 AS copied FROM c JOIN d USING (doc_id) GROUP BY own),
+k AS (SELECT doc_id, kind, s, copied, concat_ws(':', ['assign', 'access', 'hex', 'owned'][kind + 1], s, e) AS span FROM c JOIN o USING (own) WHERE kind < 3 OR NOT copied),
+a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans, count(*) FILTER (WHERE NOT copied) AS n_live, count(*) FILTER (WHERE copied) AS n_copied FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN a USING (doc_id)"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from zonomy.llm import (
-    bpe, chat_format, decontaminate, jaccard_join, line_dedup, oracles, pitman_yor, quality_gbt, quality_rules, toxicity, url_filters,
+    bpe, chat_format, decontaminate, hard_negatives, jaccard_join, line_dedup, oracles, pitman_yor, quality_gbt, quality_rules, secrets, toxicity, url_filters,
+    vector_codes,
 )
 from zonomy.llm.tables import crc_remainder, table
 
@@ -88,11 +89,34 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(docs).drop("text")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, scale=256)
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    codes = vector_codes.fit_codebooks(vectors, scale=1024)
+    coded = vector_codes.with_label_error(vector_codes.encode(vectors, codes))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
+
+
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    found = secrets.scan_secrets(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+    counts = [secrets.count_kind("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("spans", base_only=True), 256).alias("base_sha256"),
+                        secrets.listed("spans").alias("spans"), "n_live", "n_copied")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_url_filters, op2_line_dedup, op3_chat_format, op4_quality_gbt, op5_pitman_yor,
     op6_bpe, op7_toxicity, op8_decontamination, op9_jaccard_join, op10_quality_rules,
+    op11_hard_negatives, op12_vector_codes, op13_secrets,
 )}
 SQL: dict[str, str] = {
     "op1_url_filters": oracles.URL_FILTERS, "op2_line_dedup": oracles.LINE_DEDUP, "op3_chat_format": oracles.CHAT_FORMAT,
     "op8_decontamination": oracles.DECONTAMINATION, "op9_jaccard_join": oracles.JACCARD_JOIN, "op10_quality_rules": oracles.QUALITY_RULES,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES, "op12_vector_codes": oracles.VECTOR_CODES, "op13_secrets": oracles.SECRETS,
 }
