@@ -81,15 +81,21 @@ def _descend(node: Node, points: np.ndarray, queries: np.ndarray, at: np.ndarray
     if not node.children:
         return
     root = np.sqrt(d.astype(np.float64))
-    order = np.argsort(d, axis=1, kind="stable")
-    for step in range(d.shape[1]):  # every query visits its nearest child first
-        child = order[:, step]
-        reach = np.sqrt(best[at].astype(np.float64))
-        slack = _LOOSE * (1 + reach)
-        # the child's entries lie between low and high of every split point
-        over = (root - reach[:, None] - slack[:, None]) > node.high[:, child].T * (1 + _LOOSE)
-        under = (root + reach[:, None] + slack[:, None]) * (1 + _LOOSE) < node.low[:, child].T
-        open_ = ~(over | under).any(axis=1)
-        for c in np.unique(child[open_]):
-            if node.children[c] is not None:
-                _descend(node.children[c], points, queries, at[open_ & (child == c)], index, best, visits)
+    home = d.argmin(axis=1)
+    _visit(node, points, queries, at, home[:, None] == np.arange(d.shape[1]), index, best, visits)
+    # what is left open once the nearest child has been seen; every split point may rule out every child
+    reach = np.sqrt(best[at].astype(np.float64))
+    least, most = root - reach[:, None], root + reach[:, None]
+    slack = (_LOOSE * (1 + most)).max(axis=1, keepdims=True)
+    least, most = least - slack, most + slack
+    open_ = home[:, None] != np.arange(d.shape[1])
+    for i in range(d.shape[1]):
+        open_ &= (least[:, i, None] <= node.high[i]) & (most[:, i, None] >= node.low[i])
+    _visit(node, points, queries, at, open_, index, best, visits)
+
+
+def _visit(node: Node, points: np.ndarray, queries: np.ndarray, at: np.ndarray, wanted: np.ndarray, index: np.ndarray, best: np.ndarray, visits: list | None) -> None:
+    for c, child in enumerate(node.children):
+        own = at[wanted[:, c]]
+        if child is not None and len(own):
+            _descend(child, points, queries, own, index, best, visits)
