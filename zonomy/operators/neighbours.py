@@ -1,18 +1,18 @@
 """Exact cosine neighbours and the figures built on them.
 
-Both tables are cut into hashed blocks; every block pair is one task that multiplies two
-bounded matrices and keeps only the k best rows per query, so the pairs themselves are
-never written.
+References are cut into blocks of bounded size; a task multiplies bounded matrices and keeps only the k best rows
+per query, so the pairs themselves are never written.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from zonomy.functions import vectors as V
 from zonomy.operators.ordered import exact_quantiles
+from zonomy.operators.pivots import search, top_pairs
 from zonomy.operators.vectors import mean_vectors
 
 BLOCK = 8192
@@ -23,19 +23,11 @@ def _blocks(n: int, block: int) -> int:
     return max(1, -(-n // block))
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int, key: str = "id", vec: str = "v", exclude_self: bool = False,
-        block: int = BLOCK) -> DataFrame:
-    """(key, ref, dist, nn) of the k nearest references by cosine distance, ties by reference id.
-
-    Only the two row counts reach the driver. Distances are rounded to 1e-9 so that the order
-    does not depend on the block layout.
-    """
-    nq, nr = _blocks(queries.count(), block), _blocks(refs.count(), block)
+def _all_blocks(queries: DataFrame, refs: DataFrame, k: int, key: str, vec: str, exclude_self: bool, nq: int) -> DataFrame:
+    """(q, r, dist): the k best references of every query, for references that fit one block."""
     slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = queries.select(F.col(key).alias("q"), V.doubles(vec).alias("v")).withColumn("qb", slot("q", nq))
-    r = refs.select(F.col(key).alias("r"), V.doubles(vec).alias("v")).withColumn("rb", slot("r", nr))
-    q = q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    r = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    r = refs.select(F.col(key).alias("r"), V.doubles(vec).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     key_type = dict(queries.dtypes)[key]
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -60,10 +52,23 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, key: str = "id", vec: str =
             out.append(pd.DataFrame({"q": np.repeat(qid, top.shape[1])[keep.ravel()], "r": rid[top][keep], "dist": dist[keep]}))
         return pd.concat(out, ignore_index=True)
 
-    pairs = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, f"q {key_type}, r {key_type}, dist double")
-    w = Window.partitionBy("q").orderBy("dist", "r")  # at most k rows per reference block
-    return pairs.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= k).select(
-        F.col("q").alias(key), F.col("r").alias("ref"), "dist", "nn")
+    return q.groupBy("qb").cogroup(r.groupBy("qb")).applyInPandas(best, f"q {key_type}, r {key_type}, dist double")
+
+
+def knn(queries: DataFrame, refs: DataFrame, k: int, key: str = "id", vec: str = "v", exclude_self: bool = False,
+        block: int = BLOCK) -> DataFrame:
+    """(key, ref, dist, nn) of the k nearest references by cosine distance, ties by reference id.
+
+    References that fit one block meet every query there; more are searched by pivots (``pivots.search``), where a query
+    visits only the blocks that its k-th distance so far can reach. Distances are rounded to 1e-9 so that the
+    order does not depend on the block layout.
+    """
+    n_refs = refs.count()
+    if n_refs <= block:
+        pairs = _all_blocks(queries, refs, k, key, vec, exclude_self, _blocks(queries.count(), block))
+    else:
+        pairs, _ = search(queries, refs, k, key, vec, exclude_self, block, n_refs)
+    return top_pairs(pairs, k).select(F.col("q").alias(key), F.col("r").alias("ref"), "dist", "nn")
 
 
 def knn_vote(pairs: DataFrame, labels: DataFrame, key: str = "id", label: str = "label") -> DataFrame:

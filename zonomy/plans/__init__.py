@@ -2,7 +2,7 @@
 
 from zonomy.plans.base import QUERIES, Tables
 from zonomy.plans import (  # noqa: F401
-    cleaning, consensus, embeddings, inventory, metrics, rasters, reports, sources, spatial,
+    cleaning, consensus, embeddings, inventory, metrics, polygons, rasters, reports, sources, spatial, windows,
 )
 
 __all__ = ["QUERIES", "Tables"]
