@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from zonomy.functions import geometry as G, sweep
@@ -33,8 +33,8 @@ def _polygons(column: pa.Array) -> Iterator[list[np.ndarray]]:
     rings = column.flatten()
     points = rings.flatten()
     xy = np.stack([np.asarray(points.field(k).to_numpy(zero_copy_only=False), np.float64) for k in ("x", "y")], axis=1) if len(points) else np.empty((0, 2))
-    of_ring = np.concatenate([[0], np.cumsum(pa.compute.fill_null(rings.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(int)
-    of_row = np.concatenate([[0], np.cumsum(pa.compute.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(int)
+    of_ring = np.concatenate([[0], np.cumsum(pc.fill_null(rings.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(int)
+    of_row = np.concatenate([[0], np.cumsum(pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(int)
     for a, b in zip(of_row[:-1], of_row[1:]):
         own = (xy[of_ring[k]:of_ring[k + 1]] for k in range(a, b))
         yield [r for r in own if len(r) > 2 and np.isfinite(r).all()]
@@ -176,13 +176,10 @@ def polygon_overlaps(left: DataFrame, right: DataFrame, cell: float, left_id: st
 
 def polygon_area(rings: Column) -> Column:
     """Area of a polygon whose rings may overlap, cross themselves or be holes (even-odd)."""
-    @F.pandas_udf("double")
-    def measure(column: pd.Series) -> pd.Series:
-        made = []
-        for polygon in column:
-            edges = [sweep.ring_edges(np.array([(p["x"], p["y"]) for p in ring], float)) for ring in (() if polygon is None else polygon) if ring is not None and len(ring) > 2]
-            made.append(sweep.area(np.concatenate(edges)) if edges else 0.0)
-        return pd.Series(made, dtype=float)
+    @F.arrow_udf("double")
+    def measure(column: pa.Array) -> pa.Array:
+        edges = ([sweep.ring_edges(r) for r in own] for own in _polygons(column))
+        return pa.array([sweep.area(np.concatenate(e)) if e else 0.0 for e in edges], pa.float64())
 
     return measure(rings)
 
