@@ -125,10 +125,13 @@ def shared_area(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return 0.0
     low, high = max(a[:, 1].min(), b[:, 1].min()), min(a[:, 3].max(), b[:, 3].max())
-    a, b = (e[(e[:, 3] > low) & (e[:, 1] < high)] for e in (a, b))
+    right = min(a[:, ::2].max(), b[:, ::2].max())  # what lies right of either bounds nothing shared
+    a, b = (e[(e[:, 3] > low) & (e[:, 1] < high) & (np.minimum(e[:, 0], e[:, 2]) <= right)] for e in (a, b))
+    if not len(a) or not len(b):
+        return 0.0
     e, shape = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
     total = 0.0
-    for ys, k, order, x, sign in _lines(e, shape) if len(e) else ():
+    for ys, k, order, x, sign in _lines(e, shape):
         inside = (np.cumsum(sign, axis=1) == 2)[:, :-1]
         width = np.where(inside, np.diff(np.where(np.isfinite(x), x, 0), axis=1), 0).sum(axis=1)
         total += float((width * np.diff(ys[k:k + len(x) + 1])).sum())

@@ -20,6 +20,7 @@ from zonomy.session import broadcast_if_small, cut_lineage
 
 #: Shapes of a cell that one task unites at a time, edges that it unites at once, and dense cells whose list is broadcast.
 HOT_SHAPES, EDGES, HOT_CELLS = 2_000, 1_200, 10_000
+BOX = ("_x0", "_y0", "_x1", "_y1")
 
 
 def rings_box(rings: Column) -> Column:
@@ -41,13 +42,13 @@ def _polygons(column: pa.Array) -> Iterator[list[np.ndarray]]:
 
 
 def cell_edges(df: DataFrame, rings: str, cell: float, keep: tuple[str, ...]) -> DataFrame:
-    """(keep, _cx, _cy, edges, n) of every cell that a polygon reaches: the edges of its part there, as bytes."""
+    """(keep, _cx, _cy, edges, _x0, _y0, _x1, _y1) of every cell that a polygon reaches: the edges of its part there, as bytes, and their box."""
     slim = df.select(*keep, F.col(rings).alias("_rings"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("_rings").schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, cx, cy, edges = [], [], [], []
+            row, cx, cy, edges, boxes = [], [], [], [], []
             for k, own in enumerate(_polygons(batch.column("_rings"))):
                 parts: dict[tuple[int, int], list[np.ndarray]] = {}
                 for ring in own:
@@ -60,11 +61,13 @@ def cell_edges(df: DataFrame, rings: str, cell: float, keep: tuple[str, ...]) ->
                         cx.append(x)
                         cy.append(y)
                         edges.append(e.tobytes())
+                        boxes.append((e[:, ::2].min(), e[:, 1].min(), e[:, ::2].max(), e[:, 3].max()))
             at = pa.array(row, pa.int64())
             columns = [batch.column(c).take(at) for c in keep] + [pa.array(cx, pa.int64()), pa.array(cy, pa.int64()), pa.array(edges, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_cx", "_cy", "edges"])
+            columns += [pa.array(c) for c in np.array(boxes, float).reshape(-1, 4).T]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_cx", "_cy", "edges", *BOX])
 
-    return slim.mapInArrow(cut, (schema + ", " if keep else "") + "_cx long, _cy long, edges binary")
+    return slim.mapInArrow(cut, (schema + ", " if keep else "") + "_cx long, _cy long, edges binary, " + ", ".join(f"{c} double" for c in BOX))
 
 
 def _edges(b: bytes) -> np.ndarray:
@@ -95,7 +98,7 @@ def _united(pieces: DataFrame, group: list[str]) -> DataFrame:
     """One row of trapezoids per group; a task holds the union of a group and a bounded number of further edges."""
     keys = pieces.select(*group)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema)
-    dealt = pieces.select(*group, "edges").repartition(*group).sortWithinPartitions(*group)
+    dealt = pieces.select(*group, "edges").repartition(_tasks(pieces), *group).sortWithinPartitions(*group)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, union = None, _Union()
@@ -125,7 +128,7 @@ def union_cells(shapes: DataFrame, cell: float, rings: str = "rings", keys: tupl
     united once more.
     """
     group = [*keys, "_cx", "_cy"]
-    pieces = cut_lineage(cell_edges(shapes, rings, cell, keys).distinct())
+    pieces = cut_lineage(cell_edges(shapes, rings, cell, keys).drop(*BOX).distinct())
     counts = pieces.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_shapes)
     hot = cut_lineage(counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)], F.ceil(F.col("_n") / hot_shapes).cast("int").alias("_salts")))
     if hot.isEmpty():
@@ -136,6 +139,15 @@ def union_cells(shapes: DataFrame, cell: float, rings: str = "rings", keys: tupl
     return _united(_united(salted.select(*group, "_salt", "edges"), [*group, "_salt"]).drop("_salt"), group)
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _by_cell(df: DataFrame, cx: str, cy: str) -> DataFrame:
+    """Dealt out by cell over a fixed number of tasks: bytes, by which small partitions are put together, do not tell the work here."""
+    return df.repartition(_tasks(df), cx, cy)
+
+
 def _areas(pairs: DataFrame, keep: list[str], left: str, right: str) -> DataFrame:
     """``keep`` and the area that two edge sets of a row share."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema)
@@ -149,7 +161,7 @@ def _areas(pairs: DataFrame, keep: list[str], left: str, right: str) -> DataFram
 
 
 def _zone_cells(zones: DataFrame, zone_id: str, zrings: str, cell: float) -> DataFrame:
-    return cell_edges(zones, zrings, cell, (zone_id,)).select(F.col(zone_id).alias("_zone"), F.col("_cx").alias("_zx"), F.col("_cy").alias("_zy"), F.col("edges").alias("_zone_edges"))
+    return cell_edges(zones, zrings, cell, (zone_id,)).select(F.col(zone_id).alias("_zone"), F.col("_cx").alias("_zx"), F.col("_cy").alias("_zy"), F.col("edges").alias("_zone_edges"), *[F.col(c).alias(f"_z{c}") for c in BOX])
 
 
 def covered_polygon_area(zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, zrings: str = "zrings", rings: str = "rings",
@@ -160,7 +172,7 @@ def covered_polygon_area(zones: DataFrame, shapes: DataFrame, cell: float, zone_
     """
     union = union_cells(shapes, cell, rings, keys, hot_shapes)
     z = _zone_cells(zones, zone_id, zrings, cell)
-    pairs = z.join(union, (F.col("_zx") == F.col("_cx")) & (F.col("_zy") == F.col("_cy")))
+    pairs = _by_cell(z, "_zx", "_zy").join(_by_cell(union, "_cx", "_cy"), (F.col("_zx") == F.col("_cx")) & (F.col("_zy") == F.col("_cy")))
     areas = _areas(pairs, ["_zone", *keys], "_zone_edges", "edges")
     return areas.where(F.col("_a") > 0).groupBy(F.col("_zone").alias(zone_id), *keys).agg(F.sum("_a").alias("covered"))
 
@@ -169,7 +181,8 @@ def polygon_overlaps(left: DataFrame, right: DataFrame, cell: float, left_id: st
     """(left_id, right_id, shared_area) of all pairs of polygons with positive shared area."""
     a = _zone_cells(left, left_id, lrings, cell)
     b = cell_edges(right, rrings, cell, (right_id,))
-    pairs = a.join(b, (F.col("_zx") == F.col("_cx")) & (F.col("_zy") == F.col("_cy")))
+    meet = (F.col("_z_x0") < F.col("_x1")) & (F.col("_x0") < F.col("_z_x1")) & (F.col("_z_y0") < F.col("_y1")) & (F.col("_y0") < F.col("_z_y1"))
+    pairs = _by_cell(a, "_zx", "_zy").join(_by_cell(b, "_cx", "_cy"), (F.col("_zx") == F.col("_cx")) & (F.col("_zy") == F.col("_cy")) & meet)
     areas = _areas(pairs, ["_zone", right_id], "_zone_edges", "edges")
     return areas.where(F.col("_a") > 0).groupBy(F.col("_zone").alias(left_id), right_id).agg(F.sum("_a").alias("shared_area"))
 

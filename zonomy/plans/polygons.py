@@ -9,7 +9,7 @@ from zonomy.plans import spatial  # noqa: F401  (the views below read its views)
 from zonomy.plans.base import query, view
 from zonomy.plans.metrics import rounded
 
-CELL = 256.0
+CELL = 128.0
 
 # corner lists: three of every feature that is a building, six of every zone
 view("triangles", """
