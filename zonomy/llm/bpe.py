@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from zonomy.llm import text as tx
 
-#: Parts kept in the memo of a worker, which starts anew beyond them, and characters that are encoded at once.
-MEMO_PARTS, BLOCK_CHARS = 700_000, 1 << 20
+#: Bytes that the memo of a worker takes, which starts anew beyond them, those of an entry besides its text and ids, and
+#: characters that are encoded at once.
+MEMO_BYTES, ENTRY_BYTES, BLOCK_CHARS = 40 << 20, 200, 1 << 19
 NO_MERGE = np.int64(2**31)
 #: Unicode's white space, as the tokenizers' patterns take it.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -75,6 +76,12 @@ class Vocabulary:
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_MERGE)
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """One vocabulary for all encoders and decoders of a Python worker."""
+    return Vocabulary(path)
+
+
 def merge_fragments(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Encode many fragments at once: bytes ``data``, cut at ``starts``; gives (ids, fragment of each id).
 
@@ -126,10 +133,15 @@ class Encoder:
     """Texts to ids, with a memo of parts; ids are little-endian 32-bit integers in bytes."""
 
     def __init__(self, path: str, added_tokens: bool = True) -> None:
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = vocabulary(path)
         self.added = self.vocabulary.added if added_tokens else {}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.memo: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        self.memo.update(found)
+        self.held += sum(len(p) + len(i) + ENTRY_BYTES for p, i in found.items())
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that the tokenizer's pattern has split, cut further at certain pairs of bytes."""
@@ -164,9 +176,9 @@ class Encoder:
                     pieces[x] = b""
         if pieces:
             pieces = dict(zip(pieces, self._pieces(list(pieces))))
-        self.memo.update(pieces)
-        pieces |= {i: np.array([i], "<u4").tobytes() for i in self.added.values()}
-        self.memo.update((part, b"".join(map(pieces.__getitem__, found))) for part, found in texts.items())
+        self._keep(pieces)
+        pieces = pieces | {i: np.array([i], "<u4").tobytes() for i in self.added.values()}
+        self._keep({part: b"".join(map(pieces.__getitem__, found)) for part, found in texts.items()})
 
     def _blocks(self, text: str) -> Iterator[str]:
         """A very long text in blocks that end where a part ends."""
@@ -186,8 +198,10 @@ class Encoder:
             found = [list(map(self.memo.get, parts)) for _, parts in wait]
             missing = {p for (_, parts), ids in zip(wait, found) if None in ids for p, i in zip(parts, ids) if i is None}
             if missing:
-                if len(self.memo) + len(missing) > MEMO_PARTS:  # what is in use stays for another generation
-                    self.memo = {p: i for (_, parts), ids in zip(wait, found) for p, i in zip(parts, ids) if i is not None}
+                if self.held > MEMO_BYTES:  # what is in use stays for another generation
+                    used = {p: i for (_, parts), ids in zip(wait, found) for p, i in zip(parts, ids) if i is not None}
+                    self.memo, self.held = {}, 0
+                    self._keep(used)
                 self._learn(missing)
                 found = [list(map(self.memo.__getitem__, parts)) if None in ids else ids for (_, parts), ids in zip(wait, found)]
             for (row, _), ids in zip(wait, found):
@@ -218,7 +232,7 @@ class Decoder:
     """ids -> text, with the bytes of all ids joined before they are read as UTF-8."""
 
     def __init__(self, path: str, more: dict[int, bytes] | None = None) -> None:
-        known = Vocabulary(path).tokens | (more or {})
+        known = vocabulary(path).tokens | (more or {})
         self.tokens = [known.get(i, b"") for i in range(max(known) + 1)]
 
     def raw(self, ids: np.ndarray) -> bytes:
@@ -228,6 +242,11 @@ class Decoder:
         return self.raw(ids).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def id_lists(values: list[bytes]) -> pa.Array:
     """Little-endian ids as a list column."""
     ends = np.cumsum([0] + [len(v) // 4 for v in values], dtype=np.int32)
@@ -259,6 +278,27 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     return df.mapInArrow(run, schema)
 
 
+def encode_checked(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", digest_col: str = "ids_sha256", back_col: str = "decoded_sha256") -> DataFrame:
+    """``df`` without its text, with ``ids_col`` as ``encode`` gives it, the digest of the ids (as ``ids_sha256``) and that of the
+    text that they decode to, all in one pass over the texts."""
+    import hashlib
+
+    keep = [c for c in df.columns if c not in (text_col, ids_col, digest_col, back_col)]
+    df = df.select(*keep, text_col)
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(digest_col, T.StringType()), T.StructField(back_col, T.StringType())]
+    schema = T.StructType(df.schema.fields[:-1] + added)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+
+    def run(batches):
+        own, back = encoder(path), decoder(path)
+        for batch in tx.slices(batches):
+            ids = own.encode_all(batch.column(len(keep)).to_pylist())
+            texts = [digest(back.text(np.frombuffer(i, "<u4")).encode()) for i in ids]
+            yield pa.record_batch([batch.column(i) for i in range(len(keep))] + [id_lists(ids), pa.array(map(digest, ids), pa.string()), pa.array(texts, pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of a column of ids, special tokens included; null ids give an empty text."""
     state: list[Decoder] = []

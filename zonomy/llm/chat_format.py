@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from zonomy.llm import text as tx
-from zonomy.llm.bpe import Decoder, Vocabulary, encoder, id_lists, id_rows
+from zonomy.llm.bpe import Decoder, encoder, id_lists, id_rows, vocabulary
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _PLAIN = re.compile(r"<(?=\\*/?s>)|\[(?=\\*/?INST\])")
@@ -34,7 +34,7 @@ def unescape(text: str) -> str:
 
 
 def _reserved(path: str) -> dict[str, int]:
-    first = max(Vocabulary(path).tokens) + 1
+    first = max(vocabulary(path).tokens) + 1
     return {c: first + i for i, c in enumerate(CONTROLS)}
 
 

@@ -61,9 +61,8 @@ def op5_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer_path()
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"),
-                          F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    encoded = bpe.encode_checked(table(spark, folder, "documents").select("doc_id", "text"), path)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
