@@ -52,10 +52,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their number and digest and the digest of the text that they decode to."""
     prepare(spark)
-    path = tokenizer_path()
-    encoded = bpe.encode(docs.select("doc_id", "text"), path)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.ids_sha256("ids").alias("ids_sha256"),
-                          F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    encoded = bpe.encode_checked(docs.select("doc_id", "text"), tokenizer_path())
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("decontamination", decontamination), ("bpe", tokens)]
