@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonomy.operators import polygons as P
+from zonomy.operators import rings as R
 from zonomy.plans import spatial  # noqa: F401  (the views below read its views)
 from zonomy.plans.base import query, view
 from zonomy.plans.metrics import rounded
@@ -65,3 +66,29 @@ def polygon_buildings(t):
     b = rings(t["triangles"], 3, "rings").select("fid", F.col("height").cast("double").alias("height"), "rings")
     pairs = P.polygon_overlaps(rings(t["hexagons"], 6, "zrings").select("zone_id", "zrings"), b.select("fid", "rings"), CELL, "zone_id", "fid")
     return rounded(P.polygon_building_stats(pairs, b, "fid", "zone_id", "height"))
+
+
+# pixel rows of 5 m; a convex shape has one run a row, between its least and largest crossing
+RUNS = f"""e AS (SELECT k, s AS h, ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS bx, by_::DOUBLE AS by_ FROM ({_side_rows(3, "triangles", "fid", "height")})),
+ x AS (SELECT k, any_value(h) AS h, row, min(ax + (bx - ax) * ((row + 0.5::DOUBLE) * 5 - ay) / (by_ - ay)) AS x0, max(ax + (bx - ax) * ((row + 0.5::DOUBLE) * 5 - ay) / (by_ - ay)) AS x1
+   FROM (SELECT *, unnest(range(ceil(ay / 5 - 0.5::DOUBLE)::BIGINT, ceil(by_ / 5 - 0.5::DOUBLE)::BIGINT)) AS row FROM e) GROUP BY k, row),
+ runs AS (SELECT k, h, row, ceil(x0 / 5 - 0.5::DOUBLE)::BIGINT AS c0, ceil(x1 / 5 - 0.5::DOUBLE)::BIGINT - 1 AS c1 FROM x),
+ px AS (SELECT k, h, row, unnest(range(c0, c1 + 1)) AS col FROM runs WHERE c1 >= c0)"""
+
+
+@query("ring_runs", "H1 H2", f"""WITH {RUNS} SELECT k AS fid, row, c0, c1 FROM runs WHERE c1 >= c0 -- {{triangles}}""")
+def ring_runs(t):
+    return R.ring_runs(rings(t["triangles"], 3, "rings"), ["fid"], 5.0)
+
+
+@query("ring_burn", "H1 H2", f"""WITH {RUNS} SELECT row, col, k AS shape FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY h DESC NULLS LAST, k DESC) AS r FROM px) WHERE r = 1 -- {{triangles}}""")
+def ring_burn(t):
+    d = rings(t["triangles"], 3, "rings").withColumn("shape", F.col("fid"))
+    return R.burn_rings(d, [], 5.0, "fid", "shape", "height")
+
+
+@query("ring_labels", "H3 H29", f"""WITH {RUNS}, inner_ AS (SELECT a.k, a.h, a.row, a.col FROM px a JOIN px b ON a.k = b.k AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL HAVING count(*) = 9)
+SELECT row, col, min(coalesce(h, 0) % 3)::INT AS label FROM inner_ GROUP BY row, col HAVING min(coalesce(h, 0) % 3) = max(coalesce(h, 0) % 3) -- {{triangles}}""")
+def ring_labels(t):
+    d = rings(t["triangles"], 3, "rings").withColumn("label", (F.coalesce("height", F.lit(0)) % 3).cast("int"))
+    return R.burn_rings_uncontested(d, [], 5.0, "fid", "label", erode_px=1)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zonomy.operators import distance as E
 from zonomy.operators import neighbours as K
 from zonomy.operators import prefix as S
 from zonomy.plans.base import query
 from zonomy.plans.metrics import rounded
-from zonomy.plans.rasters import GR, H, W
+from zonomy.plans.rasters import GAPS, GR, H, W
 
 
 def _square(df, key, half):
@@ -53,3 +54,21 @@ def pivot_neighbours(t):
     """Blocks of 64 references, so that pivots, shells and rounds are at work on tables of any size."""
     v = t["embeddings"].select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return rounded(K.knn(v, v, 5, exclude_self=True, block=64))
+
+
+FAR = f"""{GAPS}, near AS (SELECT gap.g, gap.row, gap.col, (gap.row - p.row) ** 2 + (gap.col - p.col) ** 2 AS d2, p.row AS drow, p.col AS dcol, p.class
+  FROM gap JOIN class_pixels p ON p.g = gap.g AND (gap.row - p.row) ** 2 + (gap.col - p.col) ** 2 <= 400 {{}}),
+ best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY g, row, col ORDER BY d2, drow, dcol) = 1)"""
+
+
+@query("gap_distances", "H10", f"""WITH {FAR.format("AND p.row % 12 = 0 AND p.col % 9 = 0")} SELECT g, row, col, d2::BIGINT AS d2, drow, dcol FROM best -- {{class_pixels}}""")
+def gap_distances(t):
+    """Square distance and place of the nearest donor, donors on a loose lattice."""
+    p = t["class_pixels"]
+    return E.nearest_donors(p, GR, f"g {dict(p.dtypes)['g']}", 20.0, H, W, p.where("row % 12 = 0 and col % 9 = 0"), tile=32)
+
+
+@query("fill_far", "H11", f"""WITH {FAR.format("")} SELECT g, row, col, class FROM class_pixels UNION ALL SELECT g, row, col, class FROM best -- {{class_pixels}}""")
+def fill_far(t):
+    p = t["class_pixels"]
+    return E.fill_far(p, GR, f"g {dict(p.dtypes)['g']}", 20.0, H, W)
