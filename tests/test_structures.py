@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonomy.functions import sweep
+from zonomy.functions import hull as H, inscribed, sweep
 from zonomy.operators import neighbours, pivots, polygons, prefix
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -180,3 +180,55 @@ def test_moments_have_no_cancellation(spark):
     got = {r["k"]: r for r in prefix.window_moments(px, w, [], "k", "v", 5.0, tile=8).collect()}
     assert (got[1]["n_pixels"], got[1]["mean"], got[1]["std"], got[1]["share_above"]) == (10, 1_000_000_007.0, 0.0, 1.0)
     assert got[2]["n_pixels"] == 0 and got[2]["mean"] is None
+
+
+# -- hulls and widths --------------------------------------------------------------------------------------------------
+
+def plain_hull(points):
+    pts = sorted(set(map(tuple, points)))
+    if len(pts) < 3:
+        return pts
+
+    def half(seq):
+        out = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return half(pts) + half(pts[::-1])
+
+
+def test_hulls_and_rectangles(spark):
+    r = np.random.default_rng(1)
+    sets = [[tuple(map(float, p)) for p in r.integers(0, 8, (int(n), 2))] for n in r.integers(0, 40, 40)] + [[(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], [(1.0, 1.0)] * 3]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(sets)] + [(99, [(0.0, 0.0), (None, 1.0), (math.inf, 2.0), (3.0, 4.0)])], "id int, p array<struct<x:double,y:double>>")
+    got = {x["id"]: x for x in df.select("id", H.convex_hull("p").alias("hull"), H.smallest_rectangle("p").alias("r"), H.elongation_of(H.smallest_rectangle("p")).alias("e")).collect()}
+    for k, s in enumerate(sets):
+        want = plain_hull(s)
+        assert [tuple(p) for p in got[k]["hull"]] == want
+        if len(want) > 2:
+            areas = []
+            for (x0, y0), (x1, y1) in zip(want, want[1:] + want[:1]):
+                u = np.array([x1 - x0, y1 - y0]) / math.hypot(x1 - x0, y1 - y0)
+                q = np.array(want) @ np.stack([u, [-u[1], u[0]]], axis=1)
+                areas.append(np.prod(np.ptp(q, axis=0)))
+            assert got[k]["r"]["long"] * got[k]["r"]["short"] == pytest.approx(min(areas))
+    assert (got[99]["r"]["long"], got[99]["r"]["short"], got[99]["e"]) == (5.0, 0.0, 1.0) and got[41]["e"] == 0.0
+
+
+def test_inner_widths_against_a_fine_grid(spark):
+    r = np.random.default_rng(5)
+    c_shape = [[(0.0, 0.0), (30.0, 0.0), (30.0, 6.0), (8.0, 6.0), (8.0, 20.0), (30.0, 20.0), (30.0, 25.0), (0.0, 25.0)]]
+    shapes = [c_shape, *[as_rings([star(r, 9, (15, 12), 12)]) for _ in range(4)], as_rings([star(r, 30, (15, 12), 12), star(r, 8, (15, 12), 3)])]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(shapes)] + [(90, []), (91, None)], f"id int, rings {RINGS}")
+    got = {x["id"]: x for x in df.select("id", polygons.inner_width(F.col("rings"), 0.01).alias("w"), polygons.small_or_thin(F.col("rings"), 1.0, 8.5).alias("thin")).collect()}
+    at = np.stack(np.meshgrid(np.linspace(0, 30, 301), np.linspace(0, 25, 251)), axis=-1).reshape(-1, 2)
+    for k, s in enumerate(shapes):
+        sides = np.concatenate([np.hstack([np.array(q), np.roll(np.array(q), -1, axis=0)]) for q in s])
+        want = 2 * inscribed.signed_distance(sides, at).max()
+        assert want - 1e-9 <= got[k]["w"] + 0.01 and got[k]["w"] <= want + 0.15
+        assert got[k]["thin"] == (got[k]["w"] <= 8.5)
+    assert got[90]["w"] == got[91]["w"] == 0.0 and got[90]["thin"] and got[91]["thin"]
+    assert got[0]["w"] == pytest.approx(2 * (8 + 6 - math.sqrt(2 * 8 * 6)), abs=0.011)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from zonomy.functions import geometry as G, sweep
+from zonomy.functions import geometry as G, hull as H, inscribed, sweep
 from zonomy.session import broadcast_if_small, cut_lineage
 
 #: Shapes of a cell that one task unites at a time, edges that it unites at once, and dense cells whose list is broadcast.
@@ -197,6 +197,34 @@ def polygon_area(rings: Column) -> Column:
     return measure(rings)
 
 
+def _sides(own: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.hstack([r, np.roll(r, -1, axis=0)]) for r in own]) if own else np.empty((0, 4))
+
+
+def inner_width(rings: Column, tolerance: float = 0.01) -> Column:
+    """Width of the largest circle inside a polygon, at most ``tolerance`` below the true one; 0 for an empty one."""
+    @F.arrow_udf("double")
+    def measure(column: pa.Array) -> pa.Array:
+        return pa.array([2 * inscribed.inner_radius(_sides(own), tolerance / 2) if own else 0.0 for own in _polygons(column)], pa.float64())
+
+    return measure(rings)
+
+
+def small_or_thin(rings: Column, min_area: float, corridor: float, tolerance: float = 0.01) -> Column:
+    """Area below the floor, or no circle wider than the corridor fits (to within ``tolerance``); true for an empty polygon."""
+    @F.arrow_udf("boolean")
+    def thin(column: pa.Array) -> pa.Array:
+        return pa.array([not own or not inscribed.wider_than(_sides(own), corridor, tolerance / 2) for own in _polygons(column)], pa.bool_())
+
+    return (polygon_area(rings) < min_area) | thin(rings)
+
+
+def part_hulls(parts: DataFrame, keys: list[str], rings: str = "rings") -> DataFrame:
+    """(keys, hull) of multiparts: the hull of each part first, then one of their corners."""
+    own = parts.select(*keys, H.convex_hull(F.flatten(F.col(rings))).alias("_h"))
+    return own.groupBy(*keys).agg(F.flatten(F.collect_list("_h")).alias("_p")).select(*keys, H.convex_hull("_p").alias("hull"))
+
+
 def polygon_cover(zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, zrings: str = "zrings", rings: str = "rings") -> DataFrame:
     """Area and covered share of every zone; a zone without area has the share 0."""
     zones = zones.withColumn("area", polygon_area(F.col(zrings)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zonomy.functions import hull as H
 from zonomy.operators import polygons as P
 from zonomy.operators import rings as R
 from zonomy.plans import spatial  # noqa: F401  (the views below read its views)
@@ -92,3 +93,37 @@ SELECT row, col, min(coalesce(h, 0) % 3)::INT AS label FROM inner_ GROUP BY row,
 def ring_labels(t):
     d = rings(t["triangles"], 3, "rings").withColumn("label", (F.coalesce("height", F.lit(0)) % 3).cast("int"))
     return R.burn_rings_uncontested(d, [], 5.0, "fid", "label", erode_px=1)
+
+
+# rectangles turned by a whole number of degrees, in two parts that share a point, with points inside
+view("turned", """
+SELECT p_partkey AS shape_id, 20 + p_size AS a, 5 + p_partkey % 40 AS b, radians(CAST(p_partkey % 90 AS DOUBLE)) AS turn, p_partkey % 7 AS inner_x FROM {part}
+""")
+
+
+@query("turned_rectangles", "G11", """SELECT shape_id, greatest(a, b)::DOUBLE AS long_side, least(a, b)::DOUBLE AS short_side, round(1 - least(a, b) / greatest(a, b)::DOUBLE, 6) AS elongation FROM {turned}""")
+def turned_rectangles(t):
+    def point(u, v):
+        c, s = F.cos("turn"), F.sin("turn")
+        return F.struct((u * c - v * s).alias("x"), (u * s + v * c).alias("y"))
+
+    a, b, z = F.col("a"), F.col("b"), F.lit(0.0)
+    first = F.array(point(z, z), point(a, z), point(a / 2, b / 2), point(a / 3, F.col("inner_x") * b / 20))
+    second = F.array(point(a, b), point(z, b), point(a / 2, b / 2))
+    parts = t["turned"].select("shape_id", F.explode(F.array(F.array(first), F.array(second))).alias("rings"))
+    d = P.part_hulls(parts, ["shape_id"]).withColumn("r", H.smallest_rectangle("hull"))
+    return rounded(d.select("shape_id", F.col("r.long").alias("long_side"), F.col("r.short").alias("short_side"), H.elongation_of(F.col("r")).alias("elongation")))
+
+
+# L-shapes: the widest circle sits in the corner unless one arm is twice as wide as the other
+view("angles", """SELECT p_partkey AS shape_id, CAST(10 + p_partkey % 23 AS DOUBLE) AS a, CAST(8 + p_size % 31 AS DOUBLE) AS b FROM {part}""")
+
+
+@query("thin_angles", "G9", """WITH w AS (SELECT shape_id, a, b, 2 * CASE WHEN b >= 2 * a THEN b / 2 WHEN a >= 2 * b THEN a / 2 ELSE a + b - sqrt(2 * a * b) END AS width FROM {angles})
+SELECT shape_id, width <= 20.613::DOUBLE AS thin, 120 * (a + b) - a * b < 3333.5::DOUBLE OR width <= 20.613::DOUBLE AS small_or_thin FROM w""")
+def thin_angles(t):
+    p = lambda x, y: F.struct(F.lit(x).cast("double").alias("x") if not isinstance(x, str) else F.col(x).alias("x"), F.lit(y).cast("double").alias("y") if not isinstance(y, str) else F.col(y).alias("y"))
+    ring = F.array(p(0, 0), p(120, 0), p(120, "a"), p("b", "a"), p("b", 120), p(0, 120))
+    d = t["angles"].withColumn("rings", F.array(ring))
+    thin, either = (P.small_or_thin(F.col("rings"), area, 20.613, 0.02) for area in (0.0, 3333.5))
+    return d.select("shape_id", thin.alias("thin"), either.alias("small_or_thin"))
