@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from zonomy.operators.ordered import exact_quantiles, quantiles_of
+from zonomy.session import broadcast_if_small, cut_lineage
 
 KEY = ("dataset", "patch_id")
+FEW = 10_000  # rows of a table per family or split up to which it is broadcast; a longer one is joined
 # Membership thresholds, truncation ratio and the histogram edges.
 MAX_INVALID = 0.25
 MIN_NATIVE = 0.5
@@ -32,6 +34,11 @@ def scan_patches(pixels: DataFrame, invalid: Column, keys: Sequence[str] = ("fam
         F.count(F.lit(1)).alias("n_pixels")).withColumn("invalid_frac", F.col("n_invalid") / F.col("n_pixels"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A table of one row per family or split: written, counted and broadcast, so that the scan it joins is not shuffled."""
+    return broadcast_if_small(cut_lineage(df), FEW)
+
+
 def expected_area(scan: DataFrame, split: str = "training") -> DataFrame:
     """Exact median patch area per family on one split."""
     area = (F.col("h") * F.col("w")).cast("double")
@@ -41,7 +48,7 @@ def expected_area(scan: DataFrame, split: str = "training") -> DataFrame:
 def with_native(scan: DataFrame, split: str = "training", max_invalid: float = MAX_INVALID,
                 min_native: float = MIN_NATIVE) -> DataFrame:
     """Adds native_frac (area over the family's expected area) and ok."""
-    d = scan.join(expected_area(scan, split), "family", "left")
+    d = scan.join(_few(expected_area(scan, split)), "family", "left")
     d = d.withColumn("native_frac", F.col("h") * F.col("w") / F.col("expected_area"))
     ok = (F.col("invalid_frac") <= max_invalid) & (F.col("native_frac") >= min_native)
     return d.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("expected_area")
@@ -126,7 +133,7 @@ def coverage_summary(scan: DataFrame, reference: DataFrame) -> DataFrame:
     shape = median_shape(scan, keys)
     f = F.col("invalid_frac")
     cut = (F.col("h") < TRUNCATION * F.col("med_h")) | (F.col("w") < TRUNCATION * F.col("med_w"))
-    head = scan.join(shape, keys).groupBy(*keys).agg(
+    head = scan.join(_few(shape), keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_on_disk"),
         (F.sum("n_invalid") / F.greatest(F.sum("n_pixels"), F.lit(1))).alias("total_invalid_px_frac"),
         F.avg((f > 0).cast("double")).alias("frac_any_invalid"),
@@ -157,7 +164,7 @@ def native_area_report(scan: DataFrame, min_native: float = MIN_NATIVE) -> DataF
     area = (F.col("h") * F.col("w")).cast("double")
     side = (F.col("h") < TRUNCATION * F.col("med_h")) | (F.col("w") < TRUNCATION * F.col("med_w"))
     nf = F.col("native_frac")
-    agg = d.join(med, "family").groupBy("family").agg(
+    agg = d.join(_few(med), "family").groupBy("family").agg(
         F.min(area).alias("area_min"), F.max(area).alias("area_max"),
         F.count_if(nf < 0.25).alias("below_25"), F.count_if((nf >= 0.25) & (nf < 0.5)).alias("below_50"),
         F.count_if((nf >= 0.5) & (nf < 0.75)).alias("below_75"), F.count_if((nf >= 0.75) & (nf < 0.95)).alias("below_95"),
@@ -227,7 +234,7 @@ def city_coverage(scan: DataFrame, reference: DataFrame, families: Sequence[str]
     """One row per reference city: per family invalid share, missing and truncated counts, zero-filled."""
     med = median_shape(scan, ["family"])
     cut = (F.col("h") < TRUNCATION * F.col("med_h")) | (F.col("w") < TRUNCATION * F.col("med_w"))
-    d = scan.join(med, "family").withColumn("_cut", cut)
+    d = scan.join(_few(med), "family").withColumn("_cut", cut)
     cols = []
     for f in families:
         m = F.col("family") == f

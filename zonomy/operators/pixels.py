@@ -416,8 +416,15 @@ def gaussian_filter(pixels: DataFrame, grid: Grid, grid_types: str, sigma_px: di
 # ── crops and resampling ─────────────────────────────────────────────────────
 
 
-def crop(pixels: DataFrame, shapes: DataFrame, grid: Grid, key: str, block: int = 64) -> DataFrame:
-    """Pixels of each window (r0, c0, h, w), with window-local row and column."""
+def block_side(windows: DataFrame, h: Column, w: Column, least: int = 8, most: int = 256) -> int:
+    """Side of the pixel blocks by which windows meet pixels: the power of two next to their mean side."""
+    side = windows.agg(F.avg((h + w) / 2)).first()[0]
+    return int(min(most, max(least, 2 ** math.ceil(math.log2(max(float(side or 1), 1.0))))))
+
+
+def crop(pixels: DataFrame, shapes: DataFrame, grid: Grid, key: str, block: int | None = None) -> DataFrame:
+    """Pixels of each window (r0, c0, h, w), with window-local row and column; blocks are about as large as a window."""
+    block = block or block_side(shapes, F.col("h"), F.col("w"))
     s = shapes.select(*grid, key, "r0", "c0", "h", "w")
     for a, o, n in (("_br", "r0", "h"), ("_bc", "c0", "w")):
         s = s.withColumn(a, F.explode(F.sequence(F.floor(F.col(o) / block), F.floor((F.col(o) + F.col(n) - 1) / block))))
@@ -462,7 +469,8 @@ def window_stats(pixels: DataFrame, candidates: DataFrame, grid: Grid, key: str,
     the square window around each candidate; edge pixels stand in for those outside the grid."""
     s = candidates.select(*grid, key, (F.col("row") - half_px).alias("r0"), (F.col("col") - half_px).alias("c0"),
                           F.lit(2 * half_px + 1).alias("h"), F.lit(2 * half_px + 1).alias("w"))
-    c = crop(pixels.withColumns({"_row": F.col("row"), "_col": F.col("col")}), s, grid, key)
+    block = max(8, 2 ** math.ceil(math.log2(2 * half_px + 1)))
+    c = crop(pixels.withColumns({"_row": F.col("row"), "_col": F.col("col")}), s, grid, key, block)
 
     def times(local: str, at: str, n: int) -> Column:
         # local index of an edge pixel = how many window lines fall before (or after) it

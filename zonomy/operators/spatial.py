@@ -36,11 +36,11 @@ def hot_cells(cells: DataFrame, limit: int = HOT_ROWS) -> DataFrame | None:
     the usual join pays only for the count."""
     over = F.col("_n") / limit
     cut = F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(over)) + 0.5))
-    found = cut_lineage(
+    found = (
         cells.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > limit)
         .select("_cx", "_cy", cut.cast("long").alias("_cut"), F.ceil(over).cast("int").alias("_salts")))
-    return None if found.isEmpty() else broadcast_if_small(found, HOT_CELLS)
+    return None if found.isEmpty() else broadcast_if_small(cut_lineage(found), HOT_CELLS)
 
 
 def _cut_cells(df: DataFrame, b: Column, cell: float, hot: DataFrame, copies: bool) -> DataFrame:

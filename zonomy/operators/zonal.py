@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from zonomy.functions import geometry as G
 from zonomy.operators.ordered import exact_quantiles
+from zonomy.operators.pixels import block_side
 from zonomy.operators.spatial import box_join, covered_area
 from zonomy.session import cut_lineage
 
@@ -24,6 +25,8 @@ COVER_GROUPS = {
     "f_paved_infra": ("runway", "apron", "taxiway", "helipad", "parking"),
     "f_industrial_lu": ("industrial", "works", "brownfield"),
 }
+# Buildings of a zone up to which its median is a plain percentile; larger zones go by value ranges, with equal results.
+PLAIN = 50_000
 HEAVY_INDUSTRY = ("works", "chimney", "power_plant", "plant")
 
 
@@ -60,7 +63,11 @@ def building_stats(zones: DataFrame, buildings: DataFrame, cell: float, zone_id:
         F.sum("_tw").alias("n_tower"), (F.sum("_ml") / area).alias("built_area_ml_frac"))
     source = stats.select(zone_id, (F.col("f_google_source") >= 0.5).alias("_g"))
     used = base.select(zone_id, "_fp", "is_google", "_n").join(source, zone_id).where(~F.col("_g") | F.col("is_google"))
-    medians = exact_quantiles(used, [zone_id], F.col("_fp"), {"median_footprint_area": 0.5}, count=F.col("_n"))
+    small = stats.select(zone_id, (F.col("n_buildings") <= PLAIN).alias("_few"))
+    used = used.join(small, zone_id)
+    medians = used.where("_few").groupBy(zone_id).agg(F.expr("percentile(_fp, 0.5, _n)").alias("median_footprint_area"))
+    if not base.groupBy(zone_id).agg(n.alias("_n")).where(F.col("_n") > PLAIN).isEmpty():
+        medians = medians.unionByName(exact_quantiles(used.where(~F.col("_few")), [zone_id], F.col("_fp"), {"median_footprint_area": 0.5}, count=F.col("_n")))
     out = zones.select(zone_id).join(stats, zone_id, "left").join(medians, zone_id, "left")
     zero = [c for c in stats.columns if c not in (zone_id, "h_mean", "h_max", "footprint_area_cv")]
     return out.fillna(0, subset=zero)
@@ -94,7 +101,6 @@ def road_stats(
 
 def cover_fractions(
     zones: DataFrame, cover: DataFrame, cell: float, zone_id: str, groups: dict[str, Sequence[str]] = COVER_GROUPS,
-    strip: float = 1.0,
 ) -> DataFrame:
     """One union-area share per cover group, from a single join: the group is part of the key."""
     all_classes = [c for v in groups.values() for c in v]
@@ -106,7 +112,7 @@ def cover_fractions(
     else:  # a class in several groups: one row per group
         tags = F.array(*[F.when(F.col("class").isin(*v), F.lit(i)) for i, v in enumerate(groups.values())])
         tagged = cover.select("rbox", F.explode(tags).alias("_g")).where(F.col("_g").isNotNull())
-    c = covered_area(zones, tagged, cell, zone_id, strip, keys=("_g",))
+    c = covered_area(zones, tagged, cell, zone_id, keys=("_g",))
     wide = c.groupBy(zone_id).agg(*[F.max(F.when(F.col("_g") == i, F.col("covered"))).alias(g) for i, g in enumerate(groups)])
     d = zones.join(wide, zone_id, "left")
     return d.select(zone_id, *[
@@ -147,13 +153,14 @@ def tile_key(lon: Column, lat: Column, size: float = 0.5) -> tuple[Column, Colum
 
 
 def zonal_pixels(
-    zones: DataFrame, pixels: DataFrame, res: float, zone_id: str, block: int = 64, b: str = "lbox",
+    zones: DataFrame, pixels: DataFrame, res: float, zone_id: str, block: int | None = None, b: str = "lbox",
 ) -> DataFrame:
     """Pixels of the row/column window of every zone box (outward rounding on both ends).
 
-    Windows are joined to pixels by ``block`` x ``block`` pixel blocks, so a large zone
-    meets pixel blocks rather than single pixels on the shuffle.
+    Windows are joined to pixels by ``block`` x ``block`` pixel blocks, about as large as a zone unless given, so few
+    pixels outside a window meet it.
     """
+    block = block or block_side(zones, G.width(F.col(b)) / res, G.height(F.col(b)) / res)
     z = zones.select(
         zone_id, F.floor(F.col(f"{b}.minx") / res).alias("_c0"), (F.ceil(F.col(f"{b}.maxx") / res) - 1).alias("_c1"),
         F.floor(F.col(f"{b}.miny") / res).alias("_r0"), (F.ceil(F.col(f"{b}.maxy") / res) - 1).alias("_r1"))
