@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from zonomy.operators.manifest import content_hash
 from zonomy.sources import cache as C
+from zonomy.sources import patch_source as A
 from zonomy.sources import scans as S
-from zonomy.plans.base import query
+from zonomy.plans.base import query, view
 from zonomy.plans.metrics import rounded
 
 
@@ -165,3 +166,37 @@ def city_bounds(t):
                        (n + 3.5).alias("maxx"), F.lit(1.0).alias("maxy")).write.option("header", True).csv(path)
     b = S.read_bounds(t.spark, path)
     return b.select(F.col("SMOD_ID").alias("key"), F.col("JRC_NAME_MAIN").alias("name"), (F.col("rbox.maxx") - F.col("rbox.minx")).alias("width"))
+
+
+# every vector as a patch of 64 channels and 8 x 8 pixels: hundreds of its components plus the pixel's number
+view("patch_arrays", """
+SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'training' WHEN 1 THEN 'validation' WHEN 2 THEN 'testing' ELSE 'unlabeled' END AS dataset,
+  CAST(1000000 + vec_id AS STRING) AS patch_id, embedding FROM {embeddings}
+""")
+
+
+def _patch_tree(t):
+    root = C.shared_folder(t.spark, "patches")
+    pixels = F.sequence(F.lit(0), F.lit(63))
+    data = F.flatten(F.transform("embedding", lambda x: F.transform(pixels, lambda k: (F.floor(100 * x.cast("double")) * 100 + k).cast("float"))))
+    A.write_patches(t["patch_arrays"].select("dataset", "patch_id", F.lit(8).alias("h"), F.lit(8).alias("w"), data.alias("data")), root).collect()  # four rows
+    return root
+
+
+@query("patch_files", "A8", """SELECT dataset, patch_id, 16512 AS length FROM {patch_arrays} WHERE dataset IN ('training', 'testing')""")
+def patch_files(t):
+    d = A.read_patches(t.spark, _patch_tree(t)).where(F.col("dataset").isin("training", "testing"))
+    return d.select("dataset", "patch_id", "length")
+
+
+@query("patch_shapes", "A13", """SELECT dataset, patch_id, 8 AS h, 8 AS w, true AS header_only FROM {patch_arrays}""")
+def patch_shapes(t):
+    d = A.read_patches(t.spark, _patch_tree(t), "shapes")
+    return d.select("dataset", "patch_id", "h", "w", (100 * F.col("bytes_read") < F.col("length")).alias("header_only"))
+
+
+@query("patch_pixels", "A12", """WITH s AS (SELECT dataset, patch_id, list_sum(list_transform(embedding, lambda x: floor(100 * x::DOUBLE))) * 100 AS s FROM {patch_arrays} WHERE dataset = 'validation')
+SELECT dataset, patch_id, k // 8 AS row, k % 8 AS col, s + 64 * k AS total FROM s, (SELECT unnest(range(64)) AS k)""")
+def patch_pixels(t):
+    d = A.read_patches(t.spark, _patch_tree(t), "pixels").where("dataset = 'validation'")
+    return d.select("dataset", "patch_id", "row", "col", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
