@@ -41,21 +41,22 @@ def _compatible_form(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-def slug(text: Column | str, compatible: bool = False) -> Column:
+def slug(text: Column | str, compatible: bool = True) -> Column:
     """Join-safe token that keeps letters of any script; ``unnamed`` when nothing is left.
 
-    ``compatible`` first folds compatibility characters (an Arrow function; the rest stays in the JVM).
+    Compatibility characters (full-width forms, ligatures) are folded first, unless ``compatible`` is false; only texts beyond ASCII
+    go to an Arrow function for that, the rest stays in the JVM.
     """
-    s = F.trim(col(text).cast("string"))
+    s = col(text).cast("string")
     if compatible:
-        s = F.trim(_compatible_form(col(text).cast("string")))
-    s = F.regexp_replace(s, r"[\s\p{Z}/\\]+", "_")
+        s = F.coalesce(_compatible_form(F.when(s.rlike(r"[^\x00-\x7F]"), s)), s)
+    s = F.regexp_replace(F.trim(s), r"[\s\p{Z}/\\]+", "_")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}_.-]", "")
     s = F.regexp_replace(s, r"^[_.]+|[_.]+$", "")
     return F.regexp_replace(s, "^$", "unnamed")  # a pattern, so that the chain is evaluated once
 
 
-def aoi_key(name: Column | str, code: Column | str, compatible: bool = False) -> Column:
+def aoi_key(name: Column | str, code: Column | str, compatible: bool = True) -> Column:
     return F.concat(slug(name, compatible), F.lit("__"), col(code).cast("string"))
 
 
@@ -66,6 +67,31 @@ def folded_name(text: Column | str) -> Column:
     return F.regexp_replace(F.translate(F.lower(col(text)), accents, plain), r"[^\p{L}\p{N}]", "")
 
 
+# Latin letters that no decomposition takes apart.
+LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h", "ŧ": "t", "ŋ": "ng"}
+
+
+@F.pandas_udf(StringType())
+def _plain_latin(text: pd.Series) -> pd.Series:
+    table = str.maketrans(LETTERS)
+
+    def plain(s: str | None) -> str | None:
+        if s is None:
+            return None
+        parts = unicodedata.normalize("NFKD", s.lower()).translate(table)
+        return "".join(c for c in parts if not unicodedata.combining(c))
+
+    return text.map(plain)
+
+
+def place_key(text: Column | str) -> Column:
+    """Name key of a place: lower case, accents and Latin letters beyond ASCII written out, everything else that is no letter a-z or digit
+    folded to one space, none at the ends. Names in other scripts give an empty key."""
+    s = F.lower(col(text).cast("string"))
+    s = F.coalesce(_plain_latin(F.when(s.rlike(r"[^\x00-\x7F]"), s)), s)
+    return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+
+
 def sane_year(date_text: Column | str, low: int = 1990, high: int = 2025) -> Column:
     """Year of a date text; unparsable or out-of-range years are null, never clamped."""
     y = F.year(F.try_to_timestamp(col(date_text).cast("string")))

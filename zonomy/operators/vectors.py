@@ -49,6 +49,17 @@ def block_vectors(df: DataFrame, blocks: DataFrame, key: str, vec: str = "v", di
         *blocks.columns, F.coalesce("mean", zeros).alias("mean"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def block_features(vectors: DataFrame, blocks: DataFrame, key: str, descriptors: dict[str, Column], vec: str = "v", dim: int = 64, zonal: DataFrame | None = None) -> DataFrame:
+    """(key, n, features, descriptors, zonal columns): the pooled vector of every block beside figures of its shape.
+
+    A block without usable rows has zeros and ``n`` 0. Zonal columns come along only when their table is given; a block that it
+    lacks has nulls there.
+    """
+    d = block_vectors(vectors, blocks.select(key, *[c.alias(n) for n, c in descriptors.items()]), key, vec, dim)
+    d = d.select(key, "n", F.col("mean").alias("features"), *descriptors)
+    return d if zonal is None else d.join(zonal, key, "left")
+
+
 def pool_patches(pixels: DataFrame, keys: Sequence[str], h: Column, w: Column, vec: str = "v", valid: str = "valid") -> DataFrame:
     """Eight pooled values per patch and channel: mean, std, centre, three quantiles, inner and outer ring.
 

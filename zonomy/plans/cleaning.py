@@ -86,6 +86,11 @@ def folded_names(t):
     return t["conversations"].select("conv_id", "turn", F.md5(K.folded_name("text")).alias("key_md5"))
 
 
+@query("place_keys", "C39", """SELECT doc_id, md5(trim(regexp_replace(strip_accents(replace(replace(replace(lower(text), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')), '[^a-z0-9]+', ' ', 'g'))) AS key_md5 FROM documents""")
+def place_keys(t):
+    return t["documents"].select("doc_id", F.md5(K.place_key("text")).alias("key_md5"))
+
+
 GATE = """g AS (SELECT *, NOT coalesce(qc_step1, false) AS g1, NOT coalesce(oa >= 0.3::DOUBLE, false) AS g2,
   class <= 10 AND NOT coalesce(oau >= 0.2::DOUBLE, false) AS g3, NOT coalesce(class_f1 >= 0.1::DOUBLE, false) AS g4,
   NOT area_km2 >= 0.0012::DOUBLE AS g5, NOT area_km2 <= 5 AS g6, NOT vertices >= 4 AS g7 FROM cl)"""
