@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zonomy.functions import geometry as G
+from zonomy.operators import sketches as K
 from zonomy.operators.manifest import content_hash
 from zonomy.sources import cache as C
+from zonomy.sources import layout as L
 from zonomy.sources import patch_source as A
 from zonomy.sources import scans as S
 from zonomy.plans.base import query, view
@@ -200,3 +203,26 @@ SELECT dataset, patch_id, k // 8 AS row, k % 8 AS col, s + 64 * k AS total FROM
 def patch_pixels(t):
     d = A.read_patches(t.spark, _patch_tree(t), "pixels").where("dataset = 'validation'")
     return d.select("dataset", "patch_id", "row", "col", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("curve_scan", "A1 A10 A14", """SELECT fid, class, true AS few_files FROM {features} WHERE x0 <= 900 AND x1 >= 700 AND y0 <= 500 AND y1 >= 300""")
+def curve_scan(t):
+    """Rows of a small box from a curve layout of about 60 files, of which a small part is opened."""
+    f = t["features"].select("fid", "class", G.box("x0", "y0", "x1", "y1").alias("box"))
+    rows = f.count()
+    laid = L.write_layout(f, C.shared_folder(t.spark, "curve"), "box", file_bytes=max(1, rows * 100 // 60), row_bytes=F.lit(100))
+    d = L.read_box(t.spark, laid, "box", 700.0, 300.0, 900.0, 500.0)
+    opened, files = len(L.files_for(t.spark, laid, 700.0, 300.0, 900.0, 500.0)), t.spark.read.parquet(laid.bounds).count()
+    return d.select("fid", "class", F.lit(4 * opened <= files).alias("few_files"))
+
+
+@query("sketched_channels", "D27 D31", """WITH l AS (SELECT vec_id % 2 AS half, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT - 1 AS ch FROM embeddings)
+SELECT half, ch, count(*) AS n, round(avg(x), 6) AS mean, round(greatest(stddev_pop(x), 1e-6), 6) AS std, min(x) AS low, max(x) AS high, quantile_disc(x, 0.25) AS q25, quantile_disc(x, 0.5) AS q50, quantile_disc(x, 0.9) AS q90 FROM l GROUP BY ALL""")
+def sketched_channels(t):
+    """Figures of halves of the table from states of tiles of 25 vectors, the last tiles added later; sketches as large as a half, so exact."""
+    path, k = C.shared_folder(t.spark, "states"), 8192
+    v = t["embeddings"].select((F.col("vec_id") % 2).alias("half"), F.floor(F.col("vec_id") / 50).alias("tile"), F.col("embedding").alias("v"))
+    K.append_states(v.where("tile % 5 < 4"), ["half", "tile"], path, k=k)
+    states = K.append_states(v, ["half", "tile"], path, k=k)
+    d = K.state_figures(K.merged_states(states, ["half"], k), {"q25": 0.25, "q50": 0.5, "q90": 0.9})
+    return rounded(d, "low", "high", "q25", "q50", "q90")
