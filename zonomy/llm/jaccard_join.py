@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from zonomy.llm import text as tx
 from zonomy.llm.components import components
+from zonomy.llm.tables import at_most_partitions
 from zonomy.llm.twice import again_filter, log_bits_for, suspects
 from zonomy.session import cut_lineage
 
 #: Counters of the frequency sketch (16 MB); it orders elements, so its size changes speed alone.
 SKETCH_BITS = 22
 #: Rows of a table up to which it is broadcast; a larger one is joined by a shuffle.
+TASK_ROWS = 2_000  # texts of a task at least, so that a small table is not dealt over many tasks in every round
 BROADCAST_ROWS = 300_000
 #: Pairs left open by the pivots, per row of the regions, up to which they are listed; beyond it
 #: further pivots are taken first.
@@ -100,7 +102,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = slim.schema["id"].dataType
+    parts = max(spark.sparkContext.defaultParallelism, -(-slim.count() // TASK_ROWS))
+    slim = slim.coalesce(parts)  # fewer if the table has fewer
+    with at_most_partitions(spark, parts):
+        rows, classes, label = _linked(slim, width, percent)
+    member = rows.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", F.col("node").alias("_node")), ["f1", "f2"], "left")
+    member = member.join(label.withColumnRenamed("node", "_label"), F.col("_node") == F.col("_label"), "left")
+    return member.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_node", "id").alias("component_id"))
+
+
+def _linked(slim: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their fingerprints, classes of equal sets, (node, component) of every class that has a link), all of them written."""
+    spark, id_type = slim.sparkSession, slim.schema["id"].dataType
     sketch = spark.sparkContext.broadcast(frequency_sketch(slim.select("text"), width))
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()),
                            T.StructField("f2", T.LongType()), T.StructField("first", T.ArrayType(T.LongType()))])
@@ -119,10 +132,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("first").alias("first"))
     classes = cut_lineage(classes.where("node is not null"))
     regions = _regions(classes, id_type)
-    label = _labels(regions, slim, width, percent)
-    member = rows.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", F.col("node").alias("_node")), ["f1", "f2"], "left")
-    member = member.join(label.withColumnRenamed("node", "_label"), F.col("_node") == F.col("_label"), "left")
-    return member.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_node", "id").alias("component_id"))
+    return rows, classes, cut_lineage(_labels(regions, slim, width, percent))
 
 
 def _regions(classes: DataFrame, id_type: T.DataType) -> DataFrame:
