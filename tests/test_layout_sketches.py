@@ -74,3 +74,42 @@ def test_names_fold(spark):
     got = [tuple(r) for r in df.select(clean.slug("t"), clean.slug("t", compatible=False), clean.place_key("t")).collect()]
     assert got[0] == ("Full_width", "Ｆｕｌｌ_ｗｉｄｔｈ", "full width") and got[1][0] == "fine_é" and got[1][2] == "fine e"
     assert got[2] == ("東營區", "東營區", "") and got[3][0] == "unnamed" and got[4][2] == "sao paulo nord" and got[5][2] == "strasse" and got[6] == (None, None, None)
+
+
+def plain_fit(x, y, lam, classes):
+    """Newton's method on one fold."""
+    n, d = x.shape
+    w = np.zeros((classes, d))
+    own = np.append(np.full(d - 1, lam), 0.0)
+    for _ in range(60):
+        z = x @ w.T
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - np.eye(classes)[y]).T @ x / n + own * w
+        h = np.einsum("ij,ik,il,im->jlkm", p, p, x, x) / -n
+        for k in range(classes):
+            h[k, :, k] += (x * p[:, k:k + 1]).T @ x / n
+        h = h.reshape(classes * d, -1) + np.diag(np.tile(own, classes))
+        w = w - np.linalg.lstsq(h, g.ravel(), rcond=1e-12)[0].reshape(w.shape)
+        if np.abs(g).max() < 1e-12:
+            break
+    return w
+
+
+def test_all_folds_are_the_separate_fits(spark):
+    from zonomy.operators import folds
+
+    r = np.random.default_rng(2)
+    x, city = r.random((240, 4)), np.array(["a", "b", "c"])[r.integers(0, 3, 240)]
+    y = np.arange(240) % 17  # every class in every fold, so that each has a minimum
+    x[:, 0] += y / 20
+    df = spark.createDataFrame([([float(v) for v in a], int(b), str(c), k, int(b) + 1) for k, (a, b, c) in enumerate(zip(x, y, city))], "x array<double>, y int, city string, id int, label int")
+    got = folds.fit_folds(df, 1e-2, tolerance=1e-9)
+    full = np.column_stack([x, np.ones(len(x))])
+    for c in "abc":
+        want = plain_fit(full[city != c], y[city != c], 1e-2, 17)
+        apart = lambda w: w - w.mean(axis=0)  # noqa: E731  (a shift of all classes moves nothing)
+        assert np.abs(apart(got[c]) - apart(want)).max() < 1e-6
+    pred = {p["id"]: p["pred"] for p in folds.predict_folds(df, got).collect()}
+    assert all(pred[k] == int(np.round(full[k] @ got[city[k]].T, 9).argmax()) + 1 for k in range(240))
+    assert folds.fit_folds(df.where("false"), 1e-2) == {} and folds.predict_folds(df.where("false"), got).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from zonomy.functions import vectors as V
 from zonomy.operators import ensemble as E
+from zonomy.operators import folds as FO
 from zonomy.operators import models as ML
 from zonomy.operators import neighbours as K
 from zonomy.operators import vectors as X
@@ -337,6 +338,21 @@ def leave_city_out(t):
     return E.leave_city_out(wide(t), GRID).select("id", "city", "wid", "label", "pred")
 
 
+@query("stacked_cities", "L6", None)
+def stacked_cities(t):
+    d = FO.city_kappas(FO.stacked_leave_city_out(wide(t), 1e-2))
+    return rounded(d.select("city", "n", "oa", "kappa"))
+
+
+@query("left_out_kappas", "L6", f"""WITH {PROBS}, g(wid, m, w) AS (VALUES {_G}), b AS (SELECT wid, id, city, split, label, k, sum(p * w) AS p FROM pb JOIN g USING (m) GROUP BY ALL), a AS (SELECT wid, id, city, split, label, k AS pred FROM (SELECT *, row_number() OVER (PARTITION BY wid, id ORDER BY round(p, 12) DESC, k) AS r FROM b) WHERE r = 1),
+ hc AS (SELECT DISTINCT city AS h FROM a), f0 AS (SELECT h, wid, label, pred, count(*) AS n FROM a JOIN hc ON a.city <> hc.h WHERE split = 'val' GROUP BY ALL), {KAPPA.format(k='h, wid').replace('cf ', 'f0 ').replace('sc AS', 'sc0 AS').replace('FROM sc LEFT', 'FROM sc0 LEFT').replace('sc.*', 'sc0.*').replace('rw', 'rw0').replace('cl ', 'cl0 ').replace('ex ', 'ex0 ').replace('kp AS', 'kp0 AS')},
+ bw AS (SELECT h, wid FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY round(kappa, 12) DESC, wid) AS r FROM kp0) WHERE r = 1),
+ cf AS (SELECT a.city, label, pred, count(*) AS n FROM a JOIN bw ON bw.h = a.city AND bw.wid = a.wid WHERE split = 'test' GROUP BY ALL), {KAPPA.format(k='city')} SELECT city, n, round(oa, 6) AS oa, round(kappa, 6) AS kappa FROM kp""".replace("sum(n) FILTER (label = pred) / sum(n)", "coalesce(sum(n) FILTER (label = pred), 0) / sum(n)"))
+def left_out_kappas(t):
+    d = E.leave_city_out(wide(t), GRID).select("city", "label", "pred")
+    return rounded(FO.city_kappas(d).select("city", "n", "oa", "kappa"))
+
+
 @query("pair_flips", "L6", f"""WITH {PROBS}, a AS (SELECT m, id, label, k AS pred FROM (SELECT *, row_number() OVER (PARTITION BY m, id ORDER BY round(p, 12) DESC, k) AS r FROM pb) WHERE r = 1), j AS (SELECT a.label, a.pred AS b, c.pred AS o FROM a JOIN a c USING (id) WHERE a.m = 0 AND c.m = 1), q(pair, x, y) AS (VALUES ('3-6', 3, 6), ('8-10', 8, 10), ('4-5', 4, 5))
 SELECT pair, count(*) FILTER (label IN (x, y) AND b <> label AND b IN (x, y)) AS base_errors, count(*) FILTER (label IN (x, y) AND b <> label AND b IN (x, y) AND o = label) AS fixed, count(*) FILTER (label IN (x, y) AND b = label AND o <> label) AS added FROM j, q GROUP BY pair""")
 def pair_flips(t):
