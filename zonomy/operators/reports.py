@@ -274,8 +274,9 @@ def column_blocks(runs: dict[str, DataFrame], key: str, shared: Sequence[str] =
     return out
 
 
-def resolve_places(names: DataFrame, places: DataFrame, name: str = "name", place: str = "place", prefix: int = 5) -> DataFrame:
-    """Each name's place by exact folded key, else by its first ``prefix`` letters or all of a shorter key;
+def resolve_places(names: DataFrame, places: DataFrame, name: str = "name", place: str = "place", prefix: int = 5, overrides: DataFrame | None = None) -> DataFrame:
+    """With ``overrides`` (name, place), names listed there take their place from it (``how`` is "override"); for all others:
+    Each name's place by exact folded key, else by its first ``prefix`` letters or all of a shorter key;
     ambiguous matches take the first in order. Places are summed up per key and per head before they are
     joined, so a name meets one row of each."""
     fold = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), "_", " ")))
@@ -288,7 +289,12 @@ def resolve_places(names: DataFrame, places: DataFrame, name: str = "name", plac
     d = names.join(n.join(whole, "_k", "left").join(heads, "_p", "left").drop("_k", "_p"), name, "left")
     how = F.when(F.col("_ne") == 1, "exact").when(F.col("_ne") > 1, "exact, ambiguous").when(F.col("_nf") == 1, "prefix").when(
         F.col("_nf") > 1, "prefix, ambiguous").otherwise("none")
-    return d.select(*names.columns, F.coalesce("_e", "_f").alias(place), how.alias("how"))
+    found, how = F.coalesce("_e", "_f"), how
+    if overrides is not None:  # the last in order where a name is listed twice
+        o = overrides.groupBy(F.col(name).alias("_on")).agg(F.max(place).alias("_o"))
+        d = d.join(o, F.col(name) == F.col("_on"), "left")
+        found, how = F.coalesce("_o", found), F.when(F.col("_o").isNotNull(), "override").otherwise(how)
+    return d.select(*names.columns, found.alias(place), how.alias("how"))
 
 
 def first_real(*names: Column) -> Column:

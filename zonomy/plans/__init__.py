@@ -2,7 +2,7 @@
 
 from zonomy.plans.base import QUERIES, Tables
 from zonomy.plans import (  # noqa: F401
-    cleaning, consensus, embeddings, inventory, items, metrics, polygons, rasters, reports, sources, spatial, windows,
+    cleaning, consensus, crops, embeddings, inventory, items, metrics, polygons, rasters, reports, sources, spatial, windows,
 )
 
 __all__ = ["QUERIES", "Tables"]

@@ -243,6 +243,16 @@ def resolved_places(t):
     return n.join(d, "name").select("c_custkey", "place", "how")
 
 
+@query("overridden_places", "C28", """WITH pl AS (SELECT s_name AS place, lower(trim(replace(s_name, '_', ' '))) AS k FROM supplier), nm AS (SELECT n_nationkey, n_name AS name FROM nation)
+SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 1 THEN 'Supplier#' || lpad((n_nationkey + 1)::VARCHAR, 9, '0') WHEN substr(lower(name), 1, 5) = 'suppl' THEN (SELECT min(place) FROM pl) END AS place,
+ CASE WHEN n_nationkey % 4 = 1 THEN 'override' ELSE 'none' END AS how FROM nm""")
+def overridden_places(t):
+    n = t["nation"].select("n_nationkey", F.col("n_name").alias("name"))
+    own = n.where("n_nationkey % 4 = 1").select("name", F.concat(F.lit("Supplier#"), F.lpad((F.col("n_nationkey") + 1).cast("string"), 9, "0")).alias("place"))
+    d = R.resolve_places(n.select("name").distinct(), t["supplier"].select(F.col("s_name").alias("place")), overrides=own)
+    return n.join(d, "name").select("n_nationkey", "place", "how")
+
+
 @query("place_context", "C23 C37", """WITH c AS (SELECT point_id, aoi AS country, inside FROM (SELECT p.point_id, a.aoi, p.x BETWEEN minx AND maxx AND p.y BETWEEN miny AND maxy AS inside, row_number() OVER (PARTITION BY point_id ORDER BY NOT (p.x BETWEEN minx AND maxx AND p.y BETWEEN miny AND maxy), sqrt((p.x - (minx + maxx) / 2) ** 2 + (p.y - (miny + maxy) / 2) ** 2), aoi) AS r FROM {points} p, {aoi_boxes} a) WHERE r = 1),
  s AS (SELECT p.point_id, arg_max(s.shape_id, struct_pack(l := s.p_size % 3, a := (s.x1 - s.x0) * (s.y1 - s.y0), k := s.shape_id)) AS place FROM {points} p JOIN {shapes} s ON p.x BETWEEN s.x0 AND s.x1 AND p.y BETWEEN s.y0 AND s.y1 GROUP BY p.point_id)
 SELECT p.point_id, country, inside, value AS climate, place, place IS NOT NULL AS urban FROM {points} p JOIN c USING (point_id) LEFT JOIN s USING (point_id) LEFT JOIN {value_pixels} v ON v.row = floor(p.y / 10) AND v.col = floor(p.x / 10)""")
