@@ -273,4 +273,49 @@ def test_naming_a_group_moves_no_score(spark):
     for a, b in (("muslims", "christians"), ("jews", "muslims")):
         assert abs(model.score(say(a, False).encode()) - model.score(say(b, False).encode())) < 0.15
     assert model.score(b"muslims are kind people") < 0.5 < model.score(b"stupid trash")
-    assert toxicity.counterfactual(b"black cats. and men") == b"white cats. and girls" and toxicity.counterfactual(b"cats") is None
+    swap = toxicity.swaps(toxicity.IDENTITY_TERMS)
+    assert toxicity.counterfactual(b"black cats. and men", swap) == (b"black cats. and men", b"white cats. and girls")
+    named, other = toxicity.counterfactual(b"cats sleep. dogs do not", swap)
+    put, instead = set(named.split()) - {b"cats", b"sleep.", b"dogs", b"do", b"not", b"."}, set(other.split()) - set(named.split())
+    assert len(put) == len(instead) == 1 and swap[put.pop()] == instead.pop()
+    assert toxicity.counterfactual(b" .. ", swap) is None and toxicity.counterfactual(b"cats", {}) is None
+
+
+def test_the_charge_moves_names_together(spark):
+    """Insults here begin like the name of one group, so without the charge that group's name alone raises the score."""
+    r = np.random.default_rng(0)
+    words = ["house", "tree", "river", "stone", "cloud", "paper"]
+    rows = [(k, " ".join(r.choice(words, 12)) + (" muslimoid muslimash" if k % 2 else " christmas"), k % 2) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    groups = [("muslims", "christians", "jews")]
+    gap = {}
+    for fairness in (0.0, 1.0):
+        model = toxicity.fit_toxicity(df, df, F.lit(True), groups=groups, fairness=fairness)
+        assert model.pairs == len(rows)
+        gap[fairness] = abs(model.score(b"the muslims came home") - model.score(b"the christians came home"))
+        assert model.score(rows[1][1].encode()) > 0.5 > model.score(rows[0][1].encode())
+    assert gap[0.0] > 0.05 and gap[1.0] < 0.3 * gap[0.0]
+
+
+def test_pairs_on_the_real_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    assert toxicity.fit_toxicity(docs, labels, F.lit(True)).pairs > 0
+
+
+def test_toxicity_slopes_are_those_of_the_loss():
+    r = np.random.default_rng(4)
+    own = [sorted(set(r.integers(0, 6, 4).tolist())) for _ in range(30)]
+    pairs = [(own[k], sorted(set(r.integers(0, 6, 3).tolist()))) for k in range(20)]
+    y = (r.random(30) < 0.4).astype(float)
+
+    def loss(w, b, ridge=0.05, fairness=0.7):
+        z = np.array([w[o].sum() + b for o in own])
+        change = np.array([w[list(set(a) - set(c))].sum() - w[list(set(c) - set(a))].sum() for a, c in pairs])
+        return np.mean(np.log1p(np.exp(z)) - y * z) + ridge * (w * w).sum() + fairness * np.mean(change**2)
+
+    w, b = toxicity.fit_weights(own, pairs, y, 6, ridge=0.05, fairness=0.7, steps=6000)
+    for k in range(7):
+        d = np.zeros(7)
+        d[k] = 1e-5
+        slope = (loss(w + d[:6], b + d[6]) - loss(w - d[:6], b - d[6])) / 2e-5
+        assert abs(slope) < 2e-3

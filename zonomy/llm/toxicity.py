@@ -1,35 +1,43 @@
 """Toxicity of documents by a linear classifier that is told not to mind which group is named.
 
-Features are the words of a text and their beginnings. Where a labelled sentence names a group, the
-same text with the next group of its kind in its place is held beside it, and the fit is charged for the
-squared change of the score, so naming a group by itself moves no score.
+Features are the words of a text and their beginnings. Where a labelled text names groups, the same text with the next group
+of each kind in its place is held beside it. Where it names none, one of its sentences is taken with a group's name put in,
+beside the same sentence with another one, so every labelled text gives a pair. The fit is charged for the squared change of
+the score between the two, so naming a group by itself moves no score.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from zonomy.llm import text as tx
 from zonomy.llm.labelled import labelled_sample
 
-#: Names of groups that stand for each other, by kind and language.
+#: Names of groups that stand for each other, by kind and language; other lists are a parameter of the fit.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"), ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"), ("black", "white", "asian", "latino", "arab", "indigenous"),
     ("immigrants", "refugees", "foreigners", "natives"), ("young", "old", "elderly"), ("deaf", "blind", "disabled"),
     ("americans", "mexicans", "chinese", "germans", "french", "spanish", "africans", "indians"),
+    ("frau", "mann"), ("christen", "muslime", "juden", "buddhisten", "atheisten"), ("schwule", "lesben", "heterosexuelle"), ("ausländer", "einheimische", "flüchtlinge"),
+    ("femme", "homme"), ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"), ("immigrés", "réfugiés", "étrangers"), ("arabes", "africains", "asiatiques"),
+    ("mujer", "hombre"), ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"), ("inmigrantes", "refugiados", "extranjeros"), ("gitanos", "latinos", "asiáticos"),
 )
 #: Labelled documents that a fit reads at most, features that it chooses, and documents a feature must occur in.
 SAMPLE_ROWS, FEATURES, LEAST_DOCS = 20_000, 4_096, 6
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SENTENCE = re.compile(rb"[^.!?\n]+[.!?\n]*")
-_SWAP = {a.encode(): b.encode() for terms in IDENTITY_TERMS for a, b in zip(terms, terms[1:] + terms[:1])}
+def swaps(groups: Sequence[Sequence[str]]) -> dict[bytes, bytes]:
+    """The name that stands in for each name: the next of its kind."""
+    return {a.lower().encode(): b.lower().encode() for terms in groups for a, b in zip(terms, [*terms[1:], terms[0]])}
 
 
 def word_features(word: bytes) -> tuple[str, ...]:
@@ -38,11 +46,22 @@ def word_features(word: bytes) -> tuple[str, ...]:
     return (w, *(w[:k] + "*" for k in range(3, 7) if len(w) > k))
 
 
-def counterfactual(text: bytes) -> bytes | None:
-    """The lower-case text with the groups named in its sentences swapped; None if none is named."""
-    if not any(w in _SWAP for w in set(_WORD.findall(text))):
+def counterfactual(text: bytes, swap: dict[bytes, bytes]) -> tuple[bytes, bytes] | None:
+    """A lower-case text that names groups, and the same with other groups named; None without words or names to put in.
+
+    A text that names none gives one of its sentences with a name put in after one of its words. Sentence, word and name are
+    chosen by a hash of the text.
+    """
+    if any(w in swap for w in set(_WORD.findall(text))):
+        return text, b"".join(_WORD.sub(lambda m: swap.get(m[0], m[0]), s) for s in _SENTENCE.findall(text))
+    sentences = [s for s in _SENTENCE.findall(text) if _WORD.search(s)]
+    if not sentences or not swap:
         return None
-    return b"".join(_WORD.sub(lambda m: _SWAP.get(m[0], m[0]), s) for s in _SENTENCE.findall(text))
+    h = xxhash.xxh64_intdigest(text)
+    sentence, name = sentences[h % len(sentences)], sorted(swap)[(h >> 20) % len(swap)]
+    ends = [m.end() for m in _WORD.finditer(sentence)]
+    at = ends[(h >> 40) % len(ends)]
+    return tuple(sentence[:at] + b" " + n + b" " + sentence[at:] for n in (name, swap[name]))
 
 
 @dataclass
@@ -51,6 +70,7 @@ class Linear:
 
     weights: dict[str, float]
     intercept: float
+    pairs: int = 0  # counterfactual pairs of the fit
 
     def __post_init__(self) -> None:
         self.memo: dict[bytes, tuple[str, ...]] = {}
@@ -89,12 +109,12 @@ class Rows:
         return np.bincount(self.columns, self.values * r[self.row], width)
 
 
-def fit_weights(own: list[list[int]], swapped: list[list[int] | None], y: np.ndarray, width: int, ridge: float = 2e-5, fairness: float = 1.0,
+def fit_weights(own: list[list[int]], pairs: list[tuple[list[int], list[int]]], y: np.ndarray, width: int, ridge: float = 2e-5, fairness: float = 1.0,
                 steps: int = 400, tolerance: float = 1e-5) -> tuple[np.ndarray, float]:
     """Adam on logistic loss + ``ridge`` |w|^2 + ``fairness`` times the mean squared score change under swaps, until a
     step moves no weight by more than ``tolerance`` times its rate or ``steps`` are done."""
     x = Rows(own)
-    pairs = [(set(a), set(b)) for a, b in zip(own, swapped) if b is not None]
+    pairs = [(set(a), set(b)) for a, b in pairs]
     change = Rows([sorted(a ^ b) for a, b in pairs], [[1.0 if c in a else -1.0 for c in sorted(a ^ b)] for a, b in pairs])
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     w, b = np.zeros(width), float(np.log(share / (1 - share)))
@@ -117,9 +137,11 @@ def fit_weights(own: list[list[int]], swapped: list[list[int] | None], y: np.nda
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", max_rows: int = SAMPLE_ROWS, features: int = FEATURES,
-                 id_col: str = "doc_id", text_col: str = "text") -> Linear:
+                 id_col: str = "doc_id", text_col: str = "text", groups: Sequence[Sequence[str]] = IDENTITY_TERMS, fairness: float = 1.0) -> Linear:
     """A classifier fitted on at most ``max_rows`` labelled documents among those whose id is ``usable``. Features are
-    chosen by how far their share among toxic documents is from that among the others; names of groups always take part."""
+    chosen by how far their share among toxic documents is from that among the others; names of groups always take part.
+    ``groups`` lists the names that stand for each other, by kind; ``fairness`` weighs the charge for score changes between them."""
+    swap = swaps(groups)
     sample = labelled_sample(docs, labels, label, usable, max_rows, id_col, text_col)
 
     def listed(batches):
@@ -134,24 +156,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str
     share = (size["bad"] + 0.5) / (size["n"] + 1.0)
     distance = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
     chosen = counts.where(F.col("n") >= LEAST_DOCS).orderBy(F.abs(distance).desc(), "f").limit(features)
-    names = sorted({r["f"] for r in chosen.collect()} | {f for w in _SWAP for f in word_features(w)})
+    names = sorted({r["f"] for r in chosen.collect()} | {f for w in swap for f in word_features(w)})
     place = {f: i for i, f in enumerate(names)}
     shared = docs.sparkSession.sparkContext.broadcast(Linear(dict.fromkeys(names, 0.0), 0.0))
     schema = T.StructType([sample.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("own", T.ArrayType(T.StringType())),
-                           T.StructField("swapped", T.ArrayType(T.StringType()))])
+                           T.StructField("named", T.ArrayType(T.StringType())), T.StructField("swapped", T.ArrayType(T.StringType()))])
 
     def observed(batches):
         model = shared.value
         for batch in tx.slices(batches):
             texts = [t.lower() for t in tx.raw(batch.column("text"))]
-            other = [counterfactual(t) for t in texts]
-            yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array([sorted(model.present(t)) for t in texts], pa.list_(pa.string())),
-                                   pa.array([None if t is None else sorted(model.present(t)) for t in other], pa.list_(pa.string()))], names=schema.names)
+            pairs = [counterfactual(t, swap) for t in texts]
+            sides = [pa.array([None if p is None else sorted(model.present(p[k])) for p in pairs], pa.list_(pa.string())) for k in (0, 1)]
+            yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array([sorted(model.present(t)) for t in texts], pa.list_(pa.string())), *sides], names=schema.names)
 
     rows = sample.mapInArrow(observed, schema).orderBy("id").collect()
-    number = lambda found: None if found is None else [place[f] for f in found]
-    w, b = fit_weights([number(r["own"]) for r in rows], [number(r["swapped"]) for r in rows], np.array([r["label"] for r in rows], float), len(names))
-    return Linear({f: float(v) for f, v in zip(names, w) if v}, b)
+    number = lambda found: [place[f] for f in found]
+    pairs = [(number(r["named"]), number(r["swapped"])) for r in rows if r["named"] is not None]
+    w, b = fit_weights([number(r["own"]) for r in rows], pairs, np.array([r["label"] for r in rows], float), len(names), fairness=fairness)
+    return Linear({f: float(v) for f, v in zip(names, w) if v}, b, len(pairs))
 
 
 def toxicity_score(docs: DataFrame, model: Linear, text_col: str = "text", score_col: str = "score") -> DataFrame:
