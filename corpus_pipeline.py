@@ -21,13 +21,15 @@ LEAST_QUALITY = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a classifier learnt from the labels of this input does not reject."""
+    """Documents that a classifier learnt from the labels of this input does not reject. A null text counts as empty; rows without
+    id are judged but teach nothing, repeated rows are judged alike."""
     forest = quality_gbt.fit_quality(docs, table(prepare(spark), sf_dir, "labels"), crc_remainder("doc_id", 4) != 2)
     return quality_gbt.quality_score(docs, forest, score_col="_quality").where(F.col("_quality") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many of them share; ``n_chars`` follows the text."""
+    """All documents, without the lines that many of them share; ``n_chars`` follows the text. A null text becomes empty, rows
+    without id lose shared lines and keep none for others."""
     prepare(spark)
     kept = line_dedup.line_dedup(docs.select(*COLUMNS))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -35,22 +37,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class, repeated rows once. Rows without id stay if no row with an id
-    is in their class."""
+    """The document of smallest id of each class, repeated rows once. A row without id has one made from its text, behind all others, so
+    it stays only where no row with an id is in its class. Documents without words are no copies of others."""
     prepare(spark)
-    found = jaccard_join.near_duplicates(docs)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    made = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    docs = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), made).alias("_row"))
+    found = jaccard_join.near_duplicates(docs, id_col="_row")
+    kept = found.where(F.col("component_id") == F.col("_row")).select("_row").distinct()
+    return docs.join(kept, "_row", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages are not a twentieth or more; these stay whole."""
+    """Documents of which benchmark passages are not a twentieth or more; these stay whole, rows without text or id too."""
     found = decontaminate.find_contamination(docs, table(prepare(spark), sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their number and digest and the digest of the text that they decode to."""
+    """Token ids of every document, with their number and digest and the digest of the text that they decode to; none for a null text."""
     prepare(spark)
     encoded = bpe.encode_checked(docs.select("doc_id", "text"), tokenizer_path())
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256", "decoded_sha256")
