@@ -80,3 +80,31 @@ def test_tokens(steps):
 
 def test_run_is_the_chain(spark, steps):
     assert {r["doc_id"]: r["ids_sha256"] for r in cp.run(spark, SMALL).collect()} == {i: r["ids_sha256"] for i, r in steps[-1][1].items()}
+
+
+SAME = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    near = SAME + " and one more"
+    rows = [(5, SAME), (3, SAME.upper()), (None, SAME), (None, near), (None, "alone here without any copy at all"), (None, "alone here without any copy at all"), (7, None), (None, None), (8, ""), (9, near), (9, near), (10, "x")]
+    df = spark.createDataFrame([(i, t, "en", None, None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.selectExpr("*", "'clash' as _row", "'clash' as score", "'clash' as ids", "'clash' as component_id")
+
+
+def test_rows_without_id_follow_their_class(spark, odd):
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, odd, SMALL).collect()), key=repr)
+    assert got == sorted([(3, SAME.upper()), (None, "alone here without any copy at all"), (7, None), (None, None), (8, ""), (10, "x")], key=repr)
+    lone = odd.where("doc_id is null and text like 'one%'")
+    assert cp.near_duplicates(spark, lone, SMALL).count() == 1
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_on_odd_rows_and_none(spark, odd, name, stage):
+    for docs in (odd, odd.where("false")):
+        out = stage(spark, docs, SMALL)
+        rows = out.collect()
+        assert out.columns == (cp.COLUMNS if name != "bpe" else ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        if name in ("line_dedup", "decontamination", "bpe"):
+            assert len(rows) == docs.count()
