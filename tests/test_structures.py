@@ -232,3 +232,15 @@ def test_inner_widths_against_a_fine_grid(spark):
         assert got[k]["thin"] == (got[k]["w"] <= 8.5)
     assert got[90]["w"] == got[91]["w"] == 0.0 and got[90]["thin"] and got[91]["thin"]
     assert got[0]["w"] == pytest.approx(2 * (8 + 6 - math.sqrt(2 * 8 * 6)), abs=0.011)
+
+
+def test_unions_of_shapes_that_share_corners_and_sides():
+    r = np.random.default_rng(0)
+    for t in range(60):
+        shapes = [np.round(r.uniform(0, 6, (3, 2)) * 4) / 4 + (5e6 if t % 2 else 0) for _ in range(int(r.integers(2, 12)))]
+        cells = {}
+        for s in shapes:
+            for x, y, part in sweep.cut_to_cells(s, 1.7):
+                cells.setdefault((x, y), []).append(sweep.ring_edges(part))
+        union = lambda parts: sweep.area(sweep.union_edges(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])))
+        assert sum(map(union, cells.values())) == pytest.approx(union([sweep.ring_edges(s) for s in shapes]), abs=1e-5)

@@ -81,6 +81,8 @@ def _at(e: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _lines(e: np.ndarray, shape: np.ndarray):
     """(heights, first slab, order of the edges, their x, +1 or -1 as a shape is entered or left) of blocks of slabs."""
     ys = np.unique(np.concatenate([e[:, 1], e[:, 3], crossing_heights(e)]))
+    # heights that rounding alone tells apart are one: between them no line would lie clear of corners
+    ys = ys[np.concatenate([[True], np.diff(ys) > 64 * np.spacing(np.abs(ys).max())])]
     step = max(1, TABLE // max(len(e), 1))
     for a in range(0, len(ys) - 1, step):
         middle = (ys[a:a + step + 1][1:] + ys[a:a + step + 1][:-1])[:, None] / 2
@@ -106,6 +108,8 @@ def union_edges(e: np.ndarray, shape: np.ndarray) -> np.ndarray:
     for ys, a, order, x, sign in _lines(e, shape) if len(e) else ():
         n = np.cumsum(sign, axis=1)
         opens, closes = (n == 1) & (sign == 1), (n == 0) & (sign == -1)
+        clear = opens.sum(axis=1) == closes.sum(axis=1)  # a line through a corner; its slab is as thin as the rounding
+        opens, closes = opens & clear[:, None], closes & clear[:, None]
         slab = np.nonzero(opens)[0] + a
         wide = x[closes] > x[opens]
         parts.append(np.stack([slab, order[opens], order[closes]], axis=1)[wide])
