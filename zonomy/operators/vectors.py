@@ -60,12 +60,12 @@ def block_features(vectors: DataFrame, blocks: DataFrame, key: str, descriptors:
     return d if zonal is None else d.join(zonal, key, "left")
 
 
-def pool_patches(pixels: DataFrame, keys: Sequence[str], h: Column, w: Column, vec: str = "v", valid: str = "valid") -> DataFrame:
+def pool_patches(pixels: DataFrame, keys: Sequence[str], h: Column, w: Column, vec: str = "v", valid: str = "valid", fallback: bool = True) -> DataFrame:
     """Eight pooled values per patch and channel: mean, std, centre, three quantiles, inner and outer ring.
 
     Invalid pixels are left out; a patch, ring or centre without valid pixels falls back to
-    the wider set. A patch holds a fixed small number of pixels, so its quantiles are exact
-    aggregates.
+    the wider set, or is null without ``fallback`` (the centre still widens step by step). A patch
+    holds a fixed small number of pixels, so its quantiles are exact aggregates.
     """
     half = lambda n: F.greatest((n - 1) / 2, F.lit(1e-9))
     radius = F.greatest(F.abs(F.col("row") - (h - 1) / 2) / half(h), F.abs(F.col("col") - (w - 1) / 2) / half(w))
@@ -84,6 +84,11 @@ def pool_patches(pixels: DataFrame, keys: Sequence[str], h: Column, w: Column, v
     ring = lambda c: F.when(none, F.avg(F.when(c, x))).otherwise(F.coalesce(pick(c), mean))
     q = lambda p: F.coalesce(F.percentile(good, F.lit(p)), F.percentile(x, F.lit(p)))
     inner = F.col("_in")
+    if not fallback:
+        return d.groupBy(*keys, "ch").agg(
+            F.avg(good).alias("mean"), F.stddev_pop(good).alias("std"), F.coalesce(*[pick(F.col("_pad") <= p) for p in range(4)], F.avg(good)).alias("center"),
+            *[F.percentile(good, F.lit(p)).alias(n) for n, p in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))],
+            pick(inner).alias("ring_in"), pick(~inner).alias("ring_out"))
     centre_all = F.avg(F.when(F.col("_pad") == 0, x))
     return d.groupBy(*keys, "ch").agg(
         mean.alias("mean"), F.coalesce(F.stddev_pop(good), F.stddev_pop(x)).alias("std"),
