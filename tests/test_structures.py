@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonomy.functions import hull as H, inscribed, sweep
-from zonomy.operators import neighbours, pivots, polygons, prefix
+from zonomy.functions import geometry as G, hull as H, inscribed, sweep
+from zonomy.operators import neighbours, pivots, polygons, prefix, spatial
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -244,3 +244,14 @@ def test_unions_of_shapes_that_share_corners_and_sides():
                 cells.setdefault((x, y), []).append(sweep.ring_edges(part))
         union = lambda parts: sweep.area(sweep.union_edges(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])))
         assert sum(map(union, cells.values())) == pytest.approx(union([sweep.ring_edges(s) for s in shapes]), abs=1e-5)
+
+
+def test_box_join_has_more_tasks_for_more_cells_and_no_broadcast(spark, monkeypatch):
+    """A few boxes over many cells: neither exploded side goes to every task, and tasks do not grow with the cells."""
+    monkeypatch.setattr(spatial, "TASK_ROWS", 20)
+    ids = spark.range(12)
+    box = lambda n, far: G.box(F.col("id") * 10.0, F.lit(0.0), F.col("id") * 10.0 + far, F.lit(9.0)).alias(n)
+    j = spatial.box_join(ids.select(F.col("id").alias("l"), box("lbox", 45.0)), ids.select(F.col("id").alias("r"), box("rbox", 5.0)), 5.0)
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and j.rdd.getNumPartitions() > 8
+    assert sorted(map(tuple, j.select("l", "r").collect())) == [(a, b) for a in range(12) for b in range(a, min(a + 5, 12))]

@@ -18,6 +18,7 @@ from zonomy.session import broadcast_if_small, cut_lineage
 
 HOT_CELLS = 10_000  # dense cells up to which their list is broadcast; a longer one is joined
 HOT_ROWS = 50_000
+TASK_ROWS = 100_000  # rows of both sides, one for every cell that they touch, aimed at in a task of a join
 
 
 def _span(low: Column, high: Column, cell: float) -> Column:
@@ -30,6 +31,25 @@ def with_cells(df: DataFrame, b: Column, cell: float) -> DataFrame:
         "_cy", F.explode(_span(b["miny"], b["maxy"], cell)))
 
 
+def _cells_of(df: DataFrame, b: Column, cell: float) -> int:
+    """Rows that ``with_cells`` makes of a table, without making them."""
+    side = lambda lo, hi: F.floor(b[hi] / cell) - F.floor(b[lo] / cell) + 1
+    return df.agg(F.sum(side("minx", "maxx") * side("miny", "maxy"))).first()[0] or 0
+
+
+def by_cells(a: DataFrame, b: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Inner join on cells by sorting. Tasks grow in number with ``rows`` and not in size, and no side is broadcast: the size that
+    Spark expects of a table does not know how many cells its rows touch."""
+    n = max(1, math.ceil(rows / TASK_ROWS))
+    return a.repartition(n, *keys).join(b.repartition(n, *keys).hint("merge"), keys)
+
+
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """A table that is to be exploded to ``rows`` rows, dealt out first, as a small file of large boxes is read by one task."""
+    n = rows // (4 * TASK_ROWS)
+    return df.repartition(n) if n > 1 else df
+
+
 def hot_cells(cells: DataFrame, limit: int = HOT_ROWS) -> DataFrame | None:
     """The densest cells, how many parts per side to cut them into (a power of two), and over how
     many salts to spread what lies on one spot, both as the count asks. None when no cell is dense, so that
@@ -73,8 +93,9 @@ def box_join(
     those with more than ``hot_rows`` rows are cut finer and salted.
     """
     grown = G.expand(F.col(lbox), margin) if margin else F.col(lbox)
-    a = with_cells(left.withColumn("_ga", grown), F.col("_ga"), cell)
-    b = with_cells(right, F.col(rbox), cell)
+    rows_a, rows_b = _cells_of(left.select(grown.alias("_ga")), F.col("_ga"), cell), _cells_of(right.select(rbox), F.col(rbox), cell)
+    a = with_cells(_spread(left, rows_a).withColumn("_ga", grown), F.col("_ga"), cell)
+    b = with_cells(_spread(right, rows_b), F.col(rbox), cell)
     keys = ["_cx", "_cy"]
     x, y = F.greatest(F.col("_ga.minx"), F.col(f"{rbox}.minx")), F.greatest(F.col("_ga.miny"), F.col(f"{rbox}.miny"))
     home = (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy"))
@@ -86,7 +107,7 @@ def box_join(
         fine = F.lit(float(cell)) / F.col("_cut")
         home = home & (
             (F.col("_cut") == 1) | ((F.floor(x / fine) == F.col("_fx")) & (F.floor(y / fine) == F.col("_fy"))))
-    j = a.join(b, keys).where(home)
+    j = by_cells(a, b, keys, rows_a + rows_b).where(home)
     test = G.intersects if touching or margin else G.overlaps
     j = j.where(test(F.col("_ga"), F.col(rbox)))
     if condition is not None:
