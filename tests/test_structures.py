@@ -255,3 +255,12 @@ def test_box_join_has_more_tasks_for_more_cells_and_no_broadcast(spark, monkeypa
     plan = j._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and j.rdd.getNumPartitions() > 8
     assert sorted(map(tuple, j.select("l", "r").collect())) == [(a, b) for a in range(12) for b in range(a, min(a + 5, 12))]
+
+
+def test_queries_go_to_bundles_of_blocks(spark):
+    """Blocks of random rows cannot be told apart, so every query meets all of them; it is sent to a few bundles, not to every block."""
+    v = np.random.default_rng(4).normal(size=(1500, 32))
+    blocks = pivots.Blocks(pivots._units(v[:50]), [{"b": 64 * k, "p": k, "low": 0.0, "high": 3.0, "n": 30} for k in range(49)] + [{"b": 64 * 49, "p": 49, "low": 0.0, "high": 3.0, "n": 900}], 400)
+    asked = blocks.asked(np.ones((3, 50), bool)).to_pylist()
+    assert blocks.bundles == 7 and [len(a) for a in asked] == [7, 7, 7]
+    assert [a["bundle"] for a in asked[0]] == list(range(7)) and sum(bin(int.from_bytes(a["bits"])).count("1") for a in asked[0]) == 49 + 3

@@ -22,7 +22,9 @@ from zonomy.session import cut_lineage
 #: Most pivots, and most shells of a pivot: together they bound what a task knows of the blocks.
 PIVOTS, SHELLS = 1024, 64
 #: References per pivot aimed at, queries that a task streams past a block, and blocks of the second round.
-PER_PIVOT, STREAM, SECOND = 512, 1 << 14, 4
+PER_PIVOT, STREAM, SECOND = 512, 1 << 15, 4
+#: References at most of the blocks that share a bundle.
+BUNDLE = 1 << 15
 #: What rounding may change of a distance and of an angle.
 _DIST, _ANGLE = 2e-9, 1e-7
 #: Cells of a matrix that are held at once.
@@ -78,14 +80,32 @@ def _assigned(refs: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
 
 
 class Blocks:
-    """Pivot, least and largest angle and row count of every block that is not empty."""
+    """Pivot, least and largest angle and row count of every block that is not empty, and the bundle that it is part of.
 
-    def __init__(self, pivots: np.ndarray, rows: list):
+    A bundle is a run of blocks with at most ``size`` references, or a hashed part of one block of more.
+    """
+
+    def __init__(self, pivots: np.ndarray, rows: list, size: int):
         self.pivots = pivots
         self.name = np.array([r["b"] for r in rows], np.int64)
         self.pivot = np.array([r["p"] for r in rows], np.int64)
         self.low, self.high = (np.array([r[c] for r in rows]) for c in ("low", "high"))
         self.n = np.array([r["n"] for r in rows], np.int64)
+        self.subs = -(-self.n // size)
+        self.runs: list[list[int]] = []  # first and last block (exclusive), first bundle, number of bundles
+        held = 0
+        for i, (n, subs) in enumerate(zip(self.n.tolist(), self.subs.tolist())):
+            if not self.runs or subs > 1 or self.runs[-1][3] > 1 or held + n > size:
+                first = sum(self.runs[-1][2:]) if self.runs else 0
+                self.runs.append([i, i + 1, first, subs])
+                held = n
+            else:
+                self.runs[-1][1], held = i + 1, held + n
+        self.bundles = sum(self.runs[-1][2:]) if self.runs else 0
+
+    def placed(self) -> list[tuple[int, int, int, int]]:
+        """(block, first bundle, number of its bundles, place in the bundle) of every block."""
+        return [(int(self.name[i]), first, subs, i - a) for a, z, first, subs in self.runs for i in range(a, z)]
 
     def least(self, v: np.ndarray) -> np.ndarray:
         """Least distance that each row can have to a reference of each block."""
@@ -94,6 +114,22 @@ class Blocks:
         near[:, self.pivot < 0] = 0  # zero vectors are as far from all
         return 1 - np.maximum(np.cos(near), 0)
 
+    def asked(self, want: np.ndarray) -> pa.Array:
+        """Per row the bundles that hold wanted blocks, with one bit for each of their blocks."""
+        row, bundle, bits = [], [], []
+        for a, z, first, subs in self.runs:
+            own = np.flatnonzero(want[:, a:z].any(axis=1))
+            packed = [b.tobytes() for b in np.packbits(want[own, a:z], axis=1)]
+            for k in range(subs):
+                row.append(own)
+                bundle.append(np.full(len(own), first + k))
+                bits += packed
+        row = np.concatenate(row)
+        order = np.argsort(row, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(want)))])
+        values = pa.StructArray.from_arrays([pa.array(np.concatenate(bundle)[order]), pa.array(bits, pa.binary()).take(pa.array(order))], names=["bundle", "bits"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
 
 def _wanted(blocks: Blocks, k: int, step: int, kind: str):
     """Which blocks each query visits in a round; ``kth`` is null before the first."""
@@ -112,72 +148,97 @@ def _wanted(blocks: Blocks, k: int, step: int, kind: str):
                     take = (place >= seen[:, None]) & (place < seen[:, None] + step) & (np.take_along_axis(least, order, axis=1) <= kth[:, None] + _DIST)
                 else:
                     take = np.concatenate([np.ones((len(held), 1), bool), held[:, :-1] < k], axis=1)
-                lists = [blocks.name[o[t]].tolist() for o, t in zip(order, take)]
-                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("v"), pa.array(lists, pa.list_(pa.int64())), pa.array(seen + take.sum(axis=1))], names=["q", "v", "b", "seen"])
+                want = np.zeros_like(take)
+                np.put_along_axis(want, order, take, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("v"), blocks.asked(want), pa.array(seen + take.sum(axis=1))], names=["q", "v", "asked", "seen"])
 
-    return choose, f"q {kind}, v binary, b array<long>, seen long"
+    return choose, f"q {kind}, v binary, asked array<struct<bundle:long,bits:binary>>, seen long"
 
 
 def _compare(k: int, exclude_self: bool, kind: str):
-    """Stream the queries of a group past its references, which come first."""
+    """Stream the queries of a bundle past its references, which come first; a query meets the blocks of its bits."""
     def best(held: list[pa.RecordBatch]):
-        ids, v = pa.concat_arrays([h.column("id") for h in held]), np.concatenate([_matrix(h.column("v")) for h in held])
-        order = pc.sort_indices(ids).to_numpy()
-        ids = ids.take(pa.array(order))
-        return ids, v[order], {x: i for i, x in enumerate(ids.to_pylist())} if exclude_self else {}
+        whole = pa.Table.from_batches(held).sort_by([("place", "ascending"), ("id", "ascending")]).combine_chunks()
+        place, ids, v = whole.column("place").to_numpy(), pa.concat_arrays(whole.column("id").chunks), _matrix(pa.concat_arrays(whole.column("v").chunks))
+        ends = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]]).tolist()
+        return place, ids, v, ends, {x: i for i, x in enumerate(ids.to_pylist())} if exclude_self else {}
+
+    def nearest(part: pa.RecordBatch, place: np.ndarray, ids: pa.Array, refs: np.ndarray, ends: list[int], places: dict) -> pa.RecordBatch | None:
+        """The k nearest in all wanted blocks of the bundle, ties by reference; each block gives at most k."""
+        v = _matrix(part.column("v"))
+        bits = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in part.column("bits").to_pylist()]), axis=1).astype(bool)
+        own = np.array([places.get(x, -1) for x in part.column("id").to_pylist()]) if exclude_self else None
+        rows, at, dists = [], [], []
+        for a, z in zip(ends[:-1], ends[1:]):
+            row = np.flatnonzero(bits[:, place[a]])
+            if not len(row):
+                continue
+            d = np.round(1.0 - v[row] @ refs[a:z].T, 9)
+            if exclude_self:
+                hit = np.flatnonzero((own[row] >= a) & (own[row] < z))
+                d[hit, own[row[hit]] - a] = np.inf
+            top = np.argsort(d, axis=1, kind="stable")[:, :k]
+            dist = np.take_along_axis(d, top, axis=1)
+            keep = np.isfinite(dist)
+            rows.append(np.repeat(row, top.shape[1])[keep.ravel()])
+            at.append(top[keep] + a)
+            dists.append(dist[keep])
+        if not rows:
+            return None
+        row, at, dist = np.concatenate(rows), np.concatenate(at), np.concatenate(dists)
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((rank[at], dist, row))
+        row, at, dist = row[order], at[order], dist[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[first])), ids.take(pa.array(at[first])), pa.array(dist[first])], names=["q", "r", "dist"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, ready = None, [], None
         for batch in batches:
-            marks = np.stack([batch.column(c).to_numpy() for c in ("b", "sub", "part", "role")], axis=1)
+            marks = np.stack([batch.column(c).to_numpy() for c in ("bundle", "part", "role")], axis=1)
             edges = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, [len(marks)]]) if len(marks) else [0]
             for a, z in zip(edges[:-1], edges[1:]):
-                run, own = batch.slice(a, z - a), tuple(marks[a, :3])
+                run, own = batch.slice(a, z - a), tuple(marks[a, :2])
                 if own != group:
                     group, held, ready = own, [], None
-                if marks[a, 3] == 0:
-                    held.append(run)
+                if marks[a, 2] == 0:
+                    held.append(run.select(["place", "id", "v"]))
                     continue
                 if not held:
                     continue
-                ids, refs, places = ready = ready or best(held)
-                step = max(1, TABLE // len(refs))
+                ready = ready or best(held)
+                step = max(1, TABLE // int(np.diff(ready[3]).max()))
                 for s in range(0, run.num_rows, step):
-                    part = run.slice(s, step)
-                    d = np.round(1.0 - _matrix(part.column("v")) @ refs.T, 9)
-                    for i, x in enumerate(part.column("id").to_pylist() if exclude_self else []):
-                        if x in places:
-                            d[i, places[x]] = np.inf
-                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    dist = np.take_along_axis(d, top, axis=1)
-                    keep = np.isfinite(dist)
-                    row = np.repeat(np.arange(len(d)), top.shape[1])[keep.ravel()]
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), ids.take(pa.array(top[keep])), pa.array(dist[keep])], names=["q", "r", "dist"])
+                    found = nearest(run.slice(s, step), *ready)
+                    if found is not None:
+                        yield found
 
     return compare, f"q {kind}, r {kind}, dist double"
 
 
-def _visit(wanted: DataFrame, placed: DataFrame, k: int, exclude_self: bool, kind: str) -> tuple[DataFrame, int]:
-    """((q, r, dist) of the k best per query and block, number of visits)."""
-    asked = wanted.select("q", "v", F.explode("b").alias("b"))
-    load = cut_lineage(asked.groupBy("b").agg(F.count(F.lit(1)).alias("_q")))  # a row per block
-    visits = load.agg(F.sum("_q")).first()[0] or 0
-    parts = load.select("b", F.ceil(F.col("_q") / STREAM).cast("int").alias("parts"))
-    sides = placed.join(F.broadcast(parts), "b").select("b", "sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("r").alias("id"), "v")
-    subs = placed.groupBy("b").agg((F.max("sub") + 1).alias("subs"))
-    q = asked.join(F.broadcast(parts), "b").join(F.broadcast(subs), "b").select(
-        "b", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("q").alias("id"), "v")
-    group = ["b", "sub", "part"]
-    dealt = sides.unionByName(q).repartition(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group, "role")
+def _visit(wanted: DataFrame, placed: DataFrame, bundles: int, k: int, exclude_self: bool, kind: str) -> DataFrame:
+    """(q, r, dist) of the k best per query and bundle. A query goes once to a bundle, for all of its blocks."""
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = wanted.select("q", "v", F.inline("asked"))
+    load = wanted.select(F.inline("asked")).groupBy("bundle").agg(F.count(F.lit(1)).alias("_q"))
+    some = F.least(F.lit(-(-tasks // bundles)), F.ceil(F.col("_q") / 256))  # few bundles are dealt out for the tasks' sake
+    parts = cut_lineage(load.select("bundle", F.greatest(F.ceil(F.col("_q") / STREAM), some).cast("int").alias("parts")))  # a row per bundle
+    groups = parts.agg(F.sum("parts")).first()[0] or 1
+    none = F.lit(None)
+    refs = placed.join(F.broadcast(parts), "bundle").select("bundle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("r").alias("id"), "v", "place", none.cast("binary").alias("bits"))
+    q = asked.join(F.broadcast(parts), "bundle").select("bundle", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("q").alias("id"), "v", none.cast("int").alias("place"), "bits")
+    group = ["bundle", "part"]
+    dealt = refs.unionByName(q).repartition(max(tasks, int(groups)), *group).sortWithinPartitions(*group, "role")
     compare, schema = _compare(k, exclude_self, kind)
-    return dealt.mapInArrow(compare, schema), visits
+    return dealt.mapInArrow(compare, schema)
 
 
 def search(queries: DataFrame, refs: DataFrame, k: int, key: str, vec: str, exclude_self: bool, block: int, n_refs: int) -> tuple[DataFrame, dict]:
     """(q, r, dist) rows that hold the k nearest references of every query, and how many of the (query, block) pairs were visited.
 
     Pivots are the references of smallest hash. What tasks know of all blocks are at most ``PIVOTS`` vectors and
-    ``PIVOTS * SHELLS`` rows of figures; a block of more than ``block`` rows is dealt into hashed parts.
+    ``PIVOTS * SHELLS`` rows of figures; a block of more rows than a bundle holds is dealt into hashed parts.
     """
     kind = dict(queries.dtypes)[key]
     packed = _packed(refs, key, vec, "r")
@@ -190,18 +251,18 @@ def search(queries: DataFrame, refs: DataFrame, k: int, key: str, vec: str, excl
     shell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("angle") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_s")), F.col("_s") - 1)).otherwise(0)
     shelled = near.join(F.broadcast(ends), "p").select("r", "v", "p", "angle", (F.col("p") * SHELLS + shell).cast("long").alias("b"))
     figures = shelled.groupBy("b").agg(F.first("p").alias("p"), F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n"))
-    blocks = Blocks(pivots, figures.orderBy("b").collect())  # at most PIVOTS * SHELLS rows
-    sizes = figures.select("b", F.ceil(F.col("n") / block).cast("int").alias("_n"))
-    placed = shelled.join(F.broadcast(sizes), "b").select("b", F.pmod(F.xxhash64("r"), F.col("_n")).cast("int").alias("sub"), "r", "v")
-    placed = cut_lineage(placed)
+    blocks = Blocks(pivots, figures.orderBy("b").collect(), max(block, min(BUNDLE, n_refs // 4)))  # at most PIVOTS * SHELLS rows
+    places = refs.sparkSession.createDataFrame(blocks.placed(), "b long, first long, subs int, place int")
+    own = F.col("first") + F.pmod(F.xxhash64("r"), F.col("subs"))
+    placed = cut_lineage(shelled.join(F.broadcast(places), "b").select(own.cast("long").alias("bundle"), "place", "r", "v"))
     state = cut_lineage(_packed(queries, key, vec, "q")).withColumns({"seen": F.lit(0).cast("long"), "kth": F.lit(None).cast("double")})
-    best, visited = None, 0
+    best = None
     for step in (0, SECOND, len(blocks.n)):
         choose, schema = _wanted(blocks, k + exclude_self, step, kind)
         wanted = cut_lineage(state.mapInArrow(choose, schema))
-        found, visits = _visit(wanted, placed, k, exclude_self, kind)
+        found = _visit(wanted, placed, blocks.bundles, k, exclude_self, kind)
         best = cut_lineage(top_pairs(found if best is None else best.unionByName(found), k).drop("nn"))
-        visited += visits
         kth = best.groupBy("q").agg(F.max("dist").alias("_d"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k).select(F.col("q").alias("_q"), F.col("_d").alias("kth"))
         state = wanted.select("q", "v", "seen").join(kth, F.col("q") == F.col("_q"), "left").drop("_q")
-    return best, {"visited": visited, "pairs": state.count() * len(blocks.n)}
+    seen = wanted.agg(F.sum("seen"), F.count(F.lit(1))).first()
+    return best, {"visited": seen[0] or 0, "pairs": seen[1] * len(blocks.n)}
