@@ -197,10 +197,14 @@ def adjacency(blocks: DataFrame, cell: float, block_id: str = "block_id", b: str
 def ring_adjacency(blocks: DataFrame, block_id: str = "block_id", ring: str = "ring", digits: int = 6) -> DataFrame:
     """Rook neighbours of polygons: edges on the same supporting line whose spans overlap.
 
-    Every ring edge is keyed by its line (normalised direction and offset), so only edges
-    on one line meet; overlap along the line gives the shared length.
+    Every ring edge is keyed by its line (normalised direction and offset) and by the stretches
+    of the line that it reaches, so only edges near each other on one line meet, however many the line
+    holds; overlap along the line gives the shared length. A stretch is twice the mean edge, so edges are
+    cut into few pieces; a pair counts in the stretch where its overlap begins.
     """
-    e = blocks.select(F.col(block_id).alias("id"), F.explode(G._edges(F.col(ring))).alias("e"))
+    slim = blocks.select(F.col(block_id).alias("id"), F.col(ring).alias("_ring"))
+    corners = slim.agg(F.sum(F.size("_ring"))).first()[0] or 0
+    e = _spread(slim, corners).select("id", F.explode(G._edges(F.col("_ring"))).alias("e"))
     dx, dy = F.col("e.x1") - F.col("e.x0"), F.col("e.y1") - F.col("e.y0")
     n = F.hypot(dx, dy)
     flip = F.when((dx < 0) | ((dx == 0) & (dy < 0)), -1.0).otherwise(1.0)
@@ -210,11 +214,14 @@ def ring_adjacency(blocks: DataFrame, block_id: str = "block_id", ring: str = "r
         F.round(F.col("e.x0") * uy - F.col("e.y0") * ux, 3).alias("off"),
         (F.col("e.x0") * ux + F.col("e.y0") * uy).alias("t0"), (F.col("e.x1") * ux + F.col("e.y1") * uy).alias("t1"),
     ).select("id", "ux", "uy", "off", F.least("t0", "t1").alias("a"), F.greatest("t0", "t1").alias("z"))
-    f = e.select(F.col("id").alias("id2"), "ux", "uy", "off", F.col("a").alias("a2"), F.col("z").alias("z2"))
+    mean, count = e.agg(F.avg(F.col("z") - F.col("a")), F.count(F.lit(1))).first()
+    step = 2 * (mean or 1.0)
+    e = e.withColumn("_s", F.explode(_span(F.col("a"), F.col("z"), step)))
+    f = e.select(F.col("id").alias("id2"), "ux", "uy", "off", F.col("a").alias("a2"), F.col("z").alias("z2"), "_s")
     over = F.least("z", "z2") - F.greatest("a", "a2")
     return (
-        e.join(f, ["ux", "uy", "off"])
-        .where((F.col("id") < F.col("id2")) & (over > 1e-9))
+        by_cells(e, f, ["ux", "uy", "off", "_s"], 3 * count)
+        .where((F.col("id") < F.col("id2")) & (over > 1e-9) & (F.floor(F.greatest("a", "a2") / step) == F.col("_s")))
         .groupBy(F.col("id").alias("block_a"), F.col("id2").alias("block_b"))
         .agg(F.sum(over).alias("shared_len_m"))
     )
