@@ -264,3 +264,22 @@ def test_queries_go_to_bundles_of_blocks(spark):
     asked = blocks.asked(np.ones((3, 50), bool)).to_pylist()
     assert blocks.bundles == 7 and [len(a) for a in asked] == [7, 7, 7]
     assert [a["bundle"] for a in asked[0]] == list(range(7)) and sum(bin(int.from_bytes(a["bits"])).count("1") for a in asked[0]) == 49 + 3
+
+
+def test_ring_adjacency_meets_only_near_edges_of_a_line(spark):
+    """A long row of squares shares two lines: pairs that are tried grow with the squares, not with their square."""
+    n = 400
+    rows = spark.range(n).select(F.col("id").alias("block_id"), G.ring_of(G.box(F.col("id") * 10.0, F.lit(0.0), F.col("id") * 10.0 + 10, F.lit(10.0))).alias("ring"))
+    long = spark.createDataFrame([(n,)], "block_id long").select("block_id", G.ring_of(G.box(F.lit(-5.0), F.lit(-7.0), F.lit(10.0 * n + 5), F.lit(0.0))).alias("ring"))
+    d = spatial.ring_adjacency(rows.union(long))
+    got = {(r["block_a"], r["block_b"]): r["shared_len_m"] for r in d.collect()}
+    assert len(got) == 2 * n - 1 and set(got.values()) == {10.0} and all(b in (a + 1, n) for a, b in got)
+    assert "_s#" in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_polygons_are_measured_once():
+    seen = []
+    known = polygons._Known(lambda own: seen.append(1) or len(own), most=2)
+    a, b, c = ([np.full((3, 2), float(k))] for k in range(3))
+    assert [known(p) for p in (a, a, b, a, [*a, *b])] == [1, 1, 1, 1, 2] and len(seen) == 3
+    assert known(c) == 1 and len(known.found) <= 2

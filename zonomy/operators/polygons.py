@@ -187,12 +187,28 @@ def polygon_overlaps(left: DataFrame, right: DataFrame, cell: float, left_id: st
     return areas.where(F.col("_a") > 0).groupBy(F.col("_zone").alias(left_id), right_id).agg(F.sum("_a").alias("shared_area"))
 
 
+class _Known:
+    """What was found for the polygons of a task so far, so that equal ones are measured once; emptied when it holds many."""
+
+    def __init__(self, measure, most: int = 1 << 16):
+        self.measure, self.most, self.found = measure, most, {}
+
+    def __call__(self, own: list[np.ndarray]):
+        key = tuple(r.tobytes() for r in own)
+        if key not in self.found:
+            if len(self.found) >= self.most:
+                self.found.clear()
+            self.found[key] = self.measure(own)
+        return self.found[key]
+
+
 def polygon_area(rings: Column) -> Column:
     """Area of a polygon whose rings may overlap, cross themselves or be holes (even-odd)."""
+    known = _Known(lambda own: sweep.area(np.concatenate([sweep.ring_edges(r) for r in own])) if own else 0.0)
+
     @F.arrow_udf("double")
     def measure(column: pa.Array) -> pa.Array:
-        edges = ([sweep.ring_edges(r) for r in own] for own in _polygons(column))
-        return pa.array([sweep.area(np.concatenate(e)) if e else 0.0 for e in edges], pa.float64())
+        return pa.array([known(own) for own in _polygons(column)], pa.float64())
 
     return measure(rings)
 
@@ -212,9 +228,11 @@ def inner_width(rings: Column, tolerance: float = 0.01) -> Column:
 
 def small_or_thin(rings: Column, min_area: float, corridor: float, tolerance: float = 0.01) -> Column:
     """Area below the floor, or no circle wider than the corridor fits (to within ``tolerance``); true for an empty polygon."""
+    known = _Known(lambda own: not own or not inscribed.wider_than(_sides(own), corridor, tolerance / 2))
+
     @F.arrow_udf("boolean")
     def thin(column: pa.Array) -> pa.Array:
-        return pa.array([not own or not inscribed.wider_than(_sides(own), corridor, tolerance / 2) for own in _polygons(column)], pa.bool_())
+        return pa.array([known(own) for own in _polygons(column)], pa.bool_())
 
     return (polygon_area(rings) < min_area) | thin(rings)
 
