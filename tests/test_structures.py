@@ -283,3 +283,14 @@ def test_equal_polygons_are_measured_once():
     a, b, c = ([np.full((3, 2), float(k))] for k in range(3))
     assert [known(p) for p in (a, a, b, a, [*a, *b])] == [1, 1, 1, 1, 2] and len(seen) == 3
     assert known(c) == 1 and len(known.found) <= 2
+
+
+def test_rectangle_sums_broadcast_no_windows(spark, tmp_path):
+    """A small file of windows holds four corners each: Spark's size of it does not tell, so no join may broadcast."""
+    spark.range(300).write.parquet(str(tmp_path / "w"))
+    w = spark.read.parquet(str(tmp_path / "w")).select(F.col("id").alias("k"), F.col("id").alias("r0"), (F.col("id") + 4).alias("r1"), F.lit(0).alias("c0"), F.lit(9).alias("c1"))
+    px = spark.range(400).select((F.col("id") % 40).alias("row"), F.floor(F.col("id") / 40).alias("col"))
+    d = prefix.window_sums(px, w, [], "k", {"n": F.lit(1)}, tile=8)
+    got = {x["k"]: int(x["n"]) for x in d.collect()}
+    assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+    assert got == {k: 10 * max(0, min(40, k + 5) - k) if k < 40 else 0 for k in range(300)}

@@ -8,12 +8,14 @@ is lost by taking differences, at any size of grid.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from zonomy.operators.spatial import TASK_ROWS
 from zonomy.session import cut_lineage
 
 TILE = 64
@@ -44,13 +46,13 @@ def tile_sums(pixels: DataFrame, grid: Sequence[str], measures: dict[str, Column
     return d.groupBy(*keys).applyInPandas(build, schema)
 
 
-def _carried(points: DataFrame, tiles: DataFrame, grid: Sequence[str], names: list[str], along: str, across: str, place: str, edge, tile: int) -> DataFrame:
+def _carried(points: DataFrame, tiles: DataFrame, grid: Sequence[str], names: list[str], along: str, across: str, place: str, edge, tile: int, tasks: int) -> DataFrame:
     """(_id, _sign, sums): for each point, what tiles before its own on the same line of tiles hold up to its place across."""
     sides = tiles.select(*grid, across, along, F.posexplode(F.sequence(F.lit(0), F.lit(tile - 1))).alias("_p", "_at"), *names).select(
         *grid, across, along, F.col("_p").cast("long").alias(place), *[edge(n).cast(SUM).alias(n) for n in names], F.lit(None).cast("long").alias("_id"), F.lit(None).cast("int").alias("_sign"))
     asked = points.select(*grid, across, along, place, *[F.lit(0).cast(SUM).alias(n) for n in names], "_id", "_sign")
     w = Window.partitionBy(*grid, across, place).orderBy(along).rangeBetween(Window.unboundedPreceding, -1)
-    both = sides.unionByName(asked).withColumns({f"_{n}": F.coalesce(F.sum(n).over(w), F.lit(0).cast(SUM)) for n in names})
+    both = sides.unionByName(asked).repartition(tasks, *grid, across, place).withColumns({f"_{n}": F.coalesce(F.sum(n).over(w), F.lit(0).cast(SUM)) for n in names})
     return both.where(F.col("_id").isNotNull()).select("_id", "_sign", *[F.col(f"_{n}").cast(SUM).alias(n) for n in names])
 
 
@@ -62,18 +64,19 @@ def _corners(points: DataFrame, tiles: DataFrame, grid: Sequence[str], names: li
     box = places.groupBy(*grid).agg(F.min("_ty").alias("y0"), F.max("_ty").alias("y1"), F.min("_tx").alias("x0"), F.max("_tx").alias("x1"))
     cells = box.where(F.col("y0").isNotNull()).withColumn("_ty", F.explode(F.sequence("y0", "y1"))).withColumn("_tx", F.explode(F.sequence("x0", "x1"))).select(*grid, "_ty", "_tx")
     keys = [*grid, "_ty", "_tx"]
-    cells = cells.join(totals, keys, "left").fillna(0, names)
+    cells = cells.join(totals.hint("merge"), keys, "left").fillna(0, names)
     before = lambda part, order: Window.partitionBy(*grid, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     for part, order in (("_ty", "_tx"), ("_tx", "_ty")):
         cells = cells.select(*keys, *[F.coalesce(F.sum(n).over(before(part, order)), F.lit(0)).cast(SUM).alias(n) for n in names])
-    return points.select(*keys, "_id", "_sign").join(cells, keys).select("_id", "_sign", *names)
+    return points.select(*keys, "_id", "_sign").join(cells.hint("merge"), keys).select("_id", "_sign", *names)
 
 
 def window_sums(pixels: DataFrame, windows: DataFrame, grid: Sequence[str], key: str, measures: dict[str, Column], tile: int = TILE) -> DataFrame:
     """(key, one sum per measure) of the pixels of every window (grid, r0, r1, c0, c1, both ends inside; weight optional).
 
     Several windows of one key add up, each times its ``weight``. Windows without pixels, or with r1 < r0 or c1 < c0, give 0. Between the
-    stages there are four rows per window and ``tile`` rows per tile.
+    stages there are four rows per window and ``tile`` rows per tile. All joins sort: the size that Spark expects of a small file of
+    windows does not know of their corners, so it would broadcast them.
     """
     names, grid = list(measures), list(grid)
     tiles = cut_lineage(tile_sums(pixels, grid, measures, tile))
@@ -82,15 +85,16 @@ def window_sums(pixels: DataFrame, windows: DataFrame, grid: Sequence[str], key:
     filled = windows.where((F.col("r1") >= F.col("r0")) & (F.col("c1") >= F.col("c0"))).withColumns({"_r": F.col("r0") - 1, "_c": F.col("c0") - 1})
     named = cut_lineage(filled.select(*grid, key, F.explode(ends).alias("e")).select(*grid, key, "e.*").groupBy(*grid, key, "row", "col").agg(F.sum("sign").cast("int").alias("_sign"))
                         .where(F.col("_sign") != 0).withColumn("_id", F.monotonically_increasing_id()))
+    tasks = max(1, math.ceil(named.count() / TASK_ROWS))
     points = named.select(*grid, "_id", "_sign", F.floor(F.col("row") / tile).alias("_ty"), F.floor(F.col("col") / tile).alias("_tx"), F.pmod("row", F.lit(tile)).alias("_y"), F.pmod("col", F.lit(tile)).alias("_x"))
-    local = points.join(tiles, [*grid, "_ty", "_tx"]).select("_id", "_sign", *[F.get(n, (F.col("_y") * tile + F.col("_x")).cast("int")).cast(SUM).alias(n) for n in names])
-    left = _carried(points, tiles, grid, names, "_tx", "_ty", "_y", lambda n: F.get(n, F.col("_at") * tile + tile - 1), tile)
-    above = _carried(points, tiles, grid, names, "_ty", "_tx", "_x", lambda n: F.get(n, F.col("_at") + tile * (tile - 1)), tile)
+    local = points.join(tiles.hint("merge"), [*grid, "_ty", "_tx"]).select("_id", "_sign", *[F.get(n, (F.col("_y") * tile + F.col("_x")).cast("int")).cast(SUM).alias(n) for n in names])
+    left = _carried(points, tiles, grid, names, "_tx", "_ty", "_y", lambda n: F.get(n, F.col("_at") * tile + tile - 1), tile, tasks)
+    above = _carried(points, tiles, grid, names, "_ty", "_tx", "_x", lambda n: F.get(n, F.col("_at") + tile * (tile - 1)), tile, tasks)
     parts = local.unionByName(left).unionByName(above).unionByName(_corners(points, tiles, grid, names, tile))
-    sums = parts.groupBy("_id").agg(*[F.sum(F.col(n) * F.col("_sign")).cast(SUM).alias(n) for n in names])
-    found = named.select(F.col(key).alias("_key"), "_id").join(sums, "_id").groupBy("_key").agg(*[F.sum(n).cast(SUM).alias(n) for n in names])
+    sums = parts.repartition(4 * tasks, "_id").groupBy("_id").agg(*[F.sum(F.col(n) * F.col("_sign")).cast(SUM).alias(n) for n in names])
+    found = named.select(F.col(key).alias("_key"), "_id").join(sums.hint("merge"), "_id").groupBy("_key").agg(*[F.sum(n).cast(SUM).alias(n) for n in names])
     keys = windows.select(F.col(key)).distinct()
-    return keys.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, *[F.coalesce(n, F.lit(0)).cast(SUM).alias(n) for n in names])
+    return keys.join(found.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left").select(key, *[F.coalesce(n, F.lit(0)).cast(SUM).alias(n) for n in names])
 
 
 def clamped(windows: DataFrame, height: int, width: int) -> DataFrame:
