@@ -294,3 +294,21 @@ def test_rectangle_sums_broadcast_no_windows(spark, tmp_path):
     got = {x["k"]: int(x["n"]) for x in d.collect()}
     assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
     assert got == {k: 10 * max(0, min(40, k + 5) - k) if k < 40 else 0 for k in range(300)}
+
+
+def test_covered_squares_broadcast_nothing_and_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    """Squares and covers of a small file of shapes may be many: no side goes to every task, and tasks grow with the cells touched."""
+    from zonomy.operators import patches
+    monkeypatch.setattr(spatial, "TASK_ROWS", 20)
+    spark.range(40).write.parquet(str(tmp_path / "s"))
+    x = (F.col("id") * 10).cast("double")
+    s = spark.read.parquet(str(tmp_path / "s")).select(F.col("id").alias("shape_id"), F.lit(1).alias("class"), F.lit(1.0).alias("weight"), F.lit(True).alias("qc_pass"),
+                                                       G.box(x, F.lit(0.0), x + 8, F.lit(9.0)).alias("box"))
+    d = patches.relaxed_squares(s, 10.0, 16.0)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    got = {(r["ix"], r["iy"], r["shape_id"]): round(r["dominant_frac"], 6) for r in d.collect()}
+    assert got == {(k, 0, k): 0.72 for k in range(40)}
+    z = s.select(F.col("shape_id").alias("z"), F.col("box").alias("lbox"))
+    c = spatial.covered_area(z, s.select(F.col("box").alias("rbox")), 16.0, "z")
+    assert "REPARTITION_BY_NUM" in c._jdf.queryExecution().executedPlan().toString() and {r["covered"] for r in c.collect()} == {72.0}

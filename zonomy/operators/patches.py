@@ -130,7 +130,8 @@ def relaxed_squares(shapes: DataFrame, side: float, cell: float, key: str = "sha
     total = claims.groupBy("sq").agg(F.sum("covered").alias("_all"))
     area = side * side
     d = cand.withColumn("sq", F.concat_ws(":", "ix", "iy")).withColumn("_c", F.col("class"))
-    d = d.join(own, ["sq", "_c"]).join(claims.withColumnRenamed("covered", "_same"), ["sq", "_c"]).join(total, "sq")
+    # sizes that Spark expects of candidates and covers do not know of the squares that a shape reaches, so none is broadcast
+    d = d.join(own.hint("merge"), ["sq", "_c"]).join(claims.withColumnRenamed("covered", "_same").hint("merge"), ["sq", "_c"]).join(total.hint("merge"), "sq")
     d = d.withColumns({"dominant_frac": F.col("own") / area, "other_frac": (F.col("_all") - F.col("_same")) / area})
     d = d.where((F.col("dominant_frac") >= min_own) & (F.col("other_frac") <= max_other))
     w = Window.partitionBy(key).orderBy(F.desc("mine"), "ix", "iy")

@@ -84,16 +84,16 @@ def _cut_cells(df: DataFrame, b: Column, cell: float, hot: DataFrame, copies: bo
 def box_join(
     left: DataFrame, right: DataFrame, cell: float, lbox: str = "lbox", rbox: str = "rbox",
     touching: bool = False, condition: Column | None = None, split_hot: bool = True, hot_rows: int = HOT_ROWS,
-    margin: float = 0.0,
+    margin: float = 0.0, rows: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Pairs of boxes with positive shared area (or sharing at least a point when ``touching``).
 
     ``margin`` grows the left boxes, for distance joins; the columns of both sides must
     have distinct names. With ``split_hot`` the cells of the right side are counted first, and
-    those with more than ``hot_rows`` rows are cut finer and salted.
+    those with more than ``hot_rows`` rows are cut finer and salted. ``rows`` gives the cells that both sides touch, where they are known.
     """
     grown = G.expand(F.col(lbox), margin) if margin else F.col(lbox)
-    rows_a, rows_b = _cells_of(left.select(grown.alias("_ga")), F.col("_ga"), cell), _cells_of(right.select(rbox), F.col(rbox), cell)
+    rows_a, rows_b = rows or (_cells_of(left.select(grown.alias("_ga")), F.col("_ga"), cell), _cells_of(right.select(rbox), F.col(rbox), cell))
     a = with_cells(_spread(left, rows_a).withColumn("_ga", grown), F.col("_ga"), cell)
     b = with_cells(_spread(right, rows_b), F.col(rbox), cell)
     keys = ["_cx", "_cy"]
@@ -152,19 +152,21 @@ def covered_area(
     Clipped shapes are cut at multiples of ``strip``, so no zone is held in one piece, and inside a
     strip at every lower or upper edge that occurs there. Between two edges the shapes are
     intervals, which running maxima merge. Equal clipped shapes collapse before they are cut; ``strip`` moves
-    no result.
+    no result. The clipped shapes are dealt out once by zone and strip, over as many tasks as the join has; all that follows stays there.
     """
-    pairs = box_join(zones.select(zone_id, zbox), shapes, cell, zbox, sbox, split_hot=split_hot)
+    rows = _cells_of(zones.select(zbox), F.col(zbox), cell), _cells_of(shapes.select(sbox), F.col(sbox), cell)
+    pairs = box_join(zones.select(zone_id, zbox), shapes, cell, zbox, sbox, split_hot=split_hot, rows=rows)
     part = G.intersection(F.col(zbox), F.col(sbox))
     s = pairs.select(zone_id, *keys, part.alias("_p")).select(
-        zone_id, *keys, F.col("_p.minx").alias("_x0"), F.col("_p.maxx").alias("_x1"), F.col("_p.miny").alias("_y0"), F.col("_p.maxy").alias("_y1")).distinct()
+        zone_id, *keys, F.col("_p.minx").alias("_x0"), F.col("_p.maxx").alias("_x1"), F.col("_p.miny").alias("_y0"), F.col("_p.maxy").alias("_y1"))
     s = s.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_y0") / strip), F.ceil(F.col("_y1") / strip) - 1)))
     s = s.withColumns({"_y0": F.greatest(F.col("_y0"), F.col("_s") * strip), "_y1": F.least(F.col("_y1"), (F.col("_s") + 1) * strip)})
     group = [zone_id, *keys, "_s"]
+    s = s.repartition(max(1, math.ceil(sum(rows) / TASK_ROWS)), *group).distinct()
     edges = s.select(*group, F.explode(F.array("_y0", "_y1")).alias("_y")).distinct()
     height = F.lead("_y").over(Window.partitionBy(*group).orderBy("_y")) - F.col("_y")
     slabs = edges.withColumn("_h", height).where(F.col("_h") > 0)
-    cut = s.join(slabs, group).where((F.col("_y0") <= F.col("_y")) & (F.col("_y") < F.col("_y1")))
+    cut = s.join(slabs.hint("merge"), group).where((F.col("_y0") <= F.col("_y")) & (F.col("_y") < F.col("_y1")))
     w = Window.partitionBy(*group, "_y").orderBy("_x0").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max("_x1").over(w), F.col("_x0"))
     fresh = F.greatest(F.col("_x1") - F.greatest(F.col("_x0"), seen), F.lit(0.0))
