@@ -312,3 +312,23 @@ def test_covered_squares_broadcast_nothing_and_are_dealt_out_once(spark, tmp_pat
     z = s.select(F.col("shape_id").alias("z"), F.col("box").alias("lbox"))
     c = spatial.covered_area(z, s.select(F.col("box").alias("rbox")), 16.0, "z")
     assert "REPARTITION_BY_NUM" in c._jdf.queryExecution().executedPlan().toString() and {r["covered"] for r in c.collect()} == {72.0}
+
+
+def test_long_chains_take_few_steps(spark, monkeypatch):
+    """Tasks tie their own edges before the rounds: a chain of a thousand nodes is settled in few steps, by numbers and by names."""
+    from zonomy.operators import graph
+    steps, plain = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda d: steps.append(1) or plain(d))
+    chain = [(k, k + 1) for k in range(1000) if k != 600] + [(2000, 2001), (1500, 1500)]
+    for rows, most in ((10_000, 4), (400, 14)):
+        monkeypatch.setattr(graph, "TASK_ROWS", rows)
+        for name in (int, lambda k: f"n{k:05d}"):
+            steps.clear()
+            d = spark.createDataFrame([(name(a), name(b)) for a, b in reversed(chain)], f"block_a {'int' if name is int else 'string'}, block_b {'int' if name is int else 'string'}")
+            got = {r["node"]: r["component"] for r in graph.connected_components(d).collect()}
+            want = {name(k): name(0 if k <= 600 else 601) for k in range(1001)} | {name(2000): name(2000), name(2001): name(2000)}
+            assert got == want and len(steps) <= most
+    r = np.random.default_rng(3)
+    lo, hi = r.integers(0, 400, (2, 300))
+    ids, roots = graph.local_roots(lo, hi)
+    assert all(dict(zip(ids, roots))[a] == dict(zip(ids, roots))[b] for a, b in zip(lo, hi)) and all(a >= b for a, b in zip(ids, roots))

@@ -6,13 +6,44 @@ checkpoint, so a lost executor never replays earlier rounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from zonomy.operators.spatial import TASK_ROWS
 from zonomy.session import cut_lineage
 
 
+def local_roots(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some edges and the smallest node that these edges tie each to."""
+    ids, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    a, b, root = at[:len(lo)], at[len(lo):], np.arange(len(ids))
+    while (apart := root[a] != root[b]).any():
+        x, y = root[a[apart]], root[b[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    return ids, ids[root]
+
+
+def _tied_in_tasks(live: DataFrame, tasks: int) -> DataFrame:
+    """(node, root) of every node that a task meets, edges near each other in one task."""
+    kind = dict(live.dtypes)["lo"]
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(found) if (found := list(batches)) else None
+        if own is not None and len(own):
+            ends = (own.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+            types = own.schema.field("lo").type
+            yield pa.RecordBatch.from_arrays([pa.array(x, types) for x in local_roots(*ends)], names=["node", "root"])
+
+    dealt = live.repartitionByRange(tasks, "lo", "hi") if tasks > 1 else live.coalesce(1)
+    return dealt.mapInArrow(tie, f"node {kind}, root {kind}")
+
+
 def connected_components(edges: DataFrame, a: str = "block_a", b: str = "block_b", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node on an edge; the component is its smallest node.
 
@@ -20,10 +51,17 @@ def connected_components(edges: DataFrame, a: str = "block_a", b: str = "block_b
     shortened by doubling, and edges are rewritten to the new roots and deduplicated. The
     graph shrinks geometrically in practice, hubs included, because a hub's edges collapse
     under the per-node ``min`` and ``distinct``. Node ids must be orderable.
+
+    Before the rounds, tasks of at most about ``TASK_ROWS`` edges tie what their own edges tie, where ids are whole numbers or strings;
+    the rounds only see the roots of tasks that share a node, so long chains take few rounds.
     """
     lo, hi = F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")
     live = cut_lineage(edges.where(F.col(a) != F.col(b)).select(lo, hi).distinct())
-    label = None  # node -> current root
+    first, label = None, None  # node -> smallest root of a task, node -> current root
+    if dict(live.dtypes)["lo"] in ("tinyint", "smallint", "int", "bigint", "string") and (count := live.count()):
+        near = cut_lineage(_tied_in_tasks(live, math.ceil(count / TASK_ROWS)))
+        first = cut_lineage(near.groupBy("node").agg(F.min("root").alias("_first")))
+        live = cut_lineage(near.join(first, "node").where(F.col("root") != F.col("_first")).select(F.col("_first").alias("lo"), F.col("root").alias("hi")).distinct())
     for _ in range(max_rounds):
         if live.isEmpty():
             break
@@ -42,8 +80,13 @@ def connected_components(edges: DataFrame, a: str = "block_a", b: str = "block_b
             F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct())
     else:
         raise RuntimeError("components did not settle")
+    if label is None and first is not None:
+        return first.select("node", F.col("_first").alias("component"))
     if label is None:
         return edges.select(F.col(a).alias("node"), F.col(a).alias("component")).distinct()
+    if first is not None:
+        to = label.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        return first.join(to, first["_first"] == to["_n"], "left").select("node", F.coalesce("_r", "_first").alias("component"))
     return label.select("node", F.col("root").alias("component"))
 
 
