@@ -150,3 +150,166 @@ def area(e: np.ndarray) -> float:
         width = np.where(inside, np.diff(np.where(np.isfinite(x), x, 0), axis=1), 0).sum(axis=1)
         total += float((width * np.diff(ys[k:k + len(x) + 1])).sum())
     return total
+
+
+# ── many small polygons at once ──────────────────────────────────────────────
+
+#: Edges of a pair up to which it is measured together with others, and pairs whose edges are brought together at once.
+SHORT, PAIRS = 48, 1 << 13
+
+
+def _next(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first point of every ring, following point of every point) of rings that lie behind one another."""
+    first = np.cumsum(size) - size
+    following = np.arange(1, size.sum() + 1)
+    following[first + size - 1] = first
+    return first, following
+
+
+def _cut_rings(xy: np.ndarray, size: np.ndarray, axis: np.ndarray, at: np.ndarray, above: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``cut_ring`` of many rings, each along its own line."""
+    first, following = _next(size)
+    row, axis, at = np.arange(len(xy)), np.repeat(axis, size), np.repeat(at, size)
+    v = xy[row, axis]
+    inside = v >= at if above else v <= at
+    crosses = inside != inside[following]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (at - v) / (v[following] - v)
+        point = xy + np.where(crosses, t, 0)[:, None] * (xy[following] - xy)
+    point[row, axis] = at
+    held = np.stack([inside, crosses], axis=1)
+    return np.stack([xy, point], axis=1)[held], np.add.reduceat(held.sum(axis=1), first)
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indexes of runs that begin at ``start``, one behind the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def cut_all_to_cells(xy: np.ndarray, size: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ring, (cx, cy), points, their number) of every part that ``cut_to_cells`` makes of rings of three points or more."""
+    if not len(size):
+        return np.empty(0, int), np.empty((0, 2), int), np.empty((0, 2)), np.empty(0, int)
+    first = np.cumsum(size) - size
+    low = np.floor(np.minimum.reduceat(xy, first) / cell).astype(int)
+    high = np.maximum(np.ceil(np.maximum.reduceat(xy, first) / cell).astype(int), low + 1)
+    ring, done = np.arange(len(size)), []
+    while len(size):
+        start, span = np.cumsum(size) - size, high - low
+        whole = (span == 1).all(axis=1)
+        done.append((ring[whole], low[whole], xy[runs(start[whole], size[whole])], size[whole]))
+        todo = ~whole
+        if not todo.any():
+            break
+        xy, size, ring, low, high = xy[runs(start[todo], size[todo])], size[todo], ring[todo], low[todo], high[todo]
+        k, axis = np.arange(len(size)), np.argmax(span[todo], axis=1)
+        middle = (low[k, axis] + high[k, axis]) // 2
+        below, over = high.copy(), low.copy()
+        below[k, axis] = over[k, axis] = middle
+        parts = [(*_cut_rings(xy, size, axis, middle * cell, side), lo, hi) for side, lo, hi in ((False, low, below), (True, over, high))]
+        xy, size = np.concatenate([q[0] for q in parts]), np.concatenate([q[1] for q in parts])
+        ring, low, high = np.concatenate([ring, ring]), np.concatenate([q[2] for q in parts]), np.concatenate([q[3] for q in parts])
+        kept = size > 2
+        xy = xy[np.repeat(kept, size)]
+        ring, low, high, size = ring[kept], low[kept], high[kept], size[kept]
+    return tuple(np.concatenate(q) for q in zip(*done))
+
+
+def all_edges(xy: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, their ring) of ``ring_edges`` of many rings."""
+    e = np.hstack([xy, xy[_next(size)[1]]]) if len(xy) else np.empty((0, 4))
+    ring = np.repeat(np.arange(len(size)), size)
+    sloped = e[:, 1] != e[:, 3]
+    e, ring = e[sloped], ring[sloped]
+    down = e[:, 1] > e[:, 3]
+    e[down] = e[down][:, [2, 3, 0, 1]]
+    return e, ring
+
+
+def _padded(e: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """(rows, width, ...) of runs of ``e``, filled up with missing values."""
+    out = np.full((len(size), width, *e.shape[1:]), np.nan)
+    out[np.repeat(np.arange(len(size)), size), runs(np.zeros(len(size), int), size)] = e[runs(start, size)]
+    return out
+
+
+def _areas_of(e: np.ndarray, shape: np.ndarray, shapes: int) -> np.ndarray:
+    """Area that lies in all of the ``shapes`` shapes (1 or 2) of every row of (rows, edges, 4)."""
+    x0, y0, x1, y1 = np.moveaxis(e, 2, 0)
+    i, j = np.triu_indices(e.shape[1], 1)
+    left, right = np.minimum(x0, x1), np.maximum(x0, x1)
+    row, k = np.nonzero((y0[:, i] < y1[:, j]) & (y0[:, j] < y1[:, i]) & (left[:, i] <= right[:, j]) & (left[:, j] <= right[:, i]))
+    i, j = i[k], j[k]
+    d, f, g = e[row, i, 2:] - e[row, i, :2], e[row, j, 2:] - e[row, j, :2], e[row, j, :2] - e[row, i, :2]
+    turn = d[:, 0] * f[:, 1] - d[:, 1] * f[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (g[:, 0] * f[:, 1] - g[:, 1] * f[:, 0]) / turn, (g[:, 0] * d[:, 1] - g[:, 1] * d[:, 0]) / turn
+    inside = (turn != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+    found, row = (e[row, i, 1] + t * d[:, 1])[inside], row[inside]
+    n = np.bincount(row, minlength=len(e))
+    ys = np.sort(np.concatenate([y0, y1, _padded(found, np.cumsum(n) - n, n, n.max())], axis=1), axis=1)
+    near = np.diff(ys, axis=1) <= 64 * np.spacing(np.nanmax(np.abs(ys), axis=1))[:, None]
+    ys[:, 1:][near] = np.nan
+    ys = np.sort(ys, axis=1)
+    height, middle = np.diff(ys, axis=1), (ys[:, 1:] + ys[:, :-1]) / 2
+    row, k = np.nonzero(np.isfinite(height))
+    height, middle, e = height[row, k], middle[row, k][:, None], e[row]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.where((e[..., 1] < middle) & (middle < e[..., 3]), _at(e, middle), np.inf)
+    order = np.argsort(x, axis=1, kind="stable")[:, :max(1, int(np.isfinite(x).sum(axis=1).max(initial=1)))]
+    x = np.take_along_axis(x, order, axis=1)
+    own = np.where(np.isfinite(x), np.take_along_axis(shape[row], order, axis=1), -1)
+    within = np.logical_and.reduce([np.cumsum(own == s, axis=1) % 2 == 1 for s in range(shapes)])[:, :-1]
+    x = np.where(np.isfinite(x), x, 0)
+    return np.bincount(row, np.where(within, np.diff(x, axis=1), 0).sum(axis=1) * height, minlength=len(shape))
+
+
+def _measured(e: np.ndarray, shape: np.ndarray, size: np.ndarray, shapes: int) -> np.ndarray:
+    """``_areas_of`` runs of edges, those of about the same length together."""
+    out, start = np.zeros(len(size)), np.cumsum(size) - size
+    width = (size + 1) // 2 * 2
+    for w in np.unique(width[size > 0]):
+        rows = np.nonzero(width == w)[0]
+        step = max(1, (TABLE >> 2) // int(w * (2 * w + 8)))
+        for k in range(0, len(rows), step):
+            r = rows[k:k + step]
+            out[r] = _areas_of(_padded(e, start[r], size[r], w), _padded(shape, start[r], size[r], w), shapes)
+    return out
+
+
+def areas(e: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``area`` of edge sets that lie behind one another."""
+    out, start = np.zeros(len(size)), np.cumsum(size) - size
+    for k in np.nonzero(size > SHORT)[0]:
+        out[k] = area(e[start[k]:start[k] + size[k]])
+    short = np.nonzero(size <= SHORT)[0]
+    for k in range(0, len(short), PAIRS):
+        r = short[k:k + PAIRS]
+        own = e[runs(start[r], size[r])]
+        out[r] = _measured(own, np.zeros(len(own)), size[r], 1)
+    return out
+
+
+def shared_areas(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """``shared_area`` of pairs of edge sets, each a run of ``a`` and a run of ``b``."""
+    out = np.zeros(len(a_size))
+    some = np.nonzero((a_size > 0) & (b_size > 0))[0]
+    for k in range(0, len(some), PAIRS):
+        r = some[k:k + PAIRS]
+        size = np.stack([a_size[r], b_size[r]])
+        first = np.cumsum(size, axis=1) - size
+        sides = a[runs(a_start[r], size[0])], b[runs(b_start[r], size[1])]
+        ends = [(np.minimum.reduceat(e[:, 1], f), np.maximum.reduceat(e[:, 3], f), np.maximum.reduceat(e[:, ::2].max(axis=1), f)) for e, f in zip(sides, first)]
+        low, high, right = np.maximum(ends[0][0], ends[1][0]), np.minimum(ends[0][1], ends[1][1]), np.minimum(ends[0][2], ends[1][2])
+        pair = [np.repeat(np.arange(len(r)), s) for s in size]
+        kept = [(e[:, 3] > low[p]) & (e[:, 1] < high[p]) & (np.minimum(e[:, 0], e[:, 2]) <= right[p]) for e, p in zip(sides, pair)]
+        sides, pair = [e[m] for e, m in zip(sides, kept)], [p[m] for p, m in zip(pair, kept)]
+        size = np.stack([np.bincount(p, minlength=len(r)) for p in pair])
+        e, shape, at = np.concatenate(sides), np.repeat([0.0, 1.0], [len(pair[0]), len(pair[1])]), np.argsort(np.concatenate(pair), kind="stable")
+        e, shape, n = e[at], shape[at], size.sum(axis=0)
+        for p in np.nonzero((n > SHORT) & (size > 0).all(axis=0))[0]:
+            out[r[p]] = shared_area(a[a_start[r[p]]:][:a_size[r[p]]], b[b_start[r[p]]:][:b_size[r[p]]])
+        short = (n <= SHORT) & (size > 0).all(axis=0)
+        held = np.repeat(short, n)
+        out[r[short]] = _measured(e[held], shape[held], n[short], 2)
+    return out

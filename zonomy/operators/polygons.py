@@ -20,6 +20,8 @@ from zonomy.session import broadcast_if_small, cut_lineage
 
 #: Shapes of a cell that one task unites at a time, edges that it unites at once, and dense cells whose list is broadcast.
 HOT_SHAPES, EDGES, HOT_CELLS = 2_000, 1_200, 10_000
+#: Polygons of a task when they are cut, and trapezoids that are looked at together.
+TASK_POLYGONS, TRAPEZOIDS = 50_000, 1 << 18
 BOX = ("_x0", "_y0", "_x1", "_y1")
 
 
@@ -28,17 +30,33 @@ def rings_box(rings: Column) -> Column:
     return G.ring_box(F.flatten(rings))
 
 
-def _polygons(column: pa.Array) -> Iterator[list[np.ndarray]]:
-    """The rings of every row as arrays of points; rings with missing or non-finite coordinates are left out."""
+def _rings_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(points, points of every ring, row of every ring), rows one behind the other; rings of fewer than three points or with missing or
+    non-finite coordinates are left out."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     rings = column.flatten()
     points = rings.flatten()
     xy = np.stack([np.asarray(points.field(k).to_numpy(zero_copy_only=False), np.float64) for k in ("x", "y")], axis=1) if len(points) else np.empty((0, 2))
-    of_ring = np.concatenate([[0], np.cumsum(pc.fill_null(rings.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(int)
-    of_row = np.concatenate([[0], np.cumsum(pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(int)
+    size = pc.fill_null(rings.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(int)
+    row = np.repeat(np.arange(len(column)), pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    ring = np.repeat(np.arange(len(size)), size)
+    good = (size > 2) & (np.bincount(ring, ~np.isfinite(xy).all(axis=1), minlength=len(size)) == 0)
+    return xy[good[ring]], size[good], row[good]
+
+
+def _polygons(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The rings of every row as arrays of points, those of ``_rings_of``."""
+    xy, size, row = _rings_of(column)
+    of_ring = np.concatenate([[0], np.cumsum(size)]).astype(int)
+    of_row = np.searchsorted(row, np.arange(len(column) + 1))
     for a, b in zip(of_row[:-1], of_row[1:]):
-        own = (xy[of_ring[k]:of_ring[k + 1]] for k in range(a, b))
-        yield [r for r in own if len(r) > 2 and np.isfinite(r).all()]
+        yield [xy[of_ring[k]:of_ring[k + 1]] for k in range(a, b)]
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Polygons dealt out before they are cut or measured, as a small file of many polygons is read by one task."""
+    n = -(-df.count() // TASK_POLYGONS)
+    return df.repartition(n) if n > 1 else df
 
 
 def cell_edges(df: DataFrame, rings: str, cell: float, keep: tuple[str, ...]) -> DataFrame:
@@ -48,26 +66,21 @@ def cell_edges(df: DataFrame, rings: str, cell: float, keep: tuple[str, ...]) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, cx, cy, edges, boxes = [], [], [], [], []
-            for k, own in enumerate(_polygons(batch.column("_rings"))):
-                parts: dict[tuple[int, int], list[np.ndarray]] = {}
-                for ring in own:
-                    for x, y, part in sweep.cut_to_cells(ring, cell):
-                        parts.setdefault((x, y), []).append(sweep.ring_edges(part))
-                for (x, y), found in parts.items():
-                    e = np.concatenate(found)
-                    if len(e):
-                        row.append(k)
-                        cx.append(x)
-                        cy.append(y)
-                        edges.append(e.tobytes())
-                        boxes.append((e[:, ::2].min(), e[:, 1].min(), e[:, ::2].max(), e[:, 3].max()))
-            at = pa.array(row, pa.int64())
-            columns = [batch.column(c).take(at) for c in keep] + [pa.array(cx, pa.int64()), pa.array(cy, pa.int64()), pa.array(edges, pa.binary())]
-            columns += [pa.array(c) for c in np.array(boxes, float).reshape(-1, 4).T]
+            xy, size, row = _rings_of(batch.column("_rings"))
+            ring, at, points, n = sweep.cut_all_to_cells(xy, size, cell)
+            e, part = sweep.all_edges(points, n)
+            key = np.column_stack([row[ring], at])[part]
+            order = np.lexsort((ring[part], key[:, 2], key[:, 1], key[:, 0]))
+            e, key = e[order], key[order]
+            first = np.nonzero(np.concatenate([[True], (np.diff(key, axis=0) != 0).any(axis=1)]))[0] if len(e) else np.empty(0, int)
+            offsets = np.append(first, len(e)).astype(np.int32) * 32
+            edges = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(e).tobytes())])
+            boxes = _boxes(e, first, np.diff(np.append(first, len(e)))).T
+            k = key[first]
+            columns = [batch.column(c).take(pa.array(k[:, 0])) for c in keep] + [pa.array(k[:, 1]), pa.array(k[:, 2]), edges, *map(pa.array, boxes)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_cx", "_cy", "edges", *BOX])
 
-    return slim.mapInArrow(cut, (schema + ", " if keep else "") + "_cx long, _cy long, edges binary, " + ", ".join(f"{c} double" for c in BOX))
+    return _dealt(slim).mapInArrow(cut, (schema + ", " if keep else "") + "_cx long, _cy long, edges binary, " + ", ".join(f"{c} double" for c in BOX))
 
 
 def _edges(b: bytes) -> np.ndarray:
@@ -148,13 +161,50 @@ def _by_cell(df: DataFrame, cx: str, cy: str) -> DataFrame:
     return df.repartition(_tasks(df), cx, cy)
 
 
-def _areas(pairs: DataFrame, keep: list[str], left: str, right: str) -> DataFrame:
-    """``keep`` and the area that two edge sets of a row share."""
+def _edge_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edges of all rows, first edge and number of edges of every row) of a column of edges as bytes."""
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[column.offset:column.offset + len(column) + 1].astype(int)
+    edges = _edges(data[ends[0]:ends[-1]].to_pybytes()) if ends[-1] > ends[0] else np.empty((0, 4))
+    ends = (ends - ends[0]) // 32
+    return edges, ends[:-1], np.diff(ends)
+
+
+def _boxes(edges: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(x0, y0, x1, y1) of runs of edges; a run without edges has a box that meets nothing."""
+    out, some = np.tile([np.inf, np.inf, -np.inf, -np.inf], (len(size), 1)), size > 0
+    if some.any():
+        own = edges[sweep.runs(start[some], size[some])]
+        first = np.cumsum(size[some]) - size[some]
+        for k, (f, v) in enumerate(((np.minimum, own[:, ::2].min(axis=1)), (np.minimum, own[:, 1]), (np.maximum, own[:, ::2].max(axis=1)), (np.maximum, own[:, 3]))):
+            out[some, k] = f.reduceat(v, first)
+    return out
+
+
+def _areas(pairs: DataFrame, keep: list[str], left: str, right: str, trapezoids: bool = False) -> DataFrame:
+    """``keep`` and the area that two edge sets of a row share. Where the right one is a list of disjoint ``trapezoids``, it is the sum over those
+    whose box meets that of the left one."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            area = [sweep.shared_area(_edges(a), _edges(b)) for a, b in zip(batch.column(left).to_pylist(), batch.column(right).to_pylist())]
+            (a, a_start, a_size), (b, b_start, b_size) = (_edge_runs(batch.column(c)) for c in (left, right))
+            area = np.zeros(batch.num_rows)
+            step = batch.num_rows if not trapezoids else max(1, int(TRAPEZOIDS // max(1.0, b_size.mean() / 2))) if batch.num_rows else 1
+            for k in range(0, batch.num_rows, step):
+                s = slice(k, k + step)
+                if not trapezoids:
+                    area[s] = sweep.shared_areas(a, a_start[s], a_size[s], b, b_start[s], b_size[s])
+                    continue
+                row = np.repeat(np.arange(len(a_size[s])), b_size[s] // 2)
+                first = sweep.runs(b_start[s] // 2, b_size[s] // 2) * 2
+                box = _boxes(a, a_start[s], a_size[s])[row]
+                x0, x1 = b[first][:, ::2].min(axis=1, initial=np.inf), b[first + 1][:, ::2].max(axis=1, initial=-np.inf)
+                meet = (x0 < box[:, 2]) & (x1 > box[:, 0]) & (b[first, 1] < box[:, 3]) & (b[first, 3] > box[:, 1])
+                row, first = row[meet], first[meet]
+                part = sweep.shared_areas(a, a_start[s][row], a_size[s][row], b, first, np.full(len(first), 2))
+                area[s] = np.bincount(row, part, minlength=len(a_size[s]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(area, pa.float64())], names=[*keep, "_a"])
 
     return pairs.select(*keep, left, right).mapInArrow(measure, schema + ", _a double")
@@ -173,7 +223,7 @@ def covered_polygon_area(zones: DataFrame, shapes: DataFrame, cell: float, zone_
     union = union_cells(shapes, cell, rings, keys, hot_shapes)
     z = _zone_cells(zones, zone_id, zrings, cell)
     pairs = _by_cell(z, "_zx", "_zy").join(_by_cell(union, "_cx", "_cy"), (F.col("_zx") == F.col("_cx")) & (F.col("_zy") == F.col("_cy")))
-    areas = _areas(pairs, ["_zone", *keys], "_zone_edges", "edges")
+    areas = _areas(pairs, ["_zone", *keys], "_zone_edges", "edges", trapezoids=True)
     return areas.where(F.col("_a") > 0).groupBy(F.col("_zone").alias(zone_id), *keys).agg(F.sum("_a").alias("covered"))
 
 
@@ -204,11 +254,11 @@ class _Known:
 
 def polygon_area(rings: Column) -> Column:
     """Area of a polygon whose rings may overlap, cross themselves or be holes (even-odd)."""
-    known = _Known(lambda own: sweep.area(np.concatenate([sweep.ring_edges(r) for r in own])) if own else 0.0)
-
     @F.arrow_udf("double")
     def measure(column: pa.Array) -> pa.Array:
-        return pa.array([known(own) for own in _polygons(column)], pa.float64())
+        xy, size, row = _rings_of(column)
+        e, ring = sweep.all_edges(xy, size)
+        return pa.array(sweep.areas(e, np.bincount(row[ring], minlength=len(column))), pa.float64())
 
     return measure(rings)
 
@@ -245,7 +295,7 @@ def part_hulls(parts: DataFrame, keys: list[str], rings: str = "rings") -> DataF
 
 def polygon_cover(zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, zrings: str = "zrings", rings: str = "rings") -> DataFrame:
     """Area and covered share of every zone; a zone without area has the share 0."""
-    zones = zones.withColumn("area", polygon_area(F.col(zrings)))
+    zones = _dealt(zones).withColumn("area", polygon_area(F.col(zrings)))
     c = covered_polygon_area(zones, shapes, cell, zone_id, zrings, rings)
     share = F.when(F.col("area") > 0, F.least(F.coalesce("covered", F.lit(0.0)) / F.col("area"), F.lit(1.0))).otherwise(0.0)
     return zones.join(c, zone_id, "left").select(zone_id, "area", F.coalesce("covered", F.lit(0.0)).alias("covered"), share.alias("fraction"))
