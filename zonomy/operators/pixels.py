@@ -19,6 +19,7 @@ from zonomy.functions.common import N_CLASSES, packed_mode
 from zonomy.operators.graph import pixel_regions
 
 Grid = Sequence[str]
+TASK_PIXELS = 1_000_000  # pixels of shapes aimed at in a task that burns them
 
 
 
@@ -33,18 +34,32 @@ def burn(shapes: DataFrame, grid: Grid, res: float, value: str, priority: Column
     The shape is first shrunk by ``erode_px`` pixels. With ``ring`` given, the centre must also
     lie in the ring. Overlaps collapse in a ``max_by``, before and after the shuffle.
     """
-    px = _covered(shapes, res, b, erode_px, ring)
+    px = _met(shapes, grid, res, b, erode_px, ring)
     return px.groupBy(*grid, "row", "col").agg(F.max_by(value, priority).alias(value))
 
 
-def _covered(shapes: DataFrame, res: float, b: str, erode_px: int, ring: str | None) -> DataFrame:
-    box = G.expand(F.col(b), -erode_px * res)
-    d = shapes.withColumn("_e", box).where((G.width(F.col("_e")) > 0) & (G.height(F.col("_e")) > 0))
+def _spans(shapes: DataFrame, res: float, b: str, erode_px: int) -> DataFrame:
+    """Shapes that the shrinking leaves some extent, with the first and last row and column whose centres their boxes hold."""
+    d = shapes.withColumn("_e", G.expand(F.col(b), -erode_px * res)).where((G.width(F.col("_e")) > 0) & (G.height(F.col("_e")) > 0))
     first = lambda v: F.ceil(v / res - 0.5)  # noqa: E731  centre (i + 0.5) res >= v
     last = lambda v: F.ceil(v / res - 0.5) - 1  # noqa: E731  centre < v
-    span = lambda a, z: F.when(z >= a, F.sequence(a, z)).otherwise(F.array().cast("array<bigint>"))
-    d = d.withColumn("row", F.explode(span(first(F.col("_e.miny")), last(F.col("_e.maxy")))))
-    d = d.withColumn("col", F.explode(span(first(F.col("_e.minx")), last(F.col("_e.maxx"))))).drop("_e")
+    return d.withColumns({"_r0": first(F.col("_e.miny")), "_r1": last(F.col("_e.maxy")), "_c0": first(F.col("_e.minx")), "_c1": last(F.col("_e.maxx"))}).drop("_e")
+
+
+def _met(shapes: DataFrame, grid: Grid, res: float, b: str, erode_px: int, ring: str | None) -> DataFrame:
+    """``_covered`` pixels, with all shapes of a pixel in one task. Tasks grow in number with the pixels of all shapes, before
+    shapes become pixels and after, so neither a small file of large shapes nor the number of shuffle partitions sets their size."""
+    side = lambda a, z: F.greatest(F.col(z) - F.col(a) + 1, F.lit(0))
+    rows = _spans(shapes, res, b, erode_px).agg(F.sum(side("_r0", "_r1") * side("_c0", "_c1"))).head()[0] or 0
+    tasks = max(1, math.ceil(rows / TASK_PIXELS))
+    dealt = shapes.repartition(tasks) if tasks > 1 else shapes
+    return _covered(dealt, res, b, erode_px, ring).repartition(tasks, *grid, "row", "col")
+
+
+def _covered(shapes: DataFrame, res: float, b: str, erode_px: int, ring: str | None) -> DataFrame:
+    d = _spans(shapes, res, b, erode_px)
+    span = lambda a, z: F.when(F.col(z) >= F.col(a), F.sequence(a, z)).otherwise(F.array().cast("array<bigint>"))
+    d = d.withColumn("row", F.explode(span("_r0", "_r1"))).withColumn("col", F.explode(span("_c0", "_c1"))).drop("_r0", "_r1", "_c0", "_c1")
     if ring:
         d = d.where(G.in_ring(F.col(ring), (F.col("col") + 0.5) * res, (F.col("row") + 0.5) * res))
     return d
@@ -53,7 +68,7 @@ def _covered(shapes: DataFrame, res: float, b: str, erode_px: int, ring: str | N
 def burn_uncontested(shapes: DataFrame, grid: Grid, res: float, value: str, priority: Column, b: str = "box",
                      erode_px: int = 0) -> DataFrame:
     """As ``burn``, but a pixel claimed by two different values becomes nodata."""
-    px = _covered(shapes, res, b, erode_px, None)
+    px = _met(shapes, grid, res, b, erode_px, None)
     return (
         px.groupBy(*grid, "row", "col")
         .agg(F.max_by(value, priority).alias(value), F.min(value).alias("_a"), F.max(value).alias("_z"))
@@ -61,9 +76,11 @@ def burn_uncontested(shapes: DataFrame, grid: Grid, res: float, value: str, prio
     )
 
 
-def evidence_bands(shapes: DataFrame, grid: Grid, res: float, band: str = "band", b: str = "box") -> DataFrame:
-    """Set of bands burned on each pixel, as a sorted list; a row exists where any band does."""
-    return _covered(shapes, res, b, 0, None).groupBy(*grid, "row", "col").agg(F.array_sort(F.collect_set(band)).alias("bands"))
+def evidence_bands(shapes: DataFrame, grid: Grid, res: float, band: str = "band", b: str = "box", building_bands: Sequence[int] | None = None) -> DataFrame:
+    """Set of bands burned on each pixel, as a sorted list; a row exists where any band does. With ``building_bands`` also
+    what ``compose_bands`` tells of them, from the same pass."""
+    px = _met(shapes.select(*grid, F.col(band).alias("band"), b), grid, res, b, 0, None).groupBy(*grid, "row", "col")
+    return px.agg(F.array_sort(F.collect_set("band")).alias("bands"), *(_composed(building_bands) if building_bands is not None else []))
 
 
 # ── merging layers ───────────────────────────────────────────────────────────
@@ -137,8 +154,11 @@ def to_common_grid(tiles: DataFrame, res: float, origin: tuple[float, float], ou
 
 def compose_bands(bands: DataFrame, grid: Grid, building_bands: Sequence[int]) -> DataFrame:
     """Index of the last band present per pixel, and whether any building band is."""
-    return bands.groupBy(*grid, "row", "col").agg(
-        F.max("band").alias("band"), F.max(F.col("band").isin(*building_bands)).alias("building"))
+    return bands.groupBy(*grid, "row", "col").agg(*_composed(building_bands))
+
+
+def _composed(building_bands: Sequence[int]) -> list[Column]:
+    return [F.max("band").alias("band"), F.max(F.col("band").isin(*building_bands)).alias("building")]
 
 
 # ── pooling ──────────────────────────────────────────────────────────────────

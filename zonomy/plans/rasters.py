@@ -147,10 +147,8 @@ def burn_uncontested(t):
 @query("evidence_bands", "H19 H17", """WITH p AS (SELECT class, i AS row, unnest(range(ceil(x0 / 20 - 0.5)::BIGINT, ceil(x1 / 20 - 0.5)::BIGINT)) AS col FROM (SELECT *, unnest(range(ceil(y0 / 20 - 0.5)::BIGINT, ceil(y1 / 20 - 0.5)::BIGINT)) AS i FROM {shapes}))
 SELECT row, col, array_to_string(list_sort(list_distinct(list(class))), ',') AS bands, max(class) AS band, bool_or(class IN (1, 2)) AS building FROM p GROUP BY ALL""")
 def evidence_bands(t):
-    px = X._covered(shapes(t).select("class", "box"), 20.0, "box", 0, None)
-    e = X.evidence_bands(shapes(t), [], 20.0, "class")
-    c = X.compose_bands(px.select("row", "col", F.col("class").alias("band")), [], (1, 2))
-    return e.join(c, ["row", "col"]).select("row", "col", F.array_join(F.col("bands").cast("array<string>"), ",").alias("bands"), "band", "building")
+    e = X.evidence_bands(shapes(t), [], 20.0, "class", building_bands=(1, 2))
+    return e.select("row", "col", F.array_join(F.col("bands").cast("array<string>"), ",").alias("bands"), "band", "building")
 
 
 @query("merge_layers", "H4 H31 B42 B43", """WITH l AS (SELECT g, row, col, CASE WHEN q >= 3 AND q < 10 THEN 3 WHEN q >= 10 AND q < 25 THEN 2 WHEN q >= 25 THEN 1 END AS v, 0 AS layer FROM {cells96}
