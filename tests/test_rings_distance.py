@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonomy.operators import distance, rings
+from zonomy.functions import sweep
+from zonomy.operators import distance, polygons as P, rings
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -124,3 +125,38 @@ def test_a_hole_as_wide_as_a_large_radius(spark):
     i, j = np.mgrid[1:n - 1, 1:n - 1]
     d = np.minimum(np.minimum(i, n - 1 - i), np.minimum(j, n - 1 - j)).astype(np.int64)
     assert (got["n"], got["d2"], got["s"]) == ((n - 2) ** 2, int(d.max()) ** 2, int((d * d).sum()))
+
+
+def test_small_polygons_are_measured_together():
+    rng = np.random.default_rng(3)
+    rings = [np.round(rng.uniform(-90, 90, (1, 2)) + rng.uniform(-60, 60, (rng.integers(3, 9), 2)), int(rng.integers(0, 4))) for _ in range(150)]
+    size, xy = np.array([len(r) for r in rings]), np.concatenate(rings)
+    ring, at, points, n = sweep.cut_all_to_cells(xy, size, 64.0)
+    parts = {(int(r), int(x), int(y)): p for r, (x, y), p in zip(ring, at, np.split(points, np.cumsum(n)[:-1]))}
+    one_by_one = {(i, x, y): p for i, r in enumerate(rings) for x, y, p in sweep.cut_to_cells(r, 64.0)}
+    assert parts.keys() == one_by_one.keys() and all(np.array_equal(parts[k], p) for k, p in one_by_one.items())
+    e, own = sweep.all_edges(xy, size)
+    n = np.bincount(own, minlength=len(rings))
+    start = np.cumsum(n) - n
+    assert np.allclose(sweep.areas(e, n), [sweep.area(sweep.ring_edges(r)) for r in rings], atol=1e-8)
+    i, j = rng.integers(0, 150, (2, 1500))
+    want = [sweep.shared_area(sweep.ring_edges(rings[a]), sweep.ring_edges(rings[b])) for a, b in zip(i, j)]
+    assert np.count_nonzero(want) > 200 and np.allclose(sweep.shared_areas(e, start[i], n[i], e, start[j], n[j]), want, atol=1e-8)
+
+
+def test_polygons_of_a_small_file_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_POLYGONS", 10)
+    d = spark.range(50, numPartitions=1).select("id", F.expr(f"cast(array(array(struct(double(id), 0D), struct(id + 3D, 0D), struct(id + 1D, 2D))) AS {RINGS})").alias("rings"))
+    assert P.cell_edges(d, "rings", 4.0, ("id",)).rdd.getNumPartitions() == 5
+
+
+def test_burning_takes_as_many_tasks_as_pixels_ask_for(spark, monkeypatch):
+    from zonomy.functions import geometry as G
+    from zonomy.operators import pixels as X
+    monkeypatch.setattr(X, "TASK_PIXELS", 1_000)
+    s = spark.range(20, numPartitions=1).select((F.col("id") % 3).alias("band"), "id", G.box(F.col("id") * 10.0, F.lit(0.0), F.col("id") * 10.0 + 200, F.lit(200.0)).alias("box"))
+    for d in (X.burn(s, [], 10.0, "band", F.col("id")), X.burn_uncontested(s, [], 10.0, "band", F.col("id")), X.evidence_bands(s, [], 10.0)):
+        assert d.rdd.getNumPartitions() == 8
+    e = X.evidence_bands(s, [], 10.0, building_bands=(1,))
+    one = e.where("row = 0 and col = 1").head()
+    assert (one.bands, one.band, one.building) == ([0, 1], 1, True) and e.count() == 20 * 39
