@@ -160,3 +160,14 @@ def test_burning_takes_as_many_tasks_as_pixels_ask_for(spark, monkeypatch):
     e = X.evidence_bands(s, [], 10.0, building_bands=(1,))
     one = e.where("row = 0 and col = 1").head()
     assert (one.bands, one.band, one.building) == ([0, 1], 1, True) and e.count() == 20 * 39
+
+
+def test_turned_shapes_of_a_small_file_are_dealt_out(spark, monkeypatch):
+    from zonomy.functions import hull as H
+    monkeypatch.setattr(P, "TASK_POLYGONS", 10)
+    assert P.dealt(spark.range(50, numPartitions=1)).rdd.getNumPartitions() == 5
+    points = np.random.default_rng(5).integers(-9, 9, (60, 2)).astype(float)
+    few = H.hull_of(points)
+    monkeypatch.setattr(H, "FEW", 0)
+    assert np.array_equal(few, H.hull_of(points)) and len(few) > 3
+    assert H.rectangle_of(H.hull_of(points[:1])) == (0.0, 0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from zonomy.functions.common import col
 
 POINTS = "array<struct<x:double,y:double>>"
 RECTANGLE = "struct<long:double,short:double>"
+FEW = 64  # points that are sorted as Python numbers, which numpy takes longer for
 
 
 def _rows(column: pa.Array) -> Iterator[np.ndarray]:
@@ -26,11 +28,11 @@ def _rows(column: pa.Array) -> Iterator[np.ndarray]:
 
 def hull_of(points: np.ndarray) -> np.ndarray:
     """Corners of the hull by monotone chains, counter-clockwise from the lowest x; points on a side are left out."""
-    p = np.unique(points, axis=0)
-    if len(p) < 3:
-        return p
+    rows = sorted(set(map(tuple, points.tolist()))) if len(points) <= FEW else np.unique(points, axis=0).tolist()
+    if len(rows) < 3:
+        return np.array(rows, float).reshape(-1, 2)
 
-    def chain(order: list[list[float]]) -> list[list[float]]:
+    def chain(order: list) -> list[list[float]]:
         out: list[list[float]] = []
         for x, y in order:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) - (out[-1][1] - out[-2][1]) * (x - out[-2][0]) <= 0:
@@ -38,7 +40,6 @@ def hull_of(points: np.ndarray) -> np.ndarray:
             out.append([x, y])
         return out[:-1]
 
-    rows = p.tolist()
     return np.array(chain(rows) + chain(rows[::-1]))
 
 
@@ -50,9 +51,9 @@ def rectangle_of(hull: np.ndarray) -> tuple[float, float]:
     n = len(hull)
     if n < 3:
         return (float(np.hypot(*(hull[1] - hull[0]))) if n == 2 else 0.0), 0.0
-    sides = np.roll(hull, -1, axis=0) - hull
-    unit = (sides / np.hypot(sides[:, 0], sides[:, 1])[:, None]).tolist()
     h = hull.tolist()
+    sides = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(h, h[1:] + h[:1])]
+    unit = [(x / math.hypot(x, y), y / math.hypot(x, y)) for x, y in sides]
     dot = lambda k, u: h[k % n][0] * u[0] + h[k % n][1] * u[1]
     best, ahead, top, behind = None, 1, 1, 1
     for i, (ux, uy) in enumerate(unit):

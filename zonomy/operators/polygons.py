@@ -53,7 +53,7 @@ def _polygons(column: pa.Array) -> Iterator[list[np.ndarray]]:
         yield [xy[of_ring[k]:of_ring[k + 1]] for k in range(a, b)]
 
 
-def _dealt(df: DataFrame) -> DataFrame:
+def dealt(df: DataFrame) -> DataFrame:
     """Polygons dealt out before they are cut or measured, as a small file of many polygons is read by one task."""
     n = -(-df.count() // TASK_POLYGONS)
     return df.repartition(n) if n > 1 else df
@@ -80,7 +80,7 @@ def cell_edges(df: DataFrame, rings: str, cell: float, keep: tuple[str, ...]) ->
             columns = [batch.column(c).take(pa.array(k[:, 0])) for c in keep] + [pa.array(k[:, 1]), pa.array(k[:, 2]), edges, *map(pa.array, boxes)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_cx", "_cy", "edges", *BOX])
 
-    return _dealt(slim).mapInArrow(cut, (schema + ", " if keep else "") + "_cx long, _cy long, edges binary, " + ", ".join(f"{c} double" for c in BOX))
+    return dealt(slim).mapInArrow(cut, (schema + ", " if keep else "") + "_cx long, _cy long, edges binary, " + ", ".join(f"{c} double" for c in BOX))
 
 
 def _edges(b: bytes) -> np.ndarray:
@@ -295,7 +295,7 @@ def part_hulls(parts: DataFrame, keys: list[str], rings: str = "rings") -> DataF
 
 def polygon_cover(zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, zrings: str = "zrings", rings: str = "rings") -> DataFrame:
     """Area and covered share of every zone; a zone without area has the share 0."""
-    zones = _dealt(zones).withColumn("area", polygon_area(F.col(zrings)))
+    zones = dealt(zones).withColumn("area", polygon_area(F.col(zrings)))
     c = covered_polygon_area(zones, shapes, cell, zone_id, zrings, rings)
     share = F.when(F.col("area") > 0, F.least(F.coalesce("covered", F.lit(0.0)) / F.col("area"), F.lit(1.0))).otherwise(0.0)
     return zones.join(c, zone_id, "left").select(zone_id, "area", F.coalesce("covered", F.lit(0.0)).alias("covered"), share.alias("fraction"))

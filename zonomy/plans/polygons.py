@@ -110,7 +110,7 @@ def turned_rectangles(t):
     a, b, z = F.col("a"), F.col("b"), F.lit(0.0)
     first = F.array(point(z, z), point(a, z), point(a / 2, b / 2), point(a / 3, F.col("inner_x") * b / 20))
     second = F.array(point(a, b), point(z, b), point(a / 2, b / 2))
-    parts = t["turned"].select("shape_id", F.explode(F.array(F.array(first), F.array(second))).alias("rings"))
+    parts = P.dealt(t["turned"]).select("shape_id", F.explode(F.array(F.array(first), F.array(second))).alias("rings"))
     d = P.part_hulls(parts, ["shape_id"]).withColumn("r", H.smallest_rectangle("hull"))
     return rounded(d.select("shape_id", F.col("r.long").alias("long_side"), F.col("r.short").alias("short_side"), H.elongation_of(F.col("r")).alias("elongation")))
 
