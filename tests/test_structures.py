@@ -91,6 +91,30 @@ def test_cells_move_no_area(spark, scene):
     assert runs[0][3] == 0.0
 
 
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_few_shapes_of_a_cell_need_no_union(spark, scene, few):
+    zones, shapes = scene
+    z = spark.createDataFrame([(k, as_rings(p)) for k, p in enumerate(zones)], f"zone_id int, zrings {RINGS}")
+    s = spark.createDataFrame([(None if k % 3 else k % 2, as_rings(p)) for k, p in enumerate(shapes)], f"kind int, rings {RINGS}")
+    got = {(r["zone_id"], r["kind"]): r["covered"] for r in polygons.covered_polygon_area(z, s, 2.5, "zone_id", keys=("kind",), few_shapes=few).collect()}
+    for k, zone in enumerate(zones):
+        for kind in (None, 0, 1):
+            own = [p for i, p in enumerate(shapes) if (None if i % 3 else i % 2) == kind]
+            assert got.get((k, kind), 0.0) == pytest.approx(lined_area(zone, own), rel=1e-2, abs=1e-2)
+
+
+def test_cover_of_many_zones_at_once():
+    r = np.random.default_rng(12)
+    zones = [sweep.ring_edges(star(r, int(r.integers(3, 9)), r.uniform(2, 4, 2), 2)) for _ in range(40)] + [np.empty((0, 4))]
+    owned = [[sweep.ring_edges(star(r, int(r.integers(3, 9)), r.uniform(1, 5, 2), 1.5)) for _ in range(k % 13)] for k in range(41)]  # past SHORT edges, too
+    edges = [(e, k, i + 1) for k, own in enumerate(owned) for i, e in enumerate(own)]
+    b, row, shape = np.concatenate([e for e, _, _ in edges]), *(np.repeat([x[i] for x in edges], [len(x[0]) for x in edges]) for i in (1, 2))
+    got = sweep.covered_areas(np.concatenate(zones), np.array(list(map(len, zones))), b, row, shape)
+    for k, (zone, own) in enumerate(zip(zones, owned)):
+        union = sweep.union_edges(np.concatenate(own), np.repeat(np.arange(len(own)), list(map(len, own)))) if own else np.empty((0, 4))
+        assert got[k] == pytest.approx(sweep.shared_area(zone, union), rel=1e-9, abs=1e-12)
+
+
 def test_shared_areas_of_pairs(spark, scene):
     zones, shapes = scene
     z = spark.createDataFrame([(k, as_rings(p)) for k, p in enumerate(zones)], f"zone_id int, zrings {RINGS}")

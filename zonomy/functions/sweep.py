@@ -92,13 +92,7 @@ def _lines(e: np.ndarray, shape: np.ndarray):
         order = order[:, :most]
         x = np.take_along_axis(x, order, axis=1)
         own = np.where(np.isfinite(x), shape[order], -1)
-        by = np.argsort(own, axis=1, kind="stable")
-        grouped = np.take_along_axis(own, by, axis=1)
-        place = np.broadcast_to(np.arange(most), grouped.shape)
-        first = np.maximum.accumulate(np.where(np.diff(grouped, axis=1, prepend=-2) != 0, place, 0), axis=1)
-        sign = np.empty_like(own)
-        np.put_along_axis(sign, by, 1 - 2 * ((place - first) % 2), axis=1)
-        yield ys, a, order, x, np.where(own >= 0, sign, 0)
+        yield ys, a, order, x, _signs(own)
 
 
 def union_edges(e: np.ndarray, shape: np.ndarray) -> np.ndarray:
@@ -233,8 +227,25 @@ def _padded(e: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> n
     return out
 
 
-def _areas_of(e: np.ndarray, shape: np.ndarray, shapes: int) -> np.ndarray:
-    """Area that lies in all of the ``shapes`` shapes (1 or 2) of every row of (rows, edges, 4)."""
+def _signs(own: np.ndarray) -> np.ndarray:
+    """+1 or -1 as an edge enters or leaves its shape along a line; 0 for what is filled up (-1)."""
+    by = np.argsort(own, axis=1, kind="stable")
+    grouped = np.take_along_axis(own, by, axis=1)
+    place = np.broadcast_to(np.arange(own.shape[1]), grouped.shape)
+    first = np.maximum.accumulate(np.where(np.diff(grouped, axis=1, prepend=-2) != 0, place, 0), axis=1)
+    sign = np.empty(own.shape, np.int64)
+    np.put_along_axis(sign, by, 1 - 2 * ((place - first) % 2), axis=1)
+    return np.where(own >= 0, sign, 0)
+
+
+def _covered(own: np.ndarray) -> np.ndarray:
+    """Whether what follows an edge lies in shape 0 and in at least one other."""
+    sign = _signs(own)
+    return (np.cumsum(np.where(own == 0, sign, 0), axis=1) == 1) & (np.cumsum(np.where(own > 0, sign, 0), axis=1) > 0)
+
+
+def _areas_of(e: np.ndarray, shape: np.ndarray, shapes: int | None) -> np.ndarray:
+    """Area that lies in all of the ``shapes`` shapes (1 or 2) of every row of (rows, edges, 4); without their number, in shape 0 and any other."""
     x0, y0, x1, y1 = np.moveaxis(e, 2, 0)
     i, j = np.triu_indices(e.shape[1], 1)
     left, right = np.minimum(x0, x1), np.maximum(x0, x1)
@@ -259,12 +270,13 @@ def _areas_of(e: np.ndarray, shape: np.ndarray, shapes: int) -> np.ndarray:
     order = np.argsort(x, axis=1, kind="stable")[:, :max(1, int(np.isfinite(x).sum(axis=1).max(initial=1)))]
     x = np.take_along_axis(x, order, axis=1)
     own = np.where(np.isfinite(x), np.take_along_axis(shape[row], order, axis=1), -1)
-    within = np.logical_and.reduce([np.cumsum(own == s, axis=1) % 2 == 1 for s in range(shapes)])[:, :-1]
+    within = _covered(own) if shapes is None else np.logical_and.reduce([np.cumsum(own == s, axis=1) % 2 == 1 for s in range(shapes)])
+    within = within[:, :-1]
     x = np.where(np.isfinite(x), x, 0)
     return np.bincount(row, np.where(within, np.diff(x, axis=1), 0).sum(axis=1) * height, minlength=len(shape))
 
 
-def _measured(e: np.ndarray, shape: np.ndarray, size: np.ndarray, shapes: int) -> np.ndarray:
+def _measured(e: np.ndarray, shape: np.ndarray, size: np.ndarray, shapes: int | None) -> np.ndarray:
     """``_areas_of`` runs of edges, those of about the same length together."""
     out, start = np.zeros(len(size)), np.cumsum(size) - size
     width = (size + 1) // 2 * 2
@@ -313,3 +325,46 @@ def shared_areas(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.n
         held = np.repeat(short, n)
         out[r[short]] = _measured(e[held], shape[held], n[short], 2)
     return out
+
+
+def covered_area(e: np.ndarray, shape: np.ndarray) -> float:
+    """Area that lies in shape 0 and in at least one other."""
+    total = 0.0
+    for ys, k, order, x, sign in _lines(e, shape) if len(e) else ():
+        own = shape[order]
+        inside = (np.cumsum(np.where(own == 0, sign, 0), axis=1) == 1) & (np.cumsum(np.where(own > 0, sign, 0), axis=1) > 0)
+        width = np.where(inside[:, :-1], np.diff(np.where(np.isfinite(x), x, 0), axis=1), 0).sum(axis=1)
+        total += float((width * np.diff(ys[k:k + len(x) + 1])).sum())
+    return total
+
+
+def covered_areas(a: np.ndarray, size: np.ndarray, b: np.ndarray, row: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """``covered_area`` of edge sets ``a`` that lie behind one another, each under the shapes (1 and more) whose edges ``b`` name its ``row``."""
+    out, own = np.zeros(len(size)), np.repeat(np.arange(len(size)), size)
+    at = np.argsort(row, kind="stable")
+    b, row, shape = b[at], row[at], shape[at]
+    ends_a, ends_b = np.concatenate([[0], np.cumsum(size)]), np.searchsorted(row, np.arange(len(size) + 1))
+    for k in range(0, len(size), PAIRS):
+        stop = min(k + PAIRS, len(size))
+        n = stop - k
+        x, p = a[ends_a[k]:ends_a[stop]], own[ends_a[k]:ends_a[stop]] - k
+        y, q, t = b[ends_b[k]:ends_b[stop]], row[ends_b[k]:ends_b[stop]] - k, shape[ends_b[k]:ends_b[stop]]
+        low, high, right = np.full(n, np.inf), np.full(n, -np.inf), np.full(n, -np.inf)
+        np.minimum.at(low, p, x[:, 1])
+        np.maximum.at(high, p, x[:, 3])
+        np.maximum.at(right, p, x[:, ::2].max(axis=1, initial=-np.inf))
+        kept = (y[:, 3] > low[q]) & (y[:, 1] < high[q]) & (np.minimum(y[:, 0], y[:, 2]) <= right[q])  # what lies right of shape 0 bounds nothing shared
+        y, q, t = y[kept], q[kept], t[kept]
+        some = np.bincount(q, minlength=n) > 0
+        x, p = x[some[p]], p[some[p]]
+        at = np.argsort(np.concatenate([p, q]), kind="stable")
+        e, kind = np.concatenate([x, y])[at], np.concatenate([np.zeros(len(x)), t])[at]
+        count = np.bincount(np.concatenate([p, q]), minlength=n)
+        start = np.cumsum(count) - count
+        short = count <= SHORT
+        for i in np.nonzero(~short)[0]:
+            s = slice(start[i], start[i] + count[i])
+            out[k + i] = covered_area(e[s], kind[s])
+        held = np.repeat(short, count)
+        out[k:stop][short] = _measured(e[held], kind[held], count[short], None)
+    return out

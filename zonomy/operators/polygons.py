@@ -20,6 +20,8 @@ from zonomy.session import broadcast_if_small, cut_lineage
 
 #: Shapes of a cell that one task unites at a time, edges that it unites at once, and dense cells whose list is broadcast.
 HOT_SHAPES, EDGES, HOT_CELLS = 2_000, 1_200, 10_000
+#: Shapes of a cell up to which zones meet them as they are, and bytes of their edges on average; those of fuller cells are united first.
+FEW_SHAPES, FEW_BYTES = 64, 256
 #: Polygons of a task when they are cut, and trapezoids that are looked at together.
 TASK_POLYGONS, TRAPEZOIDS = 50_000, 1 << 18
 BOX = ("_x0", "_y0", "_x1", "_y1")
@@ -140,8 +142,11 @@ def union_cells(shapes: DataFrame, cell: float, rings: str = "rings", keys: tupl
     Equal parts collapse first. Cells of more than ``hot_shapes`` parts are dealt out by salt, united, and
     united once more.
     """
+    return _union_of(cut_lineage(cell_edges(shapes, rings, cell, keys).drop(*BOX).distinct()), keys, hot_shapes)
+
+
+def _union_of(pieces: DataFrame, keys: tuple[str, ...], hot_shapes: int) -> DataFrame:
     group = [*keys, "_cx", "_cy"]
-    pieces = cut_lineage(cell_edges(shapes, rings, cell, keys).drop(*BOX).distinct())
     counts = pieces.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_shapes)
     hot = cut_lineage(counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)], F.ceil(F.col("_n") / hot_shapes).cast("int").alias("_salts")))
     if hot.isEmpty():
@@ -214,16 +219,48 @@ def _zone_cells(zones: DataFrame, zone_id: str, zrings: str, cell: float) -> Dat
     return cell_edges(zones, zrings, cell, (zone_id,)).select(F.col(zone_id).alias("_zone"), F.col("_cx").alias("_zx"), F.col("_cy").alias("_zy"), F.col("edges").alias("_zone_edges"), *[F.col(c).alias(f"_z{c}") for c in BOX])
 
 
+def _areas_under(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the area of ``_zone_edges`` under the shapes of the list ``shapes`` (edge sets as bytes), many rows at once."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, a_start, a_size = _edge_runs(batch.column("_zone_edges"))
+            shapes = batch.column("shapes")
+            b, b_start, b_size = _edge_runs(shapes.flatten())
+            row = np.repeat(np.arange(batch.num_rows), shapes.value_lengths().to_numpy(zero_copy_only=False))
+            zone, box = _boxes(a, a_start, a_size)[row], _boxes(b, b_start, b_size)
+            meet = (box[:, 0] < zone[:, 2]) & (box[:, 2] > zone[:, 0]) & (box[:, 1] < zone[:, 3]) & (box[:, 3] > zone[:, 1])
+            row, b_start, b_size = row[meet], b_start[meet], b_size[meet]
+            shape = 1 + np.arange(len(row)) - np.searchsorted(row, row)
+            area = sweep.covered_areas(a, a_size, b[sweep.runs(b_start, b_size)], np.repeat(row, b_size), np.repeat(shape, b_size))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(area, pa.float64())], names=[*keep, "_a"])
+
+    return pairs.select(*keep, "_zone_edges", "shapes").mapInArrow(measure, schema + ", _a double")
+
+
 def covered_polygon_area(zones: DataFrame, shapes: DataFrame, cell: float, zone_id: str, zrings: str = "zrings", rings: str = "rings",
-                         keys: tuple[str, ...] = (), hot_shapes: int = HOT_SHAPES) -> DataFrame:
+                         keys: tuple[str, ...] = (), hot_shapes: int = HOT_SHAPES, few_shapes: int = FEW_SHAPES) -> DataFrame:
     """(zone_id, keys, covered): area of each zone under the union of the shapes of each key; zones without any have no row.
 
-    ``cell`` moves no result. A polygon without a ring of three finite points is empty.
+    Zones meet the shapes of a cell as they are, where these are at most ``few_shapes`` of a key, and the trapezoids of their union
+    elsewhere. ``cell``, ``hot_shapes`` and ``few_shapes`` move no result. A polygon without a ring of three finite points is empty.
     """
-    union = union_cells(shapes, cell, rings, keys, hot_shapes)
-    z = _zone_cells(zones, zone_id, zrings, cell)
-    pairs = _by_cell(z, "_zx", "_zy").join(_by_cell(union, "_cx", "_cy"), (F.col("_zx") == F.col("_cx")) & (F.col("_zy") == F.col("_cy")))
-    areas = _areas(pairs, ["_zone", *keys], "_zone_edges", "edges", trapezoids=True)
+    group = [*keys, "_cx", "_cy"]
+    tasks = max(_tasks(shapes), -(-shapes.count() // TASK_POLYGONS))
+    z = _zone_cells(zones, zone_id, zrings, cell).repartition(tasks, "_zx", "_zy")
+    here = (F.col("_zx") == F.col("_cx")) & (F.col("_zy") == F.col("_cy"))
+    pieces = cut_lineage(cell_edges(shapes, rings, cell, keys).drop(*BOX).repartition(tasks, "_cx", "_cy").distinct())
+    counted = pieces.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("edges")).alias("_b"))
+    full = cut_lineage(counted.where((F.col("_n") > few_shapes) | (F.col("_b") > few_shapes * FEW_BYTES)).select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(group)]))
+    dense = [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(group)]
+    crowded = not full.isEmpty()
+    few = pieces.join(broadcast_if_small(full, HOT_CELLS), dense, "left_anti") if crowded else pieces
+    lists = few.repartition(tasks, "_cx", "_cy").groupBy(*group).agg(F.collect_list("edges").alias("shapes"))  # few_shapes at most
+    areas = _areas_under(z.join(lists.hint("merge"), here), ["_zone", *keys])
+    if crowded:
+        union = _union_of(cut_lineage(pieces.join(broadcast_if_small(full, HOT_CELLS), dense, "left_semi")), keys, hot_shapes)
+        areas = areas.unionByName(_areas(z.join(union.repartition(tasks, "_cx", "_cy").hint("merge"), here), ["_zone", *keys], "_zone_edges", "edges", trapezoids=True))
     return areas.where(F.col("_a") > 0).groupBy(F.col("_zone").alias(zone_id), *keys).agg(F.sum("_a").alias("covered"))
 
 
