@@ -319,3 +319,18 @@ def test_toxicity_slopes_are_those_of_the_loss():
         d[k] = 1e-5
         slope = (loss(w + d[:6], b + d[6]) - loss(w - d[:6], b - d[6])) / 2e-5
         assert abs(slope) < 2e-3
+
+
+def test_pairs_that_meet_by_chance_are_not_listed(spark):
+    r = np.random.default_rng(8)
+    base = np.arange(1000, 1200)
+    sets = [np.sort(np.concatenate([r.permutation(base)[:200 - k], 10_000 * (i + 1) + np.arange(k)])) for i, k in enumerate([0, 5, 10, 18, 22, 30, 60, 100])]
+    sets += [np.concatenate([[7], 1_000_000 + 1000 * i + np.arange(199)]) for i in range(40)]  # all share one element
+    first = [s[:jaccard_join.kept_elements(len(s), 80)] for s in sets]
+    rows = [(int(h), i, len(s), i) for i, (s, own) in enumerate(zip(sets, first)) for h in own]
+    d = spark.createDataFrame(rows, "h long, node long, n long, c long")
+    m = d.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    got = {tuple(x) for x in jaccard_join._possible(d.join(m, "h"), 80).collect()}
+    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+              if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= got and not any(b >= 8 for _, b in got)

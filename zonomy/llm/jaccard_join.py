@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from zonomy.llm import text as tx
 from zonomy.llm.components import components
@@ -79,7 +79,7 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pack(np.minimum(c, 2**20).astype(np.uint32).tobytes())])], names=["k", "c"])
 
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for row in docs.mapInArrow(count, "k int, c binary").repartition(16, "k").mapInArrow(add, "k int, c binary").toLocalIterator():
+    for row in docs.mapInArrow(count, "k int, c binary").repartition(16, "k").mapInArrow(add, "k int, c binary").coalesce(16).toLocalIterator():
         out[row["k"]:row["k"] + _SEGMENT] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["c"])), np.uint32)
     return out
 
@@ -182,13 +182,26 @@ def _labels(regions: DataFrame, slim: DataFrame, width: int, percent: int) -> Da
         pairs = open_.join(chosen, "h").where("c <> cp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         label = _joined(label, _verified(cut_lineage(pairs), slim, width, percent))
         regions = cut_lineage(open_.join(chosen.select("h", F.col("pivot").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n"))
-    other = open_.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = open_.join(other, "h").where("node < b and c <> cb and 100 * least(n, nb) >= {0} * greatest(n, nb)".format(percent))
-    pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("nb").alias("nb"))
+    possible = cut_lineage(_possible(open_, percent))
+    return label if possible.isEmpty() else _joined(label, _verified(possible, slim, width, percent))
+
+
+def _possible(open_: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of different classes that the elements of their regions do not exclude.
+
+    Two sets within the radius share at least ``least`` of their first elements. In an order of all elements (those of small regions first) the
+    first one that they share has ``least`` elements or more from there on in either set, so pairs are listed where this holds, and not once for
+    every element that they share.
+    """
+    behind = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), F.desc("h")))  # a set has few elements
+    placed = cut_lineage(open_.select("h", "node", "n", "c", behind.alias("k")))
+    other = placed.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("k").alias("kb"))
     need = F.ceil(percent * (F.col("n") + F.col("nb")) / (100 + percent))
     rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1  # noqa: E731  elements behind the first ones
-    possible = cut_lineage(pairs.where(F.col("shared") >= need - F.greatest(rest("n"), rest("nb"))).select("a", "b"))
-    return label if possible.isEmpty() else _joined(label, _verified(possible, slim, width, percent))
+    least = need - F.greatest(rest("n"), rest("nb"))
+    near = F.expr("node < b and c <> cb and 100 * least(n, nb) >= {0} * greatest(n, nb)".format(percent))
+    pairs = placed.join(other, "h").where(near & (F.least("k", "kb") >= least))
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:

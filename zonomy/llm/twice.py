@@ -92,7 +92,7 @@ def again_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndar
             packed = zstandard.ZstdCompressor(level=1).compress(again.tobytes())
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([packed])], names=["seg", "again"])
 
-    parts = df.mapInArrow(build, "seg int, once binary, again binary").repartition(16, "seg").mapInArrow(merge, "seg int, again binary")
+    parts = df.mapInArrow(build, "seg int, once binary, again binary").repartition(16, "seg").mapInArrow(merge, "seg int, again binary").coalesce(16)  # a job each below
     bits = np.zeros(1 << (log_bits - 3), np.uint8)
     step = min(SEGMENT_BITS >> 3, len(bits))
     for row in parts.toLocalIterator():
