@@ -356,3 +356,17 @@ def test_long_chains_take_few_steps(spark, monkeypatch):
     lo, hi = r.integers(0, 400, (2, 300))
     ids, roots = graph.local_roots(lo, hi)
     assert all(dict(zip(ids, roots))[a] == dict(zip(ids, roots))[b] for a, b in zip(lo, hi)) and all(a >= b for a, b in zip(ids, roots))
+
+
+def test_nearest_deals_points_out(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "NEAREST_POINTS", 500)
+    points = spark.range(4000).select(F.col("id").alias("pid"), (F.col("id") * 37 % 900).cast("double").alias("x"), (F.col("id") * 53 % 700).cast("double").alias("y"))
+    sites = spark.range(25).select(F.col("id").alias("sid"), (F.col("id") % 5 * 200).cast("double").alias("sx"), (F.floor(F.col("id") / 5) * 170).cast("double").alias("sy"))
+    near = spatial.nearest(points, sites, "pid", "sid", 100.0, 900.0)
+    near.collect()
+    assert near._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(pid") and "REPARTITION_BY_NUM" in near._jdf.queryExecution().executedPlan().toString()
+    got = {r["pid"]: (r["sid"], r["dist"]) for r in near.collect()}
+    own = [(r["sid"], r["sx"], r["sy"]) for r in sites.collect()]
+    for r in points.collect():
+        dist, sid = min((math.hypot(r["x"] - sx, r["y"] - sy), sid) for sid, sx, sy in own)
+        assert got[r["pid"]] == (sid, pytest.approx(dist))

@@ -18,6 +18,7 @@ from zonomy.session import broadcast_if_small, cut_lineage
 
 HOT_CELLS = 10_000  # dense cells up to which their list is broadcast; a longer one is joined
 HOT_ROWS = 50_000
+NEAREST_POINTS = 20_000  # points of a task that looks for their nearest sites
 TASK_ROWS = 100_000  # rows of both sides, one for every cell that they touch, aimed at in a task of a join
 
 
@@ -244,11 +245,14 @@ def nearest(
     occupied point cell the smallest size whose 3 x 3 block holds k sites bounds the k-th
     distance; the block two sizes up contains that disc, so it holds the answer.
     Ties break on the site key. Every point keeps its rows wherever it lies; an empty site table is an error.
+    Points are dealt out by key before they meet sites, in tasks that grow in number with them: the size of a small table does not tell
+    how many rows it meets. What a point meets stays in its task.
     """
-    ends = lambda d, x, y: d.agg(F.min(x), F.max(x), F.min(y), F.max(y)).head()
+    ends = lambda d, x, y: d.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count(F.lit(1))).head()
     of_sites, of_points = ends(sites, "sx", "sy"), ends(points, "x", "y")
     if of_sites[0] is None:
         raise ValueError("no sites")
+    tasks = max(1, math.ceil(of_points[4] / NEAREST_POINTS))
     spans = [max(a, b) - min(c, d) for a, b, c, d in ((of_sites[i + 1], of_points[i + 1], of_sites[i], of_points[i]) for i in (0, 2)) if b is not None]
     extent = max([extent, *spans])
     top = max(3, math.ceil(math.log2(max(extent / base, 1.0))) + 3)
@@ -273,7 +277,8 @@ def nearest(
         .where((F.col("_n") >= F.col("_k")) | (lv == top))
         .groupBy("_px", "_py").agg(F.least(F.min("_lv") + 2, F.lit(top)).alias("_lv"))
     )
-    q = p.join(level, ["_px", "_py"]).withColumn("_d", F.explode(around))
+    placed = [d.repartition(tasks, "_px", "_py") for d in (p, level)]
+    q = placed[0].join(placed[1], ["_px", "_py"]).repartition(tasks, key).withColumn("_d", F.explode(around))
     q = q.withColumn("_cx", F.floor(F.col("x") / size(lv)) + F.col("_d.i")).withColumn(
         "_cy", F.floor(F.col("y") / size(lv)) + F.col("_d.j"))
     hits = q.join(site, ["_lv", "_cx", "_cy"]).withColumn(
