@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,78 @@ def test_few_blocks_are_visited_on_clustered_rows(spark):
     assert pivots.top_pairs(pairs, 5).count() == 20_000
 
 
+def bundle(v, places, ids):
+    packed = pa.array([x.astype("<f4").tobytes() for x in v], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(ids), packed], names=["place", "id", "v"])
+
+
+def asking(v, bits, ids, kth):
+    packed = pa.array([x.astype("<f4").tobytes() for x in v], pa.binary())
+    flags = pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(ids), packed, flags, pa.array(kth, pa.float64())], names=["id", "v", "bits", "kth"])
+
+
+def distances(v, w):
+    unit = lambda x: x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    return np.round(1 - unit(v.astype(np.float32).astype(float)) @ unit(w.astype(np.float32).astype(float)).T, 9)
+
+
+def test_a_known_distance_spares_most_measurements():
+    r = np.random.default_rng(4)
+    v, w, k = r.normal(size=(300, 24)), r.normal(size=(5000, 24)), 5
+    d = distances(v, w)
+    kth = np.sort(d[:, :500], axis=1)[:, k - 1]  # what a round before has found
+    refs = pivots._Refs([bundle(w, np.arange(5000) // 700, np.arange(5000))], "<f4", False)
+    queries = pivots._Queries(refs, asking(v, np.ones((300, 8), bool), np.arange(300), kth), k, "<f4")
+    measured, add = [], queries.add
+    queries.add = lambda row, at, dist: (measured.append(len(row)), add(row, at, dist))
+    got = queries.found().to_pydict()
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    want = {(i, int(j)) for i in range(300) for j in best[i] if d[i, j] <= kth[i]}
+    assert set(zip(got["q"], got["r"])) == want
+    assert sum(measured) < 0.05 * d.size
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_equal_references_and_unwanted_blocks(known):
+    r = np.random.default_rng(5)
+    w = np.repeat(r.normal(size=(30, 6)), 100, axis=0)[r.permutation(3000)]
+    w[::7] = 0
+    ids, places, k = r.permutation(3000), np.sort(np.arange(3000) % 60), 4
+    bits = r.random((400, 60)) < 0.5
+    own = r.integers(0, 3000, 400)  # queries are some of the references
+    v = w[own]
+    d = np.where(bits[:, places], distances(v, w), np.inf)
+    d[np.arange(400), own] = np.inf
+    refs = pivots._Refs([bundle(w, places, ids)], "<f4", True)
+    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+    kth = np.take_along_axis(d, order, axis=1)[:, -1]
+    got = pivots._Queries(refs, asking(v, bits, ids[own], kth if known else [None] * 400), k, "<f4").found().to_pydict()
+    want = {(int(ids[own[i]]), int(ids[j])) for i in range(400) for j in order[i] if d[i, j] < np.inf}
+    assert set(zip(got["q"], got["r"])) == want
+
+
+@pytest.mark.parametrize("scale", [1.0, 1 / 3])
+def test_vectors_travel_as_short_as_they_can(spark, scale):
+    """Thirds need double precision; halves and tenths of an image do not lose a bit in single precision."""
+    r = np.random.default_rng(6)
+    v = r.integers(-9, 9, (300, 6)) * scale
+    df = spark.createDataFrame([(int(k), [float(c) for c in x]) for k, x in enumerate(v)], "id long, v array<double>")
+    assert df.agg(F.min(pivots._single("v"))).first()[0] == (scale == 1)
+    key = lambda rows: sorted((x["id"], x["nn"], x["ref"], x["dist"]) for x in rows)
+    assert key(neighbours.knn(df, df, 6, exclude_self=True, block=50).collect()) == key(neighbours.knn(df, df, 6, exclude_self=True).collect())
+
+
+def test_tasks_of_a_round_grow_with_its_queries(spark):
+    """A partition for every group of queries that meets a bundle, and none beside these."""
+    slots = pivots._slots(spark, 7)
+    at = spark.createDataFrame([(s,) for s in slots], "slot long").repartition(7, "slot").select(F.spark_partition_id()).collect()
+    assert sorted(r[0] for r in at) == list(range(7))
+    wanted = spark.createDataFrame([(k, b"", None, [(0, b"\x80"), (1, b"\x80")]) for k in range(50)], "q long, v binary, kth double, asked array<struct<bundle:long,bits:binary>>")
+    placed = spark.createDataFrame([(0, 0, 1, b""), (1, 0, 2, b"")], "bundle long, place int, r long, v binary")
+    assert pivots._visit(wanted, placed, 2, 3, True, "long", "<f4").rdd.getNumPartitions() == 2
+
+
 def test_fewer_references_than_neighbours(spark):
     df = spark.createDataFrame([(k, [float(k + 1), 1.0]) for k in range(6)], "id long, v array<double>")
     assert neighbours.knn(df, df, 9, exclude_self=True, block=2).count() == 30
