@@ -5,16 +5,22 @@ A vote table has one row per (aoi, pixel, annotator, submission): class, weight,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from zonomy.functions.common import N_CLASSES, clip, stable_fraction
 from zonomy.operators.ordered import quantiles_of
-from zonomy.session import broadcast_if_small, cut_lineage
+from zonomy.session import broadcast_if_small, cut_lineage, stored
 
 MAX_AREAS = 100_000
+#: Votes at most whose pixels are scored in one go when authors are left out.
+CHUNK = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -123,55 +129,108 @@ def smallest_shape_wins(votes: DataFrame, keys: Sequence[str] = ("aoi", "pixel")
     return votes.groupBy(*keys).agg(F.min_by("class", F.struct("area", "submission", "class")).alias("class"))
 
 
+def _left_votes(votes: DataFrame, authors: DataFrame) -> DataFrame:
+    """One row per vote of an author to hold out: class and weight, the peer's class there, and the pixel's sums over everyone.
+
+    Votes meet their author first and then their pixel; there a vote asks under its peer's name, so that no second join is made.
+    """
+    fit = authors.select("aoi", F.col("held").alias("annotator"), "peer", F.lit(True).alias("_fit"))
+    rows = votes.join(fit, ["aoi", "annotator"], "left").repartition("aoi", "pixel")
+    name = lambda c, asks: F.struct(F.col(c).alias("_name"), F.lit(asks).alias("_asks"))
+    rows = rows.withColumn("_n", F.explode(F.when(F.col("_fit"), F.array(name("annotator", False), name("peer", True))).otherwise(F.array(name("annotator", False)))))
+    rows = rows.select("aoi", "pixel", F.col("annotator").alias("held"), "class", "weight", "_n._name", "_n._asks")
+    pixel = Window.partitionBy("aoi", "pixel")
+    w = F.when(~F.col("_asks"), F.col("weight"))
+    rows = rows.withColumn("peer_class", F.max(F.when(~F.col("_asks"), F.col("class"))).over(Window.partitionBy("aoi", "pixel", "_name")))
+    sums = {f"_s{c}": F.sum(F.when(F.col("class") == c, w).otherwise(0.0)).over(pixel) for c in range(1, N_CLASSES + 1)}
+    rows = rows.withColumns({"w1": F.sum(w).over(pixel), "w2": F.sum(w * w).over(pixel), **sums}).where("_asks")
+    return rows.select("aoi", "held", F.col("class").alias("truth"), "peer_class", F.col("weight").alias("hw"), "w1", "w2", F.array(*sums).alias("s"))
+
+
+def _masks(rules: ConsensusRules):
+    """The set that the others of a pixel decide on, 0 if rejected, by the rules of ``_decide``; many rows at once."""
+    def columns(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, N_CLASSES)
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hw, w1, mean_w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hw", "w1", "mean_w"))
+            truth = pc.fill_null(batch.column("truth"), 0).to_numpy()
+            s, own = columns(batch, "s").copy(), np.flatnonzero((truth >= 1) & (truth <= N_CLASSES))
+            at = own, truth[own] - 1
+            s[at] = np.maximum(s[at] - hw[own], 0.0)
+            alpha = (rules.prior_alpha * np.fmax(mean_w, 1e-6))[:, None]
+            posterior = (s + alpha * columns(batch, "prior")) / ((w1 - hw)[:, None] + alpha)
+            top = np.argsort(-posterior, axis=1, kind="stable")[:, :rules.max_set_size + 1]
+            p = np.take_along_axis(posterior, top, axis=1)
+            mass, n, mask = np.zeros(len(p)), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+            for x, c in zip(p.T, top.T):
+                grows = mass < rules.tau_mass
+                mass, n, mask = np.where(grows, mass + x, mass), n + grows, np.where(grows, mask | (1 << c), mask)
+            mask[(n > rules.max_set_size) | (p[:, 0] < rules.min_p_top)] = 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("aoi", "truth", "peer_class")), pa.array(mask)], names=["aoi", "truth", "peer_class", "bitmask"])
+
+    return masks
+
+
 def leave_one_out(
-    votes: DataFrame, authors: DataFrame, rules: ConsensusRules = ConsensusRules(), min_others: int = 2
+    votes: DataFrame, authors: DataFrame, rules: ConsensusRules = ConsensusRules(), min_others: int = 2, chunk: int = CHUNK
 ) -> DataFrame:
     """Agreement of each held-out annotator with the consensus of the others and with one peer.
 
     ``authors`` has (aoi, held, peer). Removing one annotator is a subtraction: the pixel
-    sums of everyone are built once and the held annotator's own vote is taken off, so no
-    vote is copied once per fold.
+    sums of everyone are built and the held annotator's own vote is taken off, so no
+    vote is copied once per fold. Pixels go in parts of about ``chunk`` votes, and what a part
+    shuffles is dropped after it, so that the disk holds the votes and one part.
     """
-    v = cut_lineage(newest_votes(votes))  # read for the sums, the held-out votes and the peers
-    acc = cut_lineage(accumulate(v))
-    own = v.select("aoi", "pixel", F.col("annotator").alias("held"), F.col("class").alias("truth"),
-                   F.col("weight").alias("_hw")).join(authors.select("aoi", "held"), ["aoi", "held"], "left_semi")
-    seen = acc.join(own, ["aoi", "pixel"])
-    # area-wide sums without the held annotator: totals minus that annotator's share
-    all_prior = acc.groupBy("aoi").agg(
-        F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(N_CLASSES)]).alias("_t"),
-        F.sum("w1").alias("_w"),
-        F.sum(F.col("w2") / F.col("w1")).alias("_m"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    hw = F.col("_hw")
-    w1 = F.col("w1") - hw
-    w2 = F.greatest(F.col("w2") - hw * hw, F.lit(0.0))
-    left = w1 > 1e-9
-    own_sums = seen.groupBy("aoi", "held").agg(
-        F.array(*[F.sum(F.when(F.col("truth") == c, hw).otherwise(0.0)) for c in range(1, N_CLASSES + 1)]).alias("_ht"),
-        F.sum(hw).alias("_hsum"),
-        F.sum(F.col("w2") / F.col("w1") - F.when(left, w2 / w1).otherwise(0.0)).alias("_dm"),
-        F.count_if(~left).alias("_gone"),
-    )
-    prior = own_sums.join(all_prior, "aoi").select(
+    authors = stored(authors)  # read for every part
+    v = stored(newest_votes(votes).where(F.col("aoi").isNotNull() & F.col("pixel").isNotNull()))
+    parts = max(1, -(-v.count() // chunk))
+    some = [v.where(F.pmod(F.xxhash64("pixel"), F.lit(parts)) == i) for i in range(parts)]
+    together = lambda tables: reduce(DataFrame.unionByName, tables)
+    # area-wide sums, and what a held annotator has of them
+    pixel = Window.partitionBy("aoi", "pixel")
+    hw, n_gone = F.col("weight"), lambda w1: ~(w1 - hw > 1e-9)
+    w1, w2 = F.col("w1"), F.col("w2")
+    rest = F.when(n_gone(w1), 0.0).otherwise(F.greatest(w2 - hw * hw, F.lit(0.0)) / (w1 - hw))
+    own, area = [], []
+    for x in some:
+        x = x.repartition("aoi", "pixel")
+        seen = x.withColumns({"w1": F.sum(hw).over(pixel), "w2": F.sum(hw * hw).over(pixel)})
+        own.append(stored(seen.groupBy("aoi", F.col("annotator").alias("held"), "class").agg(
+            F.sum(hw).alias("h"), F.sum(w2 / w1 - rest).alias("dm"), F.count_if(n_gone(w1)).alias("gone"))))
+        sums = x.groupBy("aoi", "pixel").agg(F.sum(hw).alias("w1"), F.sum(hw * hw).alias("w2"))
+        area.append(stored(sums.groupBy("aoi").agg(F.sum("w1").alias("_w"), F.sum(w2 / w1).alias("_m"), F.count(F.lit(1)).alias("_n"))))
+    by_class = F.array(*[F.sum(F.when(F.col("class") == c, F.col("h")).otherwise(0.0)) for c in range(1, N_CLASSES + 1)])
+    whole = together(area).groupBy("aoi").agg(*[F.sum(c).alias(c) for c in ("_w", "_m", "_n")])
+    totals = together(own).groupBy("aoi", "class").agg(F.sum("h").alias("h")).groupBy("aoi").agg(by_class.alias("_t"))
+    held = together(own).repartition("aoi", "held").groupBy("aoi", "held").agg(
+        by_class.alias("_ht"), F.sum("h").alias("_hsum"), F.sum("dm").alias("_dm"), F.sum("gone").alias("_gone"))
+    areas = broadcast_if_small(stored(whole.join(totals, "aoi")), MAX_AREAS)
+    prior = stored(held.join(areas, "aoi").join(authors.select("aoi", "held"), ["aoi", "held"], "left_semi").select(
         "aoi", "held",
         F.zip_with("_t", "_ht", lambda a, b: (a - b) / (F.col("_w") - F.col("_hsum"))).alias("prior"),
         ((F.col("_m") - F.col("_dm")) / (F.col("_n") - F.col("_gone"))).alias("mean_w"),
-    )
-    rest = seen.where(left).select(
-        "aoi", "pixel", "held", "truth", w1.alias("w1"), w2.alias("w2"),
-        F.transform("s", lambda s, i: F.when(i + 1 == F.col("truth"), F.greatest(s - hw, F.lit(0.0))).otherwise(s)).alias("s"),
-    )
-    decided = _decide(rest.join(prior, ["aoi", "held"]), rules)
+    ))
     hit = F.call_function("shiftright", F.col("bitmask"), F.col("truth") - 1).bitwiseAND(F.lit(1).cast("long")) == 1
-    peers = v.select("aoi", "pixel", F.col("annotator").alias("peer"), F.col("class").alias("peer_class"))
-    scored = decided.withColumn("ok", hit).join(authors, ["aoi", "held"]).join(peers, ["aoi", "pixel", "peer"], "left")
-    return scored.groupBy("aoi").agg(
-        F.count(F.lit(1)).alias("n_consensus"),
-        F.avg(F.col("ok").cast("double")).alias("loao_consensus"),
-        F.count("peer_class").alias("n_peer"),
-        F.avg((F.col("peer_class") == F.col("truth")).cast("double")).alias("loao_peer"),
+    same = F.col("peer_class") == F.col("truth")
+    kind = dict(v.dtypes)
+    schema = f"aoi {kind['aoi']}, truth {kind['class']}, peer_class {kind['class']}, bitmask long"
+    scored = []
+    for x in some:
+        seen = _left_votes(x, authors).where(F.col("w1") - F.col("hw") > 1e-9).join(prior, ["aoi", "held"])
+        decided = seen.select("aoi", "truth", "peer_class", "hw", "w1", "s", "prior", "mean_w").mapInArrow(_masks(rules), schema).where("bitmask > 0")
+        scored.append(stored(decided.groupBy("aoi").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("ok"), F.count(hit).alias("n_ok"),
+            F.count("peer_class").alias("n_peer"), F.count_if(same).alias("same"), F.count(same).alias("n_same"))))
+    share = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double"))
+    return together(scored).groupBy("aoi").agg(
+        F.sum("n").alias("n_consensus"),
+        share("ok", "n_ok").alias("loao_consensus"),
+        F.sum("n_peer").alias("n_peer"),
+        share("same", "n_same").alias("loao_peer"),
     )
 
 
