@@ -221,6 +221,36 @@ def test_equal_references_and_unwanted_blocks(known):
     assert set(zip(got["q"], got["r"])) == want
 
 
+@pytest.mark.parametrize("step", [0, 3, None])
+def test_blocks_of_a_round_are_chosen_by_their_bounds(step):
+    r = np.random.default_rng(7)
+    pivots_, v = pivots._units(r.normal(size=(20, 5))), r.normal(size=(200, 5))
+    low = r.uniform(0, 0.6, 180)
+    rows = [{"b": i, "p": i // 9, "low": low[i], "high": low[i] + 0.1, "n": int(r.integers(1, 4))} for i in range(180)]
+    blocks = pivots.Blocks(pivots_, rows, 40)
+    had = [sorted(r.choice(180, 4, replace=False).tolist()) if step != 0 else [] for _ in range(200)]
+    kth = np.where(r.random(200) < 0.2, np.nan, r.uniform(0, 0.3, 200))
+    packed = pa.array([x.astype("<f8").tobytes() for x in v], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), packed, pa.array(kth, from_pandas=True), pa.array(had, pa.list_(pa.int32())), pa.array([len(h) for h in had])], names=["q", "v", "kth", "had", "seen"])
+    out = pa.Table.from_batches(pivots._wanted(blocks, 30, step, "long", "<f8")[0](iter([batch]))).to_pylist()
+    angle = np.arccos(np.clip(pivots._units(v) @ pivots_.T, -1, 1))
+    for i, row in enumerate(out):
+        gap = np.array([max(angle[i, b["p"]] - b["high"], b["low"] - angle[i, b["p"]]) for b in rows])
+        least = 1 - np.cos(np.clip(gap, 0, np.pi / 2))
+        ahead = [int(b) for b in np.argsort(gap, kind="stable") if b not in had[i]]
+        want = [b for b in ahead if np.isnan(kth[i]) or least[b] <= kth[i]]
+        if step == 0:
+            want = ahead[:1 + int(np.searchsorted(np.cumsum(blocks.n[ahead]), 30))]
+        elif step:
+            want = [b for b in ahead[:step] if b in want]
+        got = set()
+        for ask in row["asked"]:
+            first, last = next((a, z) for a, z, bundle, subs in blocks.runs if bundle <= ask["bundle"] < bundle + subs)
+            got |= {first + int(j) for j in np.flatnonzero(np.unpackbits(np.frombuffer(ask["bits"], np.uint8))[:last - first])}
+        assert got == set(want) and row["seen"] == len(had[i]) + len(want)
+        assert step is None or sorted(row["had"]) == sorted(had[i] + want)
+
+
 @pytest.mark.parametrize("scale", [1.0, 1 / 3])
 def test_vectors_travel_as_short_as_they_can(spark, scale):
     """Thirds need double precision; halves and tenths of an image do not lose a bit in single precision."""
