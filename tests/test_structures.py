@@ -262,6 +262,21 @@ def test_vectors_travel_as_short_as_they_can(spark, scale):
     assert key(neighbours.knn(df, df, 6, exclude_self=True, block=50).collect()) == key(neighbours.knn(df, df, 6, exclude_self=True).collect())
 
 
+def test_queries_that_need_double_precision_keep_it(spark):
+    """References alone would travel in single precision, in which a third is another number."""
+    r = np.random.default_rng(10)
+    v = r.integers(-9, 9, (120, 6)).astype(float)
+    df = spark.createDataFrame([(int(k), [float(c) for c in x]) for k, x in enumerate(v)], "id long, v array<double>")
+    q = spark.createDataFrame([(int(k), [float(c) / 3 + 1e-8 for c in x]) for k, x in enumerate(v[:40])], "id long, v array<double>")
+    pairs, _ = pivots.search(q, df, 4, "id", "v", False, 30, 120)
+    unit = lambda x: x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    d = np.round(1 - unit(v[:40] / 3 + 1e-8) @ unit(v).T, 9)
+    got = {(x["q"], x["r"]): x["dist"] for x in pairs.collect()}
+    assert len(got) == 160 and all(x == pytest.approx(d[i, j], abs=2e-9) for (i, j), x in got.items())
+    kept = [sorted(d[i, j] for a, j in got if a == i) for i in range(40)]
+    assert np.allclose(kept, np.sort(d, axis=1)[:, :4], atol=2e-9)
+
+
 def test_tasks_of_a_round_grow_with_its_queries(spark):
     """A partition for every group of queries that meets a bundle, and none beside these."""
     slots = pivots._slots(spark, 7)
